@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from trailspark.llm import decontaminate
+from trailspark.llm import decontaminate, secrets
 
 
 def queries() -> dict:
     return {
         "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op10_secrets": secrets.op10_secrets,
     }
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from trailspark.llm import decontaminate, secrets
+from trailspark.llm import bpe, decontaminate, secrets
 
 
 def queries() -> dict:
     return {
+        "op5_bpe": bpe.op5_bpe,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op10_secrets": secrets.op10_secrets,
     }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from trailspark.llm import bpe, decontaminate, secrets
+from trailspark.llm import bpe, decontaminate, secrets, warc
 
 
 def queries() -> dict:
     return {
+        "op4_warc": warc.op4_warc,
         "op5_bpe": bpe.op5_bpe,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op10_secrets": secrets.op10_secrets,
@@ -15,5 +16,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_warc": warc.OP4_SQL,
         "op6_decontaminate": decontaminate.OP6_SQL,
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trailspark.llm import bpe, decontaminate, secrets, warc
+from trailspark.llm import bpe, decontaminate, secrets, tokencount, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op4_warc": warc.op4_warc,
         "op5_bpe": bpe.op5_bpe,
         "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op9_tokencount": tokencount.op9_tokencount,
         "op10_secrets": secrets.op10_secrets,
     }
 

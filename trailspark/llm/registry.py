@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from trailspark.llm import bpe, decontaminate, secrets, tokencount, warc
+from trailspark.llm import bpe, decontaminate, langid, secrets, tokencount, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op2_langid": langid.op2_langid,
         "op4_warc": warc.op4_warc,
         "op5_bpe": bpe.op5_bpe,
         "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_tokencount": tokencount.op9_tokencount,
         "op10_secrets": secrets.op10_secrets,
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trailspark.llm import bpe, decontaminate, langid, secrets, tokencount, toxicity, warc
+from trailspark.llm import bpe, decontaminate, langid, secrets, tokencount, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_warc": warc.op4_warc,
         "op5_bpe": bpe.op5_bpe,
         "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op7_topk": topk.op7_topk,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_tokencount": tokencount.op9_tokencount,
         "op10_secrets": secrets.op10_secrets,
@@ -21,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_warc": warc.OP4_SQL,
         "op6_decontaminate": decontaminate.OP6_SQL,
+        "op7_topk": topk.OP7_SQL,
     }

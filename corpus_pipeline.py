@@ -1,8 +1,62 @@
-"""The corpus pipeline: its stages in order, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: its stages in order, each written as Parquet and read again as the next one's documents.
 
-STAGES: list = []
+Language ID drops documents without a letter and those that no language's classifier claims. The n-gram Jaccard
+join (five words, 0.8) leaves the document with the least id of each group. Benchmark decontamination drops
+documents that hold a benchmark window. Secret scans replace secrets in the text by a mark and set n_chars to the
+new length. Byte-level BPE gives, for each document left, the number and digest of its ids, and the digest of the
+bytes that they decode to.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trailspark.llm import bpe, decontaminate, jaccard, langid, secrets
+from trailspark.llm.common import shared_path, table
+
+#: A text whose best language scores less is rejected; 0.5 is where a classifier is undecided.
+LEAST_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = langid.identify(docs, langid.fit(docs), keep=tuple(docs.columns))
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs, n=5, num=80)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, finish=bpe.digests, schema=bpe.DIGEST_SCHEMA)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", ngram_jaccard),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("secret scans", secret_scans),
+    ("byte-level BPE encoding and decoding", byte_bpe),
+]
+#: The classifier of the first stage and the ids of the last have no SQL; tests/llm has a plain version instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
+        path = shared_path(spark, f"pipeline-{number}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

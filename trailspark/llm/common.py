@@ -46,3 +46,9 @@ def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     plain = F.octet_length(text) == F.char_length(text)
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def sized(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df, stored, with a hint to broadcast it if it has no more than the given number of rows."""
+    held = stored(df, "sized")
+    return F.broadcast(held) if held.count() <= rows else held

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import ascii_lower, let, stored
+from trailspark.llm.common import ascii_lower, let, sized, stored
 
 #: A run of letters, digits and characters beyond ASCII, before lower-casing.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -111,7 +111,7 @@ def scan(
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs without the rows that hold a benchmark window; all columns of docs stay."""
-    bad = scan(docs, benchmark, doc=doc, text=text, **options).where(F.size("hit_words") > 0).select("doc", "text_hash").distinct()
+    bad = sized(scan(docs, benchmark, doc=doc, text=text, **options).where(F.size("hit_words") > 0).select("doc", "text_hash").distinct())
     same = docs[doc].eqNullSafe(bad["doc"]) & (F.xxhash64(docs[text]) == bad["text_hash"])
     return docs.join(bad, same, "left_anti")
 

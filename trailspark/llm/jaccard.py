@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import stored, table
+from trailspark.llm.common import sized, stored, table
 from trailspark.llm.filters import bit_filter, components, count_levels, holds, unsigned
 
 #: Sets in a group, and shingles in a group, unless one set has more.
@@ -286,16 +286,17 @@ def join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, doc: str
 
 
 def keep_one(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one row of each component: of those with the least id, one. Rows with empty sets all stay."""
-    found = join(docs, doc=doc, text=text, **options)
-    first = found.where((F.col("n_shingles") > 0) & F.col("doc").eqNullSafe(F.col("component"))).groupBy("component").agg(F.min("row_key").alias("row_key")).select("row_key")
-    empty = found.where("n_shingles = 0").select("row_key")
-    keys = first.union(empty).distinct()
-    numbered = docs.withColumn("_key", F.xxhash64(doc, text))
-    kept = numbered.join(keys.withColumnRenamed("row_key", "_key"), "_key", "left_semi")
-    # equal rows have one key; an empty text has no copies to drop
-    blank = F.coalesce(F.trim(F.regexp_replace(text, r"[\x09-\x0D\x20]+", "")), F.lit("")) == ""
-    return kept.where(blank).drop("_key").unionByName(kept.where(~blank).dropDuplicates(["_key"]).drop("_key"))
+    """docs with one row of each component, one with its least id. Rows without words have no copies and all stay."""
+    found = stored(join(docs, doc=doc, text=text, **options), "jaccard-found")
+    first = found.where((F.col("n_shingles") > 0) & F.col("doc").eqNullSafe(F.col("component")))
+    keys = first.groupBy("component").agg(F.min("row_key").alias("row_key")).select("row_key")
+    equal = found.where("n_shingles > 0").groupBy("row_key").count().withColumnRenamed("count", "_equal")
+    chosen = sized(keys.join(equal, "row_key").withColumnRenamed("row_key", "_key"))
+    kept = docs.withColumn("_key", F.xxhash64(doc, text)).join(chosen, "_key")
+    # only equal rows need to be brought together
+    single, several = kept.where("_equal = 1"), kept.where("_equal > 1").dropDuplicates(["_key"])
+    blank = F.coalesce(F.rlike(F.col(text), F.lit(r"^[\x09-\x0D\x20]*$")), F.lit(True))
+    return single.unionByName(several).drop("_key", "_equal").unionByName(docs.where(blank))
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

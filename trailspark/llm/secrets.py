@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import let, table
+from trailspark.llm.common import let, sized, table
 
 #: The rules, in the order in which spans of one start are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -135,7 +135,7 @@ def scan(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", ratios: li
 
 def redact(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", mark: str = "<secret>", **options) -> DataFrame:
     """docs with each found span replaced by a mark; rows without spans and all other columns stay as they are."""
-    found = scan(docs, doc=doc, text=text, **options).where(F.size("spans") > 0).dropDuplicates(["doc", "text_hash"])
+    found = sized(scan(docs, doc=doc, text=text, **options).where(F.size("spans") > 0).dropDuplicates(["doc", "text_hash"]), 200_000)
     same = docs[doc].eqNullSafe(found["doc"]) & (F.xxhash64(docs[text]) == found["text_hash"])
     body = docs[text]
     piece = lambda s: F.when(

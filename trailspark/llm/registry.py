@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from trailspark.llm import bpe, decontaminate, jaccard, langid, secrets, tokencount, topk, toxicity, warc
+from trailspark.llm import bpe, decontaminate, jaccard, langid, secrets, suffixdedup, tokencount, topk, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_jaccard": jaccard.op1_jaccard,
         "op2_langid": langid.op2_langid,
+        "op3_suffixdedup": suffixdedup.op3_suffixdedup,
         "op4_warc": warc.op4_warc,
         "op5_bpe": bpe.op5_bpe,
         "op6_decontaminate": decontaminate.op6_decontaminate,

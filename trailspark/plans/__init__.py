@@ -1,9 +1,13 @@
 """Registered queries over the driver's tables, with the SQL that checks them."""
 
+from __future__ import annotations
+
+from trailspark.plans import activity, evidence
+
 
 def queries() -> dict:
-    return {}
+    return activity.QUERIES | evidence.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return activity.SQL | evidence.SQL

@@ -1,0 +1,233 @@
+"""Queries on evidence: texts, rules, files, facets and hunts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from trailspark.functions import text as T
+from trailspark.functions.identity import null_safe_key
+from trailspark.operators import artifacts, facets, summaries
+from trailspark.plans.adapter import EVENTS, conversation_events, events, table, table_events
+from trailspark.rules import scan
+from trailspark.rules.packs import RULES
+from trailspark.rules.scan import Rule
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query("""SELECT sha256(text) AS sha, count(*) AS copies, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1""")
+def identical_copies(spark, sf_dir: str) -> DataFrame:
+    return artifacts.identical_copies(table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha")), "doc_id", "sha")
+
+
+@query("""WITH h AS (SELECT page_id AS session_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host FROM pages)
+SELECT host, count(*) AS n, count(DISTINCT session_id) AS sessions FROM h WHERE host IS NOT NULL GROUP BY host""")
+def host_ranking(spark, sf_dir: str) -> DataFrame:
+    hosts = table(spark, sf_dir, "pages").select(F.col("page_id").alias("session_id"), T.host_of(F.col("url")).alias("host"))
+    return summaries.ranked(hosts, "host").orderBy(F.desc("n"), "host")
+
+
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(text, ' '), '\\s+'), lambda w: w <> '' AND NOT regexp_matches(w, '^[A-Za-z_][A-Za-z0-9_]*=')) AS w FROM documents)
+SELECT doc_id, w[1] AS first_word FROM w""")
+def first_word(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.first_word(F.col("text")).alias("first_word"))
+
+
+@query("""SELECT doc_id, (length(t) - length(replace(t, chr(8203), '')))::INTEGER AS zero_width, (length(t) - length(replace(t, chr(173), '')))::INTEGER AS soft_hyphens
+FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, ' ', chr(8203)) WHEN doc_id % 3 = 1 THEN replace(text, '.', chr(173)) ELSE text END AS t FROM documents)""")
+def hidden_characters(spark, sf_dir: str) -> DataFrame:
+    body, which = F.col("text"), F.col("doc_id") % 3
+    spoiled = F.when(which == 0, F.replace(body, F.lit(" "), F.lit(chr(0x200B)))).when(which == 1, F.replace(body, F.lit("."), F.lit(chr(0xAD)))).otherwise(body)
+    count = lambda code: F.coalesce(F.get(F.transform(F.filter("hidden", lambda h: h["code"] == code), lambda h: h["n"]), F.lit(0)), F.lit(0)).cast("int")
+    return table(spark, sf_dir, "documents").select("doc_id", T.hidden_characters(spoiled).alias("hidden")).select("doc_id", count(0x200B).alias("zero_width"), count(0xAD).alias("soft_hyphens"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.000000Z' AS iso, 'second' AS iso_precision, strftime(ts, '%Y-%m-%dT%H:%M:00.000000Z') AS naive, 'no zone, read as UTC' AS note,
+strftime(make_timestamp((epoch_us(ts) // 1000) * 1000), '%Y-%m-%dT%H:%M:%S.%fZ') AS millis, NULL::VARCHAR AS garbage FROM events""")
+def normalise_ts(spark, sf_dir: str) -> DataFrame:
+    ts = F.col("ts").cast("timestamp")
+    forms = {"iso": F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"), "naive": F.date_format(ts, "yyyy-MM-dd HH:mm"), "millis": F.unix_millis(ts).cast("string"), "garbage": F.concat(F.lit("about "), F.col("event_id"))}
+    found = table(spark, sf_dir, "events").select("event_id", *[T.normalise_ts(c).alias(n) for n, c in forms.items()])
+    return found.select(
+        "event_id", F.col("iso.ts_utc").alias("iso"), F.col("iso.ts_precision").alias("iso_precision"), F.col("naive.ts_utc").alias("naive"), F.col("naive.note").alias("note"),
+        F.col("millis.ts_utc").alias("millis"), F.col("garbage.ts_utc").alias("garbage"),
+    )
+
+
+@query("""SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN chr(1) ELSE chr(2) || lang END || chr(0) || chr(2) || source || chr(0)) AS key FROM documents""")
+def null_safe_keys(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").withColumn("lang", F.when(F.col("doc_id") % 2 != 0, F.col("lang"))).select("doc_id", null_safe_key("lang", "source").alias("key"))
+
+
+def document_events(spark, sf_dir: str) -> DataFrame:
+    """Documents as instruction events, for rules on text."""
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("event_id"), F.lit("instruction.source").alias("kind"), F.lit("doc_agent").alias("agent"), none.alias("ts_utc"),
+        F.col("source").alias("session_id"), F.to_json(F.struct("text")).alias("payload_json"), none.alias("raw_json"), none.alias("parse_problem"),
+    )
+
+
+TEXT_RULES = [
+    Rule("T-1", "Token assigned", "high", {"field": "payload.text", "regex": 'token = "[0-9a-f]{40}'}, redact=True),
+    Rule("T-2", "Long text without a greeting", "low", {"all": [{"field": "payload.text", "length_gt": 5000}], "none": [{"field": "payload.text", "contains": "hello"}]}),
+    Rule("T-3", "From one of two sources", "info", {"any": [{"field": "session_id", "equals": "SRC1"}, {"field": "session_id", "startswith": "src2"}]}, agents=("doc_agent",)),
+    Rule("T-4", "Never: of another kind", "info", {"field": "payload.text", "exists": True}, kinds=("user.prompt",)),
+]
+_FOUND = """WITH f AS (
+SELECT 'T-1' AS rule_id, 'high' AS severity, doc_id::VARCHAR AS event_id FROM documents WHERE regexp_matches(text, 'token = "[0-9a-f]{40}')
+UNION ALL SELECT 'T-2', 'low', doc_id::VARCHAR FROM documents WHERE length(text) > 5000 AND NOT contains(lower(text), 'hello')
+UNION ALL SELECT 'T-3', 'info', doc_id::VARCHAR FROM documents WHERE source = 'src1' OR source LIKE 'src2%') """
+
+
+@query(_FOUND + "SELECT substr(sha256(rule_id || chr(0) || event_id), 1, 32) AS finding_id, rule_id, severity, event_id FROM f")
+def rule_findings(spark, sf_dir: str) -> DataFrame:
+    return scan.scan_events(document_events(spark, sf_dir), TEXT_RULES).select("finding_id", "rule_id", "severity", "event_id")
+
+
+@query(_FOUND + "SELECT severity, count(*) AS findings, count(DISTINCT rule_id) AS rules FROM f GROUP BY severity")
+def findings_by_severity(spark, sf_dir: str) -> DataFrame:
+    return scan.by_severity(scan.scan_events(document_events(spark, sf_dir), TEXT_RULES))
+
+
+@query("""SELECT doc_id::VARCHAR AS event_id, '<redacted, ' || length(text) || ' characters>' AS matched FROM documents WHERE regexp_matches(text, 'token = "[0-9a-f]{40}')""")
+def redacted_matches(spark, sf_dir: str) -> DataFrame:
+    return scan.scan_events(document_events(spark, sf_dir), TEXT_RULES[:1]).select("event_id", F.get("matched", F.lit(0)).alias("matched"))
+
+
+@query(_FOUND + "SELECT 'T-4' AS rule_id WHERE NOT EXISTS (SELECT 1 FROM f WHERE rule_id = 'T-4')")
+def silent_rules(spark, sf_dir: str) -> DataFrame:
+    return scan.silent_rules(spark, TEXT_RULES, scan.scan_events(document_events(spark, sf_dir), TEXT_RULES))
+
+
+@query(EVENTS + "SELECT event_id, kind FROM ev WHERE NOT (kind IN ('tool.call', 'file.read'))")
+def untouched_events(spark, sf_dir: str) -> DataFrame:
+    rules = [Rule("U-1", "Calls", "info", {"field": "kind", "exists": True}, kinds=("tool.call",)), Rule("U-2", "Reads", "info", {"field": "kind", "exists": True}, kinds=("file.read",))]
+    return scan.untouched(events(spark, sf_dir), rules).select("event_id", "kind")
+
+
+BURST_RULE = Rule("G-1", "Reads of one day", "low", {"field": "event_id", "exists": True}, kinds=("file.read",), aggregate={"by": ("agent", "session_id"), "min_count": 2, "window_minutes": 1440})
+
+
+@query(EVENTS + """, e AS (SELECT event_id, agent, session_id, epoch_us(ts_utc::TIMESTAMPTZ) AS t FROM ev WHERE kind = 'file.read'),
+c AS (SELECT *, count(*) OVER w AS size, min(t) OVER w AS first FROM e WINDOW w AS (PARTITION BY session_id ORDER BY t RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY size DESC, t) AS p FROM c)
+SELECT 'G-1' AS rule_id, e.agent, e.session_id, e.event_id FROM e JOIN r ON r.p = 1 AND r.size >= 2 AND e.session_id = r.session_id AND e.t BETWEEN r.first AND r.t""")
+def burst_evidence(spark, sf_dir: str) -> DataFrame:
+    return scan.evidence(table_events(spark, sf_dir), BURST_RULE)
+
+
+@query(EVENTS + """, g AS (SELECT session_id, count(*) AS size FROM ev WHERE kind = 'command.exec' GROUP BY session_id HAVING count(*) >= 3)
+SELECT 'G-2' AS rule_id, session_id, event_id FROM ev WHERE kind = 'command.exec' AND session_id IN (SELECT session_id FROM g)""")
+def group_evidence(spark, sf_dir: str) -> DataFrame:
+    rule = Rule("G-2", "Many commands", "low", {"field": "event_id", "exists": True}, kinds=("command.exec",), aggregate={"by": ("session_id",), "min_count": 3})
+    return scan.evidence(table_events(spark, sf_dir), rule)
+
+
+@query()
+def shipped_rules(spark, sf_dir: str) -> DataFrame:
+    """All shipped single-event rules over all events; their samples are tested in tests."""
+    return scan.scan_events(events(spark, sf_dir).unionByName(document_events(spark, sf_dir), allowMissingColumns=True), RULES).drop("matched")
+
+
+CATALOGUE = [
+    ("conv.transcript", "conv_agent", "/trail/conv/*.jsonl", "named"),
+    ("conv.any", "conv_agent", "/trail/**", "working"),
+    ("ev.log", "ev_agent", "/trail/ev/*.jsonl", "named"),
+    ("ev.first", "ev_agent", "/trail/ev/1.jsonl", "plugin"),
+    ("ev.teens", "ev_agent", "/trail/ev/1?.jsonl", "named"),
+]
+_PATHS = EVENTS + """, paths AS (SELECT DISTINCT original_path AS path FROM ev),
+pat(artifact_id, agent, pattern, rank, literal) AS (VALUES ('conv.transcript', 'conv_agent', '^/trail/conv/[^/]*\\.jsonl$', 0, 18), ('conv.any', 'conv_agent', '^/trail/.*$', 1, 7),
+('ev.log', 'ev_agent', '^/trail/ev/[^/]*\\.jsonl$', 0, 16), ('ev.first', 'ev_agent', '^/trail/ev/1\\.jsonl$', 2, 17), ('ev.teens', 'ev_agent', '^/trail/ev/1[^/]\\.jsonl$', 0, 17)),
+claims AS (SELECT path, artifact_id, agent, rank, literal FROM paths JOIN pat ON regexp_matches(path, pattern)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY literal DESC, rank, artifact_id) AS p FROM claims) WHERE p = 1) """
+
+
+def _claims(spark, sf_dir: str) -> DataFrame:
+    return artifacts.claims(events(spark, sf_dir).select(F.col("original_path").alias("path")), artifacts.patterns(spark, CATALOGUE))
+
+
+@query(_PATHS + "SELECT path, artifact_id FROM claims")
+def path_claims(spark, sf_dir: str) -> DataFrame:
+    return _claims(spark, sf_dir).select("path", "artifact_id")
+
+
+@query(_PATHS + "SELECT path, artifact_id, agent FROM best")
+def best_claims(spark, sf_dir: str) -> DataFrame:
+    return artifacts.best_claims(_claims(spark, sf_dir)).select("path", "artifact_id", "agent")
+
+
+@query(_PATHS + "SELECT path FROM paths WHERE NOT regexp_matches(path, '^/trail/conv/')")
+def unclaimed_paths(spark, sf_dir: str) -> DataFrame:
+    paths = events(spark, sf_dir).select(F.col("original_path").alias("path"))
+    return artifacts.unclaimed(paths, artifacts.claims(paths, artifacts.patterns(spark, CATALOGUE[:1])))
+
+
+@query(_PATHS + """, l AS (SELECT e.session_id AS host, e.original_path AS path, b.agent, e.ts_utc AS mtime FROM ev e JOIN best b ON e.original_path = b.path)
+SELECT host, agent, count(DISTINCT path) AS paths, max(mtime) AS last FROM l GROUP BY host, agent""")
+def fleet_presence(spark, sf_dir: str) -> DataFrame:
+    listing = events(spark, sf_dir).select(F.col("session_id").alias("host"), F.col("original_path").alias("path"), F.col("ts_utc").alias("mtime"))
+    return artifacts.fleet_presence(listing.join(artifacts.best_claims(_claims(spark, sf_dir)), "path"))
+
+
+@query("""WITH m AS (SELECT doc_id AS path, CASE WHEN doc_id % 11 <> 0 THEN sha256(text) END AS e FROM documents WHERE doc_id % 7 <> 0),
+l AS (SELECT doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS f FROM documents WHERE doc_id % 3 <> 0)
+SELECT coalesce(m.path, l.path) AS path, CASE WHEN l.path IS NULL THEN 'missing' WHEN m.path IS NULL THEN 'unexpected' WHEN e IS NULL THEN 'inconsistent' WHEN e <> f THEN 'mismatched' ELSE 'verified' END AS verdict
+FROM m FULL JOIN l ON m.path = l.path""")
+def bundle_verification(spark, sf_dir: str) -> DataFrame:
+    docs, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    manifest = docs.where(n % 7 != 0).select(n.alias("path"), F.when(n % 11 != 0, F.sha2("text", 256)).alias("sha256"))
+    listing = docs.where(n % 3 != 0).select(n.alias("path"), F.when(n % 5 == 0, F.sha2(F.concat("text", F.lit("!")), 256)).otherwise(F.sha2("text", 256)).alias("sha256"))
+    return artifacts.verify_bundle(manifest, listing)
+
+
+@query("""SELECT page_id, CASE WHEN lower(regexp_extract(url, '([^/]*)$', 1)) = '1' THEN 'a' ELSE 'b' END AS agent FROM pages WHERE lower(regexp_extract(url, '([^/]*)$', 1)) IN ('1', '2', '3')""")
+def hunt_files(spark, sf_dir: str) -> DataFrame:
+    names = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "b")], "name string, agent string")
+    return artifacts.hunt_files(table(spark, sf_dir, "pages").withColumnRenamed("url", "path"), names).select("page_id", "agent")
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'one' ELSE 'two' END AS agent FROM events WHERE event_type IN ('click', 'view')""")
+def hunt_processes(spark, sf_dir: str) -> DataFrame:
+    names = spark.createDataFrame([("Click", "one"), ("view", "two")], "name string, agent string")
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("C:\\Tools\\"), F.initcap("event_type"), F.lit(".EXE")).alias("executable"))
+    return artifacts.hunt_processes(rows, names).select("event_id", "agent")
+
+
+def _faceted(spark, sf_dir: str) -> DataFrame:
+    """Events whose payload has facets made from the row's own values."""
+    tool, value = F.get_json_object("payload_json", "$.tool"), F.get_json_object("payload_json", "$.value").cast("double")
+    model = F.struct(tool.alias("model"), F.floor(value).cast("long").alias("input_tokens"), F.lit(None).cast("long").alias("output_tokens"))
+    command = F.struct(F.concat(F.lit("N=1 "), tool, F.lit(" --all")).alias("command"))
+    return table_events(spark, sf_dir).withColumn("payload_json", F.to_json(F.struct(F.array(model, model).alias("models"), command.alias("commands"))))
+
+
+@query("""SELECT 'ev_agent' AS agent, user_id::VARCHAR AS session_id, event_type AS model, sum(floor(value)::BIGINT)::BIGINT AS input_tokens, NULL::BIGINT AS output_tokens, NULL::DOUBLE AS cost, count(*) AS events
+FROM events GROUP BY user_id, event_type""")
+def model_usage(spark, sf_dir: str) -> DataFrame:
+    return summaries.model_usage(facets.facet(_faceted(spark, sf_dir), "models", keep=("event_id", "agent", "session_id")))
+
+
+@query("SELECT event_type AS executable, count(*) AS n, count(DISTINCT user_id) AS sessions FROM events GROUP BY event_type")
+def executables(spark, sf_dir: str) -> DataFrame:
+    return summaries.ranked(facets.facet(_faceted(spark, sf_dir), "commands", keep=("event_id", "session_id")), "executable")
+
+
+@query("""SELECT conv_id::VARCHAR AS session_id, count(*) FILTER (role = 'user') AS prompts, count(*) FILTER (role = 'assistant') AS answers,
+count(*) FILTER (role NOT IN ('user', 'assistant')) AS hidden FROM conversations GROUP BY conv_id""")
+def turn_kinds(spark, sf_dir: str) -> DataFrame:
+    count = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
+    return conversation_events(spark, sf_dir).groupBy("session_id").agg(count("user.prompt").alias("prompts"), count("assistant.text").alias("answers"), F.count_if(~F.col("kind").isin("user.prompt", "assistant.text")).alias("hidden"))

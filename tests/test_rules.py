@@ -1,0 +1,113 @@
+"""Golden cases for rules, bursts, events and functions."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from trailspark.functions import text as T
+from trailspark.functions.identity import problem
+from trailspark.operators import bursts, facets, timeline
+from trailspark.rules import scan
+from trailspark.rules.compile import condition, resolve
+from trailspark.rules.packs import RULES
+from trailspark.rules.scan import Rule
+from trailspark.schema import EVENT, EVENT_COLUMNS, UNINTERPRETED
+
+
+def events(spark, *rows):
+    return spark.createDataFrame([tuple(r.get(c) for c in EVENT_COLUMNS) for r in rows], EVENT)
+
+
+def test_samples_of_shipped_rules(spark):
+    found = scan.self_test(spark, RULES).where("expected <> found").collect()
+    assert found == []
+
+
+@pytest.mark.parametrize(
+    "operator,value,yes,no",
+    [
+        ("regex", "^a.c$", "a\nc", "A.C"), ("contains", "BC", "abcd", "acbd"), ("equals", "Abc", "aBC", "abcd"), ("startswith", "AB", "abc", "cab"),
+        ("endswith", "BC", "abc", "bca"), ("glob", "~/.ssh/*", "~\\.ssh\\id", "~/.ssh/a/b"), ("equals_any", ["x", "abc"], "ABC", "ab"),
+        ("gt", 3, "4", "3"), ("gte", 3, "3", "2.9"), ("lt", 3, "2", "3"), ("lte", 3, "3", "x"), ("length_gt", 2, "abc", "ab"), ("length_gte", 2, "éé", "é"), ("length_lt", 2, "a", "ab"),
+    ],
+)
+def test_operators_at_their_boundary(spark, operator, value, yes, no):
+    import json
+
+    rows = events(spark, *[{"event_id": k, "payload_json": json.dumps({"v": v})} for k, v in (("yes", yes), ("no", no), ("absent", None))])
+    assert [r.event_id for r in rows.where(condition({"field": "payload.v", operator: value})).collect()] == ["yes"]
+
+
+def test_absent_is_an_empty_list_and_lists_fan_out(spark):
+    rows = events(spark, {"payload_json": '{"c": [{"x": "1"}, {"y": "2"}, {"x": "3"}]}'}, {"payload_json": "{}"})
+    assert [r[0] for r in rows.select(resolve("payload.c[].x")).collect()] == [["1", "3"], []]
+    assert rows.where(condition({"none": [{"field": "payload.c[].x", "exists": True}]})).count() == 1
+    with pytest.raises(ValueError):
+        resolve("payload..x")
+
+
+def test_rule_of_a_kind_sees_unmapped_records(spark):
+    rule = Rule("R", "Title", "low", {"field": "payload.a", "equals": "1"}, kinds=("tool.call",))
+    rows = events(spark, {"event_id": "u", "kind": "unparsed.record", "parse_problem": f"it {UNINTERPRETED}", "payload_json": '{"a": "1"}'}, {"event_id": "o", "kind": "file.read", "payload_json": '{"a": "1"}'})
+    found = scan.scan_events(rows, [rule]).collect()
+    assert [r.event_id for r in found] == ["u"] and "nobody has mapped" in found[0].summary
+
+
+def test_redacted_values_stay_out(spark):
+    rule = Rule("R", "Secret", "high", {"field": "payload.a", "contains": "hunter"}, redact=True)
+    found = scan.scan_events(events(spark, {"event_id": "a", "kind": "user.prompt", "payload_json": '{"a": "hunter2"}'}), [rule]).first()
+    assert "hunter2" not in str(found) and found.matched == ["<redacted, 7 characters>"]
+
+
+def test_undated_events_are_no_part_of_a_burst(spark):
+    times = ["2024-01-01T00:00:00.000000Z", "2024-01-01T00:00:30.000000Z", "2024-01-01T00:00:59.000000Z", None]
+    rows = events(spark, *[{"event_id": str(i), "session_id": "s", "ts_utc": t} for i, t in enumerate(times)])
+    found = bursts.bursts(rows, ["session_id"], 1, 2)
+    assert [r["size"] for r in found.collect()] == [3]
+    assert {r.event_id for r in bursts.members(rows, found, ["session_id"]).collect()} == {"0", "1", "2"}
+
+
+def test_distinct_counts_an_absent_value(spark):
+    rows = events(spark, *[{"session_id": "a", "client": "x"}] * 20, {"session_id": "b", "client": "x"}, {"session_id": "b"})
+    assert [r.session_id for r in bursts.large_groups(rows, ["session_id"], 2, F.col("client")).collect()] == ["b"]
+
+
+def test_undated_events_come_first_and_are_in_every_window(spark):
+    rows = events(spark, {"event_id": "2", "ts_utc": "2024-01-02T00:00:00Z", "kind": "x", "original_path": ""}, {"event_id": "0", "kind": "x", "original_path": ""}, {"event_id": "1", "ts_utc": "2024-01-01T00:00:00Z", "kind": "x", "original_path": ""})
+    found = timeline.within(rows, since="2024-01-02").orderBy(*timeline.timeline_order()).collect()
+    assert [r.event_id for r in found] == ["0", "2"]
+
+
+def test_session_order_counts_lines(spark):
+    rows = events(spark, *[{"locator": f"line:{n}", "original_path": "", "kind": "x"} for n in (10, 9)])
+    assert [r.locator for r in rows.orderBy(*timeline.session_order()).collect()] == ["line:9", "line:10"]
+
+
+@pytest.mark.parametrize(
+    "value,ts,precision",
+    [
+        ("2024-05-01T10:00:00Z", "2024-05-01T10:00:00.000000Z", "second"), ("2024-05-01T10:00:00.123456789+02:00", "2024-05-01T08:00:00.123456Z", "exact"),
+        ("2024-05-01 10:00", "2024-05-01T10:00:00.000000Z", "minute"), ("1714557600", "2024-05-01T10:00:00.000000Z", "second"),
+        ("1714557600123", "2024-05-01T10:00:00.123000Z", "exact"), ("0", None, "absent"), ("soon", None, "absent"), (None, None, "absent"),
+    ],
+)
+def test_times(spark, value, ts, precision):
+    r = spark.createDataFrame([(value,)], "v string").select(T.normalise_ts(F.col("v")).alias("t")).first().t
+    assert (r.ts_utc, r.ts_precision) == (ts, precision)
+
+
+def test_text_functions(spark):
+    r = spark.createDataFrame([("A=1 B=2 git push", "https://u@Example.org:80/x", "file:///C:/a%20b+c", "/p/q/r")], "c string, u string, f string, p string").select(
+        T.first_word(F.col("c")), T.host_of(F.col("u")), T.uri_as_path(F.col("f")), T.relative_path(F.col("p"), F.lit("/p"))
+    ).first()
+    assert tuple(r) == ("git", "example.org", "C:/a b+c", "q/r")
+
+
+def test_facets(spark):
+    rows = events(spark, {"event_id": "a", "payload_json": '{"commands": {"command": "X=1 ls -l"}, "files": [{"path": "p"}, {"path": "p"}, {"bytes": 3}]}'})
+    assert [(r.command, r.executable) for r in facets.facet(rows, "commands").collect()] == [("X=1 ls -l", "ls")]
+    assert [(r.path, r.operation) for r in facets.facet(rows, "files").collect()] == [("p", "unknown")]
+
+
+def test_problems(spark):
+    rows = events(spark, {"kind": "user.prompt", "ts_precision": "absent"}, {"kind": "new", "ts_precision": "absent"}, {"kind": "user.prompt", "ts_utc": "yesterday", "ts_precision": "exact"})
+    assert [r[0] for r in rows.select(problem()).collect()] == [None, "unknown kind", "malformed time"]

@@ -18,11 +18,17 @@ leaves out what follows, and `broken_files` lists those files.
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import shared_path, stored, table
+from trailspark.llm.common import shared_path, sized, stored, table
 
 #: Fixed values of the format.
 MAGIC = "WARC/1.0\r\n"
@@ -80,150 +86,199 @@ def write_warc(pages: DataFrame, path: str, *, page: str = "page_id", url: str =
     records.write.option("lineSep", END).option("compression", compression).text(path)
 
 
-def _field(name: str) -> Column:
-    """The value of a header line, whatever its case; null where it is missing."""
-    return F.nullif(F.regexp_extract("head", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
+_FIELD = re.compile(rb"(?im)^(warc-type|warc-record-id|warc-refers-to|warc-payload-digest|content-length):[ \t]*([^\r\n]*)")
+_PAGE = re.compile(rb"<urn:page:(-?\d+)>")
+_NUMBER = re.compile(rb"\d{1,18}")
+_CANDIDATE = (
+    "file string, block long, nth long, start long, skipped int, size long, successor long, broken int, breaks long, "
+    "page long, type string, refers long, length long, head_bytes long, http_bytes long, payload_bytes long, payload_digest string, stated_digest string"
+)
+
+
+def _fields(head: bytes) -> dict[bytes, bytes]:
+    """The first line of each header that is read, by its name in lower case."""
+    found: dict[bytes, bytes] = {}
+    for name, value in _FIELD.findall(head):
+        found.setdefault(name.lower(), value)
+    return found
+
+
+def _number(value: bytes | None) -> int | None:
+    return int(value) if value and _NUMBER.fullmatch(value) else None
+
+
+def _page(value: bytes | None) -> int | None:
+    found = _PAGE.search(value or b"")
+    return int(found[1]) if found else None
+
+
+def _payload(block: bytes) -> tuple[int, int | None]:
+    """Where the payload begins after the HTTP header, and the length that the header states."""
+    end = block.find(END.encode())
+    http = block[: end if end >= 0 else len(block)]
+    return (end + 4 if end >= 0 else len(block)), _number(_fields(http).get(b"content-length"))
+
+
+def _record(type_: str | None, block: bytes, stated: bytes | None) -> tuple[int, int | None, str | None]:
+    """http_bytes, payload_bytes and payload_digest of a whole block; of a revisit, what it states."""
+    at, length = _payload(block)
+    if type_ == "revisit":
+        return at, length, (stated or b"").removeprefix(b"sha1:").decode("latin-1") or None
+    return at, len(block) - at, base64.b32encode(hashlib.sha1(block[at:]).digest()).decode()
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each piece between magic lines. start counts from the block's first byte; breaks counts those before it there."""
+    magic, end = MAGIC.encode(), END.encode()
+    key, nth, start, breaks = None, 0, 0, 0
+    for batch in batches:
+        rows = []
+        for file, block, value in zip(*(c.to_pylist() for c in batch.columns)):
+            if (file, block) != key:
+                key, nth, start, breaks = (file, block), 0, 0, 0
+            skipped = len(magic)
+            text = value
+            if block == 0 and nth == 0 and value.startswith(magic):
+                skipped, text = 0, value[len(magic) :]
+            cut = text.find(end)
+            fields = _fields(text[:cut] if cut >= 0 else b"")
+            length = _number(fields.get(b"content-length"))
+            type_ = fields.get(b"warc-type", b"").decode("latin-1").lower() or None
+            successor = http = size = digest = None
+            if length is not None:
+                successor = start + len(value) - len(text) + cut + len(end) + length + len(end)
+                whole = text[cut + 4 : cut + 4 + length]
+                if len(whole) == length:
+                    http, size, digest = _record(type_, whole, fields.get(b"warc-payload-digest"))
+            broken = int(successor != start + len(value) + 1)
+            rows.append((
+                file, block, nth, start, skipped, len(value), successor, broken, breaks,
+                _page(fields.get(b"warc-record-id")), type_, _page(fields.get(b"warc-refers-to")), length, cut + 4, http, size, digest,
+                fields.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode("latin-1"),
+            ))
+            nth, start, breaks = nth + 1, start + len(value) + len(_SPLIT), breaks + broken
+        if rows:
+            names = [c.split(" ")[0] for c in _CANDIDATE.split(", ")]
+            kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+            yield pa.RecordBatch.from_arrays([pa.array(v, kinds[c.split(" ")[1]]) for v, c in zip(zip(*rows), _CANDIDATE.split(", "))], names=names)
+
+
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    text = spark.read.option("lineSep", _SPLIT).text(path)
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, nth, offset, next, successor, ...) for each magic line: header fields, and what its text holds up to the next one."""
-    text = spark.read.option("lineSep", _SPLIT).text(path)
-    raw = text.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), "value"
-    )
-    # the first piece of a file begins with the magic line itself
-    first = F.startswith("value", F.lit(MAGIC)) & (F.col("block") == 0)
-    piece = raw.withColumns({"bare": F.when(first, F.substr("value", F.lit(len(MAGIC) + 1))).otherwise(F.col("value")), "skipped": F.when(first, 0).otherwise(len(MAGIC))})
-    headed = piece.withColumns({"head": F.substring_index("bare", END, 1), "whole": F.contains("bare", F.lit(END))})
-    block = F.expr("substring(cast(bare as binary), octet_length(head) + 5)")
-    parts = headed.withColumns({"bytes": block, "http": F.substring_index(block.cast("string"), END, 1)})
-    payload = F.expr("substring(bytes, octet_length(http) + 5)")
-    number = lambda c: c.try_cast("long")
-    length = F.when(F.col("whole"), number(_field("Content-Length")))
-    held = parts.select(
-        "file", "block", "nth", "skipped",
-        F.octet_length("value").cast("long").alias("size"),
-        (F.octet_length("head").cast("long") + 4).alias("head_bytes"),
-        length.alias("length"),
-        _field("WARC-Type").alias("type"),
-        F.regexp_extract(F.coalesce(_field("WARC-Record-ID"), F.lit("")), r"<urn:page:(-?\d+)>", 1).alias("id"),
-        F.regexp_extract(F.coalesce(_field("WARC-Refers-To"), F.lit("")), r"<urn:page:(-?\d+)>", 1).alias("refers"),
-        F.regexp_replace(F.coalesce(_field("WARC-Payload-Digest"), F.lit("")), "^sha1:", "").alias("stated_digest"),
-        number(F.nullif(F.regexp_extract("http", r"(?im)^Content-Length:[ \t]*(\d+)", 1), F.lit(""))).alias("stated_bytes"),
-        # of a record that ends before the next magic line; the line ends after it are cut off
-        F.when(length.isNotNull() & (F.octet_length("bytes") >= length), F.expr("octet_length(http) + 4")).cast("long").alias("http_bytes"),
-        "bytes",
-    )
-    payload = F.expr("substring(bytes, cast(http_bytes as int) + 1, cast(length - http_bytes as int))")
-    return held.withColumns({"payload_digest": F.when(F.col("http_bytes").isNotNull(), base32_sha1(payload)), "payload": payload}).drop("bytes")
-
-
-def _placed(found: DataFrame) -> DataFrame:
-    """Adds offset, next and successor. A window holds one block of a file; blocks are joined by their sums."""
-    in_block = W.partitionBy("file", "block").orderBy("nth").rowsBetween(W.unboundedPreceding, -1)
-    step = F.col("size") + len(_SPLIT)
-    local = found.withColumn("within", F.coalesce(F.sum(step).over(in_block), F.lit(0)))
-    blocks = found.groupBy("file", "block").agg(F.sum(step).alias("total"))
-    base = blocks.select("file", "block", F.coalesce(F.sum("total").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    at = local.join(base, ["file", "block"]).withColumn("start", F.col("base") + F.col("within"))
-    # start is where the piece begins; its magic line begins before it, but for the first of a file
-    return at.withColumns(
-        {
-            "offset": F.col("start") - F.col("skipped"),
-            "next": F.col("start") + F.col("size") + 1,
-            "successor": F.col("start") + F.when(F.col("skipped") == 0, len(MAGIC)).otherwise(0) + F.col("head_bytes") + F.col("length") + len(END),
-        }
-    ).drop("within", "base", "start")
-
-
-def reachable(placed: DataFrame) -> DataFrame:
-    """The candidates that a chain of successors reaches from the start of their file; `island` and `entry` are added.
-
-    An island is a run of candidates that ends in a break, a candidate whose successor isn't the next one. Who
-    enters an island reaches all of it from there on.
+    """A row for each magic line of the archives: its offset, its successor's, its island and what its text holds up to the next one.
+
+    An island is a run of candidates that ends in a break, a candidate whose successor isn't the next one.
     """
-    in_block = W.partitionBy("file", "block").orderBy("nth").rowsBetween(W.unboundedPreceding, -1)
-    broken = ~F.coalesce(F.col("successor") == F.col("next"), F.lit(False))
-    local = placed.withColumn("broken", broken).withColumn("within", F.coalesce(F.sum(F.col("broken").cast("long")).over(in_block), F.lit(0)))
-    blocks = local.groupBy("file", "block").agg(F.sum(F.col("broken").cast("long")).alias("total"))
-    base = blocks.select("file", "block", F.coalesce(F.sum("total").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    nodes = stored(local.join(base, ["file", "block"]).withColumn("island", F.col("base") + F.col("within")).drop("within", "base"), "warc-candidates")
+    found = stored(_pieces(spark, path).mapInArrow(_parse, _CANDIDATE), "warc-candidates")
+    blocks = found.groupBy("file", "block").agg(F.max(F.col("start") + F.col("size") + len(_SPLIT)).alias("total"), F.sum("broken").alias("all_breaks"))
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    base = blocks.select("file", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("all_breaks").over(before), F.lit(0)).alias("islands"))
+    placed = found.join(sized(base), ["file", "block"])
+    # a piece begins after its magic line, but for the first of a file
+    return placed.withColumns(
+        {"offset": F.col("base") + F.col("start") - F.col("skipped"), "successor": F.col("base") + F.col("successor"), "island": F.col("islands") + F.col("breaks")}
+    ).drop("base", "islands", "start", "breaks")
+
+
+def reachable(nodes: DataFrame) -> DataFrame:
+    """The candidates that a chain of successors reaches from the start of their file. Who enters an island reaches all of it from there on."""
+    jumps = sized(nodes.where("broken = 1 and successor is not null").select("file", F.col("island").alias("at"), F.col("successor").alias("target")))
     # a break's successor lies in some island, which ends in the next break of the chain
-    jumps = nodes.where("broken").select("file", F.col("island").alias("at"), F.col("successor").alias("target"))
-    goes = stored(
-        jumps.join(nodes.select("file", F.col("offset").alias("target"), F.col("island").alias("to")), ["file", "target"]).select("file", "at", "to", F.col("target").alias("entry")),
-        "warc-jumps",
-    )
+    targets = nodes.select("file", F.col("offset").alias("target"), F.col("island").alias("to"))
+    goes = stored(targets.join(jumps, ["file", "target"]).select("file", "at", "to", F.col("target").alias("entry")), "warc-jumps")
     starts = nodes.where(F.col("offset") == 0).select("file", "island", F.col("offset").alias("entry")).distinct()
-    reached = starts.select("file", "island")
-    jump = goes.select("file", F.col("at").alias("island"), "to")
-    left = goes.limit(1).count()
-    while left:
-        ahead = reached.join(jump, ["file", "island"]).select("file", F.col("to").alias("island"))
-        grown = stored(reached.union(ahead).distinct(), "warc-reached")
-        left = grown.count() - reached.count()
-        twice = jump.join(jump.select("file", F.col("island").alias("to"), F.col("to").alias("then")), ["file", "to"]).select("file", "island", F.col("then").alias("to"))
-        reached, jump = grown, stored(twice, "warc-jumps")
-    entered = goes.join(reached.withColumnRenamed("island", "at"), ["file", "at"], "left_semi").select("file", F.col("to").alias("island"), "entry")
-    entries = starts.union(entered).groupBy("file", "island").agg(F.min("entry").alias("entry"))
-    # by block, so that the candidates of a large file meet their entry in many tasks
-    by_block = nodes.select("file", "block", "island").distinct().join(entries, ["file", "island"])
-    return nodes.join(by_block, ["file", "block", "island"]).where(F.col("offset") >= F.col("entry"))
+    entries = starts
+    if goes.limit(1).count():
+        reached, jump, size, left = starts.select("file", "island"), goes.select("file", F.col("at").alias("island"), "to"), -1, True
+        while left:
+            ahead = reached.join(jump, ["file", "island"]).select("file", F.col("to").alias("island"))
+            reached = stored(reached.union(ahead).distinct(), "warc-reached")
+            left, size = reached.count() != size, reached.count()
+            twice = jump.join(jump.select("file", F.col("island").alias("to"), F.col("to").alias("then")), ["file", "to"])
+            jump = stored(twice.select("file", "island", F.col("then").alias("to")), "warc-jumps")
+        entered = goes.join(reached.withColumnRenamed("island", "at"), ["file", "at"], "left_semi").select("file", F.col("to").alias("island"), "entry")
+        entries = starts.union(entered)
+    # the chain moves forward, so an island is entered once; a broken file may say otherwise
+    entries = sized(entries.groupBy("file", "island").agg(F.min("entry").alias("entry")))
+    return nodes.join(entries, ["file", "island"]).where(F.col("offset") >= F.col("entry")).drop("entry")
+
+
+def broken_files(nodes: DataFrame) -> DataFrame:
+    """(file) of archives whose chain names a successor that isn't there, or states no length, before the file's last candidate."""
+    true = reachable(nodes)
+    last = nodes.groupBy("file").agg(F.max("offset").alias("last"))
+    ends = true.where("broken = 1").join(last, "file").where(F.col("offset") < F.col("last"))
+    found = nodes.select("file", F.col("offset").alias("successor"))
+    return ends.join(found, ["file", "successor"], "left_anti").select("file").distinct()
+
+
+_RECORD = ["page", "type", "refers as refers_to", "payload_bytes", "payload_digest", "stated_digest"]
 
 
 def read_warc(spark: SparkSession, path: str, *, payload: bool = False) -> DataFrame:
     """(page, type, refers_to, payload_bytes, payload_digest, stated_digest) of each true record, and the payload on request.
 
-    Digest and size of a response are those of the bytes read; of a revisit, those that it states.
+    Digest and size of a response are those of the bytes read; of a revisit, those that it states; its payload is null.
     """
-    found = candidates(spark, path)
-    true = reachable(_placed(found.drop("payload")))
-    spread = F.col("http_bytes").isNull() & F.col("length").isNotNull()
-    true = true.withColumn("spread", spread)
-    keys = ["file", "block", "nth"]
-    fields = [*keys, "offset", "id", "type", "refers", "length", "http_bytes", "payload_digest", "stated_digest", "stated_bytes"]
-    whole = true.where(~F.col("spread"))
-    pieces = _spread_records(spark, path, true.where("spread"), fields)
-    rows = whole.select(*fields, F.lit(None).cast("binary").alias("payload")).unionByName(pieces)
+    true = stored(reachable(candidates(spark, path)), "warc-records")
+    rows = true.where("http_bytes is not null").selectExpr(*_RECORD, "file", "offset", "block", "nth", "http_bytes", "head_bytes", "length")
+    spread = true.where("http_bytes is null and length is not null")
+    whole = rows.select(*[c.split(" ")[-1] for c in _RECORD])
     if payload:
-        direct = found.select(*keys, F.col("payload").alias("direct"))
-        rows = rows.join(direct, keys, "left").withColumn("payload", F.coalesce("payload", "direct")).drop("direct")
-    response = F.col("type") == "response"
-    out = rows.select(
-        F.expr("try_cast(nullif(id, '') as bigint)").alias("page"),
-        "type",
-        F.expr("try_cast(nullif(refers, '') as bigint)").alias("refers_to"),
-        F.when(response, F.col("length") - F.col("http_bytes")).otherwise(F.col("stated_bytes")).alias("payload_bytes"),
-        F.when(response, F.col("payload_digest")).otherwise(F.col("stated_digest")).alias("payload_digest"),
-        "stated_digest",
-        F.when(response, F.col("payload")).alias("payload"),
-    )
-    return out if payload else out.drop("payload")
-
-
-def _spread_records(spark: SparkSession, path: str, records: DataFrame, fields: list[str]) -> DataFrame:
+        bytes_of = F.expr(f"substring(value, cast(if(skipped = 0, {len(MAGIC)}, 0) + head_bytes + http_bytes + 1 as int), cast(length - http_bytes as int))")
+        texts = _pieces(spark, path).mapInArrow(_numbered, "file string, block long, nth long, skipped int, value binary")
+        whole = rows.join(texts, ["file", "block", "nth"]).select(*whole.columns, F.when(F.col("type") != "revisit", bytes_of).alias("payload"))
+    if not spread.limit(1).count():
+        return whole
+    joined = _joined(spark, path, spread)
+    return whole.unionByName(joined if payload else joined.drop("payload"))
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces with their number in the block, as in _parse."""
+    key, nth, magic = None, 0, MAGIC.encode()
+    for batch in batches:
+        numbers, skips = [], []
+        for file, block, value in zip(*(c.to_pylist() for c in batch.columns)):
+            if (file, block) != key:
+                key, nth = (file, block), 0
+            numbers.append(nth)
+            skips.append(0 if block == 0 and nth == 0 and value.startswith(magic) else len(magic))
+            nth += 1
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(numbers, pa.int64()), pa.array(skips, pa.int32()), batch.column(2)], names=["file", "block", "nth", "skipped", "value"])
+
+
+def _joined(spark: SparkSession, path: str, records: DataFrame) -> DataFrame:
     """Records whose payload holds magic lines, put together from the pieces up to their successor."""
-    text = spark.read.option("lineSep", _SPLIT).text(path)
-    raw = text.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), F.col("value").cast("binary").alias("value")
-    )
-    raw = raw.withColumn("size", F.octet_length("value").cast("long"))
-    # offsets of all pieces without their text, then the text of those within a record only
-    at = _placed(raw.select("file", "block", "nth", "size", F.when((F.col("block") == 0) & (F.substring("value", 1, len(MAGIC)) == F.lit(MAGIC.encode())), 0).otherwise(len(MAGIC)).alias("skipped"), F.lit(0).alias("head_bytes"), F.lit(0).alias("length")))
-    owners = records.select("file", F.col("offset").alias("owner"), F.col("successor").alias("stop"))
-    marks = at.select("file", "block", "nth", "offset").join(owners.select("file").distinct(), "file", "left_semi")
-    owned = marks.join(owners.withColumn("offset", F.col("owner")), ["file", "offset"], "left")
+    marks = candidates(spark, path).select("file", "block", "nth", "offset")
+    owners = records.select("file", "offset", F.col("offset").alias("owner"), F.col("successor").alias("stop"))
     run = W.partitionBy("file").orderBy("offset").rowsBetween(W.unboundedPreceding, W.currentRow)
+    owned = marks.join(records.select("file").distinct(), "file", "left_semi").join(owners, ["file", "offset"], "left")
     owned = owned.select("file", "block", "nth", "offset", F.last("owner", True).over(run).alias("owner"), F.last("stop", True).over(run).alias("stop")).where(F.col("offset") < F.col("stop"))
-    texts = raw.select("file", "block", "nth", "value").join(owned, ["file", "block", "nth"])
-    joined = texts.groupBy("file", F.col("owner").alias("offset")).agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("pieces"))
-    magic = F.lit(_SPLIT.encode())
-    full = F.aggregate(F.transform("pieces", lambda p: p["value"]), F.lit(None).cast("binary"), lambda a, v: F.when(a.isNull(), v).otherwise(F.concat(a, magic, v)))
-    merged = records.drop("payload_digest", "http_bytes").join(joined.select("file", "offset", full.alias("full")), ["file", "offset"])
-    merged = merged.withColumn("body", F.expr(f"substring(full, cast(if(skipped = 0, {len(MAGIC)}, 0) + head_bytes + 1 as int), cast(length as int))"))
-    merged = merged.withColumn("http_bytes", F.octet_length(F.substring_index(F.col("body").cast("string"), END, 1)).cast("long") + 4)
-    merged = merged.withColumn("payload", F.expr("substring(body, cast(http_bytes as int) + 1)"))
-    return merged.withColumn("payload_digest", base32_sha1(F.col("payload"))).select(*fields, "payload")
+    texts = _pieces(spark, path).mapInArrow(_numbered, "file string, block long, nth long, skipped int, value binary").drop("skipped").join(sized(owned), ["file", "block", "nth"])
+    pieces = texts.groupBy("file", F.col("owner").alias("offset")).agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("pieces"))
+    rows = records.selectExpr(*_RECORD, "file", "offset", "skipped", "head_bytes", "length").join(pieces, ["file", "offset"])
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                text = _SPLIT.encode().join(p["value"] for p in r["pieces"])
+                at = (0 if r["skipped"] else len(MAGIC)) + r["head_bytes"]
+                block = text[at : at + r["length"]]
+                if len(block) < r["length"]:
+                    continue  # the file ends within the record
+                http, size, digest = _record(r["type"], block, r["stated_digest"].encode())
+                out.append((r["page"], r["type"], r["refers_to"], size, digest, r["stated_digest"], None if r["type"] == "revisit" else block[http:]))
+            if out:
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), kinds)], names=["page", "type", "refers_to", "payload_bytes", "payload_digest", "stated_digest", "payload"])
+
+    return rows.mapInArrow(put, "page long, type string, refers_to long, payload_bytes long, payload_digest string, stated_digest string, payload binary")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

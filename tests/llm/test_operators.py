@@ -1,0 +1,386 @@
+"""Operators against plain versions, on small inputs with nulls, empty texts, ties, repeated rows and other columns."""
+
+import base64
+import hashlib
+import itertools
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+import public_tokenizers
+from trailspark.llm import bpe, decontaminate, jaccard, langid, secrets, suffixdedup, tokencount, topk, toxicity, warc
+from trailspark.llm.filters import components
+
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+#: Names that the operators use themselves.
+EXTRA = "row long, body string, score double, key string, hash string"
+
+
+def frame(spark, rows, schema):
+    """A table with columns of clashing names."""
+    return spark.createDataFrame([(*r, 1, "x", 0.5, "k", "h") for r in rows], f"{schema}, {EXTRA}")
+
+
+@pytest.fixture(scope="module")
+def coder():
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(bpe.load_ranks(RANKS))}, special_tokens={})
+
+
+def brute_components(docs, n, num, den):
+    def shingles(text):
+        words = (text or "").encode().lower().split()
+        if not words:
+            return frozenset()
+        width = min(n, len(words))
+        return frozenset(b" ".join(words[i : i + width]) for i in range(len(words) - width + 1))
+
+    sets = [shingles(t) for _, t in docs]
+    near = defaultdict(set)
+    for i, j in itertools.combinations(range(len(docs)), 2):
+        if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+            near[i].add(j)
+            near[j].add(i)
+    out = []
+    for i, (d, _) in enumerate(docs):
+        seen, todo = {i}, [i]
+        while todo:
+            for k in near[todo.pop()] - seen:
+                seen.add(k)
+                todo.append(k)
+        ids = [docs[k][0] for k in seen if docs[k][0] is not None]
+        out.append((d, len(sets[i]), min(ids) if ids else None))
+    return Counter(out)
+
+
+def near_copies(rng, count=90):
+    words = [f"w{i}" for i in range(400)]
+    bases = [[rng.choice(words) for _ in range(rng.choice([3, 30, 60, 120]))] for _ in range(6)]
+    docs = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "ONE"), (6, "one two"), (None, "one"), (7, "one")]
+    for i in range(count):
+        words_ = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 1, 1, 2, 4])):
+            words_[rng.randrange(len(words_))] = rng.choice(words)
+        docs.append((10 + i, " ".join(words_)))
+    return docs + [docs[-1]]
+
+
+@pytest.mark.parametrize("n,num", [(3, 90), (5, 80)])
+def test_jaccard_join(spark, n, num):
+    docs = near_copies(random.Random(n))
+    found = jaccard.join(frame(spark, docs, "doc_id long, text string"), n=n, num=num).collect()
+    assert Counter((r.doc, r.n_shingles, r.component) for r in found) == brute_components(docs, n, num, 100)
+
+
+def test_jaccard_keeps_one_of_each_group(spark):
+    docs = near_copies(random.Random(1), 40)
+    kept = jaccard.keep_one(frame(spark, docs, "doc_id long, text string"))
+    expected = {c for d, n, c in brute_components(docs, 5, 80, 100) if n}
+    rows = kept.collect()
+    assert sorted(r.doc_id for r in rows if (r.text or "").strip()) == sorted(expected) and kept.columns[:2] == ["doc_id", "text"]
+    assert {r.doc_id for r in rows if not (r.text or "").strip()} == {1, 2, 3}
+
+
+def test_meeting_bounds_and_links():
+    rng = random.Random(4)
+    make = lambda k: {bytes([k, i]): np.array(sorted(rng.sample(range(60), rng.randint(20, 50))), np.uint64) for i in range(40)}
+    a, b = make(0), make(1)
+    found = {c: n for c, _, n in jaccard.meet(a, b, 60, 100)}
+    expected = Counter()
+    for (x, s), (y, t) in itertools.product(a.items(), b.items()):
+        if 100 * len({*s.tolist()} & {*t.tolist()}) >= 60 * len({*s.tolist()} | {*t.tolist()}):
+            expected[x] += 1
+            expected[y] += 1
+    assert found == dict(expected) and expected
+
+
+def test_masks_rule_out_no_link():
+    rng = random.Random(9)
+    for _ in range(300):
+        num = rng.choice([80, 90])
+        size = rng.randint(10, 200)
+        x = set(rng.sample(range(1000), size))
+        y = set(list(x)[: rng.randint(int(size * 0.85), size)]) | set(rng.sample(range(1000, 1100), rng.randint(0, 8)))
+        if 100 * len(x & y) < num * len(x | y):
+            continue
+        first = lambda s: set(sorted(s)[: len(s) - (num * len(s) + 99) // 100 + 1])
+        mask = lambda s: 1 << int(jaccard._step(np.array([len(s)]), num / 100)[0]) % 64
+        for s, t in ((x, y), (y, x)):
+            shared = first(s) & first(t)
+            masks = np.array([mask(s) | mask(t)] * len(shared), np.uint64)
+            assert jaccard.may_have_partner(len(s), masks, num, 100)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101)]
+    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {**dict.fromkeys(range(41), 0), **dict.fromkeys((100, 101, 103), 100)}
+
+
+def test_language_id(spark):
+    rng = random.Random(2)
+    words = {"aa": ["baba", "dada", "gaga", "lala"], "bb": ["xoxy", "zozy", "qoqy", "kyko"]}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(rng.randint(3, 40))), k) for i in range(200) for k in [rng.choice("ab") * 2]]
+    rows += [(900, None, "aa"), (901, "12 !?", "bb"), (902, "", None), (903, "baba", None)]
+    docs = frame(spark, rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs.where("doc_id % 4 <> 2"))
+    found = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    assert all(found[i].lang_pred == k for i, _, k in rows[:200]) and len(found) == 204
+    assert [found[i].lang_pred for i in (900, 901, 902, 903)] == ["und", "und", "und", "aa"] and all(0 <= r.score <= 1 for r in found.values())
+    nothing = langid.fit(docs.where("false"))
+    assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
+
+
+def test_toxicity(spark):
+    rng = random.Random(3)
+    clean, bad = ["sun", "tree", "river", "stone", "cloud", "house"], ["vilest", "rotten"]
+    rows = [(i, " ".join(rng.choice(clean) for _ in range(30)) + (f" {rng.choice(bad)} end" if i % 3 == 0 else "")) for i in range(240)] + [(900, None), (901, "")]
+    docs = frame(spark, rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 240)] + [(5, None), (None, 1), (7777, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels.where("doc_id % 5 <> 0"))
+    found = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert all((found[i] >= 0.5) == (i % 3 == 0) for i in range(240)) and found[900] == found[901] < 0.5
+    assert 0 < toxicity.score(docs, toxicity.fit(docs, labels.where("false"))).first().score < 1
+
+
+def brute_removal(rows, length):
+    seen, out = set(), Counter()
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        data = (t or "").encode()
+        gone = bytearray(len(data))
+        for i in range(len(data) - length + 1):
+            if data[i : i + length] in seen:
+                gone[i : i + length] = b"\1" * length
+            seen.add(data[i : i + length])
+        spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        out[d, len(data), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(data, gone) if not g)).hexdigest()] += 1
+    return out
+
+
+@pytest.mark.parametrize("least", [1000, 3])
+def test_suffix_dedup(spark, monkeypatch, least):
+    monkeypatch.setattr(suffixdedup, "HOT_LEAST", least)
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdeé\n ") for _ in range(2000))
+    rows = [(1000, None), (1001, ""), (1002, "a" * 99), (1003, "a" * 100), (1004, "a" * 350)]
+    for i in range(120):
+        a = rng.randint(0, 1500)
+        rows.append((i, rng.choice([base[a : a + rng.randint(90, 500)], "xyz" * rng.randint(0, 20) + base[a : a + 130] + str(rng.random()), "ab" * rng.randint(0, 200)])))
+    found = suffixdedup.dedup(frame(spark, rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == brute_removal(rows, 100)
+
+
+def test_suffix_dedup_of_repeated_ids(spark):
+    rng = random.Random(1)
+    text = "".join(rng.choice("abc") for _ in range(300))
+    found = suffixdedup.dedup(spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")).collect()
+    assert sorted((str(r.doc), r.n_removed) for r in found) == [("1", 0), ("1", 300), ("None", 300)]
+
+
+def test_loser_tree_merges_front_coded_runs():
+    rng = random.Random(7)
+    runs, everything = [], []
+    for k in range(13):
+        some = sorted(bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 40)))
+        everything += some
+        runs.append([(n, r, k) for n, r in zip(*suffixdedup.front_code(some))])
+    found = list(suffixdedup.merge(runs))
+    assert [s for _, s, _ in found] == sorted(everything)
+    for (_, a, _), (n, b, _) in zip(found, found[1:]):
+        assert n == suffixdedup._common(a, b, 0)
+
+
+@pytest.mark.parametrize("compression,block", [("none", "2000"), ("gzip", "128m")])
+def test_warc_round_trip(spark, tmp_path, compression, block):
+    rng, magic = random.Random(5), warc.MAGIC
+    rows = [(None, "http://h/a b\r\nc", "same")]
+    for i in range(150):
+        payload = rng.choice([
+            "x" * rng.randint(0, 40) + f"\r\n\r\n{magic}WARC-Type: response\r\nContent-Length: {rng.randint(0, 300)}\r\n\r\nzz\n" + magic * rng.randint(0, 3),
+            f"{magic}Content-Length: 5\r\n\r\nabcde\r\n\r\n{magic}", None, "", "\r\n" * rng.randint(0, 4) + "é", "same", "y" * rng.randint(3000, 6000),
+        ])
+        rows.append((i, "http://h/WARC/1.0" if i % 3 else None, payload))
+    rows.append(rows[-1])
+    path = str(tmp_path / "w")
+    warc.write_warc(frame(spark, rows, "page_id long, url string, html string").repartition(3), path, compression=compression)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = warc.read_warc(spark, path, payload=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    first = {}
+    for i, _, h in rows:
+        if i is not None:
+            first[h or ""] = min(first.get(h or "", i), i)
+    expected = Counter()
+    for i, _, h in rows:
+        h, f = h or "", first.get(h or "")
+        again = f is not None and (i is None or i > f)
+        data = h.encode()
+        expected[i, "revisit" if again else "response", f if again else None, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), None if again else data] += 1
+    assert Counter((r.page, r.type, r.refers_to, r.payload_bytes, r.payload_digest, None if r.payload is None else bytes(r.payload)) for r in found) == expected
+
+
+def test_every_token_encodes_to_itself():
+    tokens = bpe.load_ranks(RANKS)
+    ids, starts = bpe.replay(tokens, bpe.Vocabulary(tokens))
+    assert (np.diff(starts) == 1).all() and (ids == np.arange(len(tokens))).all()
+
+
+def odd_texts():
+    rng = random.Random(3)
+    pieces = ["a", " ", "  ", "\n", "\t", "é", "'s", "'re", "1", "½", "　", "\x1c", "\x1f", "\x85", "漢", "🙂", "!", "_", "A", "́", "​", "﻿", "\r\n", "the", " of"]
+    return ["", "a" * 3000, "ab" * 2000, " " * 300] + ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+
+
+def test_bpe(spark, coder):
+    import regex
+
+    texts = odd_texts()
+    ids = bpe.encode_block(texts, bpe.Vocabulary(bpe.load_ranks(RANKS)), regex.compile(PATTERN))
+    assert [x.tolist() for x in ids] == coder.encode_ordinary_batch(texts)
+    rows = [(i, t) for i, t in enumerate(texts[:100])] + [(1, texts[1]), (None, None)]
+    found = bpe.encode(frame(spark, rows, "doc_id long, text string"), RANKS, PATTERN, finish=bpe.digests, schema=bpe.DIGEST_SCHEMA).collect()
+    assert len(found) == len(rows)
+    assert {(r.doc_id, r.n_tokens, r.decoded_sha256) for r in found} == {(i, len(coder.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows}
+
+
+@pytest.mark.parametrize("block", ["128m", "700"])
+def test_token_counts(spark, tmp_path, coder, block):
+    rows = [(i, t) for i, t in enumerate(odd_texts()[:300])] + [(None, None)]
+    docs = frame(spark, rows, "doc_id long, text string").repartition(3).cache()
+    path, end = str(tmp_path / "t"), coder.n_vocab
+    order = tokencount.write_tokens(docs, path, RANKS, PATTERN)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = tokencount.count_tokens(spark, path, end).selectExpr("cast(regexp_extract(file, 'part-([0-9]+)', 1) as long) as part", "nth", "n_tokens")
+        counts = {r.doc: r.n_tokens for r in order.join(found, ["part", "nth"]).collect()}
+        total = found.count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert total == len(rows) and counts == {i: len(coder.encode_ordinary(t or "")) for i, t in rows}
+
+
+def test_token_counts_of_a_file_that_ends_within_a_document(spark, tmp_path):
+    ids = [7, 50256, 0x50, 0xC4, 0x50C4, 50256, 50256, 3, 4]
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.bin").write_bytes(np.array(ids, "<u2").tobytes())
+    found = sorted((r.nth, r.start, r.n_tokens) for r in tokencount.count_tokens(spark, str(tmp_path / "f"), 50256).collect())
+    assert found == [(0, 0, 1), (1, 2, 3), (2, 6, 0), (3, 7, 2)]
+
+
+def plain_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_decontamination(spark, most):
+    rng = random.Random(8)
+    words = ["Alpha", "beta", "Éa", "éa", "9x", "ß"]
+    items = [(1, " ".join(rng.choice(words) for _ in range(14))), (2, "rare pair"), (3, None), (4, "  ..."), (None, "beta beta"), (10, "rare pair"), (5, "éa")]
+    docs = [(1, None), (2, ""), (3, "rare, PAIR!"), (3, "other text"), (None, "rare pair")]
+    docs += [(10 + i, " - ".join(rng.choice(words[:3]) for _ in range(rng.randint(0, 12))) + " " + items[0][1] * (i % 2)) for i in range(30)]
+    docs.append(docs[-1])
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.scan(frame(spark, docs, "doc_id long, text string"), benchmark, max_broadcast=most).collect()
+    grams = defaultdict(set)
+    for i, t in items:
+        w = plain_words(t)
+        n = min(10, len(w))
+        if i is not None and n:
+            for k in range(len(w) - n + 1):
+                grams[tuple(w[k : k + n])].add(i)
+    expected = Counter()
+    for d, t in docs:
+        w, hit, ids = plain_words(t), set(), set()
+        for k in range(len(w)):
+            for n in range(1, 11):
+                if tuple(w[k : k + n]) in grams and len(w[k : k + n]) == n:
+                    hit |= set(range(k, k + n))
+                    ids |= grams[tuple(w[k : k + n])]
+        expected[d, len(w), tuple(sorted(hit)), tuple(sorted(ids))] += 1
+    assert Counter((r.doc, r.n_words, tuple(r.hit_words), tuple(sorted(r["items"]))) for r in found) == expected
+
+
+def test_decontamination_removes_documents_or_words(spark):
+    docs = frame(spark, [(1, "keep A, rare-pair. end"), (2, "keep"), (3, None)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, "Rare pair")], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.drop_documents(docs, benchmark).collect()) == [2, 3]
+    cut = decontaminate.cut_spans(docs, benchmark)
+    assert {r.doc_id: r.text for r in cut.collect()} == {1: "keep A, -. end", 2: "keep", 3: None} and cut.columns == docs.columns
+
+
+def brute_top(rows, k):
+    ok = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = set()
+    for q, a in ok:
+        if q % 20 == 0:
+            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q)[:k]
+            out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)}
+    return out
+
+
+@pytest.mark.parametrize("shard,common", [(8192, 512), (70, 5)])
+def test_top_k(spark, tmp_path, monkeypatch, shard, common):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(400)] + [(1000 + i, [0.5] * 8) for i in range(150)]
+    rows += [(2000, None), (2020, [None] * 8), (2040, [float("nan")] * 8), (2060, [float("inf")] * 8), (None, [1.0] * 8)]
+    spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, id int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    top = topk.top_k
+    monkeypatch.setattr(topk, "top_k", lambda a, b, k: top(a, b, k, shard_rows=shard, common=common, block=10))
+    found = topk.op7_topk(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in found} == brute_top(rows, 20) and len(found) == len({tuple(r) for r in found})
+
+
+def brute_spans(text):
+    spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 12]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    return sorted(spans + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16])
+
+
+def test_secrets(spark):
+    rng = random.Random(12)
+    pieces = ["token: ", "Secret=", 'api_key = "', "password=short ", "abcdefghijklmnop", "AKIA", "ABCDEFGH1234567890", "0123456789abcdef", " ", "é🙂", "\n", "deadbeef", "token=secret: ", "word and other words", "Xk39fLmPq0Zr8TtWb21v7Qz"]
+    docs = [(i, "".join(rng.choice(pieces) for _ in range(rng.randint(0, 25)))) for i in range(200)] + [(500, None), (501, ""), (None, "0" * 40)]
+    docs += [docs[3], (502, "x" * 20000 + " internationalization of everything")]
+    table = frame(spark, docs, "doc_id long, text string")
+    found = secrets.scan(table).collect()
+    base = lambda r: tuple((s["start"], s["kind"], s["end"]) for s in r.spans if s["kind"] < 3)
+    assert Counter((r.doc, base(r)) for r in found) == Counter((d, tuple(brute_spans(t or ""))) for d, t in docs)
+    for r in found:
+        added = [s for s in r.spans if s["kind"] == 3]
+        assert all(s["end"] <= b[0] or s["start"] >= b[2] for s in added for b in base(r))
+    clean = {r.doc_id: r.text for r in secrets.redact(table).collect()}
+    assert clean[500] is None and clean[None] == "<secret>" and not any(brute_spans(t or "") for d, t in clean.items() if d != 502 and t and "<secret>" in t and "token" not in t.lower() and "secret=" not in t.lower())
+
+
+def test_markov_models_tell_random_from_ordinary(spark):
+    ordinary = ["internationalization", "user_account_manager", "getUserByIdentifier", "concatenation", "responsibilities"]
+    docs = spark.createDataFrame([(i, " ".join(ordinary + ["account", "identifier", "manager", "station", "ability"])) for i in range(20)], "doc_id long, text string")
+    ratios = secrets.train(docs)
+    from pyspark.sql import functions as F
+
+    score = lambda w: docs.sparkSession.range(1).select(secrets.mean_ratio(F.lit(w), ratios)).first()[0]
+    assert all(score(w) < 0 for w in ordinary) and all(score(w) > secrets.THRESHOLD for w in ("Xk39fLmPq0Zr8TtWb21v", "Zq7+Lw0/XbT4kVn9sQ2m"))
+
+
+def test_empty_tables(spark, tmp_path):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert jaccard.join(none).count() == 0 and suffixdedup.dedup(none).count() == 0 and secrets.scan(none).count() == 0
+    assert decontaminate.scan(none, bench).count() == 0 and langid.identify(none, langid.fit(none)).count() == 0
+    assert bpe.encode(none, RANKS, PATTERN).count() == 0
+    warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
+    assert warc.read_warc(spark, str(tmp_path / "w")).count() == 0
+    order = tokencount.write_tokens(none, str(tmp_path / "t"), RANKS, PATTERN)
+    assert order.count() == 0 and tokencount.count_tokens(spark, str(tmp_path / "t"), 50256).count() == 0

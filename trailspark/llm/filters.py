@@ -38,35 +38,110 @@ def holds(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
 
-def count_levels(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = 22) -> np.ndarray:
-    """2**bits levels: the number of bits of the count of hashes h with the same h & (2**bits - 1), over all rows of docs."""
+def cell_counts(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, finish: Callable[[np.ndarray], bytes]) -> dict[int, bytes]:
+    """finish(counts) for each of the parts of a table of 2**bits cells, which counts the hashes h with the same h & (2**bits - 1).
+
+    Tasks send sorted cells as differences, a byte or two for each hash; two rounds of sums, so that no group holds
+    a row of every task.
+    """
     each = (1 << bits) // _PARTS
 
+    def packed(cells: np.ndarray, counts: np.ndarray) -> bytes:
+        return zlib.compress(np.diff(cells, prepend=np.int64(0)).astype(np.uint32).tobytes() + counts.astype(np.uint32).tobytes(), 1)
+
+    def summed(rows) -> np.ndarray:
+        total = np.zeros(each, np.uint32)
+        for data in rows:
+            both = np.frombuffer(zlib.decompress(data), np.uint32)
+            np.add.at(total, np.cumsum(both[: len(both) // 2], dtype=np.int64), both[len(both) // 2 :])
+        return total
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.uint32)
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            cells, counts = np.unique(np.concatenate(held) & np.uint64((1 << bits) - 1), return_counts=True)
+            cuts = np.searchsorted(cells, np.arange(_PARTS + 1, dtype=np.uint64) * np.uint64(each))
+            parts = [i for i in range(_PARTS) if cuts[i] < cuts[i + 1]]
+            data = [packed(cells[cuts[i] : cuts[i + 1]].astype(np.int64) - i * each, counts[cuts[i] : cuts[i + 1]]) for i in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
+
         for batch in batches:
             for found in hashes(batch):
-                np.add.at(total, (found & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
-        parts = [zlib.compress(total[i * each : (i + 1) * each].tobytes(), 1) for i in range(_PARTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "data"])
+                held.append(found)
+                size += len(found)
+            if size > 1 << 21:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(each, np.uint64)
-        for data in group["data"]:
-            total += np.frombuffer(zlib.decompress(data), np.uint32)
-        total = np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        return pd.DataFrame({"part": [group["part"].iloc[0]], "data": [zlib.compress(total.tobytes(), 1)]})
-
-    # twice, so that no group holds a row of every task
-    counted = docs.mapInArrow(count, "part int, data binary").withColumn("turn", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(_PARTS)))
-    some = counted.groupBy("part", "turn").applyInPandas(add, "part int, data binary")
+        total = summed(group["data"])
+        cells = np.flatnonzero(total)
+        return pd.DataFrame({"part": [group["part"].iloc[0]], "data": [packed(cells, total[cells])]})
+
+    def end(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [group["part"].iloc[0]], "data": [finish(summed(group["data"]))]})
+
+    schema = "part int, data binary"
+    counted = docs.mapInArrow(count, schema).withColumn("turn", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(_PARTS)))
+    sums = counted.groupBy("part", "turn").applyInPandas(add, schema).groupBy("part").applyInPandas(end, schema)
+    return {r["part"]: bytes(r["data"]) for r in sums.collect()}
+
+
+def count_levels(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = 22) -> np.ndarray:
+    """2**bits levels: the number of bits of the count of each cell."""
+    each = (1 << bits) // _PARTS
     out = np.zeros(1 << bits, np.uint8)
-    for row in some.groupBy("part").applyInPandas(add, "part int, data binary").collect():  # 2**bits counts at most
-        total = np.frombuffer(zlib.decompress(row["data"]), np.uint32)
-        out[row["part"] * each : (row["part"] + 1) * each] = np.ceil(np.log2(total.astype(np.float64) + 1)).astype(np.uint8)
+    found = cell_counts(docs, hashes, bits, lambda total: zlib.compress(np.ceil(np.log2(total.astype(np.float64) + 1)).astype(np.uint8).tobytes(), 1))
+    for part, data in found.items():
+        out[part * each : (part + 1) * each] = np.frombuffer(zlib.decompress(data), np.uint8)
     return out
 
 
+def _both_cells(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A cell in each half of a table of 2**bits cells."""
+    half = np.uint64((1 << (bits - 1)) - 1)
+    return hashes & half, ((hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(65 - bits)) | (half + np.uint64(1))
+
+
+def seen(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may have been hit several times, by both halves of the table of several()."""
+    one, other = _both_cells(hashes, (len(table) * 8).bit_length() - 1)
+    return holds(table, one) & holds(table, other)
+
+
+def several(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = 29, least: int = 1000, share: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
+    """A table for seen(): in either half, the cells that were hit more than once, as packed bits.
+
+    And the cells of the first half hit more than `least` times and a `share`-th of all, which are `share` at most.
+    """
+    each = (1 << bits) // _PARTS
+
+    def finish(total: np.ndarray) -> bytes:
+        often = np.flatnonzero(total > least)
+        often = often[np.argsort(-total[often].astype(np.int64), kind="stable")[:share]]
+        head = np.array([int(total.sum(dtype=np.int64)), len(often), *often, *total[often]], np.int64)
+        return zlib.compress(head.tobytes() + np.packbits(total > 1).tobytes(), 1)
+
+    bitmap, total, most = np.zeros((1 << bits) // 8, np.uint8), 0, []
+    def twofold(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for found in hashes(batch):
+            yield from _both_cells(found, bits)
+
+    for part, data in cell_counts(docs, twofold, bits, finish).items():
+        data = zlib.decompress(data)
+        size, count = np.frombuffer(data, np.int64, 2).tolist()
+        found = np.frombuffer(data, np.int64, 2 * count, 16)
+        if part < _PARTS // 2:
+            total += size
+            most.append((found[:count] + part * each, found[count:]))
+        bitmap[part * (each // 8) : (part + 1) * (each // 8)] = np.frombuffer(data, np.uint8, offset=16 * (count + 1))
+    hot = [cells[counts > total // share] for cells, counts in most]
+    return bitmap, np.sort(np.concatenate(hot)).astype(np.uint64) if hot else np.zeros(0, np.uint64)
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, component) of every node of the edges (a, b): the least node that it is connected to.
 

@@ -5,9 +5,13 @@ link when the Jaccard similarity of their sets reaches a threshold.
 
 1. Rare shingles first: a table of fixed size counts all shingles of all documents; it orders those of a set.
    Similar sets share one of the first few in this order, whatever the order is (prefix filtering).
-2. Shingles that only one class has among its first few are dropped; classes without others have no link.
-3. The remaining classes are partitioned into groups of similar sets, by their least shingle, of bounded size.
-   Groups that share a first shingle meet, and each group meets itself.
+2. Shingles that only one class has among its first few are dropped. For each of the others a mask tells the
+   sizes, in steps of less than a per cent, of the classes that have it there. With a set of some size a class has
+   to share a least number of first shingles; classes whose masks rule that out for every size have no link. What
+   is left makes new masks, for as long as many classes go.
+3. The remaining classes are partitioned into groups of similar sets, by their least shingle and their size, of
+   bounded size. Groups meet if they share as many first shingles as any two of their sizes would need, and each
+   group meets itself. Only sets of groups that meet are fetched.
 4. A group's sets are stored with it. When two groups meet, the union of the one's shingles bounds the overlap
    that a set of the other can have with any member; only sets that may reach the threshold are opened, and their
    exact overlaps come from one matrix product. A meeting gives the numbers of links and a spanning forest of
@@ -38,6 +42,10 @@ GROUP_SETS, GROUP_SHINGLES = 512, 1 << 18
 #: Cells of the table that tells how often a group's key occurs.
 _CELLS = 1 << 20
 _COLUMNS = 4096
+#: Natural logarithm of the range of sizes in a group.
+_BAND = 0.05
+#: Steps, of equal ratio, between the least and the greatest size that can link to the same size; a mask has 64.
+_STEPS = 58
 _MIX, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -105,8 +113,8 @@ def _profile(sent, n: int, num: int, den: int):
     return run
 
 
-def _kept_firsts(sent):
-    """For mapInArrow: (shingle, class, least, size, row_key) for the first shingles that several classes may have."""
+def _kept_firsts(sent, num: int, den: int):
+    """For mapInArrow: (shingle, class, least, size, row_key, mask) for the first shingles that several classes may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
@@ -116,13 +124,53 @@ def _kept_firsts(sent):
             rows = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             keep = holds(bits, flat)
             at = pa.array(rows[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(flat[keep].view(np.int64)), *[batch.column(c).take(at) for c in ("class", "least", "size", "row_key")]], names=["shingle", "class", "least", "size", "row_key"])
+            columns = [batch.column(c).take(at) for c in ("class", "least", "size", "row_key")]
+            masks = np.uint64(1) << (_step(columns[2].to_numpy(), num / den) % 64).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep].view(np.int64)), *columns, pa.array(masks.view(np.int64))], names=["shingle", "class", "least", "size", "row_key", "mask"])
+
+    return run
+
+
+def _ratio(t: float) -> float:
+    """The logarithm of a step of sizes for the threshold t."""
+    return 2 * np.log(1 / t) / _STEPS if t < 1 else 0.01
+
+
+def _step(sizes: np.ndarray, t: float) -> np.ndarray:
+    """The step in which each size lies."""
+    return np.floor(np.log(np.maximum(sizes, 1)) / _ratio(t)).astype(np.int64)
+
+
+def may_have_partner(size: int, masks: np.ndarray, num: int, den: int) -> bool:
+    """Whether the masks of the first shingles that a class shares allow a link.
+
+    Of two sets x and y, let x be the one whose first shingles end earlier in the order. Shared shingles are among
+    the first of both, s in number, or among those of x after its first, of which there are ceil(t * |x|) - 1. So
+    s >= t * (|x| + |y|) / (1 + t) - t * max(|x|, |y|). Masks hold steps modulo 64; the sizes that can link to one
+    size span fewer.
+    """
+    t = num / den
+    lowest, highest = _step(np.array([t * size, size / t]), t).tolist()
+    for step in range(lowest - 1, highest + 2):
+        count = int(((masks >> np.uint64(step % 64)) & np.uint64(1)).sum())
+        ends = (0.9999 * np.exp(step * _ratio(t)), 1.0001 * np.exp((step + 1) * _ratio(t)))
+        if count >= max(1, min(t * (size + b) / (1 + t) - t * max(size, b) for b in ends) - 1e-6):
+            return True
+    return False
+
+
+def _with_partner(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, masks = batch.column("size").to_pylist(), batch.column("masks")
+            keep = [may_have_partner(sizes[i], unsigned(masks[i].values), num, den) for i in range(batch.num_rows)]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["class", "least", "size", "row_key"])
 
     return run
 
 
 def _chosen_sets(sent, n: int):
-    """For mapInArrow: (class, least, members) for the rows whose key may be asked for."""
+    """For mapInArrow: (class, least, size, members) for the rows whose key may be asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, bits = Shingles(n), sent.value
@@ -132,8 +180,8 @@ def _chosen_sets(sent, n: int):
             for start in range(0, len(found), 256):
                 part = found[start : start + 256]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in part], pa.binary()), pa.array([int(x[:1].view(np.int64)[0]) for x in part], pa.int64()), pa.array([x.tobytes() for x in part], pa.binary())],
-                    names=["class", "least", "members"],
+                    [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in part], pa.binary()), pa.array([int(x[:1].view(np.int64)[0]) for x in part], pa.int64()), pa.array([len(x) for x in part], pa.int64()), pa.array([x.tobytes() for x in part], pa.binary())],
+                    names=["class", "least", "size", "members"],
                 )
 
     return run
@@ -242,30 +290,49 @@ def join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, doc: str
             make.append(Shingles(n))
         return _sets(batch, make[0])
 
-    levels = count_levels(rows.select("body"), shingles)
+    levels = count_levels(rows.select("body"), shingles, bits=24)
     profile = stored(rows.mapInArrow(_profile(send(levels), n, num, den), f"doc {kind}, row_key long, size long, class binary, least long, firsts array<long>"), "jaccard-profile")
     # shingles that two classes have, as a filter of fixed size
     short = profile.where("firsts is not null").select(F.xxhash64("class").alias("short"), F.explode("firsts").alias("shingle"))
     shared = short.groupBy("shingle").agg(F.min("short").alias("a"), F.max("short").alias("b")).where("a < b").select("shingle")
     firsts = profile.where("firsts is not null").select("class", "least", "size", "row_key", "firsts")
-    kept = stored(firsts.mapInArrow(_kept_firsts(send(bit_filter(shared, "shingle"))), "shingle long, class binary, least long, size long, row_key long"), "jaccard-firsts")
+    kept = firsts.mapInArrow(_kept_firsts(send(bit_filter(shared, "shingle")), num, den), "shingle long, class binary, least long, size long, row_key long, mask long")
+    kept = stored(kept.dropDuplicates(["shingle", "class"]), "jaccard-firsts")
     # groups of classes with one least shingle, split where there are many; the table of splits has a fixed size
-    classes = stored(kept.groupBy("class").agg(F.first("least").alias("least"), F.first("size").alias("size"), F.min("row_key").alias("row_key")), "jaccard-classes")
+    left = None
+    while True:
+        masks = kept.groupBy("shingle").agg(F.bit_or("mask").alias("masks"), F.count("*").alias("n")).where("n > 1").drop("n")
+        shared = stored(kept.join(masks, "shingle"), "jaccard-shared")
+        marked = shared.groupBy("class").agg(F.first("least").alias("least"), F.first("size").alias("size"), F.min("row_key").alias("row_key"), F.collect_list("masks").alias("masks"))
+        classes = stored(marked.mapInArrow(_with_partner(num, den), "class binary, least long, size long, row_key long"), "jaccard-classes")
+        kept = shared.drop("masks").join(classes.select("class"), "class", "left_semi")
+        before, left = left, classes.count()
+        if before is not None and left > 0.9 * before:
+            break
     cell = F.col("least").bitwiseAND(_CELLS - 1).alias("cell")
     crowd = classes.groupBy(cell).agg(F.greatest(F.count("*") / GROUP_SETS, F.sum("size") / GROUP_SHINGLES).alias("fill")).where("fill > 1")
     splits = F.broadcast(stored(crowd.select("cell", F.ceil("fill").alias("parts")), "jaccard-splits"))  # _CELLS rows at most
 
     def grouped(df: DataFrame) -> DataFrame:
         part = F.pmod(F.xxhash64(F.lit("part"), "class"), F.coalesce("parts", F.lit(1)))
-        return df.withColumn("cell", cell).join(splits, "cell", "left").withColumn("group", F.xxhash64("least", part)).drop("cell", "parts")
+        band = F.floor(F.log(F.col("size").cast("double")) / _BAND)
+        return df.withColumn("cell", cell).join(splits, "cell", "left").withColumn("group", F.xxhash64("least", band, part)).drop("cell", "parts")
 
+    # of two sizes m <= M, t * (m - t * M) / (1 + t) first shingles at least are shared; see may_have_partner
+    t = num / den
+    spans = stored(grouped(classes).groupBy("group").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.count("*").alias("n")), "jaccard-spans")
     meets = grouped(kept).select("shingle", "group").distinct().groupBy("shingle").agg(F.array_sort(F.collect_set("group")).alias("groups")).where(F.size("groups") > 1)
     ahead = meets.select(F.posexplode("groups").alias("i", "a"), "groups").select("a", F.explode(F.slice("groups", F.col("i") + 2, F.size("groups"))).alias("b"))
-    alone = grouped(classes).groupBy("group").count().where("count > 1").select(F.col("group").alias("a"), F.lit(None).cast("long").alias("b"))
-    pairs = stored(ahead.distinct().union(alone), "jaccard-pairs")
-    # the sets of the classes that are left
-    wanted = bit_filter(classes, "row_key")
-    sets = rows.select("row_key", "body").mapInArrow(_chosen_sets(send(wanted), n), "class binary, least long, members binary")
+    side = lambda x: spans.select(F.col("group").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}"))
+    counted = ahead.groupBy("a", "b").agg(F.count("*").alias("shared")).join(side("a"), "a").join(side("b"), "b")
+    needed = F.lit(t) * (F.least("low_a", "low_b") - F.lit(t) * F.greatest("high_a", "high_b")) / (1 + t)
+    apart = (F.col("high_a") < F.lit(t - 1e-9) * F.col("low_b")) | (F.col("high_b") < F.lit(t - 1e-9) * F.col("low_a"))
+    alone = spans.where("n > 1").select(F.col("group").alias("a"), F.lit(None).cast("long").alias("b"))
+    pairs = stored(counted.where((F.col("shared") >= needed - 1e-6) & ~apart).select("a", "b").union(alone), "jaccard-pairs")
+    # the sets of the groups that meet
+    meeting = pairs.select(F.explode(F.array_compact(F.array("a", "b"))).alias("group")).distinct()
+    wanted = bit_filter(grouped(classes).join(meeting, "group", "left_semi"), "row_key")
+    sets = rows.select("row_key", "body").mapInArrow(_chosen_sets(send(wanted), n), "class binary, least long, size long, members binary")
     filled = grouped(sets).groupBy("group").agg(F.collect_list(F.struct("class", "members")).alias("sets"))
     groups = stored(filled, "jaccard-groups")
     ours = groups.select(F.col("group").alias("a"), F.col("sets").alias("ours"))

@@ -15,9 +15,10 @@ before in the same one. Suffixes are sorted at content-defined places only, whic
    bytes; only if both share as much, bytes are compared, from there on. Equal suffixes come out in a row, each
    with the known prefix. All but the first in document order repeat whole chunks.
 4. Where one anchor has several different suffixes, strings of one may still equal some of another. Only those
-   first chunks give their strings one by one, as 128-bit hashes, of which the least place stays.
+   first chunks give their strings one by one, as 128-bit hashes, of which the least place stays. Again a bit
+   table tells first which hashes occur once.
 
-An anchor that makes up more than a ten-thousandth of all is dealt over the ranges by its suffixes, and all its
+An anchor that makes up more than a ten-thousandth of all, by a table of cells, is dealt over the ranges by its suffixes, and all its
 first chunks give their strings, so that no range holds such an anchor whole. There are at most ten thousand.
 
 Defined cases: a null text is empty; of equal ids the row with the smaller text hash, and of equal rows any, is
@@ -38,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailspark.llm.common import stored, table
-from trailspark.llm.filters import bit_filter, holds, unsigned
+from trailspark.llm.filters import holds, several
 
 LENGTH, K = 100, 40
 #: An anchor is hot above both of these: a number, and this part of all anchors that repeat.
@@ -192,7 +193,7 @@ def _sorted_runs(sent, hot, ranges: int, length: int):
     """For mapInArrow over (key, body): front-coded runs, one for each range and about 32 MB of suffixes; rows without `rest` hold repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, held, size, often = sent.value, [], 0, hot.value
+        bits, held, size, (often, mask) = sent.value, [], 0, hot.value
 
         def flush() -> Iterator[pa.RecordBatch]:
             held.sort(key=lambda x: x[:2])
@@ -226,7 +227,7 @@ def _sorted_runs(sent, hot, ranges: int, length: int):
                     for r, s, w, h in zip(which, first[keep].tolist(), width[keep].tolist(), anchor[keep].tolist()):
                         # the anchor leads, so that suffixes of one anchor stand together
                         suffix = h.to_bytes(8, "big") + data[s : s + w + length - 1]
-                        held.append((zlib.crc32(suffix) % ranges if h in often else r, suffix, key, s, w))
+                        held.append((zlib.crc32(suffix) % ranges if h & mask in often else r, suffix, key, s, w))
                         size += len(suffix) + 100
                 if size > 32 << 20:
                     yield from flush()
@@ -242,6 +243,7 @@ def _merged(hot):
     def group(part: pa.Table) -> pa.Table:
         columns = [part.column(c).to_pylist() for c in ("shared", "rest", "doc_key", "start", "width")]
         runs = [[(n, r, (d, s, w)) for n, r, d, s, w in zip(*row)] for row in zip(*columns) if row[1] is not None]
+        often, mask = hot.value
         out: list[tuple] = [(d, s, w, 1) for row in zip(*columns) if row[1] is None for d, s, w in zip(*row[2:])]
         firsts: list[tuple] = []
         equal: list[tuple] = []
@@ -261,7 +263,7 @@ def _merged(hot):
 
         def close_anchor() -> None:
             close_equal()
-            if len(firsts) > 1 or (firsts and int.from_bytes(last[:8], "big") in hot.value):
+            if len(firsts) > 1 or (firsts and int.from_bytes(last[:8], "big") & mask in often):
                 out.extend((*tag, 2) for tag in firsts)
             firsts.clear()
 
@@ -279,21 +281,41 @@ def _merged(hot):
     return group
 
 
-def _windows(length: int):
-    """For mapInArrow over (key, body, starts, widths): the hash of each string of the chunks."""
+def _strings(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, places, hashes, other hashes) of the strings of each row's chunks (key, body, starts, widths)."""
+    for key, text, starts, widths in zip(*(batch.column(c).to_pylist() for c in ("key", "body", "starts", "widths"))):
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        for s, w in zip(starts, widths):
+            part = data[s : s + w + length - 1]
+            (one,), (other,) = _doubled(part, (length,)), _doubled(part[::-1], (length,))
+            yield key, np.arange(s, s + w), one, other[::-1]
+
+
+def _repeats(sent, length: int):
+    """For mapInArrow: (one, other, doc_key, start) of the strings that may occur again, and start with `again` set for those that do so in the task's block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, held, size = sent.value, [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys, places, one, other = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((places, keys, other, one))
+            keys, places, one, other = keys[order], places[order], one[order], other[order]
+            again = np.concatenate(([False], (one[1:] == one[:-1]) & (other[1:] == other[:-1])))
+            for lo in range(0, len(keys), 1 << 16):
+                hi = lo + (1 << 16)
+                yield pa.RecordBatch.from_arrays([pa.array(one[lo:hi].view(np.int64)), pa.array(other[lo:hi].view(np.int64)), pa.array(keys[lo:hi]), pa.array(places[lo:hi]), pa.array(again[lo:hi])], names=["one", "other", "doc_key", "start", "again"])
+
         for batch in batches:
-            for key, text, starts, widths in zip(*(batch.column(c).to_pylist() for c in ("key", "body", "starts", "widths"))):
-                data = text.encode("utf-8", "surrogatepass")
-                places, names = [], []
-                for s, w in zip(starts, widths):
-                    for p in range(s, s + w):
-                        places.append(p)
-                        names.append(hashlib.blake2b(data[p : p + length], digest_size=16).digest())
-                for lo in range(0, len(places), 1 << 16):
-                    some = places[lo : lo + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(names[lo : lo + (1 << 16)], pa.binary()), pa.array([key] * len(some), pa.int64()), pa.array(some, pa.int64())], names=["name", "doc_key", "start"])
+            for key, places, one, other in _strings(batch, length):
+                keep = holds(bits, one)
+                held.append((np.full(int(keep.sum()), key, np.int64), places[keep], one[keep], other[keep]))
+                size += len(held[-1][0])
+            if size > 1 << 20:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
 
     return run
 
@@ -303,44 +325,37 @@ def repeated(docs: DataFrame, *, length: int = LENGTH, ranges: int | None = None
     spark = docs.sparkSession
     ranges = ranges or max(32, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for text in batch.column("body").to_pylist():
-                for _, _, anchor in chunks((text or "").encode("utf-8", "surrogatepass"), length):
-                    held.append(anchor)
-                    size += len(anchor)
-            if size > 1 << 20:
-                yield from _packed(held)
-                held, size = [], 0
-        yield from _packed(held)
-
     send = spark.sparkContext.broadcast
-    counted = stored(docs.select("body").mapInArrow(anchors, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1"), "suffix-anchors")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    hot = send(frozenset(r["hash"] % (1 << 64) for r in counted.where(F.col("n") > max(HOT_LEAST, total // HOT_PARTS)).collect()))  # HOT_PARTS at most
-    runs = docs.select("key", "body").mapInArrow(_sorted_runs(send(bit_filter(counted, "hash")), hot, ranges, length), _SUFFIX)
-    found = stored(runs.groupBy("range").applyInArrow(_merged(hot), "doc_key long, start long, width int, what int"), "suffix-chunks")
+
+    def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for text in batch.column("body").to_pylist():
+            for _, _, anchor in chunks((text or "").encode("utf-8", "surrogatepass"), length):
+                yield anchor
+
+    bits, hot = several(docs.select("body"), anchors, least=HOT_LEAST, share=HOT_PARTS)
+    often = send((frozenset(hot.tolist()), len(bits) * 8 - 1))
+    runs = docs.select("key", "body").mapInArrow(_sorted_runs(send(bits), often, ranges, length), _SUFFIX)
+    found = stored(runs.groupBy("range").applyInArrow(_merged(often), "doc_key long, start long, width int, what int"), "suffix-chunks")
     whole = found.where("what = 1").select("doc_key", "start", "width")
     firsts = found.where("what = 2")
     few = firsts.count() <= FEW_CHUNKS
     firsts = firsts.groupBy(F.col("doc_key").alias("key")).agg(F.collect_list("start").alias("starts"), F.collect_list("width").alias("widths"))
-    strings = docs.join(F.broadcast(firsts) if few else firsts, "key").select("key", "body", "starts", "widths").mapInArrow(_windows(length), "name binary, doc_key long, start long")
-    place = F.struct("doc_key", "start").alias("place")
-    least = stored(strings, "suffix-strings")
-    first = least.groupBy("name").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = least.join(first, "name").where((F.col("first.doc_key") != F.col("doc_key")) | (F.col("first.start") != F.col("start")))
-    parts = whole.unionByName(later.select("doc_key", "start", F.lit(1).alias("width")))
+    asked = docs.join(F.broadcast(firsts) if few else firsts, "key").select("key", "body", "starts", "widths")
+
+    def strings(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, _, one, _ in _strings(batch, length):
+            yield one
+
+    twice, _ = several(asked, strings)
+    again = stored(asked.mapInArrow(_repeats(send(twice), length), "one long, other long, doc_key long, start long, again boolean"), "suffix-strings")
+    later = again.where("not again")
+    first = later.groupBy("one", "other").agg(F.min(F.struct("doc_key", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = later.join(first, ["one", "other"]).where((F.col("first.doc_key") != F.col("doc_key")) | (F.col("first.start") != F.col("start")))
+    single = later.select("doc_key", "start").union(again.where("again").select("doc_key", "start")).withColumn("width", F.lit(1))
+    parts = whole.unionByName(single)
     return parts.groupBy(F.col("doc_key").alias("key")).agg(F.collect_list("start").alias("starts"), F.collect_list("width").alias("widths"))
 
 
-def _packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Hashes once each, with their numbers."""
-    if held:
-        found, counts = np.unique(np.concatenate(held), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], names=["hash", "n"])
-
-
 def _cut(length: int):
     """For mapInArrow: the sizes and the digest of what is left of each text, and what is left."""
 

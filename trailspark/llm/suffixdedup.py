@@ -39,13 +39,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailspark.llm.common import stored, table
-from trailspark.llm.filters import holds, several
+from trailspark.llm.filters import seen, several
 
 LENGTH, K = 100, 40
 #: An anchor is hot above both of these: a number, and this part of all anchors that repeat.
 HOT_LEAST, HOT_PARTS = 1000, 10_000
-#: Chunks, of 20 bytes each, that may be broadcast to the documents whose strings are hashed.
-FEW_CHUNKS = 1_000_000
+#: Chunks, of 12 bytes each, that may be broadcast to the documents whose strings are hashed.
+FEW_CHUNKS = 4_000_000
 #: Bytes of a document that are looked at together; consecutive pieces overlap by `length`.
 PIECE = 1 << 19
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -222,7 +222,7 @@ def _sorted_runs(sent, hot, ranges: int, length: int):
             for key, text in zip(batch.column("key").to_pylist(), batch.column("body").to_pylist()):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 for first, width, anchor in chunks(data, length):
-                    keep = np.flatnonzero(holds(bits, anchor))
+                    keep = np.flatnonzero(seen(bits, anchor))
                     which = ((anchor[keep] >> np.uint64(32)) % np.uint64(ranges)).tolist()
                     for r, s, w, h in zip(which, first[keep].tolist(), width[keep].tolist(), anchor[keep].tolist()):
                         # the anchor leads, so that suffixes of one anchor stand together
@@ -281,14 +281,14 @@ def _merged(hot):
     return group
 
 
-def _strings(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(key, places, hashes, other hashes) of the strings of each row's chunks (key, body, starts, widths)."""
+def _strings(batch: pa.RecordBatch, length: int, both: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(key, places, hashes, other hashes) of the strings of each row's chunks (key, body, starts, widths); neighbouring chunks go together."""
     for key, text, starts, widths in zip(*(batch.column(c).to_pylist() for c in ("key", "body", "starts", "widths"))):
         data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        for s, w in zip(starts, widths):
-            part = data[s : s + w + length - 1]
-            (one,), (other,) = _doubled(part, (length,)), _doubled(part[::-1], (length,))
-            yield key, np.arange(s, s + w), one, other[::-1]
+        for s, e in _joined(starts, widths, 1):
+            part = data[s : e + length - 1]
+            (one,) = _doubled(part, (length,))
+            yield key, np.arange(s, e), one, _doubled(part[::-1], (length,))[0][::-1] if both else None
 
 
 def _repeats(sent, length: int):
@@ -308,7 +308,7 @@ def _repeats(sent, length: int):
 
         for batch in batches:
             for key, places, one, other in _strings(batch, length):
-                keep = holds(bits, one)
+                keep = seen(bits, one)
                 held.append((np.full(int(keep.sum()), key, np.int64), places[keep], one[keep], other[keep]))
                 size += len(held[-1][0])
             if size > 1 << 20:
@@ -333,7 +333,7 @@ def repeated(docs: DataFrame, *, length: int = LENGTH, ranges: int | None = None
                 yield anchor
 
     bits, hot = several(docs.select("body"), anchors, least=HOT_LEAST, share=HOT_PARTS)
-    often = send((frozenset(hot.tolist()), len(bits) * 8 - 1))
+    often = send((frozenset(hot.tolist()), len(bits) * 4 - 1))
     runs = docs.select("key", "body").mapInArrow(_sorted_runs(send(bits), often, ranges, length), _SUFFIX)
     found = stored(runs.groupBy("range").applyInArrow(_merged(often), "doc_key long, start long, width int, what int"), "suffix-chunks")
     whole = found.where("what = 1").select("doc_key", "start", "width")
@@ -343,7 +343,7 @@ def repeated(docs: DataFrame, *, length: int = LENGTH, ranges: int | None = None
     asked = docs.join(F.broadcast(firsts) if few else firsts, "key").select("key", "body", "starts", "widths")
 
     def strings(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, _, one, _ in _strings(batch, length):
+        for _, _, one, _ in _strings(batch, length, both=False):
             yield one
 
     twice, _ = several(asked, strings)

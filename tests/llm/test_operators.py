@@ -85,6 +85,14 @@ def test_jaccard_keeps_one_of_each_group(spark):
     assert {r.doc_id for r in rows if not (r.text or "").strip()} == {1, 2, 3}
 
 
+def test_jaccard_keeps_unlinked_groups_of_one_id(spark):
+    say = lambda k: " ".join(f"{k}{i}" for i in range(20))
+    docs = [(None, say("a")), (None, say("a")), (None, say("b")), (7, say("c")), (7, say("d")), (8, say("d") + " end"), (None, say("e")), (9, say("e") + " end")]
+    kept = jaccard.keep_one(frame(spark, docs, "doc_id long, text string")).collect()
+    expected = [(None, say("a")), (None, say("b")), (7, say("c")), (7, say("d")), (9, say("e") + " end")]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(expected, key=str)
+
+
 def test_meeting_bounds_and_links():
     rng = random.Random(4)
     make = lambda k: {bytes([k, i]): np.array(sorted(rng.sample(range(60), rng.randint(20, 50))), np.uint64) for i in range(40)}

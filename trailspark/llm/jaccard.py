@@ -273,13 +273,18 @@ def _meetings(num: int, den: int):
     return run
 
 
-def join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def join(docs: DataFrame, **options) -> DataFrame:
     """(doc, row_key, n_shingles, component, class_id, n_copies, n_links) for each row of docs.
 
     Sets link when den * intersection >= num * union. component: the least id reachable by links; class_id: the
     least id with an equal set, of which there are n_copies documents; n_links: the number of other classes that
     link to the row's. row_key is a hash of id and text.
     """
+    return labelled(docs, **options).drop("label")
+
+
+def labelled(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of join and label, which no two components share, as ids may be; null for rows without words."""
     spark = docs.sparkSession
     send = spark.sparkContext.broadcast
     rows = docs.select(F.col(doc).alias("doc"), F.xxhash64(doc, text).alias("row_key"), F.col(text).alias("body"))
@@ -346,18 +351,18 @@ def join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, doc: str
     known = full.join(found, "class", "left").join(numbers, "class", "left").withColumn("component", F.coalesce("component", "class"))
     known = stored(known, "jaccard-known")
     least = known.groupBy("component").agg(F.min("class_id").alias("least_id"))
-    told = known.join(least, "component").select("class", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("least_id").alias("component"))
-    columns = ["doc", "row_key", F.col("size").alias("n_shingles"), "component", "class_id", "n_copies", "n_links"]
-    empty = profile.where("size = 0").withColumns({"component": F.col("doc"), "class_id": F.col("doc"), "n_copies": F.lit(1).cast("long"), "n_links": F.lit(0).cast("long")})
+    told = known.join(least, "component").select("class", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("component").alias("label"), F.col("least_id").alias("component"))
+    columns = ["doc", "row_key", F.col("size").alias("n_shingles"), "component", "class_id", "n_copies", "n_links", "label"]
+    empty = profile.where("size = 0").withColumns({"label": F.lit(None).cast("binary"), "component": F.col("doc"), "class_id": F.col("doc"), "n_copies": F.lit(1).cast("long"), "n_links": F.lit(0).cast("long")})
     return profile.where("size > 0").join(told, "class", "left").select(*columns).unionByName(empty.select(*columns))
 
 
 def keep_one(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with one row of each component, one with its least id. Rows without words have no copies and all stay."""
-    found = stored(join(docs, doc=doc, text=text, **options), "jaccard-found")
-    first = found.where((F.col("n_shingles") > 0) & F.col("doc").eqNullSafe(F.col("component")))
-    keys = first.groupBy("component").agg(F.min("row_key").alias("row_key")).select("row_key")
-    equal = found.where("n_shingles > 0").groupBy("row_key").count().withColumnRenamed("count", "_equal")
+    rows = labelled(docs, doc=doc, text=text, **options).where("n_shingles > 0")
+    found = stored(rows.select("row_key", "label", F.col("doc").eqNullSafe(F.col("component")).alias("least")), "jaccard-found")
+    keys = found.where("least").groupBy("label").agg(F.min("row_key").alias("row_key")).select("row_key")
+    equal = found.groupBy("row_key").count().withColumnRenamed("count", "_equal")
     chosen = sized(keys.join(equal, "row_key").withColumnRenamed("row_key", "_key"))
     kept = docs.withColumn("_key", F.xxhash64(doc, text)).join(chosen, "_key")
     # only equal rows need to be brought together

@@ -1,6 +1,7 @@
 """The corpus pipeline: its stages in order, each written as Parquet and read again as the next one's documents.
 
-Language ID drops documents without a letter and those that no language's classifier claims. The n-gram Jaccard
+Language ID drops documents without a letter and those that no language claims: those with a smaller share of known
+letter n-grams than labelled texts of the best language have (see langid), and those that score too little. The n-gram Jaccard
 join (five words, 0.8) leaves the document with the least id of each group. Benchmark decontamination drops
 documents that hold a benchmark window. Secret scans replace secrets in the text by a mark and set n_chars to the
 new length. Byte-level BPE gives, for each document left, the number and digest of its ids, and the digest of the
@@ -15,13 +16,14 @@ from pyspark.sql import functions as F
 from trailspark.llm import bpe, decontaminate, jaccard, langid, secrets
 from trailspark.llm.common import shared_path, table
 
-#: A text whose best language scores less is rejected; 0.5 is where a classifier is undecided.
+#: A text whose best language scores less is rejected; 0.5 is where a classifier is undecided. Unlike texts score about 0.5,
+#: so this only meets texts that are torn between languages.
 LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.identify(docs, langid.fit(docs), keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found = langid.identify(docs, langid.fit(docs), keep=tuple(docs.columns), claims=True)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & F.col("claimed") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,3 +69,13 @@ def test_stages_keep_the_columns(spark, corpus):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == docs.columns
+
+
+def test_language_id_drops_foreign_texts(spark, corpus):
+    docs, _, folder = corpus
+    rng = random.Random(5)
+    foreign = ["".join(rng.choice(letters) for _ in range(200)) for letters in ("абвгд ежзик", "天地玄黃宇宙洪荒", "mnrtw euhps", "MNRTW euhps 12 34", "mnrt9 w7uhps")]
+    rows = [(500 + i, t, None, "src", len(t)) for i, t in enumerate(foreign)]
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    found = corpus_pipeline.language_id(spark, table.union(spark.createDataFrame(rows, table.schema)), folder)
+    assert sorted(r.doc_id for r in found.collect()) == sorted(d for d, t, _ in docs if t and re.search("[a-z]", t))

@@ -52,6 +52,33 @@ def test_codex_carries_the_session_forward(spark, tmp_path):
     assert found == [(1, "session.start", "s1", "/w"), (2, "user.prompt", "s1", "/w"), (3, "config.snapshot", "s1", "/w"), (4, "config.snapshot", "s1", "/v"), (5, "tool.call", "s1", "/v"), (6, "unparsed.record", "s1", "/v")]
 
 
+def test_codex_joins_parts_and_makes_commands(spark, tmp_path):
+    item = lambda **payload: {"type": "response_item", "payload": payload}
+    lines = [
+        {"type": "session_meta", "payload": {"id": "s", "cwd": "/w", "model_provider": "p"}}, {"type": "turn_context", "payload": {"model": "m"}},
+        item(type="message", role="user", content=[{"type": "input_text", "text": "a"}, {"type": "input_text", "text": "b"}, {"type": "input_image", "image_url": "u"}]),
+        item(type="message", role="assistant", content='{"text": "kept"}'), item(type="reasoning", summary=[{"text": "x"}, {"text": "y"}]),
+        item(type="function_call", name="shell", call_id="c", arguments=json.dumps({"command": ["rm", "-rf", "x"], "workdir": "/v"})),
+        item(type="local_shell_call", id="l", action={"type": "exec", "command": ["bash", "-lc", "rm -rf y"]}), item(type="function_call", name="plan", arguments='{"command": ["rm"'),
+        item(type="custom_tool_call", name="edit", call_id="d", input="patch"), item(type="function_call_output", call_id="c", output={"content": "no", "success": False}),
+    ]
+    rows = normalize.codex(sources.read_jsonl(spark, put(tmp_path / "x", "r.jsonl", "\n".join(map(json.dumps, lines))))).cache()
+    found = {r.locator: (r.kind, json.loads(r.payload_json)) for r in rows.collect()}
+    assert [found[f"line:{i}"][1].get("text") for i in (3, 4, 5, 10)] == ['a\nb\n{"image_url":"u","type":"input_image"}', '{"text": "kept"}', "x\ny", "no"]
+    assert {k: v[1]["commands"] for k, v in found.items() if v[0] == "command.exec"} == {"line:6#exec": [{"command": "rm -rf x", "cwd": "/v"}], "line:7#exec": [{"command": "bash -lc rm -rf y", "cwd": "/w"}]}
+    assert len(found) == rows.select("event_id").distinct().count() == 12
+    assert [found[f"line:{i}"][1].get("models") for i in (1, 3, 6)] == [[{"model": "p"}], [{"model": "m"}], [{"model": "m"}]] and found["line:9"][1]["input"] == "patch"
+    assert {(r.rule_id, r.locator) for r in streaming.scan_stream(rows, RULES).join(rows.select("event_id", "locator"), "event_id").collect()} == {("TS-DANGER-001", "line:6#exec"), ("TS-DANGER-001", "line:7#exec")}
+
+
+def test_claude_refusal(spark, tmp_path):
+    message = {"stop_reason": "refusal", "stop_details": {"category": "bio"}, "model": "m", "content": [{"type": "text", "text": "no"}, {"type": "text", "text": "never"}]}
+    rows = normalize.claude(sources.read_jsonl(spark, put(tmp_path / "c", "t.jsonl", json.dumps({"type": "assistant", "sessionId": "s", "message": message})))).collect()
+    assert sorted((r.kind, r.locator) for r in rows) == [("assistant.text", "line:1#text0"), ("assistant.text", "line:1#text1"), ("safety.refusal", "line:1#refusal")]
+    found = next(json.loads(r.payload_json) for r in rows if r.kind == "safety.refusal")
+    assert (found["refusal"], found["text"], found["models"]) == ("bio", "no\nnever", [{"model": "m"}])
+
+
 def test_line_histories(spark, tmp_path):
     zsh = normalize.shell_history(sources.read_lines(spark, put(tmp_path / "z", "h", ": 1700000000:0;echo a\\\nb\nls\n")), "zsh")
     assert sorted((r.ts_utc, json.loads(r.payload_json)["commands"][0]["command"]) for r in zsh.select(F.coalesce("ts_utc", F.lit("-")).alias("ts_utc"), "payload_json").collect()) == [("-", "ls"), ("2023-11-14T22:13:20.000000Z", "echo a\nb")]

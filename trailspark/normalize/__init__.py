@@ -36,6 +36,17 @@ def _event(kind, payload: Column, suffix: Column, actor: str) -> Column:
     return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), payload.alias("payload_json"), suffix.alias("suffix"), F.lit(actor).alias("actor"))
 
 
+def _text_of(v: Column, depth: int = 3) -> Column:
+    """The text of a variant: a string, the parts of a list by lines, the first text-like field of an object; else as JSON."""
+    plain = F.try_variant_get(v, "$", "string")
+    if not depth:
+        return plain
+    shape = F.schema_of_variant(v)
+    inner = F.coalesce(*[F.try_variant_get(v, f"$.{k}", "variant") for k in ("text", "thinking", "content", "display", "message")])
+    parts = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: _text_of(x, depth - 1))
+    return F.when(F.startswith(shape, F.lit("ARRAY")), F.array_join(parts, "\n")).when(F.startswith(shape, F.lit("OBJECT")) & inner.isNotNull(), _text_of(inner, depth - 1)).otherwise(plain)
+
+
 _EVENTS = "array<struct<kind:string,payload_json:string,suffix:string,actor:string>>"
 
 
@@ -71,6 +82,10 @@ def claude(lines: DataFrame) -> DataFrame:
 
     usage = F.array(_event("session.start", _payload(models=F.array(F.struct(_said("message.model").alias("model"), _said("message.usage.input_tokens").try_cast("long").alias("input_tokens"), _said("message.usage.output_tokens").try_cast("long").alias("output_tokens")))), F.lit("#usage"), "assistant"))
     plain = lambda k, actor: F.array(_event(k, _payload(text=content), F.lit(""), actor))
+    whole = F.coalesce(_text_of(F.try_variant_get(F.try_parse_json("value"), "$.message.content", "variant")), content)
+    category = F.coalesce(_said("message.stop_details.type"), _said("message.stop_details.category"), F.lit("refusal"))
+    declined = _payload(refusal=category, text=whole, models=F.when(_said("message.model").isNotNull(), F.array(F.struct(_said("message.model").alias("model")))), message_id=_said("message.id"))
+    refusal = F.when((kind == "assistant") & (_said("message.stop_reason") == "refusal"), F.array(_event("safety.refusal", declined, F.lit("#refusal"), "assistant"))).otherwise(none)
     made = (
         F.when((kind == "user") & blocks.isNotNull(), each(said)).when(kind == "user", plain("user.prompt", "user"))
         .when((kind == "assistant") & blocks.isNotNull(), F.concat(each(answer), F.when(_said("message.usage").isNotNull(), usage).otherwise(none))).when(kind == "assistant", plain("assistant.text", "assistant"))
@@ -79,7 +94,7 @@ def claude(lines: DataFrame) -> DataFrame:
         .otherwise(none)
     )
     unknown = F.array(_event("unparsed.record", F.lit("{}"), F.lit(""), "unknown"))
-    rows = lines.withColumn("_made", made).select(
+    rows = lines.withColumn("_made", F.concat(refusal, made)).select(
         F.col("path").alias("original_path"), "line_no", "text", "value", "problem", (F.size("_made") == 0).alias("_none"), F.explode(F.when(F.size("_made") > 0, F.col("_made")).otherwise(unknown)).alias("e"),
     )
     reason = F.coalesce(F.col("problem"), F.when(F.col("_none"), F.concat(F.lit("a record of type "), F.coalesce(_said("type"), F.lit("(none)")), F.lit(f" {UNINTERPRETED}"))))
@@ -90,12 +105,15 @@ def claude(lines: DataFrame) -> DataFrame:
 
 
 def codex(lines: DataFrame) -> DataFrame:
-    """Rollout lines: session facts are carried forward in a file; mirrors of turns become config snapshots."""
+    """Rollout lines: session facts and the model are carried forward in a file; mirrors of turns become config snapshots; shell
+    calls are tool calls and commands.
+    """
     kind, item = _said("type"), _said("payload.type")
     order = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
     carried = lambda c: F.last(c, ignorenulls=True).over(order)
     header = kind.isin("session_meta", "turn_context")
-    rows = lines.withColumns({"session_id": carried(F.when(kind == "session_meta", _said("payload.id"))), "project_path": carried(F.when(header, _said("payload.cwd"))), "git_branch": carried(F.when(header, _said("payload.git.branch")))})
+    rows = lines.withColumns({"session_id": carried(F.when(kind == "session_meta", _said("payload.id"))), "project_path": carried(F.when(header, _said("payload.cwd"))), "git_branch": carried(F.when(header, _said("payload.git.branch"))),
+        "_model": carried(F.when(header, F.coalesce(_said("payload.model"), F.when(kind == "session_meta", _said("payload.model_provider"))))), "_v": F.try_parse_json("value")})
     role, call = _said("payload.role"), item.isin("function_call", "custom_tool_call", "local_shell_call")
     made = (
         F.when(kind == "session_meta", "session.start").when(kind == "turn_context", "config.snapshot").when(kind == "event_msg", "config.snapshot").when(kind == "compacted", "session.end")
@@ -103,11 +121,30 @@ def codex(lines: DataFrame) -> DataFrame:
         .when((kind == "response_item") & (item == "reasoning"), "assistant.thinking").when((kind == "response_item") & call, "tool.call")
         .when((kind == "response_item") & item.isin("function_call_output", "custom_tool_call_output"), "tool.result").otherwise("unparsed.record")
     )
-    payload = _payload(text=_said("payload.content[0].text"), tool=_said("payload.name"), tool_use_id=_said("payload.call_id"), input=_said("payload.arguments"), output=_said("payload.output"))
+    at = lambda path, v="_v": F.try_variant_get(v, f"$.{path}", "variant")
+    of = lambda path: F.coalesce(F.nullif(_text_of(at(f"payload.{path}")), F.lit("")), _said(f"payload.{path}"))
+    text = F.when(item == "reasoning", F.coalesce(F.nullif(_text_of(at("payload.summary")), F.lit("")), of("content"))).when(made == "tool.result", of("output")).otherwise(of("content"))
+    stated = at("payload.arguments")
+    arguments = F.when(item == "function_call", F.when(F.startswith(F.schema_of_variant(stated), F.lit("OBJECT")), stated).otherwise(F.try_parse_json(_said("payload.arguments")))).when(item == "custom_tool_call", at("payload.input")).when(item == "local_shell_call", at("payload.action"))
+    inside = lambda k: at(k, arguments)
+    asked = F.coalesce(inside("command"), F.when(item == "local_shell_call", at("payload.command")))
+    words = F.array_join(F.try_variant_get(asked, "$", "array<string>"), " ")
+    command = F.when(made == "tool.call", F.nullif(F.when(F.startswith(F.schema_of_variant(asked), F.lit("ARRAY")), words).otherwise(F.try_variant_get(asked, "$", "string")), F.lit("")))
+    folder = F.coalesce(*[F.try_variant_get(arguments, f"$.{k}", "string") for k in ("workdir", "cwd", "working_directory")], F.col("project_path"))
+    tool, call_id = F.when(call, F.coalesce(_said("payload.name"), item)).otherwise(_said("payload.name")), F.coalesce(_said("payload.call_id"), F.when(call, _said("payload.id")))
+    models = F.when(F.col("_model").isNotNull() & ~made.isin("tool.result", "session.end", "unparsed.record"), F.array(F.struct(F.col("_model").alias("model"))))
+    failed = F.when(made == "tool.result", F.coalesce(_said("payload.output.success") == "false", F.lit(False)))
+    given = F.coalesce(_said("payload.arguments"), F.when(item == "custom_tool_call", _said("payload.input")), F.when(item == "local_shell_call", F.coalesce(_said("payload.action"), F.to_json(F.struct(_said("payload.command").alias("command"))))))
+    payload = _payload(text=text, tool=tool, tool_use_id=call_id, input=given, output=_said("payload.output"), is_error=failed, models=models)
+    run = _payload(tool=tool, tool_use_id=call_id, commands=F.array(F.struct(command.alias("command"), folder.alias("cwd"))))
+    event = lambda k, body, suffix: F.struct(k.alias("kind"), body.alias("payload_json"), F.lit(suffix).alias("suffix"))
+    effect = F.when(command.isNotNull(), event(F.lit("command.exec"), run, "#exec"))
+    rows = rows.withColumn("e", F.explode(F.array_compact(F.array(event(made, payload, ""), effect))))
+    made = F.col("e.kind")
     unknown = F.when(made == "unparsed.record", F.coalesce(F.col("problem"), F.concat(F.lit("a record of type "), F.coalesce(kind, F.lit("(none)")), F.lit(f" {UNINTERPRETED}"))))
     return finish(
         rows, kind=made, agent=F.lit("codex"), actor=F.when(made == "user.prompt", "user").otherwise("assistant"), time=_said("timestamp"), artifact_id=F.lit("codex.rollout"), original_path=F.col("path"),
-        locator=F.concat(F.lit("line:"), F.col("line_no")), payload_json=payload, raw_json=F.col("text"), parse_problem=unknown,
+        locator=F.concat(F.lit("line:"), F.col("line_no"), F.col("e.suffix")), payload_json=F.col("e.payload_json"), raw_json=F.col("text"), parse_problem=unknown,
     )
 
 

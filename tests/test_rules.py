@@ -102,6 +102,16 @@ def test_text_functions(spark):
     assert tuple(r) == ("git", "example.org", "C:/a b+c", "q/r")
 
 
+def test_hidden_characters_include_the_tag_block(spark):
+    import json
+
+    hidden = [*T.HIDDEN, 0x2062, 0xE0000, 0xE0041, 0xE007F]
+    text = "a\U000e0041\U000e0020b\U000e007f\u200b\U0001f600"
+    assert [tuple(x) for x in spark.createDataFrame([(text,)], "t string").select(T.hidden_characters(F.col("t"))).first()[0]] == [(0x200B, 1), (0xE0000, 3)]
+    rows = events(spark, *[{"event_id": str(c), "kind": "memory.write", "payload_json": json.dumps({"text": f"a{chr(c)}b"})} for c in [*hidden, 0x1F600, 0xE0080]])
+    assert {r.event_id for r in scan.scan_events(rows, RULES).where("rule_id = 'TS-INJECT-002'").collect()} == set(map(str, hidden))
+
+
 def test_facets(spark):
     rows = events(spark, {"event_id": "a", "payload_json": '{"commands": {"command": "X=1 ls -l"}, "files": [{"path": "p"}, {"path": "p"}, {"bytes": 3}]}'})
     assert [(r.command, r.executable) for r in facets.facet(rows, "commands").collect()] == [("X=1 ls -l", "ls")]

@@ -8,7 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Code points that are invisible or reorder text.
-HIDDEN = (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD, 0x180E, 0x202A, 0x202B, 0x202C, 0x202D, 0x202E, 0x2066, 0x2067, 0x2069)
+HIDDEN = (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD, 0x180E, 0x202A, 0x202B, 0x202C, 0x202D, 0x202E, 0x2066, 0x2067, 0x2068, 0x2069)
+#: The first and last tag character, which are invisible and can spell ASCII.
+TAGS = (0xE0000, 0xE007F)
+#: A character class of both, for Java and Python.
+HIDDEN_CLASS = "".join(map(chr, HIDDEN)) + "-".join(map(chr, TAGS))
 
 
 def first_word(command: Column) -> Column:
@@ -24,8 +28,10 @@ def host_of(url: Column) -> Column:
 
 
 def hidden_characters(text: Column) -> Column:
-    """array<struct<code, n>> of the hidden characters that a text holds, by code point."""
+    """array<struct<code, n>> of the hidden characters that a text holds, by code point; tag characters count as their first one."""
     counts = [F.struct(F.lit(c).alias("code"), (F.char_length(text) - F.char_length(F.translate(text, chr(c), ""))).alias("n")) for c in HIDDEN]
+    untagged = F.regexp_replace(text, F.lit(f"[{'-'.join(map(chr, TAGS))}]+"), F.lit(""))
+    counts.append(F.struct(F.lit(TAGS[0]).alias("code"), (F.char_length(text) - F.char_length(untagged)).alias("n")))
     return F.filter(F.array(*counts), lambda x: x["n"] > 0)
 
 

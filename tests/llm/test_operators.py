@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 
 import public_tokenizers
 from trailspark.llm import bpe, decontaminate, jaccard, langid, secrets, suffixdedup, tokencount, topk, toxicity, warc
@@ -143,6 +144,13 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("sizes", [(500, 500, 500, 500), (30,) * 10, (400, 3, 200)])
+def test_landmarks_are_spread_over_the_languages(sizes):
+    rows = [Row(lang=f"l{k}", place=i) for k, n in enumerate(sizes) for i in range(n)]
+    found = Counter(r.lang for r in langid._landmarks(rows, 256))
+    assert sum(found.values()) == min(256, len(rows)) and all(found[f"l{k}"] >= min(n, 256 // len(sizes)) for k, n in enumerate(sizes))
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     clean, bad = ["sun", "tree", "river", "stone", "cloud", "house"], ["vilest", "rotten"]

@@ -20,6 +20,7 @@ no rows; without a labelled row every text is `und`.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -106,6 +107,15 @@ def _claims(rows: list, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return enough.any(0), least
 
 
+def _landmarks(rows: list, landmarks: int) -> list:
+    """At most that many rows, the languages taking turns for as long as they have any."""
+    turn, order = Counter(), []
+    for i, r in enumerate(rows):
+        order.append((turn[r.lang], i))
+        turn[r.lang] += 1
+    return [rows[i] for _, i in sorted(order)[:landmarks]]
+
+
 def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text", key: str = "doc_id", sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Fit on at most about `sample` rows of docs with a language; `landmarks` of them, spread over the languages."""
     rows = _sample(docs, lang, text, key, sample)
@@ -113,8 +123,7 @@ def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text", key: str = "
     if not rows:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(1 << BITS, bool), np.zeros(0))
     bits = lambda some: np.unpackbits(np.array([np.frombuffer(r.bits, np.uint8) for r in some]), axis=1)
-    step = max(1, len(rows) // landmarks)
-    marks = bits(rows[::step][:landmarks]).astype(np.float32)
+    marks = bits(_landmarks(rows, landmarks)).astype(np.float32)
     marks /= np.sqrt(np.maximum(1, marks.sum(1, keepdims=True)))
     kernel = []
     for i in range(0, len(rows), 128):

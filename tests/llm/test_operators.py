@@ -94,34 +94,89 @@ def test_jaccard_keeps_unlinked_groups_of_one_id(spark):
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(expected, key=str)
 
 
-def test_meeting_bounds_and_links():
+@pytest.mark.parametrize("own", [False, True])
+def test_meeting_bounds_and_links(own):
     rng = random.Random(4)
     make = lambda k: {bytes([k, i]): np.array(sorted(rng.sample(range(60), rng.randint(20, 50))), np.uint64) for i in range(40)}
-    a, b = make(0), make(1)
-    found = {c: n for c, _, n in jaccard.meet(a, b, 60, 100)}
-    expected = Counter()
+    a = make(0)
+    b = a if own else make(1)
+    union = np.unique(np.concatenate(list(b.values())))
+    found = jaccard.meet(list(b), list(b.values()), union, list(a), list(a.values()), own, 60, 100)
+    expected, near = Counter(), defaultdict(set)
     for (x, s), (y, t) in itertools.product(a.items(), b.items()):
-        if 100 * len({*s.tolist()} & {*t.tolist()}) >= 60 * len({*s.tolist()} | {*t.tolist()}):
+        if x != y and 100 * len({*s.tolist()} & {*t.tolist()}) >= 60 * len({*s.tolist()} | {*t.tolist()}):
             expected[x] += 1
-            expected[y] += 1
-    assert found == dict(expected) and expected
+            expected[y] += not own
+            near[x].add(y)
+            near[y].add(x)
+    numbers = Counter()
+    for c, root, n in found:
+        numbers[c] += n
+        seen, todo = {c}, [c]
+        while todo:
+            for k in near[todo.pop()] - seen:
+                seen.add(k)
+                todo.append(k)
+        assert root == min(seen)
+    assert +numbers == +expected and expected
 
 
-def test_masks_rule_out_no_link():
-    rng = random.Random(9)
-    for _ in range(300):
+def test_needed_first_shingles_are_a_bound(spark):
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(9), []
+    for _ in range(400):
         num = rng.choice([80, 90])
         size = rng.randint(10, 200)
         x = set(rng.sample(range(1000), size))
         y = set(list(x)[: rng.randint(int(size * 0.85), size)]) | set(rng.sample(range(1000, 1100), rng.randint(0, 8)))
-        if 100 * len(x & y) < num * len(x | y):
-            continue
-        first = lambda s: set(sorted(s)[: len(s) - (num * len(s) + 99) // 100 + 1])
-        mask = lambda s: 1 << int(jaccard._step(np.array([len(s)]), num / 100)[0]) % 64
-        for s, t in ((x, y), (y, x)):
-            shared = first(s) & first(t)
-            masks = np.array([mask(s) | mask(t)] * len(shared), np.uint64)
-            assert jaccard.may_have_partner(len(s), masks, num, 100)
+        if 100 * len(x & y) >= num * len(x | y):
+            first = lambda s: set(sorted(s)[: len(s) - (num * len(s) + 99) // 100 + 1])
+            rows.append((len(x), len(y) - rng.randint(0, 20), len(y) + rng.randint(0, 20), num / 100, len(first(x) & first(y))))
+    table = spark.createDataFrame(rows, "x long, low long, high long, t double, shared long")
+    for t in (0.8, 0.9):
+        some = table.where(F.col("t") == t)
+        assert some.count() > 50 and some.where(F.col("shared") < jaccard.needed(F.col("x"), F.col("low"), F.col("high"), t)).count() == 0
+
+
+@pytest.mark.parametrize("group,queries,block", [(40, 2, 10), (300, 3, 100)])
+def test_jaccard_with_split_groups_and_units(spark, monkeypatch, group, queries, block):
+    monkeypatch.setattr(jaccard, "GROUP_SHINGLES", group)
+    monkeypatch.setattr(jaccard, "UNIT_QUERIES", queries)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
+    docs = near_copies(random.Random(group), 60)
+    found = jaccard.join(frame(spark, docs, "doc_id long, text string")).collect()
+    assert Counter((r.doc, r.n_shingles, r.component) for r in found) == brute_components(docs, 5, 80, 100)
+
+
+def test_jaccard_without_links_and_with_one(spark):
+    rng = random.Random(3)
+    docs = [(i, " ".join(str(rng.random()) for _ in range(30))) for i in range(20)]
+    found = jaccard.join(frame(spark, docs, "doc_id long, text string")).collect()
+    assert all((r.component, r.class_id, r.n_copies, r.n_links) == (r.doc, r.doc, 1, 0) for r in found) and len(found) == 20
+    found = {r.doc: r for r in jaccard.join(frame(spark, [*docs, (50, docs[7][1] + " end")], "doc_id long, text string")).collect()}
+    assert found[50].component == 7 and found[50].class_id == 50 and sorted(d for d, r in found.items() if r.n_links) == [7, 50]
+
+
+def test_jaccard_counts_links_and_copies(spark):
+    docs = near_copies(random.Random(8), 50)
+    rows = jaccard.join(frame(spark, docs, "doc_id long, text string")).collect()
+    sets = {}
+    for d, t in docs:
+        words = (t or "").encode().lower().split()
+        n = min(5, len(words))
+        sets[d, t] = frozenset(b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)) if words else frozenset()
+    classes = Counter(sets[d, t] for d, t in docs)
+    links = {x: sum(1 for y in classes if x and y and x != y and 100 * len(x & y) >= 80 * len(x | y)) for x in classes}
+    expected = Counter((d, len(sets[d, t]), classes[sets[d, t]] if sets[d, t] else 1, links[sets[d, t]]) for d, t in docs)
+    assert Counter((r.doc, r.n_shingles, r.n_copies, r.n_links) for r in rows) == expected
+
+
+def test_jaccard_of_a_very_long_text(spark):
+    words = [f"w{i}" for i in range(300_000)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:-9000])), (3, " ".join(words[::2]))]
+    found = {r.doc: (r.n_shingles, r.component) for r in jaccard.join(frame(spark, docs, "doc_id long, text string")).collect()}
+    assert found == {1: (299_996, 1), 2: (290_996, 1), 3: (149_996, 3)}
 
 
 def test_components(spark):

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailspark.llm.common import Scratch
+
 #: Parts that a table is put together from, each by a task of its own.
 _PARTS = 64
 
@@ -145,20 +147,26 @@ def several(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndar
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, component) of every node of the edges (a, b): the least node that it is connected to.
 
-    Labels pass along edges and jump to their label's label until none changes; every round is a stored table.
+    Labels pass along edges and jump to their label's label until none changes. Both sides of every join are stored
+    tables, so that Spark can split the rows of a hub or of a large component's label over tasks.
     """
-    from trailspark.llm.common import stored
-
-    both = stored(edges.union(edges.select("b", "a")).toDF("a", "b").distinct(), f"{label}-edges")
-    now = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("other")).select("node", F.least("node", "other").alias("component")), label)
+    held = Scratch(edges.sparkSession, label)
+    both = held.table(edges.union(edges.select("b", "a")).toDF("a", "b").where("a <> b").distinct(), "edges")
+    start = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component"))
+    turn, now = 0, held.table(start, "labels-0")
     while True:
+        turn += 1
         near = both.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        near = held.table(near, f"near-{turn}")
         met = now.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        met = held.table(met, f"met-{turn}")
         jumped = met.join(met.select(F.col("node").alias("component"), F.col("component").alias("far")), "component", "left")
-        new = stored(jumped.select("node", "old", F.least("component", F.coalesce("far", "component")).alias("component")), label)
+        new = held.table(jumped.select("node", "old", F.least("component", F.coalesce("far", "component")).alias("component")), f"labels-{turn}")
         changed = new.where(F.col("old") != F.col("component")).limit(1).count()
+        held.drop(f"near-{turn}", f"met-{turn}", f"labels-{turn - 1}")
         now = new.drop("old")
         if not changed:
+            held.drop("edges")
             return now
 
 

@@ -3,25 +3,25 @@
 Texts become sets of hashed word shingles. Equal sets form a class, of which one set is compared. Two classes
 link when the Jaccard similarity of their sets reaches a threshold.
 
-1. Rare shingles first: a table of fixed size counts all shingles of all documents; it orders those of a set.
-   Similar sets share one of the first few in this order, whatever the order is (prefix filtering).
-2. Shingles that only one class has among its first few are dropped. For each of the others a mask tells the
-   sizes, in steps of less than a per cent, of the classes that have it there. With a set of some size a class has
-   to share a least number of first shingles; classes whose masks rule that out for every size have no link. What
-   is left makes new masks, for as long as many classes go.
-3. The remaining classes are partitioned into groups of similar sets, by their least shingle and their size, of
-   bounded size. Groups meet if they share as many first shingles as any two of their sizes would need, and each
-   group meets itself. Only sets of groups that meet are fetched.
-4. A group's sets are stored with it. When two groups meet, the union of the one's shingles bounds the overlap
-   that a set of the other can have with any member; only sets that may reach the threshold are opened, and their
-   exact overlaps come from one matrix product. A meeting gives the numbers of links and a spanning forest of
-   them, so that a large group of near copies gives rows in proportion to its sets, not to its pairs.
+1. A table of fixed size counts all shingles of all documents; it orders those of a set, rare ones first. Of two
+   similar sets the first few in this order must share some, and how many follows from the sizes (`needed`).
+2. Classes are partitioned into groups of similar sets, by their least shingle and their size, of bounded size.
+3. The token-group matrix is stored once: a row for each shingle that several classes have among their first ones
+   and each group, the union of its members' first shingles, with the range of their sizes. Every class is a query:
+   its first shingles look up the matrix, and the hits in a group bound its overlap with any member. Only groups
+   whose bound suffices are opened for that query; pairs of sets are never listed for the bound.
+4. The sets of opened groups and their queries are brought together, in units of bounded size. A task holds the sets
+   of one group and their union, streams the queries past the union, and takes exact overlaps of those that may
+   still reach the threshold from one matrix product. It gives the numbers of links and a spanning forest of them,
+   so that a large group of near copies gives rows in proportion to its sets, not to its pairs.
 5. Components of the forests' edges are found by label propagation over stored tables.
 
+Tables that later steps no longer read are deleted from the shared folder as soon as those are written.
+
 Defined cases: a null text, or one without words, has an empty set and no link; a text with fewer words than a
 shingle is one shingle; each of several equal rows is a document; rows of one id with different texts are
-documents of their own; null ids don't count as the smallest id of a component unless it has no other; columns
-other than those asked for are not read; an empty table gives no rows.
+documents of their own; null ids don't count as the smallest id of a component unless it has no other; texts of any
+length are taken whole; columns other than those asked for are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,21 +31,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import sized, stored, table
+from trailspark.llm.common import Scratch, sized, table
 from trailspark.llm.filters import bit_filter, components, count_levels, holds, unsigned
 
-#: Sets in a group, and shingles in a group, unless one set has more.
-GROUP_SETS, GROUP_SHINGLES = 512, 1 << 18
+#: Shingles of all sets in a group, unless one set has more, and sets in it.
+GROUP_SHINGLES, GROUP_SETS = 1 << 18, 4096
+#: Queries that are brought to a group in one unit, and shingles of those that are looked at together.
+UNIT_QUERIES, BLOCK_SHINGLES = 2048, 1 << 18
 #: Cells of the table that tells how often a group's key occurs.
 _CELLS = 1 << 20
 _COLUMNS = 4096
 #: Natural logarithm of the range of sizes in a group.
 _BAND = 0.05
-#: Steps, of equal ratio, between the least and the greatest size that can link to the same size; a mask has 64.
-_STEPS = 58
+#: Words whose hashes a task remembers.
+_KNOWN_WORDS = 200_000
 _MIX, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -66,7 +68,7 @@ class Shingles:
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
         if not words:
             return np.zeros(0, np.uint64)
-        if len(self.known) > 1_000_000:
+        if len(self.known) > _KNOWN_WORDS:
             self.known.clear()
         hashes = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         width = min(self.n, len(words))
@@ -106,67 +108,44 @@ def _profile(sent, n: int, num: int, den: int):
                 else:
                     firsts.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(least, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
+                [
+                    batch.column("doc"), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
+                    pa.array(least, pa.int64()), pa.array(firsts, pa.list_(pa.int64())),
+                ],
                 names=["doc", "row_key", "size", "class", "least", "firsts"],
-            )
+            )
 
     return run
 
 
-def _kept_firsts(sent, num: int, den: int):
-    """For mapInArrow: (shingle, class, least, size, row_key, mask) for the first shingles that several classes may have."""
+def _kept_firsts(sent):
+    """For mapInArrow: the rows that have any of the first shingles that several classes may have, with those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
         for batch in batches:
             lists = batch.column("firsts")
             flat = unsigned(lists.flatten())
-            rows = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             keep = holds(bits, flat)
-            at = pa.array(rows[keep])
-            columns = [batch.column(c).take(at) for c in ("class", "least", "size", "row_key")]
-            masks = np.uint64(1) << (_step(columns[2].to_numpy(), num / den) % 64).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[keep].view(np.int64)), *columns, pa.array(masks.view(np.int64))], names=["shingle", "class", "least", "size", "row_key", "mask"])
+            left = np.bincount(np.repeat(np.arange(len(lists)), lengths)[keep], minlength=len(lists))
+            some = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(left))), pa.int32()), pa.array(flat[keep].view(np.int64)))
+            columns = [*(batch.column(c) for c in ("class", "least", "size", "row_key")), some]
+            yield pa.RecordBatch.from_arrays(columns, names=["class", "least", "size", "row_key", "firsts"]).filter(pa.array(left > 0))
 
     return run
 
 
-def _ratio(t: float) -> float:
-    """The logarithm of a step of sizes for the threshold t."""
-    return 2 * np.log(1 / t) / _STEPS if t < 1 else 0.01
-
-
-def _step(sizes: np.ndarray, t: float) -> np.ndarray:
-    """The step in which each size lies."""
-    return np.floor(np.log(np.maximum(sizes, 1)) / _ratio(t)).astype(np.int64)
-
-
-def may_have_partner(size: int, masks: np.ndarray, num: int, den: int) -> bool:
-    """Whether the masks of the first shingles that a class shares allow a link.
+def needed(x: Column, low: Column, high: Column, t: float) -> Column:
+    """How many first shingles a set of size x at least shares with a set of a size from low to high that links to it.
 
     Of two sets x and y, let x be the one whose first shingles end earlier in the order. Shared shingles are among
     the first of both, s in number, or among those of x after its first, of which there are ceil(t * |x|) - 1. So
-    s >= t * (|x| + |y|) / (1 + t) - t * max(|x|, |y|). Masks hold steps modulo 64; the sizes that can link to one
-    size span fewer.
+    s >= t * (|x| + |y|) / (1 + t) - t * max(|x|, |y|), which is least at an end of the range of |y|.
     """
-    t = num / den
-    lowest, highest = _step(np.array([t * size, size / t]), t).tolist()
-    for step in range(lowest - 1, highest + 2):
-        count = int(((masks >> np.uint64(step % 64)) & np.uint64(1)).sum())
-        ends = (0.9999 * np.exp(step * _ratio(t)), 1.0001 * np.exp((step + 1) * _ratio(t)))
-        if count >= max(1, min(t * (size + b) / (1 + t) - t * max(size, b) for b in ends) - 1e-6):
-            return True
-    return False
-
-
-def _with_partner(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, masks = batch.column("size").to_pylist(), batch.column("masks")
-            keep = [may_have_partner(sizes[i], unsigned(masks[i].values), num, den) for i in range(batch.num_rows)]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["class", "least", "size", "row_key"])
-
-    return run
+    low, high = F.greatest(low.cast("double"), t * x), F.least(high.cast("double"), x / t)
+    at = lambda y: t * (x + y) / (1 + t) - t * F.greatest(x.cast("double"), y)
+    return F.least(at(low), at(high)) - 1e-6
 
 
 def _chosen_sets(sent, n: int):
@@ -180,9 +159,12 @@ def _chosen_sets(sent, n: int):
             for start in range(0, len(found), 256):
                 part = found[start : start + 256]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in part], pa.binary()), pa.array([int(x[:1].view(np.int64)[0]) for x in part], pa.int64()), pa.array([len(x) for x in part], pa.int64()), pa.array([x.tobytes() for x in part], pa.binary())],
+                    [
+                        pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in part], pa.binary()), pa.array([int(x[:1].view(np.int64)[0]) for x in part], pa.int64()),
+                        pa.array([len(x) for x in part], pa.int64()), pa.array([x.tobytes() for x in part], pa.binary()),
+                    ],
                     names=["class", "least", "size", "members"],
-                )
+                )
 
     return run
 
@@ -215,60 +197,86 @@ def _may_link(sets: list[np.ndarray], union: np.ndarray, num: int, den: int) ->
     return np.flatnonzero(den * hits >= num * sizes)
 
 
-def meet(a: dict[bytes, np.ndarray], b: dict[bytes, np.ndarray] | None, num: int, den: int) -> list[tuple[bytes, bytes, int]]:
-    """(class, root, links) for each class with links between two groups, or within one; root is the least class it is connected to."""
-    names_a, sets_a = list(a), list(a.values())
-    if b is None:
-        at_a = at_b = np.arange(len(sets_a))
-        names, sets_b = names_a, sets_a
-    else:
-        sets_b = list(b.values())
-        at_a = _may_link(sets_a, np.unique(np.concatenate(sets_b)), num, den)
-        if not len(at_a):
-            return []
-        at_b = _may_link(sets_b, np.unique(np.concatenate([sets_a[i] for i in at_a])), num, den)
-        if not len(at_b):
-            return []
-        names = names_a + list(b)
-    open_a, open_b = [sets_a[i] for i in at_a], [sets_b[i] for i in at_b]
-    both = _overlaps(open_a, open_b)
-    either = np.array([len(x) for x in open_a])[:, None] + np.array([len(x) for x in open_b])[None, :] - both
+def _roots(links: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows and columns, given as ranks of the classes, the least rank that each is connected to by links."""
+    none = np.iinfo(np.int64).max
+    while True:
+        new_rows = np.minimum(rows, np.where(links, columns[None, :], none).min(1, initial=none))
+        new_columns = np.minimum(columns, np.where(links, new_rows[:, None], none).min(0, initial=none))
+        if (new_rows == rows).all() and (new_columns == columns).all():
+            return rows, columns
+        rows, columns = new_rows, new_columns
+
+
+def meet(names: list[bytes], sets: list[np.ndarray], union: np.ndarray, ask: list[bytes], asked: list[np.ndarray], own: bool, num: int, den: int) -> list[tuple[bytes, bytes, int]]:
+    """(class, root, links) for each class with links between a group and queries; root is the least class it is connected to.
+
+    own: the queries are members of the group themselves. Then only the queries' links are counted, as each member asks.
+    """
+    at_q = _may_link(asked, union, num, den)
+    if not len(at_q):
+        return []
+    open_q = [asked[i] for i in at_q]
+    at_m = _may_link(sets, np.unique(np.concatenate(open_q)), num, den)
+    if not len(at_m):
+        return []
+    open_m = [sets[i] for i in at_m]
+    both = _overlaps(open_q, open_m)
+    either = np.array([len(x) for x in open_q])[:, None] + np.array([len(x) for x in open_m])[None, :] - both
     links = den * both >= num * either
-    if b is None:
-        np.fill_diagonal(links, False)
-        counts = links.sum(1)
-        ends = [(i, j) for i, j in zip(*np.nonzero(links)) if i < j]
-        linked = np.flatnonzero(counts).tolist()
-        numbers = dict(zip(linked, counts[linked].tolist()))
-    else:
-        ends = [(at_a[i], len(names_a) + at_b[j]) for i, j in zip(*np.nonzero(links))]
-        numbers = {int(at_a[i]): int(c) for i, c in enumerate(links.sum(1)) if c} | {int(len(names_a) + at_b[j]): int(c) for j, c in enumerate(links.sum(0)) if c}
-    root = list(range(len(names)))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i, j in ends:
-        x, y = top(int(i)), top(int(j))
-        if x != y:
-            root[max(x, y, key=lambda k: names[k])] = min(x, y, key=lambda k: names[k])
-    return [(names[i], names[top(i)], n) for i, n in numbers.items()]
-
-
-def _meetings(num: int, den: int):
-    def group(value) -> dict[bytes, np.ndarray]:
-        return {bytes(m["class"]): np.frombuffer(m["members"], np.uint64) for m in value}
+    rows, columns = [ask[i] for i in at_q], [names[i] for i in at_m]
+    order = sorted({*rows, *columns})
+    rank = {c: i for i, c in enumerate(order)}
+    row_ranks, column_ranks = np.array([rank[c] for c in rows]), np.array([rank[c] for c in columns])
+    if own:
+        links &= row_ranks[:, None] != column_ranks[None, :]
+    root_rows, root_columns = _roots(links, row_ranks, column_ranks)
+    counts = links.sum(1)
+    out = [(rows[i], order[root_rows[i]], int(counts[i])) for i in np.flatnonzero(counts)]
+    counts = links.sum(0)
+    return out + [(columns[i], order[root_columns[i]], 0 if own else int(counts[i])) for i in np.flatnonzero(counts)]
+
+
+def _opened(num: int, den: int):
+    """For mapInArrow over rows (group, part, ask, class, own, members) in this order: the links of each unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ours, theirs = batch.column("ours")[i].as_py(), batch.column("theirs")[i].as_py()
-                found = meet(group(ours), group(theirs) if theirs else None, num, den)
+        unit, names, sets, union = None, [], [], None
+        ask, asked, mine, size = [], [], False, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal union, size
+            if ask and sets:
+                if union is None:
+                    union = np.unique(np.concatenate(sets))
+                found = meet(names, sets, union, ask, asked, mine, num, den)
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found), (pa.binary(), pa.binary(), pa.int64()))], names=["class", "root", "links"])
+                    kinds = (pa.binary(), pa.binary(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found), kinds)], names=["class", "root", "links"])
+            ask.clear()
+            asked.clear()
+            size = 0
+
+        for batch in batches:
+            for group, part, kind, name, own, members in zip(*(batch.column(c) for c in ("group", "part", "ask", "class", "own", "members"))):
+                key = group.as_py(), part.as_py()
+                if key != unit:
+                    yield from flush()
+                    unit, union = key, None
+                    names.clear()
+                    sets.clear()
+                found = np.frombuffer(members.as_py(), np.uint64)
+                if not kind.as_py():
+                    names.append(name.as_py())
+                    sets.append(found)
+                    continue
+                if own.as_py() != mine or size > BLOCK_SHINGLES:
+                    yield from flush()
+                mine = own.as_py()
+                ask.append(name.as_py())
+                asked.append(found)
+                size += len(found)
+        yield from flush()
 
     return run
 
@@ -287,8 +295,10 @@ def labelled(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, doc:
     """The columns of join and label, which no two components share, as ids may be; null for rows without words."""
     spark = docs.sparkSession
     send = spark.sparkContext.broadcast
+    held = Scratch(spark, "jaccard")
     rows = docs.select(F.col(doc).alias("doc"), F.xxhash64(doc, text).alias("row_key"), F.col(text).alias("body"))
     kind = dict(rows.dtypes)["doc"]
+    t = num / den
 
     def shingles(batch: pa.RecordBatch, make=[]) -> Iterator[np.ndarray]:  # noqa: B006  one for each task
         if not make:
@@ -296,79 +306,87 @@ def labelled(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, doc:
         return _sets(batch, make[0])
 
     levels = count_levels(rows.select("body"), shingles, bits=24)
-    profile = stored(rows.mapInArrow(_profile(send(levels), n, num, den), f"doc {kind}, row_key long, size long, class binary, least long, firsts array<long>"), "jaccard-profile")
-    # shingles that two classes have, as a filter of fixed size
-    short = profile.where("firsts is not null").select(F.xxhash64("class").alias("short"), F.explode("firsts").alias("shingle"))
-    shared = short.groupBy("shingle").agg(F.min("short").alias("a"), F.max("short").alias("b")).where("a < b").select("shingle")
+    schema = f"doc {kind}, row_key long, size long, class binary, least long, firsts array<long>"
+    profile = held.table(rows.mapInArrow(_profile(send(levels), n, num, den), schema), "profile")
+    # first shingles that two classes have, as a filter of fixed size
     firsts = profile.where("firsts is not null").select("class", "least", "size", "row_key", "firsts")
-    kept = firsts.mapInArrow(_kept_firsts(send(bit_filter(shared, "shingle")), num, den), "shingle long, class binary, least long, size long, row_key long, mask long")
-    kept = stored(kept.dropDuplicates(["shingle", "class"]), "jaccard-firsts")
+    short = firsts.select(F.xxhash64("class").alias("short"), F.explode("firsts").alias("shingle"))
+    shared = short.groupBy("shingle").agg(F.min("short").alias("a"), F.max("short").alias("b")).where("a < b").select("shingle")
+    kept = firsts.mapInArrow(_kept_firsts(send(bit_filter(shared, "shingle"))), "class binary, least long, size long, row_key long, firsts array<long>")
+    kept = held.table(kept.groupBy("class").agg(*(F.first(c).alias(c) for c in ("least", "size", "row_key", "firsts"))), "kept")
     # groups of classes with one least shingle, split where there are many; the table of splits has a fixed size
-    left = None
-    while True:
-        masks = kept.groupBy("shingle").agg(F.bit_or("mask").alias("masks"), F.count("*").alias("n")).where("n > 1").drop("n")
-        shared = stored(kept.join(masks, "shingle"), "jaccard-shared")
-        marked = shared.groupBy("class").agg(F.first("least").alias("least"), F.first("size").alias("size"), F.min("row_key").alias("row_key"), F.collect_list("masks").alias("masks"))
-        classes = stored(marked.mapInArrow(_with_partner(num, den), "class binary, least long, size long, row_key long"), "jaccard-classes")
-        kept = shared.drop("masks").join(classes.select("class"), "class", "left_semi")
-        before, left = left, classes.count()
-        if before is not None and left > 0.9 * before:
-            break
     cell = F.col("least").bitwiseAND(_CELLS - 1).alias("cell")
-    crowd = classes.groupBy(cell).agg(F.greatest(F.count("*") / GROUP_SETS, F.sum("size") / GROUP_SHINGLES).alias("fill")).where("fill > 1")
-    splits = F.broadcast(stored(crowd.select("cell", F.ceil("fill").alias("parts")), "jaccard-splits"))  # _CELLS rows at most
+    fill = F.greatest(F.count("*") / GROUP_SETS, F.sum("size") / GROUP_SHINGLES)
+    splits = F.broadcast(held.table(kept.groupBy(cell).agg(fill.alias("fill")).where("fill > 1").select("cell", F.ceil("fill").alias("parts")), "splits"))  # _CELLS rows at most
 
     def grouped(df: DataFrame) -> DataFrame:
         part = F.pmod(F.xxhash64(F.lit("part"), "class"), F.coalesce("parts", F.lit(1)))
         band = F.floor(F.log(F.col("size").cast("double")) / _BAND)
         return df.withColumn("cell", cell).join(splits, "cell", "left").withColumn("group", F.xxhash64("least", band, part)).drop("cell", "parts")
 
-    # of two sizes m <= M, t * (m - t * M) / (1 + t) first shingles at least are shared; see may_have_partner
-    t = num / den
-    spans = stored(grouped(classes).groupBy("group").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.count("*").alias("n")), "jaccard-spans")
-    meets = grouped(kept).select("shingle", "group").distinct().groupBy("shingle").agg(F.array_sort(F.collect_set("group")).alias("groups")).where(F.size("groups") > 1)
-    ahead = meets.select(F.posexplode("groups").alias("i", "a"), "groups").select("a", F.explode(F.slice("groups", F.col("i") + 2, F.size("groups"))).alias("b"))
-    side = lambda x: spans.select(F.col("group").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}"))
-    counted = ahead.groupBy("a", "b").agg(F.count("*").alias("shared")).join(side("a"), "a").join(side("b"), "b")
-    needed = F.lit(t) * (F.least("low_a", "low_b") - F.lit(t) * F.greatest("high_a", "high_b")) / (1 + t)
-    apart = (F.col("high_a") < F.lit(t - 1e-9) * F.col("low_b")) | (F.col("high_b") < F.lit(t - 1e-9) * F.col("low_a"))
-    alone = spans.where("n > 1").select(F.col("group").alias("a"), F.lit(None).cast("long").alias("b"))
-    pairs = stored(counted.where((F.col("shared") >= needed - 1e-6) & ~apart).select("a", "b").union(alone), "jaccard-pairs")
-    # the sets of the groups that meet
-    meeting = pairs.select(F.explode(F.array_compact(F.array("a", "b"))).alias("group")).distinct()
-    wanted = bit_filter(grouped(classes).join(meeting, "group", "left_semi"), "row_key")
-    sets = rows.select("row_key", "body").mapInArrow(_chosen_sets(send(wanted), n), "class binary, least long, size long, members binary")
-    filled = grouped(sets).groupBy("group").agg(F.collect_list(F.struct("class", "members")).alias("sets"))
-    groups = stored(filled, "jaccard-groups")
-    ours = groups.select(F.col("group").alias("a"), F.col("sets").alias("ours"))
-    theirs = groups.select(F.col("group").alias("b"), F.col("sets").alias("theirs"))
-    meetings = pairs.join(ours, "a").join(theirs, "b", "left").select("ours", "theirs")
-    links = stored(meetings.mapInArrow(_meetings(num, den), "class binary, root binary, links long"), "jaccard-links")
-    # classes with their component and links
-    found = components(links.where(F.col("class") != F.col("root")).select(F.col("class").alias("a"), F.col("root").alias("b")), "jaccard-components").withColumnRenamed("node", "class")
+    # the token-group matrix, and the groups that it opens for each class
+    entries = grouped(kept).select("class", "size", "group", F.explode("firsts").alias("shingle"))
+    name = F.xxhash64("class")
+    several = (F.min(name) < F.max(name)).alias("several")
+    matrix = held.table(entries.groupBy("shingle", F.col("group").alias("target")).agg(F.min("size").alias("low"), F.max("size").alias("high"), several), "matrix")
+    asks = held.table(entries, "asks")
+    x = F.col("size")
+    fits = (F.col("high") >= (t - 1e-9) * x) & ((t - 1e-9) * F.col("low") <= x)
+    other = (F.col("group") < F.col("target")) | ((F.col("group") == F.col("target")) & F.col("several"))
+    hits = asks.join(matrix, "shingle").where(fits & other).groupBy("class", "size", "group", "target")
+    bound = hits.agg(F.count("*").alias("hits"), F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("hits") >= needed(x, F.col("low"), F.col("high"), t))
+    opened = held.table(bound.select("class", "target", (F.col("group") == F.col("target")).alias("own")), "opened")
+    held.drop("asks", "matrix")
+    # the sets of those classes and groups
+    targets = held.table(opened.groupBy(F.col("target").alias("group")).agg(F.ceil(F.count("*") / UNIT_QUERIES).cast("int").alias("parts")), "targets")
+    inside = grouped(kept).join(targets, "group", "left_semi").select("row_key")
+    asking = kept.join(opened.select("class").distinct(), "class", "left_semi").select("row_key")
+    wanted = bit_filter(inside.union(asking), "row_key")
+    chosen = rows.select("row_key", "body").mapInArrow(_chosen_sets(send(wanted), n), "class binary, least long, size long, members binary")
+    sets = held.table(grouped(chosen.groupBy("class").agg(*(F.first(c).alias(c) for c in ("least", "size", "members")))), "sets")
+    units = sets.join(targets, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("ask"), "class", F.lit(False).alias("own"), "members")
+    place = F.pmod(F.xxhash64(F.lit("unit"), "class"), F.col("parts")).cast("int").alias("part")
+    queries = sets.drop("group").join(opened, "class").withColumnRenamed("target", "group").join(targets, "group").select("group", place, F.lit(True).alias("ask"), "class", "own", "members")
+    dealt = units.union(queries).repartition("group", "part").sortWithinPartitions("group", "part", "ask", "own", "class")
+    links = held.table(dealt.mapInArrow(_opened(num, den), "class binary, root binary, links long"), "links")
+    held.drop("sets", "targets", "opened", "kept")
+    # classes of several documents or with links; all others are components of their own
+    edges = links.where(F.col("class") != F.col("root")).select(F.col("class").alias("a"), F.col("root").alias("b"))
+    found = components(edges, "jaccard-components").select(F.col("node").alias("class"), F.col("component").alias("label"))
     numbers = links.groupBy("class").agg(F.sum("links").alias("n_links"))
     full = profile.where("size > 0").groupBy("class").agg(F.min("doc").alias("class_id"), F.count("*").alias("n_copies"))
-    known = full.join(found, "class", "left").join(numbers, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    known = stored(known, "jaccard-known")
-    least = known.groupBy("component").agg(F.min("class_id").alias("least_id"))
-    told = known.join(least, "component").select("class", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("component").alias("label"), F.col("least_id").alias("component"))
-    columns = ["doc", "row_key", F.col("size").alias("n_shingles"), "component", "class_id", "n_copies", "n_links", "label"]
-    empty = profile.where("size = 0").withColumns({"label": F.lit(None).cast("binary"), "component": F.col("doc"), "class_id": F.col("doc"), "n_copies": F.lit(1).cast("long"), "n_links": F.lit(0).cast("long")})
-    return profile.where("size > 0").join(told, "class", "left").select(*columns).unionByName(empty.select(*columns))
+    known = full.join(found, "class", "left").join(numbers, "class", "left").where("n_copies > 1 OR label IS NOT NULL").withColumn("label", F.coalesce("label", "class"))
+    known = held.table(known, "known")
+    least = held.table(known.groupBy("label").agg(F.min("class_id").alias("component")), "least")
+    told = held.table(known.join(least, "label"), "told")
+    held.drop("known", "least", "links")
+    lone = F.col("n_copies").isNull()
+    none = F.col("class").isNull()
+    return profile.join(told, "class", "left").select(
+        "doc",
+        "row_key",
+        F.col("size").alias("n_shingles"),
+        F.when(lone, F.col("doc")).otherwise(F.col("component")).alias("component"),
+        F.when(lone, F.col("doc")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(none, F.lit(None).cast("binary")).otherwise(F.coalesce("label", "class")).alias("label"),
+    )
 
 
 def keep_one(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with one row of each component, one with its least id. Rows without words have no copies and all stay."""
-    rows = labelled(docs, doc=doc, text=text, **options).where("n_shingles > 0")
-    found = stored(rows.select("row_key", "label", F.col("doc").eqNullSafe(F.col("component")).alias("least")), "jaccard-found")
-    keys = found.where("least").groupBy("label").agg(F.min("row_key").alias("row_key")).select("row_key")
-    equal = found.groupBy("row_key").count().withColumnRenamed("count", "_equal")
-    chosen = sized(keys.join(equal, "row_key").withColumnRenamed("row_key", "_key"))
-    kept = docs.withColumn("_key", F.xxhash64(doc, text)).join(chosen, "_key")
+    held = Scratch(docs.sparkSession, "jaccard-keep")
+    rows = labelled(docs, doc=doc, text=text, **options).where("n_shingles > 0 AND (n_copies > 1 OR n_links > 0)")
+    found = held.table(rows.select("row_key", "label", F.col("doc").eqNullSafe(F.col("component")).alias("least")), "found")
+    keys = found.where("least").groupBy("label").agg(F.min("row_key").alias("row_key")).select("row_key", F.lit(True).alias("chosen"))
+    equal = found.groupBy("row_key").count()
+    told = equal.join(keys, "row_key", "left").select(F.col("row_key").alias("_key"), F.coalesce("chosen", F.lit(False)).alias("_chosen"), F.col("count").alias("_equal"))
+    marked = docs.withColumn("_key", F.xxhash64(doc, text)).join(sized(told), "_key", "left")
     # only equal rows need to be brought together
-    single, several = kept.where("_equal = 1"), kept.where("_equal > 1").dropDuplicates(["_key"])
-    blank = F.coalesce(F.rlike(F.col(text), F.lit(r"^[\x09-\x0D\x20]*$")), F.lit(True))
-    return single.unionByName(several).drop("_key", "_equal").unionByName(docs.where(blank))
+    single = marked.where("_equal IS NULL OR (_chosen AND _equal = 1)")
+    several = marked.where("_chosen AND _equal > 1").dropDuplicates(["_key"])
+    return single.unionByName(several).drop("_key", "_chosen", "_equal")
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,19 +232,81 @@ def brute_removal(rows, length):
     return out
 
 
-@pytest.mark.parametrize("least", [1000, 3])
-def test_suffix_dedup(spark, monkeypatch, least):
-    monkeypatch.setattr(suffixdedup, "HOT_LEAST", least)
-    rng = random.Random(6)
+def repeating_texts(rng, count):
     base = "".join(rng.choice("abcdeé\n ") for _ in range(2000))
-    rows = [(1000, None), (1001, ""), (1002, "a" * 99), (1003, "a" * 100), (1004, "a" * 350)]
-    for i in range(120):
+    rows = [(1000, None), (1001, ""), (1002, "a" * 99), (1003, "a" * 100), (1004, "a" * 350), (1005, "\0" * 300 + "b")]
+    for i in range(count):
         a = rng.randint(0, 1500)
-        rows.append((i, rng.choice([base[a : a + rng.randint(90, 500)], "xyz" * rng.randint(0, 20) + base[a : a + 130] + str(rng.random()), "ab" * rng.randint(0, 200)])))
+        rows.append((i, rng.choice([base[a : a + rng.randint(90, 500)], "xyz" * rng.randint(0, 20) + base[a : a + 130] + str(rng.random()), "ab" * rng.randint(0, 200), "\0" * rng.randint(0, 200)])))
+    return rows
+
+
+@pytest.mark.parametrize("least,parts,piece,run", [(1000, 10_000, 1 << 17, 120_000), (3, 10_000, 1 << 17, 50), (3, 30, 300, 400)])
+def test_suffix_dedup(spark, monkeypatch, least, parts, piece, run):
+    for name, value in (("HOT_LEAST", least), ("HOT_PARTS", parts), ("PIECE", piece), ("RUN_SUFFIXES", run)):
+        monkeypatch.setattr(suffixdedup, name, value)
+    rows = repeating_texts(random.Random(least + piece), 120)
     found = suffixdedup.dedup(frame(spark, rows, "doc_id long, text string")).collect()
     assert Counter((r.doc, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == brute_removal(rows, 100)
 
 
+def test_merged_ranges_decide_every_repeat():
+    """One range in memory, on random texts with many variants around each anchor."""
+    import pyarrow as pa
+
+    for seed in range(6):
+        rng = random.Random(seed)
+        base = "".join(rng.choice("ab c") for _ in range(400))
+        texts = []
+        for _ in range(60):
+            t = list(base[rng.randint(0, 100) : rng.randint(200, 400)])
+            for _ in range(rng.randint(0, 3)):
+                t[rng.randrange(len(t))] = rng.choice("ab c")
+            texts.append("".join(t))
+        runs = suffixdedup._Runs(1)
+        batches = []
+        for k in range(0, 60, 20):
+            for found in suffixdedup.chunks(texts[k : k + 20]):
+                some = np.arange(len(found.hash))
+                rows, sizes, near, far = suffixdedup._suffixes(found, some, 100)
+                batches += runs.add(rows, sizes, np.zeros(len(some), np.int32), found.text + k, found.anchor + found.ahead, near, far)
+            batches += runs.flush()
+
+        class Sent:
+            value = np.zeros(0, np.uint64)
+
+        got = suffixdedup._merged(Sent, 100)(pa.Table.from_batches(batches)).to_pylist()
+        starts = {(r["doc_key"], s) for r in got for s in range(r["start"], r["start"] + r["width"])}
+        seen, expected = set(), set()
+        for i, t in enumerate(texts):
+            for s in range(len(t) - 99):
+                if t[s : s + 100] in seen:
+                    expected.add((i, s))
+                seen.add(t[s : s + 100])
+        assert starts == expected and expected
+
+
+def test_suffix_dedup_of_very_long_texts(spark):
+    rng = random.Random(2)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(700_000))
+    rows = [(1, base), (2, "x" + base[300_000:] + "y"), (3, base[:50_000] + "z" + base[650_000:])]
+    found = {r.doc: (r.n_removed, r.n_spans) for r in suffixdedup.dedup(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert found == {1: (0, 0), 2: (400_000, 1), 3: (100_000, 2)}
+
+
+def test_repeated_codes(spark):
+    from trailspark.llm import filters
+
+    rng = np.random.default_rng(4)
+    once, twice = rng.integers(0, 2**63, 5000).astype(np.uint64) * 2, rng.integers(0, 2**63, 300).astype(np.uint64) * 2
+    hot = rng.integers(0, 2**63, 1).astype(np.uint64)
+    values = np.concatenate([once, twice, twice, np.repeat(hot, 600)])
+    docs = spark.createDataFrame([(v,) for v in values.view(np.int64).tolist()], "h long").repartition(5)
+    bits, often, total = filters.repeated_codes(docs, lambda b: iter([filters.unsigned(b.column(0))]), least=100, share=10)
+    assert filters.repeats(bits, twice).all() and filters.repeats(bits, hot).all() and filters.repeats(bits, once).mean() < 0.01
+    assert often.tolist() == filters.codes(hot).tolist() and total == 1200
+
+
 def test_suffix_dedup_of_repeated_ids(spark):
     rng = random.Random(1)
     text = "".join(rng.choice("abc") for _ in range(300))

@@ -102,46 +102,101 @@ def count_levels(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np
     return out
 
 
-def _both_cells(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A cell in each half of a table of 2**bits cells."""
-    half = np.uint64((1 << (bits - 1)) - 1)
-    return hashes & half, ((hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(65 - bits)) | (half + np.uint64(1))
+#: Bits of the codes that repeats are found by, and of the table that the repeated ones are sent out as.
+CODE_BITS, TABLE_BITS = 40, 29
 
 
-def seen(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Which hashes may have been hit several times, by both halves of the table of several()."""
-    one, other = _both_cells(hashes, (len(table) * 8).bit_length() - 1)
-    return holds(table, one) & holds(table, other)
+def codes(hashes: np.ndarray) -> np.ndarray:
+    """The leading bits of unsigned hashes."""
+    return hashes >> np.uint64(64 - CODE_BITS)
 
 
-def several(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = 29, least: int = 1000, share: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
-    """A table for seen(): in either half, the cells that were hit more than once, as packed bits.
+def _packed_codes(found: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted codes as differences, with their counts up to 255 in a byte and those above in full."""
+    small = np.minimum(counts, 255).astype(np.uint8)
+    head = np.array([len(found)], np.int64).tobytes()
+    return zlib.compress(head + np.diff(found.astype(np.int64), prepend=np.int64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() + small.tobytes() + counts[small == 255].astype(np.int64).tobytes(), 1)
 
-    And the cells of the first half hit more than `least` times and a `share`-th of all, which are `share` at most.
+
+def _unpacked_codes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = zlib.decompress(data)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, 8).reshape(8, n).T).view("<u8").ravel()
+    counts = np.frombuffer(data, np.uint8, n, 8 + 8 * n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, np.int64, -1, 8 + 9 * n)
+    return np.cumsum(steps.astype(np.int64)), counts
+
+
+def repeated_codes(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], least: int = 1000, share: int = 10_000) -> tuple[np.ndarray, np.ndarray, int]:
+    """A table for repeats(), the frequent codes, and the number of hashes whose code occurs again.
+
+    Tasks send the sorted codes of their blocks as differences; each part of the codes' range is put together by a
+    task of its own, in two rounds, so that no group holds a row of every block. Only codes that occur again go into
+    the table, which has a fixed size. Frequent are those that occur more than `least` times and make up a `share`-th
+    of all, `share` at most.
     """
-    each = (1 << bits) // _PARTS
+    shift = CODE_BITS - (_PARTS - 1).bit_length()
+    each = (1 << TABLE_BITS) // _PARTS
+    schema = "part int, data binary"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found, counts = np.unique(codes(np.concatenate(held)), return_counts=True)
+            cuts = np.searchsorted(found, np.arange(_PARTS + 1, dtype=np.uint64) << np.uint64(shift))
+            parts = [i for i in range(_PARTS) if cuts[i] < cuts[i + 1]]
+            data = [_packed_codes(found[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]]) for i in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
+
+        for batch in batches:
+            for found in hashes(batch):
+                held.append(found)
+                size += len(found)
+                if size > 1 << 21:
+                    yield from flush()
+                    held, size = [], 0
+        if size:
+            yield from flush()
+
+    def together(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        found, counts = (np.concatenate(x) for x in zip(*(_unpacked_codes(d) for d in group["data"])))
+        order = np.argsort(found, kind="stable")
+        found, counts = found[order], counts[order]
+        first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+        return found[first], np.add.reduceat(counts, first)
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [group["part"].iloc[0]], "data": [_packed_codes(*together(group))]})
+
+    def end(group: pd.DataFrame) -> pd.DataFrame:
+        found, counts = together(group)
+        found, counts = found[counts > 1], counts[counts > 1]
+        flags = np.zeros(each, np.uint8)
+        flags[(found >> (CODE_BITS - TABLE_BITS)) % each] = 1
+        often = np.flatnonzero(counts > least)
+        often = often[np.argsort(-counts[often], kind="stable")[:share]]
+        head = np.array([counts.sum(), len(often), *found[often], *counts[often]], np.int64)
+        return pd.DataFrame({"part": [group["part"].iloc[0]], "data": [zlib.compress(head.tobytes() + np.packbits(flags).tobytes(), 1)]})
 
-    def finish(total: np.ndarray) -> bytes:
-        often = np.flatnonzero(total > least)
-        often = often[np.argsort(-total[often].astype(np.int64), kind="stable")[:share]]
-        head = np.array([int(total.sum(dtype=np.int64)), len(often), *often, *total[often]], np.int64)
-        return zlib.compress(head.tobytes() + np.packbits(total > 1).tobytes(), 1)
-
-    bitmap, total, most = np.zeros((1 << bits) // 8, np.uint8), 0, []
-    def twofold(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for found in hashes(batch):
-            yield from _both_cells(found, bits)
-
-    for part, data in cell_counts(docs, twofold, bits, finish).items():
-        data = zlib.decompress(data)
-        size, count = np.frombuffer(data, np.int64, 2).tolist()
-        found = np.frombuffer(data, np.int64, 2 * count, 16)
-        if part < _PARTS // 2:
-            total += size
-            most.append((found[:count] + part * each, found[count:]))
-        bitmap[part * (each // 8) : (part + 1) * (each // 8)] = np.frombuffer(data, np.uint8, offset=16 * (count + 1))
-    hot = [cells[counts > total // share] for cells, counts in most]
-    return bitmap, np.sort(np.concatenate(hot)).astype(np.uint64) if hot else np.zeros(0, np.uint64)
+    counted = docs.mapInArrow(count, schema).withColumn("turn", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(_PARTS)))
+    sums = counted.groupBy("part", "turn").applyInPandas(add, schema).groupBy("part").applyInPandas(end, schema)
+    bitmap, total, most = np.zeros((1 << TABLE_BITS) // 8, np.uint8), 0, []
+    for row in sums.collect():  # 2**TABLE_BITS / 8 bytes at most
+        data = zlib.decompress(bytes(row["data"]))
+        size, n = np.frombuffer(data, np.int64, 2).tolist()
+        found = np.frombuffer(data, np.int64, 2 * n, 16)
+        total += size
+        most.append((found[:n], found[n:]))
+        bitmap[row["part"] * (each // 8) : (row["part"] + 1) * (each // 8)] = np.frombuffer(data, np.uint8, offset=16 * (n + 1))
+    hot = [found[counts > total // share] for found, counts in most]
+    return bitmap, np.sort(np.concatenate(hot)).astype(np.uint64) if hot else np.zeros(0, np.uint64), total
+
+
+def repeats(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may have a code that occurs again, by the table of repeated_codes()."""
+    at = codes(hashes) >> np.uint64(CODE_BITS - TABLE_BITS)
+    return (table[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:

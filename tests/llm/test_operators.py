@@ -385,23 +385,24 @@ def test_bpe(spark, coder):
     assert {(r.doc_id, r.n_tokens, r.decoded_sha256) for r in found} == {(i, len(coder.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows}
 
 
-@pytest.mark.parametrize("block", ["128m", "700"])
-def test_token_counts(spark, tmp_path, coder, block):
-    rows = [(i, t) for i, t in enumerate(odd_texts()[:300])] + [(None, None)]
-    docs = frame(spark, rows, "doc_id long, text string").repartition(3).cache()
-    path, end = str(tmp_path / "t"), coder.n_vocab
-    order = tokencount.write_tokens(docs, path, RANKS, PATTERN)
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
-    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+@pytest.mark.parametrize("block,size", [("128m", 32 << 20), ("700", 3000)])
+def test_token_counts(spark, tmp_path, monkeypatch, coder, block, size):
+    """The query; the input is split otherwise at the write than when the files are read."""
+    monkeypatch.setattr(tokencount, "FILE_BYTES", size)
+    rows = [(i, t) for i, t in enumerate(odd_texts()[:300])] + [(None, None), (7, "again"), (9999, "a b " * 60_000)]
+    frame(spark, rows, "doc_id long, text string").repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    held = {c: spark.conf.get(c, None) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")}
     try:
-        found = tokencount.count_tokens(spark, path, end).selectExpr("cast(regexp_extract(file, 'part-([0-9]+)', 1) as long) as part", "nth", "n_tokens")
-        counts = {r.doc: r.n_tokens for r in order.join(found, ["part", "nth"]).collect()}
-        total = found.count()
+        spark.conf.set("spark.sql.files.minPartitionNum", "2")
+        found = tokencount.op9_tokencount(spark, str(tmp_path))
+        spark.conf.set("spark.sql.files.minPartitionNum", "3")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        counts = Counter((r.doc_id, r.n_tokens) for r in found.collect())
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-        spark.conf.unset("spark.sql.files.openCostInBytes")
-    assert total == len(rows) and counts == {i: len(coder.encode_ordinary(t or "")) for i, t in rows}
+        for c, v in held.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+    assert counts == Counter((d, len(coder.encode_ordinary(t or ""))) for d, t in rows)
 
 
 def test_token_counts_of_a_file_that_ends_within_a_document(spark, tmp_path):
@@ -517,4 +518,9 @@ def test_empty_tables(spark, tmp_path):
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
     assert warc.read_warc(spark, str(tmp_path / "w")).count() == 0
     order = tokencount.write_tokens(none, str(tmp_path / "t"), RANKS, PATTERN)
-    assert order.count() == 0 and tokencount.count_tokens(spark, str(tmp_path / "t"), 50256).count() == 0
+    assert order.count() == 0 and tokencount.count_tokens(spark, str(tmp_path / "t" / "kind=tokens"), 50256).count() == 0
+    none.write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "sf" / "embeddings.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "sf" / "labels.parquet"))
+    for query in (tokencount.op9_tokencount, topk.op7_topk, toxicity.op8_toxicity, langid.op2_langid):
+        assert query(spark, str(tmp_path / "sf")).count() == 0

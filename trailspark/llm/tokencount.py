@@ -8,14 +8,18 @@ matches across two ids, numbers the documents, and finds where a document begins
 Blocks are Spark's own splits of a text source whose line separator is a byte that the end-of-document id does
 not hold, so no match crosses a line or a block, and any store that Spark reads will do.
 
+`write_tokens` writes files of bounded size, each in a folder of its own. The task that writes a file also writes,
+in the same job, which documents are in it; so the two agree however the input is split, and if tasks run again.
+
 Defined cases: a null text counts as empty, a document without tokens; what follows the last separator of a file
-is a document too, if it isn't empty; a null id stays null; an empty table writes nothing and gives no rows;
-columns other than the id and the text are not read. Whole ids are expected: a file whose size isn't a multiple
-of the width ends in a partial id, which is not counted.
+is a document too, if it isn't empty; a null id stays null; an empty table writes no token file and gives no rows;
+texts of any length are encoded whole; columns other than the id and the text are not read. Whole ids are expected:
+a file whose size isn't a multiple of the width ends in a partial id, which is not counted.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,37 +29,56 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailspark.llm.bpe import load_ranks
-from trailspark.llm.common import shared_path, table
+from trailspark.llm.common import exists, shared_path, table
 
 #: Bytes that are searched at once.
 CHUNK_BYTES = 4 << 20
-#: monotonically_increasing_id() holds the partition above this bit and the row below it.
-_ROW_BITS = 33
+#: Bytes and documents of a file that write_tokens writes, about.
+FILE_BYTES, FILE_DOCUMENTS = 32 << 20, 100_000
 
 
 def write_tokens(docs: DataFrame, path: str, ranks: str, pattern: str, *, doc: str = "doc_id", text: str = "text", end: int | None = None, width: int = 2) -> DataFrame:
-    """Write the ids of each text, ended by the id `end` (by default the first free one), to flat files under path.
+    """Write the ids of each text, ended by the id `end` (by default the first free one), to flat files under path/kind=tokens.
 
-    Returns (doc, part, nth): which document is the nth of which file. docs should be a scan, or anything else
-    whose partitions come out alike when it is read twice.
+    Returns (doc, piece, nth): which document is the nth of the file in which folder.
     """
     tokens = load_ranks(ranks)
     end = len(tokens) if end is None else end
-    sent = docs.sparkSession.sparkContext.broadcast(tokens)  # fixed size, about a megabyte
+    separator = end.to_bytes(width, "little")
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(tokens)  # fixed size, about a megabyte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
+        from pyspark import TaskContext
 
         coder = tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(sent.value)}, special_tokens={})
-        for batch in batches:
-            found = [np.asarray(coder.encode_to_numpy(t or "", disallowed_special=())).astype(f"<u{width}").tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["value"])
+        task, turn, names, held, size = TaskContext.get().partitionId(), 0, [], [], 0
 
-    flat = docs.select(F.col(text).alias("body")).mapInArrow(run, "value binary")
-    separator = end.to_bytes(width, "little").decode("latin-1")
-    flat.select(F.col("value").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", separator).text(path)
-    place = docs.select(F.col(doc).alias("doc"), F.monotonically_increasing_id().alias("place"))
-    return place.select("doc", F.shiftright("place", _ROW_BITS).alias("part"), F.col("place").bitwiseAND((1 << _ROW_BITS) - 1).alias("nth"))
+        def file() -> pa.RecordBatch:
+            # the writer ends each value with the separator
+            values = [separator.join(held), json.dumps(names).encode()]
+            return pa.RecordBatch.from_arrays([pa.array(["tokens", "order"]), pa.array([f"{task}x{turn}"] * 2), pa.array(values, pa.binary())], names=["kind", "piece", "value"])
+
+        for batch in batches:
+            for name, body in zip(*(batch.column(c).to_pylist() for c in ("doc", "body"))):
+                names.append(name)
+                held.append(coder.encode_to_numpy(body or "", disallowed_special=()).astype(f"<u{width}").tobytes())
+                size += len(held[-1])
+                if size > FILE_BYTES or len(held) >= FILE_DOCUMENTS:
+                    yield file()
+                    turn, names, held, size = turn + 1, [], [], 0
+        if held:
+            yield file()
+
+    named = docs.select(F.col(doc).alias("doc"), F.col(text).alias("body"))
+    kind = dict(named.dtypes)["doc"]
+    flat = named.mapInArrow(run, "kind string, piece string, value binary")
+    none = spark.range(1).select(F.lit("order").alias("kind"), F.lit("none").alias("piece"), F.lit(b"[]").alias("value"))
+    whole = flat.unionByName(none).withColumn("value", F.col("value").cast("string"))
+    whole.write.partitionBy("kind", "piece").option("encoding", "ISO-8859-1").option("lineSep", separator.decode("latin-1")).text(path)
+    lists = spark.read.format("binaryFile").load(f"{path}/kind=order").select("piece", F.expr(f"substring(content, 1, length(content) - {width})").cast("string").alias("names"))
+    return lists.select("piece", F.posexplode(F.from_json("names", f"array<{kind}>")).alias("nth", "doc")).select("doc", "piece", F.col("nth").cast("long").alias("nth"))
 
 
 def _marker(end: bytes) -> bytes:
@@ -100,10 +123,12 @@ def _scan(end: bytes, marker: bytes):
 
 
 def count_tokens(spark: SparkSession, path: str, end: int, *, width: int = 2) -> DataFrame:
-    """(file, nth, start, n_tokens) for each document of the files under path; start counts ids."""
+    """(file, nth, start, n_tokens) for each document of the files under path; start counts ids, file is a folder and a name."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "file string, nth long, start long, n_tokens long")
     mark = end.to_bytes(width, "little")
     marker = _marker(mark)
-    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    name = lambda c: F.substring_index(c, "/", -2)
     lines = spark.read.option("lineSep", marker.decode("latin-1")).text(path)
     raw = lines.select(F.xxhash64(name(F.col("_metadata.file_path"))).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
     chunks = raw.mapInArrow(_scan(mark, marker), "file long, block long, chunk long, size long, places array<long>")
@@ -139,6 +164,6 @@ def op9_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path, ranks = shared_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     order = write_tokens(table(spark, sf_dir, "documents"), path, ranks, public_tokenizers.PATTERN)
-    found = count_tokens(spark, path, len(load_ranks(ranks)))
-    parts = found.select(F.regexp_extract("file", r"^part-(\d+)", 1).cast("long").alias("part"), "nth", "n_tokens")
-    return order.join(parts, ["part", "nth"], "left").select(F.col("doc").alias("doc_id"), F.coalesce("n_tokens", F.raise_error(F.lit("a document has no place in the token files")).cast("long")).alias("n_tokens"))
+    found = count_tokens(spark, f"{path}/kind=tokens", len(load_ranks(ranks)))
+    parts = found.select(F.regexp_extract("file", "^piece=([^/]+)/", 1).alias("piece"), "nth", "n_tokens")
+    return order.join(parts, ["piece", "nth"], "left").select(F.col("doc").alias("doc_id"), F.coalesce("n_tokens", F.raise_error(F.lit("a document has no place in the token files")).cast("long")).alias("n_tokens"))

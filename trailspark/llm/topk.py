@@ -1,23 +1,24 @@
 """Exact top-k inner-product search with ball trees.
 
-Candidates are dealt into shards by a hash of their id; a task builds a ball tree over each shard of its own and
-searches it for a block of queries. Nodes are taken in order of the upper bound of the inner product with a query
-(that with the centre plus radius times norm), and those that can't reach the query's k-th best so far are left
-out. The k-th best is shared: every query starts from its k best among a small common set of candidates, and
-carries what it has from shard to shard of a task. The best of all tasks are merged by partial top-k.
+Candidates are dealt into shards of bounded size; a task builds a ball tree over each, once, and stores it. Queries
+are packed into blocks of bounded size. A unit is a block of queries and every so many-th shard; its trees are
+streamed past its queries. A query takes the leaves of a tree in order of its own upper bound of the inner product
+(that with the centre plus radius times norm); leaves and branches that can't reach its k-th best so far are left
+out, and again as that rises. The k-th best is shared: every query starts from its k best among a small common set of
+candidates, and carries what it has from tree to tree. The best of all units are merged by partial top-k.
 
-Queries go out in blocks of bounded size, one pass over the shards each, so that what is broadcast doesn't grow.
+Trees and blocks are tables in the shared folder; no vector passes through the driver, and nothing is broadcast.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows with a null
 id; vectors of different lengths are never compared; ties go to the smaller id, and of rows of one id each takes
-part; a query is never its own candidate, by id; fewer candidates give fewer results; columns other than those
-asked for are not read; empty tables give no rows.
+part, as a candidate and as a query of its own; a query is never its own candidate, by id; fewer candidates give
+fewer results; scores are exact if they fit a long; columns other than those asked for are not read; empty tables
+give no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +26,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import stored, table
+from trailspark.llm.common import Scratch, sized, table
 
-#: Candidates in a shard, points in a leaf, and queries that are broadcast at once.
-SHARD_ROWS, LEAF, BLOCK = 8192, 64, 8192
+#: Candidates in a shard, points in a leaf, and queries in a block.
+SHARD_ROWS, LEAF, BLOCK = 8192, 64, 2048
 #: Candidates that every query is first compared with.
 COMMON = 512
+_EXACT = float(1 << 52)
+_NOTHING = np.iinfo(np.int64).min
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of whole numbers, exact if they fit a long."""
+    if a.shape[1] == 0 or np.abs(a).max(initial=0) * float(np.abs(b).max(initial=0)) * a.shape[1] < _EXACT:
+        return np.rint(a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    return a @ b.T  # of longs, so without a detour through doubles
+
+
+def _below(scores: np.ndarray) -> np.ndarray:
+    """Doubles a little below the scores, so that rounding loses nothing."""
+    scores = scores.astype(np.float64)
+    return scores - 1e-12 * np.abs(scores)
 
 
 class BallTree:
-    """Nodes as arrays; a node's points are a run of `order`. Leaves have left -1."""
+    """Nodes as arrays; a node's points are a run of `points`. Leaves have left -1."""
 
     def __init__(self, ids: np.ndarray, points: np.ndarray):
-        self.order = np.argsort(ids, kind="stable")
+        places = points.astype(np.float64)
+        order = np.argsort(ids, kind="stable")
         nodes: list[tuple[int, int, int, int]] = []
         todo = [(0, len(ids), -1, False)]
         while todo:
@@ -48,110 +65,184 @@ class BallTree:
                 nodes[parent] = (a, b, c, at) if right else (a, b, at, d)
             nodes.append((lo, hi, -1, -1))
             if hi - lo > LEAF:
-                some = points[self.order[lo:hi]]
+                some = places[order[lo:hi]]
                 far = some[((some - some.mean(0)) ** 2).sum(1).argmax()]
                 other = some[((some - far) ** 2).sum(1).argmax()]
                 along = some @ (other - far)
                 if along.min() < along.max():  # equal points stay together
                     cut = (hi - lo) // 2
-                    self.order[lo:hi] = self.order[lo:hi][np.argsort(along, kind="stable")]
+                    order[lo:hi] = order[lo:hi][np.argsort(along, kind="stable")]
                     todo += [(lo + cut, hi, at, True), (lo, lo + cut, at, False)]
-        for lo, hi, left, _ in nodes:
-            if left < 0:
-                self.order[lo:hi] = self.order[lo:hi][np.argsort(ids[self.order[lo:hi]], kind="stable")]
-        self.nodes = nodes
-        self.ids, self.points = ids[self.order], points[self.order]
-        self.centres = np.array([self.points[lo:hi].mean(0) for lo, hi, *_ in nodes])
-        self.radii = np.array([np.sqrt(((self.points[lo:hi] - c) ** 2).sum(1).max()) for (lo, hi, *_), c in zip(nodes, self.centres)])
-        self.least = np.array([self.ids[lo:hi].min() for lo, hi, *_ in nodes])
-
-    def search(self, ids: np.ndarray, queries: np.ndarray, best: list, k: int) -> None:
-        """Update best, the (-score, id) pairs of each query in order. A leaf is opened for all queries that may gain from it."""
-        norms = np.sqrt((queries**2).sum(1))
-        bounds = queries @ self.centres.T + norms[:, None] * self.radii[None, :]
+        self.nodes = np.array(nodes, np.int64)
+        self.ids, self.points = ids[order], points[order]
+        places = places[order]
+        self.centres = np.array([places[lo:hi].mean(0) for lo, hi, *_ in nodes])
+        self.radii = np.array([np.sqrt(((places[lo:hi] - c) ** 2).sum(1).max()) for (lo, hi, *_), c in zip(nodes, self.centres)])
+
+    def packed(self) -> dict[str, bytes]:
+        return {k: np.ascontiguousarray(v).tobytes() for k, v in vars(self).items()}
+
+    @classmethod
+    def unpacked(cls, length: int, data: dict[str, bytes]) -> BallTree:
+        self = object.__new__(cls)
+        self.nodes = np.frombuffer(data["nodes"], np.int64).reshape(-1, 4)
+        self.ids, self.radii = np.frombuffer(data["ids"], np.int64), np.frombuffer(data["radii"], np.float64)
+        self.points = np.frombuffer(data["points"], np.int64).reshape(len(self.ids), length)
+        self.centres = np.frombuffer(data["centres"], np.float64).reshape(len(self.nodes), length)
+        return self
+
+    def search(self, block: Queries) -> None:
+        """Improve the block's best. Each query goes through the leaves in the order of its own bounds, a round each."""
+        bounds = block.places @ self.centres.T + block.norms[:, None] * self.radii[None, :]
         bounds += 1e-9 * np.abs(bounds) + 1e-6  # rounding
-        leaves = [i for i, node in enumerate(self.nodes) if node[2] < 0]
-        kth = np.array([-b[k - 1][0] if len(b) >= k else -np.inf for b in best])
-        # branches that no query can gain from fall away with all below them
-        live = np.zeros((len(queries), len(self.nodes)), bool)
-        live[:, 0] = bounds[:, 0] >= kth
-        for i, (_, _, left, right) in enumerate(self.nodes):
-            if left >= 0:
+        live = np.zeros(bounds.shape, bool)
+        live[:, 0] = bounds[:, 0] >= block.kth
+        for i, (_, _, left, right) in enumerate(self.nodes.tolist()):
+            if left >= 0:  # branches that a query can't gain from fall away with all below them
                 for child in (left, right):
-                    live[:, child] = live[:, i] & (bounds[:, child] >= kth)
-        for leaf in sorted(leaves, key=lambda i: -float(bounds[:, i].max())):
-            lo, hi, *_ = self.nodes[leaf]
-            some = np.flatnonzero(live[:, leaf] & (bounds[:, leaf] >= kth))
-            if not len(some):
-                continue
-            scores = queries[some] @ self.points[lo:hi].T
-            for row, q in enumerate(some.tolist()):
-                own = np.flatnonzero((scores[row] >= kth[q]) & (self.ids[lo:hi] != ids[q]))
-                if len(own):
-                    own = own[np.lexsort((self.ids[lo:hi][own], -scores[row][own]))[:k]]
-                    found = sorted(best[q] + [(-s, i) for s, i in zip(scores[row][own].tolist(), self.ids[lo:hi][own].tolist())])
-                    best[q] = found[:k]
-                    if len(best[q]) >= k:
-                        kth[q] = -best[q][k - 1][0]
-
-
-def _dense(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
+                    live[:, child] = live[:, i] & (bounds[:, child] >= block.kth)
+        leaves = np.flatnonzero(self.nodes[:, 2] < 0)
+        bounds = np.where(live[:, leaves], bounds[:, leaves], -np.inf)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        asking = np.flatnonzero(np.isfinite(bounds).any(1))
+        for turn in range(len(leaves)):
+            mine = order[asking, turn]
+            asking = asking[bounds[asking, mine] >= np.maximum(block.kth[asking], -np.finfo(float).max)]
+            if not len(asking):
+                return
+            mine = order[asking, turn]
+            by_leaf = np.argsort(mine, kind="stable")
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(mine[by_leaf])) + 1, [len(by_leaf)]))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                rows = asking[by_leaf[lo:hi]]
+                first, last = self.nodes[leaves[mine[by_leaf[lo]]], :2].tolist()
+                for at in range(first, last, 4096):  # equal points may fill a leaf beyond its size
+                    part = slice(at, min(at + 4096, last))
+                    block.add(rows, self.ids[part], products(block.vectors[rows], self.points[part]))
+
+
+class Queries:
+    """A block of queries with their best scores so far; `kth` is what a candidate has to reach."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, common_ids: np.ndarray, common: np.ndarray, k: int):
+        self.ids, self.vectors, self.places = ids, vectors, vectors.astype(np.float64)
+        self.norms = np.sqrt((self.places**2).sum(1))
+        self.scores = np.full((len(ids), k), _NOTHING)
+        self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.filled = np.zeros(len(ids), np.int64)
+        self.floor = np.full(len(ids), -np.inf)
+        if len(common_ids) > k:
+            # the k-th best of the common set, which are candidates too, so that a tie with it must get in
+            start = products(vectors, common)
+            start[ids[:, None] == common_ids[None, :]] = _NOTHING
+            kth = np.sort(start, 1)[:, -k]
+            self.floor = np.where(kth == _NOTHING, -np.inf, _below(kth))
+        self.kth = self.floor.copy()
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        k = self.scores.shape[1]
+        good = (scores >= self.kth[rows][:, None]) & (self.ids[rows][:, None] != ids[None, :])
+        gain = good.any(1)
+        rows, good, scores = rows[gain], good[gain], scores[gain]
+        if not len(rows):
+            return
+        every = np.concatenate([self.scores[rows], np.where(good, scores, _NOTHING)], 1)
+        names = np.concatenate([self.found[rows], np.where(good, ids[None, :], np.iinfo(np.int64).max)], 1)
+        empty = np.concatenate([np.arange(k)[None, :] >= self.filled[rows][:, None], ~good], 1)
+        order = np.lexsort((names, ~every, empty), axis=1)[:, :k]  # ~x orders longs downwards without an overflow
+        self.scores[rows], self.found[rows] = np.take_along_axis(every, order, 1), np.take_along_axis(names, order, 1)
+        self.filled[rows] = np.minimum(k, self.filled[rows] + good.sum(1))
+        full = rows[self.filled[rows] == k]
+        self.kth[full] = np.maximum(self.floor[full], _below(self.scores[full, k - 1]))
+
+
+def _matrix(column) -> np.ndarray:
+    """Lists of longs of one length as a matrix."""
+    column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(column[0]) if len(column) else 0)
+
+
+_TREE = ("ids", "points", "nodes", "centres", "radii")
+
+
+def _plant(part: pa.Table) -> pa.Table:
+    """For applyInArrow by length and shard: the shard's tree."""
+    tree = BallTree(part.column("id").to_numpy(), _matrix(part.column("vector"))).packed()
+    row = {"length": part.column("length")[0].as_py(), "shard": part.column("shard")[0].as_py(), **tree}
+    return pa.table({k: pa.array([row[k]], pa.int64() if k in ("length", "shard") else pa.binary()) for k in ("length", "shard", *_TREE)})
+
+
+def _packed(names: tuple[str, str, str, str]):
+    """For applyInArrow: a group's rows (id, number, vector) as one row of bytes."""
+
+    def pack(part: pa.Table) -> pa.Table:
+        length, key = (part.column(c)[0].as_py() for c in names[:2])
+        ids, vectors = part.column("id").to_numpy(), _matrix(part.column("vector"))
+        numbers = part.column("number").to_numpy()
+        return pa.table({names[0]: [length], names[1]: [key], names[2]: pa.array([ids.tobytes() + numbers.tobytes()], pa.binary()), names[3]: pa.array([vectors.tobytes()], pa.binary())})
+
+    return pack
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int, *, shard_rows: int = SHARD_ROWS, block: int = BLOCK, common: int = COMMON) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k highest inner products of each query. Both tables: (id long, vector array<double>) of whole numbers."""
+    """(query_id, rank, vec_id, score): the k highest inner products of each query. Both tables: (id long, vector array<long>)."""
     spark = candidates.sparkSession
-    points, asked = stored(candidates, "points"), stored(queries, "queries")
-    out: list[DataFrame] = []
-    for (length,) in points.select(F.size("vector")).distinct().collect():  # vectors of a table have one length, as a rule
-        some = points.where(F.size("vector") == length)
-        shards = max(1, -(-some.count() // shard_rows))
-        dealt = some.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-        tasks = min(shards, spark.sparkContext.defaultParallelism * 8)
-        dealt = stored(dealt.repartition(tasks, "shard").sortWithinPartitions("shard"), "shards")
-        first = _dense(some.orderBy(F.xxhash64(F.lit("common"), "id"), "id", "vector").limit(common).collect())
-        mine = asked.where(F.size("vector") == length)
-        blocks = max(1, -(-mine.count() // block))
-        for b in range(blocks):
-            held = _dense(rows) if (rows := mine.where(F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(blocks)) == b).collect()) else None  # about `block` rows
-            if held:
-                out.append(dealt.mapInArrow(_search(spark.sparkContext.broadcast((*held, *first)), k), "query_id long, vec_id long, score long"))
-    if not out:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = reduce(DataFrame.union, out)
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    held = Scratch(spark, "topk")
+    # the numbers that deal rows are written with them, so that they stay as they are; equal rows get different ones
+    numbered = lambda df: df.select("id", "vector", F.size("vector").cast("long").alias("length"), F.monotonically_increasing_id().alias("number"))
+    points, asked = held.table(numbered(candidates), "points"), held.table(numbered(queries), "queries")
+
+    def dealt(df: DataFrame, rows: int, name: str) -> tuple[DataFrame, DataFrame]:
+        parts = sized(df.groupBy("length").agg(F.ceil(F.count("*") / rows).alias(f"{name}s")))
+        return df.join(parts, "length").withColumn(name, F.pmod(F.xxhash64(F.lit(name), "number"), F.col(f"{name}s"))), parts
+
+    sharded, shards = dealt(points, shard_rows, "shard")
+    blocked, blocks = dealt(asked, block, "block")
+    kinds = ", ".join(f"{c} binary" for c in _TREE)
+    trees = held.table(sharded.select("length", "shard", "id", "vector").groupBy("length", "shard").applyInArrow(_plant, f"length long, shard long, {kinds}"), "trees")
+    packed = blocked.select("length", "block", "id", "number", "vector").groupBy("length", "block").applyInArrow(_packed(("length", "block", "ids", "points")), "length long, block long, ids binary, points binary")
+    first = F.row_number().over(W.partitionBy("length").orderBy(F.xxhash64(F.lit("common"), "number"), "number"))
+    some = points.withColumn("first", first).where(F.col("first") <= common).withColumn("one", F.lit(0).cast("long"))
+    some = some.select("length", "one", "id", "number", "vector").groupBy("length", "one").applyInArrow(_packed(("length", "one", "nodes", "centres")), "length long, one long, nodes binary, centres binary")
+    # a block meets every shard of its length: in as many units as keep all cores busy, each with every so many-th shard
+    wanted = 2 * spark.sparkContext.defaultParallelism
+    meeting = sized(shards.join(blocks, "length").withColumn("lanes", F.least("shards", F.greatest(F.lit(1), F.ceil(F.lit(wanted) / F.col("blocks"))))))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    none = F.lit(None).cast("binary")
+    asking = packed.join(some.drop("one"), "length").join(meeting, "length").select("length", "block", each("lanes").alias("lane"), F.lit(-1).cast("long").alias("shard"), "ids", "points", "nodes", "centres", none.alias("radii"))
+    growing = trees.join(meeting, "length").select("length", each("blocks").alias("block"), F.pmod("shard", "lanes").alias("lane"), "shard", *_TREE)
+    units = asking.union(growing).repartition("length", "block", "lane").sortWithinPartitions("length", "block", "lane", "shard")
+    found = held.table(units.mapInArrow(_search(k), "number long, query_id long, vec_id long, score long"), "found")
+    place = F.row_number().over(W.partitionBy("number").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _search(sent, k: int):
+def _search(k: int):
+    """For mapInArrow over units: a block of queries, then trees."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries, common_ids, common = sent.value
-        start = queries @ common.T
-        start[ids[:, None] == common_ids[None, :]] = -np.inf
-        # k-th of the common set: a bound that any other candidate has to reach
-        floor = np.sort(start, 1)[:, -k] if start.shape[1] >= k else np.full(len(ids), -np.inf)
-        best: list[list] = [[(-f, np.iinfo(np.int64).max)] * k if np.isfinite(f) else [] for f in floor.tolist()]
-        # a tie with the bound must get in, so the stand-ins have the greatest id and are taken out at the end
-
-        def close(shard: list) -> None:
-            if shard:
-                BallTree(np.concatenate([s[0] for s in shard]), np.concatenate([s[1] for s in shard])).search(ids, queries, best, k)
-
-        current, held = None, []
+        block, numbers = None, None
+
+        def close() -> pa.RecordBatch:
+            rows, at = np.nonzero(np.arange(k)[None, :] < block.filled[:, None])
+            columns = numbers[rows], block.ids[rows], block.found[rows, at], block.scores[rows, at]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["number", "query_id", "vec_id", "score"])
+
         for batch in batches:
-            numbers, vectors = batch.column("shard").to_numpy(), batch.column("vector")
-            width = len(vectors[0]) if len(vectors) else 0
-            flat = vectors.flatten().to_numpy().reshape(-1, width) if width else np.zeros((len(vectors), 0))
-            names = batch.column("id").to_numpy()
-            for shard in np.unique(numbers).tolist():
-                if shard != current:
-                    close(held)
-                    current, held = shard, []
-                held.append((names[numbers == shard], flat[numbers == shard]))
-        close(held)
-        rows = [(q, i, -s) for q, pairs in zip(ids.tolist(), best) for s, i in pairs if i != np.iinfo(np.int64).max]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([int(r[2]) for r in rows], pa.int64())], names=["query_id", "vec_id", "score"])
+            for row in range(batch.num_rows):
+                value = lambda c: batch.column(c)[row].as_py()  # noqa: B023, E731
+                length = value("length")
+                if value("shard") < 0:
+                    if block:
+                        yield close()
+                    ids, numbers = np.frombuffer(value("ids"), np.int64).reshape(2, -1)
+                    common = np.frombuffer(value("nodes"), np.int64).reshape(2, -1)[0]
+                    vectors, near = np.frombuffer(value("points"), np.int64), np.frombuffer(value("centres"), np.int64)
+                    block = Queries(ids, vectors.reshape(len(ids), length), common, near.reshape(len(common), length), k)
+                else:
+                    BallTree.unpacked(length, {c: value(c) for c in _TREE}).search(block)
+        if block:
+            yield close()
 
     return run
 
@@ -159,7 +250,7 @@ def _search(sent, k: int):
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", finite))
-    whole = rows.select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: F.floor(F.lit(64) * x.cast("double")).cast("double")).alias("vector"))
+    whole = rows.select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: F.floor(F.lit(64) * x.cast("double"))).alias("vector"))
     return top_k(whole, whole.where(F.col("id") % 20 == 0), 20)
 
 

@@ -294,6 +294,18 @@ def test_suffix_dedup_of_very_long_texts(spark):
     assert found == {1: (0, 0), 2: (400_000, 1), 3: (100_000, 2)}
 
 
+def test_count_levels(spark, monkeypatch):
+    from trailspark.llm import filters
+
+    monkeypatch.setattr(filters, "_COUNTED", 500)
+    values = np.repeat(np.arange(2000, dtype=np.uint64) * np.uint64(7919), np.arange(2000) % 40)
+    docs = spark.createDataFrame([(v,) for v in values.view(np.int64).tolist()], "h long").repartition(5)
+    levels = filters.count_levels(docs, lambda b: iter([filters.unsigned(b.column(0))]), bits=16)
+    cells = np.bincount((values & np.uint64(65535)).astype(np.int64), minlength=1 << 16)
+    expected = [min(15, int(c).bit_length()) for c in cells]
+    assert filters.level_of(levels, np.arange(1 << 16, dtype=np.uint64)).tolist() == expected
+
+
 def test_repeated_codes(spark):
     from trailspark.llm import filters
 

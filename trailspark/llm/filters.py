@@ -40,66 +40,64 @@ def holds(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
 
-def cell_counts(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, finish: Callable[[np.ndarray], bytes]) -> dict[int, bytes]:
-    """finish(counts) for each of the parts of a table of 2**bits cells, which counts the hashes h with the same h & (2**bits - 1).
+#: Parts of a table of counts, and hashes that a task counts before it sends them.
+_COUNT_PARTS, _COUNTED = 256, 1 << 21
 
-    Tasks send sorted cells as differences, a byte or two for each hash; two rounds of sums, so that no group holds
-    a row of every task.
-    """
-    each = (1 << bits) // _PARTS
 
-    def packed(cells: np.ndarray, counts: np.ndarray) -> bytes:
-        return zlib.compress(np.diff(cells, prepend=np.int64(0)).astype(np.uint32).tobytes() + counts.astype(np.uint32).tobytes(), 1)
+def count_levels(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = 26) -> np.ndarray:
+    """2**bits levels of four bits, two in a byte: the number of bits of the count of each cell, 15 at most.
 
-    def summed(rows) -> np.ndarray:
-        total = np.zeros(each, np.uint32)
-        for data in rows:
-            both = np.frombuffer(zlib.decompress(data), np.uint32)
-            np.add.at(total, np.cumsum(both[: len(both) // 2], dtype=np.int64), both[len(both) // 2 :])
-        return total
+    Counts all hashes h by h & (2**bits - 1). Tasks send sorted cells as differences, a byte or two for each hash; a
+    part of the table is summed by one task, row by row, in memory that depends on the table's size only.
+    """
+    each = (1 << bits) // _COUNT_PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             cells, counts = np.unique(np.concatenate(held) & np.uint64((1 << bits) - 1), return_counts=True)
-            cuts = np.searchsorted(cells, np.arange(_PARTS + 1, dtype=np.uint64) * np.uint64(each))
-            parts = [i for i in range(_PARTS) if cuts[i] < cuts[i + 1]]
-            data = [packed(cells[cuts[i] : cuts[i + 1]].astype(np.int64) - i * each, counts[cuts[i] : cuts[i + 1]]) for i in parts]
+            cuts = np.searchsorted(cells, np.arange(_COUNT_PARTS + 1, dtype=np.uint64) * np.uint64(each))
+            parts = [i for i in range(_COUNT_PARTS) if cuts[i] < cuts[i + 1]]
+            steps = np.diff(cells.astype(np.int64), prepend=np.int64(0))
+            steps[cuts[parts]] = cells[cuts[parts]].astype(np.int64) % each
+            steps, counts = steps.astype(np.uint32), counts.astype(np.uint32)
+            data = [zlib.compress(steps[cuts[i] : cuts[i + 1]].tobytes() + counts[cuts[i] : cuts[i + 1]].tobytes(), 1) for i in parts]
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
 
         for batch in batches:
             for found in hashes(batch):
                 held.append(found)
                 size += len(found)
-            if size > 1 << 21:
-                yield from flush()
-                held, size = [], 0
-        if held:
+                if size > _COUNTED:
+                    yield from flush()
+                    held, size = [], 0
+        if size:
             yield from flush()
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = summed(group["data"])
-        cells = np.flatnonzero(total)
-        return pd.DataFrame({"part": [group["part"].iloc[0]], "data": [packed(cells, total[cells])]})
-
-    def end(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": [group["part"].iloc[0]], "data": [finish(summed(group["data"]))]})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(*(c.to_pylist() for c in batch.columns)):
+                both = np.frombuffer(zlib.decompress(data), np.uint32)
+                total = totals.setdefault(part, np.zeros(each, np.uint64))
+                total[np.cumsum(both[: len(both) // 2], dtype=np.int64)] += both[len(both) // 2 :]
+        for part, total in totals.items():
+            levels = np.minimum(15, np.ceil(np.log2(total.astype(np.float64) + 1))).astype(np.uint8)
+            data = zlib.compress((levels[::2] | (levels[1::2] << 4)).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["part", "data"])
 
     schema = "part int, data binary"
-    counted = docs.mapInArrow(count, schema).withColumn("turn", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(_PARTS)))
-    sums = counted.groupBy("part", "turn").applyInPandas(add, schema).groupBy("part").applyInPandas(end, schema)
-    return {r["part"]: bytes(r["data"]) for r in sums.collect()}
+    out = np.zeros((1 << bits) // 2, np.uint8)
+    for row in docs.mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():  # 2**bits / 2 bytes at most
+        out[row["part"] * (each // 2) : (row["part"] + 1) * (each // 2)] = np.frombuffer(zlib.decompress(bytes(row["data"])), np.uint8)
+    return out
 
 
-def count_levels(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = 22) -> np.ndarray:
-    """2**bits levels: the number of bits of the count of each cell."""
-    each = (1 << bits) // _PARTS
-    out = np.zeros(1 << bits, np.uint8)
-    found = cell_counts(docs, hashes, bits, lambda total: zlib.compress(np.ceil(np.log2(total.astype(np.float64) + 1)).astype(np.uint8).tobytes(), 1))
-    for part, data in found.items():
-        out[part * each : (part + 1) * each] = np.frombuffer(zlib.decompress(data), np.uint8)
-    return out
+def level_of(levels: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The levels of the hashes' cells."""
+    at = (hashes & np.uint64(2 * len(levels) - 1)).astype(np.int64)
+    return (levels[at >> 1] >> ((at & 1) << 2).astype(np.uint8)) & 15
 
 
 #: Bits of the codes that repeats are found by, and of the table that the repeated ones are sent out as.

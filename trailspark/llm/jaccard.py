@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailspark.llm.common import Scratch, sized, table
-from trailspark.llm.filters import bit_filter, components, count_levels, holds, unsigned
+from trailspark.llm.filters import bit_filter, components, count_levels, holds, level_of, unsigned
 
 #: Shingles of all sets in a group, unless one set has more, and sets in it.
 GROUP_SHINGLES, GROUP_SETS = 1 << 18, 4096
@@ -90,7 +90,6 @@ def _profile(sent, n: int, num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, levels, seen = Shingles(n), sent.value, set()
-        mask = np.uint64(len(levels) - 1)
         for batch in batches:
             sizes, names, least, firsts = [], [], [], []
             for found in _sets(batch, make):
@@ -103,7 +102,7 @@ def _profile(sent, n: int, num: int, den: int):
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(name)
-                    order = np.argsort(levels[(found & mask).astype(np.int64)], kind="stable")
+                    order = np.argsort(level_of(levels, found), kind="stable")
                     firsts.append(found[order[: size - (num * size + den - 1) // den + 1]].view(np.int64))
                 else:
                     firsts.append(None)
@@ -305,7 +304,7 @@ def labelled(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, doc:
             make.append(Shingles(n))
         return _sets(batch, make[0])
 
-    levels = count_levels(rows.select("body"), shingles, bits=24)
+    levels = count_levels(rows.select("body"), shingles)
     schema = f"doc {kind}, row_key long, size long, class binary, least long, firsts array<long>"
     profile = held.table(rows.mapInArrow(_profile(send(levels), n, num, den), schema), "profile")
     # first shingles that two classes have, as a filter of fixed size

@@ -7,7 +7,7 @@ from trailspark.functions import text as T
 from trailspark.functions.identity import problem
 from trailspark.operators import bursts, facets, timeline
 from trailspark.rules import scan
-from trailspark.rules.compile import condition, resolve
+from trailspark.rules.compile import condition, prepared, resolve
 from trailspark.rules.packs import RULES
 from trailspark.rules.scan import Rule
 from trailspark.schema import EVENT, EVENT_COLUMNS, UNINTERPRETED
@@ -34,17 +34,92 @@ def test_operators_at_their_boundary(spark, operator, value, yes, no):
     import json
 
     rows = events(spark, *[{"event_id": k, "payload_json": json.dumps({"v": v})} for k, v in (("yes", yes), ("no", no), ("absent", None))])
-    assert [r.event_id for r in rows.where(condition({"field": "payload.v", operator: value})).collect()] == ["yes"]
+    assert [r.event_id for r in prepared(rows, {"payload.v"}).where(condition({"field": "payload.v", operator: value})).collect()] == ["yes"]
 
 
 def test_absent_is_an_empty_list_and_lists_fan_out(spark):
-    rows = events(spark, {"payload_json": '{"c": [{"x": "1"}, {"y": "2"}, {"x": "3"}]}'}, {"payload_json": "{}"})
+    rows = prepared(events(spark, {"payload_json": '{"c": [{"x": "1"}, {"y": "2"}, {"x": "3"}]}'}, {"payload_json": "{}"}), {"payload.c[].x"})
     assert [r[0] for r in rows.select(resolve("payload.c[].x")).collect()] == [["1", "3"], []]
     assert rows.where(condition({"none": [{"field": "payload.c[].x", "exists": True}]})).count() == 1
     with pytest.raises(ValueError):
         resolve("payload..x")
 
 
+@pytest.mark.parametrize(
+    "selector,expected",
+    [
+        ("payload.a[].b[].c", ["1", "2", "3"]), ("payload.a.b.c", []), ("payload.a.b[]", ['[{"c":"1"},{"c":"2"}]', '[{"c":"3"}]']), ("payload.t[].tags", ['["x","y"]']), ("payload.t[].tags[]", ["x", "y"]), ("payload.one[].k", ["v"]),
+        ("payload.n", ["4"]), ("payload.none", []), ("text", ["said"]), ("raw.deep.er", ["r"]), ("provenance.sha256", ["h"]), ("payload.a[].b", ['[{"c":"1"},{"c":"2"}]', '[{"c":"3"}]']),
+    ],
+)
+def test_nested_selectors(spark, selector, expected):
+    payload = '{"a": [{"b": [{"c": "1"}, {"c": "2"}]}, {"b": [{"c": "3"}]}], "t": [{"tags": ["x", "y"]}], "one": {"k": "v"}, "n": 4, "none": null, "text": "said"}'
+    rows = events(spark, {"payload_json": payload, "raw_json": '{"deep": {"er": "r"}}', "file_sha256": "h"})
+    assert prepared(rows, {selector}).select(resolve(selector)).first()[0] == expected
+
+
+def test_event_text_is_the_leaves_on_lines(spark):
+    from trailspark.functions.flatten import leaves
+
+    assert leaves({"a": "x\ny", "b": {"c": None, "d": True}, "e": [1, "z"]}) == "a\nx\ny\nb\nc = \nd = true\ne\n1\nz"
+    rows = events(spark, {"event_id": "t", "kind": "user.prompt", "payload_json": '{"text": "first\\nrm -rf /", "password": "s3cr3t"}', "raw_json": "not json"}, {"event_id": "n", "kind": "user.prompt"})
+    found = lambda pattern: [r.event_id for r in scan.scan_events(rows, [Rule("R", "T", "low", {"field": "event_text", "regex": pattern})]).collect()]
+    assert found("(?m)^rm -rf") == ["t"] and found("(?m)^password = s3") == ["t"] and found("not json$") == ["t"] and found("nowhere") == []
+
+
+def test_ignore_case_and_lengths_of_lists(spark):
+    rows = events(spark, {"event_id": "a", "kind": "user.prompt", "payload_json": '{"v": "Word", "l": [1, 2, 3], "o": {"x": 1, "y": 2}}'})
+    holds = lambda **leaf: scan.scan_events(rows, [Rule("R", "T", "low", leaf)]).count() == 1
+    assert holds(field="payload.v", regex="word", ignore_case=True) and not holds(field="payload.v", regex="word")
+    assert holds(field="payload.v", equals="word") and not holds(field="payload.v", equals="word", ignore_case=False)
+    assert holds(field="payload.l", length_gt=2) and not holds(field="payload.l", length_gt=3) and holds(field="payload.o", length_gte=2) and holds(field="payload.v", length_lt=5)
+
+
+def test_more_than_six_values_are_counted(spark):
+    import json
+
+    rows = events(spark, {"event_id": "a", "kind": "user.prompt", "payload_json": json.dumps({"v": [f"x{i}" for i in range(9)]})})
+    found = scan.scan_events(rows, [Rule("R", "T", "low", {"field": "payload.v[]", "startswith": "x"})]).first()
+    assert found.matched == [f"x{i}" for i in range(6)] + ["(3 more)"]
+
+
+def test_rules_from_files(spark, tmp_path):
+    import json
+
+    from trailspark.rules import load
+
+    good = {
+        "id": "X-1", "pack": "p", "title": "T", "severity": "low", "description": {"en": "said  so"}, "match": {"field": "payload.v", "equals": "1"}, "applies_to": {"kinds": ["any"]},
+        "tests": [{"name": "a", "match": True, "event": {"payload": {"v": "1"}}}, {"name": "b", "match": False, "event": {}}],
+    }
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.json").write_text(json.dumps(good))
+    (rule,) = load.load(tmp_path)
+    assert (rule.id, rule.kinds, rule.description) == ("X-1", (), "said so") and scan.self_test(spark, [rule]).where("expected <> found").count() == 0
+    grouped = {**good, "id": "X-2", "aggregate": {"group_by": ["session_id"], "min_count": 3, "window_minutes": 5}}
+    (tmp_path / "p" / "b.json").write_text(json.dumps(grouped))
+    assert [r.aggregate for r in load.load(tmp_path, ["p"])] == [None, {"by": ("session_id",), "min_count": 3, "window_minutes": 5}]
+    bad = [{"id": "X-1"}, {"match": {"field": "payload..v", "equals": "1"}}, {"match": {"field": "payload.v", "regex": "("}}, {"match": {"all": []}}, {"tests": good["tests"][:1]}, {"tests": good["tests"][1:]}, {"pack": "q"}, {"severity": "dire"}]
+    for change in bad:
+        (tmp_path / "p" / "b.json").write_text(json.dumps({**good, "id": "X-2", **change}))
+        with pytest.raises(load.RuleError):
+            load.load(tmp_path)
+    with pytest.raises(load.RuleError):
+        load.load(tmp_path, ["none"])
+
+
+def test_scan_record_and_session_marks(spark):
+    from trailspark.operators import summaries
+
+    rows = events(spark, {"event_id": "a", "kind": "user.prompt", "agent": "x", "session_id": "s"}, {"event_id": "b", "kind": "unparsed.record", "agent": "x"})
+    rules = [Rule("R", "T", "low", {"field": "kind", "equals": "user.prompt"}), Rule("Q", "T", "high", {"field": "kind", "equals": "file.read"})]
+    found = scan.scan_events(rows, rules)
+    record = scan.scan_record(rows, rules, found, "run").first()
+    assert (record.run_id, record.rules_run, record.rule_ids, record.events_read, record.findings) == ("run", 2, ["Q", "R"], 2, 1)
+    marks = {r.session: (r.findings, r.worst, r.has_unread) for r in scan.session_marks(summaries.sessions(rows), found).collect()}
+    assert marks == {"s": (1, "low", False), None: (0, None, True)}
+
+
 def test_rule_of_a_kind_sees_unmapped_records(spark):
     rule = Rule("R", "Title", "low", {"field": "payload.a", "equals": "1"}, kinds=("tool.call",))
     rows = events(spark, {"event_id": "u", "kind": "unparsed.record", "parse_problem": f"it {UNINTERPRETED}", "payload_json": '{"a": "1"}'}, {"event_id": "o", "kind": "file.read", "payload_json": '{"a": "1"}'})
@@ -87,7 +162,8 @@ def test_session_order_counts_lines(spark):
     [
         ("2024-05-01T10:00:00Z", "2024-05-01T10:00:00.000000Z", "second"), ("2024-05-01T10:00:00.123456789+02:00", "2024-05-01T08:00:00.123456Z", "exact"),
         ("2024-05-01 10:00", "2024-05-01T10:00:00.000000Z", "minute"), ("1714557600", "2024-05-01T10:00:00.000000Z", "second"),
-        ("1714557600123", "2024-05-01T10:00:00.123000Z", "exact"), ("0", None, "absent"), ("soon", None, "absent"), (None, None, "absent"),
+        ("1714557600123", "2024-05-01T10:00:00.123000Z", "exact"), ("1714557600000", "2024-05-01T10:00:00.000000Z", "second"), ("1714557600.25", "2024-05-01T10:00:00.250000Z", "exact"),
+        ("-5", "1969-12-31T23:59:55.000000Z", "second"), ("1714557600123456", None, "absent"), ("99999999999999999999999", None, "absent"), ("2024-13-01T10:00:00Z", None, "absent"), ("0", None, "absent"), ("soon", None, "absent"), (None, None, "absent"),
     ],
 )
 def test_times(spark, value, ts, precision):
@@ -102,6 +178,16 @@ def test_text_functions(spark):
     assert tuple(r) == ("git", "example.org", "C:/a b+c", "q/r")
 
 
+def test_bodies_and_paths(spark):
+    say = lambda v: spark.createDataFrame([(v,)], "v string").select(T.text_of(F.try_parse_json("v"))).first()[0]
+    assert say('"a"') == "a" and say('[{"type": "text", "text": "a"}, null, "b", {"content": [{"text": "c"}]}]') == "a\nb\nc" and say('{"z": 1, "thinking": "t"}') == "t"
+    assert say('{"b": 1, "a": 2}') == '{"a":2,"b":1}' and say("7") == "7" and say("null") == ""
+    r = spark.createDataFrame([("a\\\\nb\\nc", "x%20y/z%zz/+", "/home/al/p", "a.pem\n")], "f string, p string, u string, g string").select(
+        T.fish_unescape(F.col("f")), T.decode_segments(F.col("p")), T.user_from_path(F.col("u")), F.rlike("g", F.lit(T.glob_regex("*.pem"))), T.project_of(F.col("u"), F.array(F.lit("/home"), F.lit("/home/al"), F.lit("/home/a")))
+    )
+    assert tuple(r.first()) == ("a\\nb\nc", "x y/z%zz/+", "al", False, "/home/al")
+
+
 def test_hidden_characters_include_the_tag_block(spark):
     import json
 

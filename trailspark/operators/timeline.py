@@ -81,12 +81,22 @@ def turns(records: DataFrame, message: str, by: list[str], order: list[Column])
     return islands(records.withColumn("_before", before), F.col("_before") == F.col(message), by, order, "turn_no").drop("_before")
 
 
-def chain_problems(records: DataFrame, by: list[str], position: str = "seq", sha: str = "sha256", previous: str = "prev_sha256") -> DataFrame:
-    """Adds why a custody record breaks its chain: a number that doesn't follow, or a hash that isn't its predecessor's."""
-    in_order = W.partitionBy(*by).orderBy(position)
+def chain_problems(records: DataFrame, by: list[str], position: str = "seq", sha: str = "sha256", previous: str = "prev_sha256", order: str | None = None, recomputed: str | None = None) -> DataFrame:
+    """Adds why a custody record breaks its chain: a number that isn't its place, a hash that isn't its predecessor's or its own.
+
+    order: the column that records stand in; without it, their numbers. recomputed: the hash that the record really has.
+    """
+    in_order = W.partitionBy(*by).orderBy(order or position)
     said = F.concat_ws(
         "; ",
-        F.when(F.col(position) != F.row_number().over(in_order) - 1, F.lit("number out of sequence")),
+        F.when(~F.col(position).eqNullSafe((F.row_number().over(in_order) - 1).cast("long")), F.lit("number out of sequence")),
         F.when(~F.col(previous).eqNullSafe(F.lag(sha).over(in_order)), F.lit("previous hash differs")),
+        F.when(~F.col(recomputed).eqNullSafe(F.col(sha)), F.lit("own hash differs")) if recomputed else F.lit(None).cast("string"),
     )
     return records.withColumn("problem", F.when(said != "", said))
+
+
+def commits_to(records: DataFrame, by: list[str], manifests: DataFrame, column: str = "manifest_sha256") -> DataFrame:
+    """(by, committed): whether any record of a chain names the hash of its manifest. manifests: (by, manifest_sha256)."""
+    named = records.select(*by, F.col(column).alias("_named")).join(manifests.select(*by, F.col("manifest_sha256").alias("_stored")), by)
+    return named.groupBy(*by).agg(F.bool_or(F.coalesce(F.col("_named") == F.col("_stored"), F.lit(False))).alias("committed"))

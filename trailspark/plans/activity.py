@@ -37,7 +37,7 @@ def timeline_(spark, sf_dir: str) -> DataFrame:
 QUERIES["timeline"], SQL["timeline"] = QUERIES.pop("timeline_"), SQL.pop("timeline_")
 
 
-@query(EVENTS + """SELECT agent, count(*) AS events, 0::BIGINT AS unreadable, 0::BIGINT AS uninterpreted, min(ts_utc) AS first, max(ts_utc) AS last FROM ev GROUP BY agent""")
+@query(EVENTS + """SELECT agent, count(*) AS events, count(*) FILTER (kind = 'unparsed.record' AND NOT unmapped) AS unreadable, count(*) FILTER (unmapped) AS uninterpreted, min(ts_utc) AS first, max(ts_utc) AS last FROM ev GROUP BY agent""")
 def agent_summary(spark, sf_dir: str) -> DataFrame:
     return summaries.agent_summary(events(spark, sf_dir))
 
@@ -47,16 +47,24 @@ def kind_histogram(spark, sf_dir: str) -> DataFrame:
     return summaries.kind_histogram(events(spark, sf_dir))
 
 
-@query(EVENTS + """SELECT count(*) AS events, count(*) FILTER (ts_utc IS NULL) AS undated, 0::BIGINT AS unreadable, 0::BIGINT AS uninterpreted, 0::BIGINT AS file_events,
+@query(EVENTS + """SELECT count(*) AS events, count(*) FILTER (ts_utc IS NULL) AS undated, count(*) FILTER (kind = 'unparsed.record' AND NOT unmapped) AS unreadable,
+count(*) FILTER (unmapped) AS uninterpreted, count(*) FILTER (kind = 'artifact.fs') AS file_events,
 count(DISTINCT agent) AS agents, count(DISTINCT original_path) AS files, count(DISTINCT event_id) AS distinct_events FROM ev""")
 def case_counts(spark, sf_dir: str) -> DataFrame:
     return summaries.case_counts(events(spark, sf_dir))
 
 
-_SESSIONS = EVENTS + """, s AS (SELECT agent, NULL::VARCHAR AS host, NULL::VARCHAR AS "user", false AS is_fs, NULL::VARCHAR AS project, session_id AS session, count(*) AS events,
-min(ts_utc) AS first, max(ts_utc) AS last, 0::BIGINT AS unreadable, count(*) FILTER (ts_utc IS NULL) AS undated, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds,
-sha256(chr(2) || agent || chr(0) || chr(1) || chr(0) || chr(1) || chr(0) || chr(2) || 'false' || chr(0) || chr(1) || chr(0) || chr(2) || session_id || chr(0)) AS session_key
-FROM ev GROUP BY agent, session_id) """
+def _safe(*values: str) -> str:
+    """SQL of a key in which null and '' differ."""
+    return "sha256(" + " || ".join(f"CASE WHEN {v} IS NULL THEN chr(1) ELSE chr(2) || {v} END || chr(0)" for v in values) + ")"
+
+
+_SESSIONS = EVENTS + f""", k AS (SELECT *, kind = 'artifact.fs' AS is_fs FROM ev), s AS (
+SELECT agent, host, "user", is_fs, CASE WHEN NOT is_fs THEN project END AS project, CASE WHEN NOT is_fs THEN session_id END AS session, count(*) AS events,
+  min(ts_utc) AS first, max(ts_utc) AS last, count(*) FILTER (kind = 'unparsed.record' AND NOT unmapped) AS unreadable, count(*) FILTER (ts_utc IS NULL) AS undated,
+  string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds,
+  {_safe("agent", "host", '"user"', "CASE WHEN is_fs THEN 'true' ELSE 'false' END", "CASE WHEN NOT is_fs THEN project END", "CASE WHEN NOT is_fs THEN session_id END")} AS session_key
+FROM k GROUP BY agent, host, "user", is_fs, CASE WHEN NOT is_fs THEN project END, CASE WHEN NOT is_fs THEN session_id END) """
 
 
 @query(_SESSIONS + "SELECT * FROM s")
@@ -98,7 +106,7 @@ def tool_counts(spark, sf_dir: str) -> DataFrame:
     return tools.tool_counts(tools.tool_calls(table_events(spark, sf_dir)))
 
 
-@query("""WITH e AS (SELECT user_id::VARCHAR AS session_id, epoch_us(ts) AS t FROM events WHERE event_type = 'view'),
+@query("""WITH e AS (SELECT user_id::VARCHAR AS session_id, epoch_us(ts) AS t FROM events WHERE event_type = 'view' AND event_id % 17 <> 0 AND event_id % 23 <> 0),
 c AS (SELECT session_id, t, count(*) OVER w AS size, min(t) OVER w AS first FROM e WINDOW w AS (PARTITION BY session_id ORDER BY t RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)),
 r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY size DESC, t) AS p FROM c)
 SELECT session_id, size, first, t AS last FROM r WHERE p = 1 AND size >= 2""")
@@ -108,7 +116,7 @@ def burst(spark, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT user_id::VARCHAR AS session_id, count(*) AS size, min(strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')) AS first, max(strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')) AS last
-FROM events WHERE event_type = 'purchase' GROUP BY user_id HAVING count(*) >= 3""")
+FROM events WHERE event_type = 'purchase' AND event_id % 17 <> 0 AND event_id % 23 <> 0 GROUP BY user_id HAVING count(*) >= 3""")
 def large_group(spark, sf_dir: str) -> DataFrame:
     return bursts.large_groups(table_events(spark, sf_dir).where("kind = 'command.exec'"), ["session_id"], 3)
 
@@ -125,7 +133,7 @@ def undated_groups(spark, sf_dir: str) -> DataFrame:
 
 
 _NAMED = EVENTS + """, named AS (SELECT agent, session_id AS session, artifact_id AS store, count(*) AS events, min(ts_utc) AS first, max(ts_utc) AS last
-FROM ev WHERE trim(session_id) <> '' GROUP BY ALL) """
+FROM ev WHERE trim(session_id) <> '' AND kind <> 'artifact.fs' GROUP BY ALL) """
 
 
 @query(_NAMED + "SELECT * FROM named")
@@ -153,10 +161,11 @@ def store_overlap(spark, sf_dir: str) -> DataFrame:
     return stores.store_overlap(stores.named_sessions(events(spark, sf_dir)))
 
 
-@query(EVENTS + """SELECT event_id, session_id FROM ev c WHERE kind = 'tool.call' AND NOT EXISTS (SELECT 1 FROM ev r WHERE r.kind = 'tool.result' AND r.agent = c.agent AND r.session_id = c.session_id)""")
+@query(EVENTS + """SELECT event_id, session_id FROM ev c WHERE kind = 'tool.call' AND NOT EXISTS (SELECT 1 FROM ev r WHERE r.kind = 'tool.result' AND r.tool = 'error' AND r.is_error AND r.agent = c.agent AND r.session_id = c.session_id)""")
 def prompts_without_transcript(spark, sf_dir: str) -> DataFrame:
     rows = table_events(spark, sf_dir)
-    return stores.prompts_without_transcript(rows.where("kind = 'tool.call'"), rows.where("kind = 'tool.result'")).select("event_id", "session_id")
+    failed = rows.where((F.col("kind") == "tool.result") & (tools.said("is_error") == "true"))
+    return stores.prompts_without_transcript(rows.where("kind = 'tool.call'"), failed).select("event_id", "session_id")
 
 
 @query("""WITH c AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN md5(text) END AS fact FROM conversations)

@@ -1,52 +1,103 @@
 """Conditions of rules as Columns.
 
-A condition is {"all" | "any" | "none": [conditions]} or {"field": selector, operator: value}. A selector names a
-column or a path in the payload; `[]` fans out. What is absent is an empty list, never null, so every leaf is true
-or false.
+A condition is {"all" | "any" | "none": [conditions]} or {"field": selector, operator: value}, with ignore_case beside
+the operator if need be. A selector names a column (`text` is payload.text, `provenance.sha256` the file's hash), a path
+in the payload or the raw record, or a text view. `[]` fans out; a list without it is read through. What is absent is an
+empty list, never null, so every leaf is true or false.
+
+Columns of conditions read what `prepared` adds: the payload and the raw record parsed once, and the text views, which
+are their leaves line by line.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailspark.functions.flatten import flatten
 from trailspark.functions.text import glob_regex
 from trailspark.schema import EVENT_COLUMNS
 
 #: DOTALL, Unicode classes, and $ and ^ that see line feeds only.
 JAVA_FLAGS = "(?sUd)"
-_SELECTOR = re.compile(r"^(payload|raw)(\.[A-Za-z_][A-Za-z0-9_]*(\[\])?)+$")
+TEXT_VIEWS = ("payload_text", "raw_text", "event_text")
+PROVENANCE = {"bundle_uuid": "bundle_uuid", "original_path": "original_path", "sha256": "file_sha256", "artifact_id": "artifact_id", "locator": "locator"}
+_STEP = r"[A-Za-z_][A-Za-z0-9_-]*(\[\])?"
+_SELECTOR = re.compile(rf"^(payload|raw)(\.{_STEP})*$")
+
+
+def java_regex(pattern: str, ignore_case: bool = False) -> str:
+    return ("(?iu)" if ignore_case else "") + JAVA_FLAGS + re.sub(r"\\Z", r"\\z", pattern)
+
+
+def prepared(events: DataFrame, fields: set[str]) -> DataFrame:
+    """events with the columns that these selectors read, each made once a row."""
+    out = events
+    for c in ("payload_json", "raw_json"):
+        if c not in events.columns:
+            out = out.withColumn(c, F.lit(None).cast("string"))
+    parsed = {f"_{r}": F.try_parse_json(f"{r}_json") for r in ("payload", "raw") if any(f == "text" or re.split(r"[.]", f)[0] == r for f in fields)}
+    if "text" in fields:
+        parsed["_payload"] = F.try_parse_json("payload_json")
+    if fields & set(TEXT_VIEWS):
+        parsed |= {"_payload_text": flatten("payload_json"), "_raw_text": flatten("raw_json")}
+    return out.withColumns(parsed) if parsed else out
+
+
+def is_list(value: Column) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("ARRAY")), F.lit(False))
+
+
+def _items(value: Column) -> Column:
+    return F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
+
 
+def _present(values: Column) -> Column:
+    return F.filter(values, lambda v: v.isNotNull() & ~F.coalesce(F.is_variant_null(v), F.lit(True)))
 
-def java_regex(pattern: str) -> str:
-    return JAVA_FLAGS + re.sub(r"\\Z", r"\\z", pattern)
+
+def _walk(values: Column, step: str) -> Column:
+    """The values at one step from an array of VARIANTs; a list on the way is read through."""
+    name, fan = step.removesuffix("[]"), step.endswith("[]")
+    get = lambda v: F.try_variant_get(v, f"$['{name}']", "variant")
+    through = lambda v: _present(F.transform(_items(v), get))
+    # what is read through a list stays together, as a list, unless the step fans out
+    if fan:
+        spread = lambda v: F.flatten(F.transform(_present(F.array(get(v))), lambda g: F.when(is_list(g), _present(_items(g))).otherwise(F.array(g))))
+        return F.flatten(F.transform(values, lambda v: F.when(is_list(v), through(v)).otherwise(spread(v))))
+    kept = lambda v: F.when(is_list(v), F.when(F.size(through(v)) > 0, F.to_variant_object(through(v)))).otherwise(get(v))
+    return _present(F.transform(values, kept))
+
+
+def values_at(selector: str) -> Column:
+    """array<variant> of the values at a path in the payload or the raw record."""
+    root, *steps = selector.split(".")
+    found = _present(F.array(F.col(f"_{root}")))
+    for step in steps:
+        found = _walk(found, step)
+    return found
 
 
 def resolve(selector: str) -> Column:
-    """array<string> of the values at a selector."""
+    """array<string> of the values at a selector: strings as they are, other values as JSON."""
+    selector = "payload.text" if selector == "text" else selector
     if selector == "event_text":
-        return F.array_compact(F.array("payload_json", "raw_json"))
+        return F.array(F.concat(F.coalesce("_payload_text", F.lit("")), F.lit("\n"), F.coalesce("_raw_text", F.lit(""))))
+    if selector in TEXT_VIEWS:
+        return F.array(F.coalesce(f"_{selector}", F.lit("")))
+    if selector.startswith("provenance.") and selector[11:] in PROVENANCE:
+        selector = PROVENANCE[selector[11:]]
     if selector in EVENT_COLUMNS:
         return F.array_compact(F.array(F.col(selector)))
     if not _SELECTOR.match(selector):
         raise ValueError(f"not a selector: {selector}")
-    root, path = selector.split(".", 1)
-    if "[]" not in path:
-        value = F.get_json_object(f"{root}_json", f"$.{path}")
-        listed = F.from_json(value, "array<string>")
-        return F.coalesce(F.when(F.startswith(value, F.lit("[")), listed).otherwise(F.array_compact(F.array(value))), F.array().cast("array<string>"))
-    head, *rest = path.split("[]")
-    values = F.from_json(F.get_json_object(f"{root}_json", f"$.{head}"), "array<string>")
-    for part in rest:
-        if part:
-            values = F.transform(values, _part(part))
-    return F.coalesce(F.array_compact(values), F.array().cast("array<string>"))
-
-
-def _part(path: str):
-    return lambda v: F.get_json_object(v, f"${path}")
+    if re.fullmatch(r"(payload|raw)(\.[A-Za-z_][A-Za-z0-9_]*)", selector):
+        # one plain key, as most rules have
+        value = F.try_variant_get(f"_{selector.split('.')[0]}", f"$.{selector.split('.')[1]}", "string")
+        return F.array_compact(F.array(value))
+    return F.transform(values_at(selector), lambda v: F.try_variant_get(v, "$", "string"))
 
 
 def _any(values: Column, test) -> Column:
@@ -54,51 +105,109 @@ def _any(values: Column, test) -> Column:
 
 
 def _number(v: Column) -> Column:
-    return v.try_cast("double")
+    return F.trim(v).try_cast("double")
+
+
+def length_of(selector: str) -> Column:
+    """array<int> of the lengths at a selector: characters of a text, members of a list or an object."""
+    selector = "payload.text" if selector == "text" else selector
+    if not _SELECTOR.match(selector):
+        return F.transform(resolve(selector), lambda v: F.char_length(v))
+    text = lambda v: F.char_length(F.try_variant_get(v, "$", "string"))
+    members = lambda v: F.size(F.map_keys(F.try_variant_get(v, "$", "map<string, variant>")))
+    return F.transform(values_at(selector), lambda v: F.when(is_list(v), F.size(_items(v))).otherwise(F.coalesce(members(v), text(v))))
+
+
+def _folded(test):
+    return lambda v, x, i: test(F.lower(v), F.lit(x.lower())) if i else test(v, F.lit(x))
 
 
+#: Tests of a text by name: value, wanted, whether case is ignored.
 TEXT = {
-    "regex": lambda v, x: F.rlike(v, F.lit(java_regex(x))),
-    "contains": lambda v, x: F.contains(F.lower(v), F.lit(x.lower())),
-    "equals": lambda v, x: F.lower(v) == x.lower(),
-    "startswith": lambda v, x: F.startswith(F.lower(v), F.lit(x.lower())),
-    "endswith": lambda v, x: F.endswith(F.lower(v), F.lit(x.lower())),
-    "glob": lambda v, x: F.rlike(v, F.lit(glob_regex(x))),
+    "regex": lambda v, x, i: F.rlike(v, F.lit(java_regex(x, i))),
+    "contains": _folded(F.contains),
+    "equals": _folded(lambda v, x: v == x),
+    "startswith": _folded(F.startswith),
+    "endswith": _folded(F.endswith),
+    "glob": lambda v, x, i: F.rlike(v, F.lit(glob_regex(x))),
 }
 NUMBERS = {
     "gt": lambda v, x: _number(v) > x,
     "gte": lambda v, x: _number(v) >= x,
     "lt": lambda v, x: _number(v) < x,
     "lte": lambda v, x: _number(v) <= x,
-    "length_gt": lambda v, x: F.char_length(v) > x,
-    "length_gte": lambda v, x: F.char_length(v) >= x,
-    "length_lt": lambda v, x: F.char_length(v) < x,
 }
+LENGTHS = {"length_gt": lambda n, x: n > x, "length_gte": lambda n, x: n >= x, "length_lt": lambda n, x: n < x}
+MODIFIERS = ("ignore_case",)
+GROUPS = ("all", "any", "none")
 
 
-def leaf(field: str, operator: str, value) -> Column:
-    values = resolve(field)
-    if operator == "exists":
-        return (F.size(values) > 0) == bool(value)
-    if operator == "count_gte":
-        return F.size(values) >= value
-    if operator in NUMBERS:
-        return _any(values, lambda v: NUMBERS[operator](v, value))
+def test_of(operator: str, value, ignore_case: bool | None = None):
+    """The test of a text operator for one value, or None; words are compared without case unless told otherwise, patterns and globs aren't."""
     name = operator.removesuffix("_any")
     if name not in TEXT:
-        raise ValueError(f"unknown operator: {operator}")
+        return None
+    folded = ignore_case if ignore_case is not None else name not in ("regex", "glob")
     wanted = value if operator.endswith("_any") else [value]
-    if name == "regex":
-        [re.compile(x) for x in wanted]
-    tests = [lambda v, x=x: TEXT[name](v, x) for x in wanted]
 
     def one(v: Column) -> Column:
         out = F.lit(False)
-        for t in tests:
-            out = out | F.coalesce(t(v), F.lit(False))
+        for x in wanted:
+            out = out | F.coalesce(TEXT[name](v, x, folded), F.lit(False))
         return out
 
-    return _any(values, one)
+    return one
+
+
+def leaf(field: str, operator: str, value, ignore_case: bool | None = None) -> Column:
+    if operator in LENGTHS:
+        return _any(length_of(field), lambda n: LENGTHS[operator](n, value))
+    values = resolve(field)
+    if operator == "exists":
+        return (F.size(values) > 0) == bool(value)
+    if operator == "count_gte":
+        return F.size(values) >= value
+    if operator in NUMBERS:
+        return _any(values, lambda v: NUMBERS[operator](v, value))
+    return _any(values, test_of(operator, value, ignore_case))
+
+
+def check(tree, at: str = "match") -> None:
+    """Raise ValueError for what a condition may not say."""
+    if not isinstance(tree, dict):
+        raise ValueError(f"{at}: not a mapping")
+    groups = [k for k in GROUPS if k in tree]
+    if groups:
+        if len(tree) > 1 or not isinstance(tree[groups[0]], list) or not tree[groups[0]]:
+            raise ValueError(f"{at}: a group holds one of {GROUPS}, with a list of conditions")
+        for i, part in enumerate(tree[groups[0]]):
+            check(part, f"{at}.{groups[0]}[{i}]")
+        return
+    operators = [k for k in tree if k not in ("field", *MODIFIERS)]
+    if len(operators) != 1 or not isinstance(tree.get("field"), str):
+        raise ValueError(f"{at}: a leaf needs a field and one operator, not {sorted(tree)}")
+    operator, value = operators[0], tree[operators[0]]
+    name = operator.removesuffix("_any")
+    known = tree["field"] in (*TEXT_VIEWS, *EVENT_COLUMNS, "text") or tree["field"].removeprefix("provenance.") in PROVENANCE or _SELECTOR.match(tree["field"])
+    if not known:
+        raise ValueError(f"{at}: not a selector: {tree['field']}")
+    if operator == "exists" and not isinstance(value, bool):
+        raise ValueError(f"{at}: exists is true or false")
+    if operator in NUMBERS or operator in LENGTHS or operator == "count_gte":
+        if isinstance(value, bool) or not isinstance(value, (int, float)):
+            raise ValueError(f"{at}: {operator} takes a number")
+    elif name in TEXT:
+        wanted = value if operator.endswith("_any") else [value]
+        if not isinstance(wanted, list) or not wanted or not all(isinstance(x, str) for x in wanted):
+            raise ValueError(f"{at}: {operator} takes text")
+        if name == "regex":
+            for x in wanted:
+                try:
+                    re.compile(x)
+                except re.error as e:
+                    raise ValueError(f"{at}: {e}") from e
+    elif operator != "exists":
+        raise ValueError(f"{at}: unknown operator {operator}")
 
 
 def condition(tree: dict) -> Column:
@@ -110,12 +219,17 @@ def condition(tree: dict) -> Column:
             for p in parts:
                 joined = (joined & p) if key == "all" else (joined | p)
             out = out & (~joined if key == "none" else joined)
-        elif key != "field":
-            out = out & leaf(tree["field"], key, value)
+        elif key not in ("field", *MODIFIERS):
+            out = out & leaf(tree["field"], key, value, tree.get("ignore_case"))
     return out
 
 
-def leaves(tree: dict) -> list[tuple[str, str, object]]:
-    """(field, operator, value) of all leaves that state something, those under none left out."""
+def leaves(tree: dict) -> list[tuple[str, str, object, bool | None]]:
+    """(field, operator, value, ignore_case) of all leaves that state something, those under none left out."""
     found = [x for k in ("all", "any") for t in tree.get(k, []) for x in leaves(t)]
-    return found + [(tree["field"], k, v) for k, v in tree.items() if "field" in tree and k not in ("field", "all", "any", "none")]
+    return found + [(tree["field"], k, v, tree.get("ignore_case")) for k, v in tree.items() if "field" in tree and k not in ("field", *GROUPS, *MODIFIERS)]
+
+
+def fields(tree: dict) -> set[str]:
+    """The selectors of a condition."""
+    return {f for k in GROUPS for t in tree.get(k, []) for f in fields(t)} | ({tree["field"]} if "field" in tree else set())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trailspark.functions.identity import finding_id, uninterpreted
 from trailspark.operators.bursts import bursts, large_groups, members
-from trailspark.rules.compile import NUMBERS, TEXT, condition, leaves, resolve
+from trailspark.rules.compile import NUMBERS, check, condition, fields, leaves, prepared, resolve, test_of
 from trailspark.schema import KINDS
 
 #: Severities, the gravest first.
@@ -20,7 +20,7 @@ QUOTED_VALUES, QUOTED_CHARACTERS = 6, 300
 
 @dataclass(frozen=True)
 class Rule:
-    """One rule. aggregate: {"by": columns, "min_count": n, "window_minutes": m?, "distinct": selector?}."""
+    """One rule. aggregate: {"by": columns, "min_count": n, "window_minutes": m?, "distinct": selector?}; samples are events that match or don't."""
 
     id: str
     title: str
@@ -32,13 +32,24 @@ class Rule:
     aggregate: dict | None = None
     positive: tuple[dict, ...] = field(default=(), compare=False)
     negative: tuple[dict, ...] = field(default=(), compare=False)
+    pack: str = ""
+    description: str = field(default="", compare=False)
+    tags: tuple[str, ...] = ()
 
     def __post_init__(self):
         if self.severity not in SEVERITIES:
             raise ValueError(f"{self.id}: unknown severity {self.severity}")
         if bad := set(self.kinds) - set(KINDS):
             raise ValueError(f"{self.id}: unknown kinds {sorted(bad)}")
-        leaves(self.match)
+        try:
+            check(self.match)
+        except ValueError as e:
+            raise ValueError(f"{self.id}: {e}") from e
+
+    def fields(self) -> set[str]:
+        """The selectors that it reads."""
+        distinct = (self.aggregate or {}).get("distinct")
+        return fields(self.match) | ({distinct} if distinct else set())
 
     def applies(self) -> Column:
         """Its kinds and agents; a record that was read but not mapped may be of any kind."""
@@ -64,21 +75,25 @@ def check_rules(rules: list[Rule]) -> list[Rule]:
 
 
 def quoted(rule: Rule) -> Column:
-    """Up to six distinct matched values, cut to 300 characters; of a redacting rule their lengths only."""
-    tested = [F.filter(resolve(f), _holds(o, x)) for f, o, x in leaves(rule.match)]
+    """Up to six distinct matched values, cut to 300 characters, and how many more there are; of a redacting rule their lengths only."""
+    tested = [F.filter(resolve(f), _holds(o, x, i)) for f, o, x, i in leaves(rule.match)]
     values = F.array_distinct(F.flatten(F.array(*tested))) if tested else F.array().cast("array<string>")
     show = (lambda v: F.concat(F.lit("<redacted, "), F.char_length(v).cast("string"), F.lit(" characters>"))) if rule.redact else (lambda v: F.substring(v, 1, QUOTED_CHARACTERS))
-    return F.transform(F.slice(values, 1, QUOTED_VALUES), show)
+    rest = F.size(values) - QUOTED_VALUES
+    more = F.when(rest > 0, F.array(F.concat(F.lit("("), rest.cast("string"), F.lit(" more)")))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.transform(F.slice(values, 1, QUOTED_VALUES), show), more)
 
 
-def _holds(operator: str, wanted):
+def _holds(operator: str, wanted, ignore_case):
     """The test of a leaf, for one value."""
-    name, several = operator.removesuffix("_any"), wanted if operator.endswith("_any") else [wanted]
     if operator in NUMBERS:
         return lambda v: F.coalesce(NUMBERS[operator](v, wanted), F.lit(False))
-    if name not in TEXT:
-        return lambda v: F.lit(True)
-    return lambda v: reduce(lambda a, b: a | b, [F.coalesce(TEXT[name](v, x), F.lit(False)) for x in several])
+    return test_of(operator, wanted, ignore_case) or (lambda v: F.lit(True))
+
+
+def prepare(events: DataFrame, rules: list[Rule]) -> DataFrame:
+    """events with what the rules' Columns read, made once a row whatever the number of rules."""
+    return prepared(events, {f for r in rules for f in r.fields()})
 
 
 FINDING = ["finding_id", "rule_id", "severity", "title", "ts_utc", "agent", "session_id", "event_count", "matched", "summary"]
@@ -91,7 +106,7 @@ def scan_events(events: DataFrame, rules: list[Rule]) -> DataFrame:
         F.when(r.matches(), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.title).alias("title"), quoted(r).alias("matched")))
         for r in single
     ]
-    found = events.select("event_id", "ts_utc", "agent", "session_id", "kind", uninterpreted().alias("_unmapped"), F.explode(F.array_compact(F.array(*hits))).alias("f"))
+    found = prepare(events, single).select("event_id", "ts_utc", "agent", "session_id", "kind", uninterpreted().alias("_unmapped"), F.explode(F.array_compact(F.array(*hits))).alias("f"))
     flat = found.select("event_id", "ts_utc", "agent", "session_id", "kind", "_unmapped", "f.*")
     said = F.concat(F.col("title"), F.lit(": "), F.col("kind"), F.when(F.col("_unmapped"), F.lit(" (a format that nobody has mapped)")).otherwise(F.lit("")))
     return flat.withColumns({"finding_id": finding_id(F.col("rule_id"), F.array("event_id")), "event_count": F.lit(1).cast("long"), "summary": said}).select(*FINDING, "event_id")
@@ -100,7 +115,7 @@ def scan_events(events: DataFrame, rules: list[Rule]) -> DataFrame:
 def scan_groups(events: DataFrame, rule: Rule) -> DataFrame:
     """Groups or bursts of an aggregate rule: the keys, size, first and last."""
     a = rule.aggregate
-    hits = events.where(rule.matches())
+    hits = prepare(events, [rule]).where(rule.matches())
     if a.get("window_minutes"):
         return bursts(hits, list(a["by"]), a["window_minutes"], a["min_count"])
     distinct = F.get(resolve(a["distinct"]), F.lit(0)) if a.get("distinct") else None
@@ -109,7 +124,8 @@ def scan_groups(events: DataFrame, rule: Rule) -> DataFrame:
 
 def evidence(events: DataFrame, rule: Rule) -> DataFrame:
     """(rule_id, keys, event_id) of the events behind the groups of an aggregate rule."""
-    keys, hits, found = list(rule.aggregate["by"]), events.where(rule.matches()), scan_groups(events, rule)
+    keys, found = list(rule.aggregate["by"]), scan_groups(events, rule)
+    hits = prepare(events, [rule]).where(rule.matches())
     if rule.aggregate.get("window_minutes"):
         some = members(hits, found, keys)
     else:
@@ -147,8 +163,25 @@ def self_test(spark: SparkSession, rules: list[Rule]) -> DataFrame:
         rows = []
         for expected, samples in ((True, r.positive), (False, r.negative)):
             for i, s in enumerate(samples):
-                row = {"kind": "unparsed.record", **{k: v for k, v in s.items() if k != "payload"}, "payload_json": json.dumps(s.get("payload", {})), "locator": f"{int(expected)}:{i}"}
+                row = {"kind": "unparsed.record", **{k: v for k, v in s.items() if k not in ("payload", "raw")}, "locator": f"{int(expected)}:{i}"}
+                row |= {"payload_json": json.dumps(s.get("payload", {})), "raw_json": json.dumps(s["raw"]) if "raw" in s else None}
                 rows.append(tuple(row.get(c) for c in EVENT_COLUMNS))
-        part = spark.createDataFrame(rows, EVENT).select(F.lit(r.id).alias("rule_id"), F.col("locator").alias("sample"), F.startswith("locator", F.lit("1:")).alias("expected"), r.matches().alias("found"))
+        part = prepare(spark.createDataFrame(rows, EVENT), [r]).select(F.lit(r.id).alias("rule_id"), F.col("locator").alias("sample"), F.startswith("locator", F.lit("1:")).alias("expected"), r.matches().alias("found"))
         out = part if out is None else out.union(part)
     return out
+
+
+def scan_record(events: DataFrame, rules: list[Rule], findings: DataFrame, run: str) -> DataFrame:
+    """One row that says what a scan did: run, ids of its rules, events read, findings made. An empty scan is a scan too."""
+    ids = F.array(*[F.lit(r.id) for r in sorted(rules, key=lambda r: r.id)]) if rules else F.array().cast("array<string>")
+    read, made = events.agg(F.count("*").alias("events_read")), findings.agg(F.count("*").alias("findings"), F.countDistinct("rule_id").alias("rules_found"))
+    return read.crossJoin(made).select(F.lit(run).alias("run_id"), F.lit(len(rules)).alias("rules_run"), ids.alias("rule_ids"), "events_read", "findings", "rules_found")  # a row each
+
+
+def session_marks(sessions: DataFrame, findings: DataFrame) -> DataFrame:
+    """sessions with the number of their findings, the gravest severity, and whether any record is unread."""
+    rank = reduce(lambda c, x: c.when(F.col("severity") == x[1], x[0]), enumerate(SEVERITIES), F.when(F.lit(False), -1))
+    found = findings.groupBy("agent", F.col("session_id").alias("session")).agg(F.count("*").alias("findings"), F.min(rank).alias("_worst"))
+    worst = F.get(F.array(*[F.lit(x) for x in SEVERITIES]), F.col("_worst"))
+    joined = sessions.alias("s").join(found.alias("f"), F.col("s.agent").eqNullSafe(F.col("f.agent")) & F.col("s.session").eqNullSafe(F.col("f.session")), "left")
+    return joined.select("s.*", F.coalesce("f.findings", F.lit(0)).cast("long").alias("findings"), worst.alias("worst"), (F.col("s.unreadable") > 0).alias("has_unread"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trailspark.operators.timeline import append_new, distinct_events, timeline_order
 from trailspark.schema import EVENT_COLUMNS
+from trailspark.sources.unified import to_record
 
 
 def summarise(width: int = 0) -> Column:
@@ -16,12 +17,8 @@ def summarise(width: int = 0) -> Column:
     return F.substring(line, 1, width) if width else line
 
 
-def unified_record() -> Column:
-    return F.to_json(F.struct(*EVENT_COLUMNS), {"ignoreNullFields": "false"})
-
-
 def write_unified_log(events: DataFrame, path: str) -> None:
-    events.select(unified_record()).write.text(path)
+    events.select(to_record()).write.text(path)
 
 
 def write_timeline(events: DataFrame, path: str, form: str = "csv") -> None:
@@ -29,7 +26,7 @@ def write_timeline(events: DataFrame, path: str, form: str = "csv") -> None:
     if form == "csv":
         events.orderBy(*timeline_order()).select(*EVENT_COLUMNS[:-3], summarise().alias("summary")).write.option("header", True).csv(path)
     elif form == "jsonl":
-        events.orderBy(*timeline_order()).select(unified_record()).write.text(path)
+        events.orderBy(*timeline_order()).select(to_record()).write.text(path)
     else:
         rows = events.where(F.col("ts_utc").isNotNull()).orderBy(*timeline_order())
         rows.select(F.to_json(F.struct(summarise().alias("message"), F.col("ts_utc").alias("datetime"), F.col("kind").alias("timestamp_desc"), F.lit("agent:event").alias("data_type")))).write.text(path)

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trailspark.functions.flatten import custody_hash
 from trailspark.functions.identity import event_id
 from trailspark.operators.timeline import chain_problems
-from trailspark.schema import EVENT, EVENT_COLUMNS, KINDS
+from trailspark.schema import EVENT, EVENT_COLUMNS
+from trailspark.sources.unified import from_records
 
 #: A line ends with CRLF, LF or CR.
 LINE_END = r"\r\n|\n|\r"
@@ -43,49 +45,46 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_unified_log(spark: SparkSession, path: str, bundle: str | None = None) -> DataFrame:
-    """Events of unified logs. Lines that aren't events become unparsed records; a stated id that doesn't follow from the provenance is noted."""
-    lines = read_jsonl(spark, path)
-    stated = {c: F.get_json_object("value", f"$.{c}") for c in EVENT_COLUMNS}
-    rows = lines.select("path", "line_no", "text", "value", "problem", *[c.alias(n) for n, c in stated.items()])
-    bad = F.col("value").isNull() | ~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))
-    kept = rows.withColumns(
-        {
-            "_stated": F.col("event_id"), "_kind": F.col("kind"),
-            "kind": F.when(bad, "unparsed.record").otherwise(F.col("kind")), "bundle_uuid": F.coalesce(F.lit(bundle), F.col("bundle_uuid")),
-            "original_path": F.coalesce("original_path", "path"), "locator": F.coalesce(F.col("locator"), F.concat(F.lit("line:"), F.col("line_no"))),
-            "raw_json": F.when(bad, F.col("text")).otherwise(F.col("raw_json")), "ts_precision": F.coalesce("ts_precision", F.lit("absent")),
-        }
-    ).withColumn("event_id", event_id())
-    said = F.concat_ws(
-        "; ", F.col("parse_problem"), F.col("problem"),
-        F.when(F.col("value").isNotNull() & ~F.coalesce(F.col("_kind").isin(*KINDS), F.lit(False)), F.concat(F.lit("unknown kind "), F.coalesce("_kind", F.lit("(none)")))),
-        F.when(F.col("_stated") != F.col("event_id"), F.lit("the stated id doesn't follow from the provenance")),
-    )
-    return kept.withColumn("parse_problem", F.when(said != "", said)).select(*EVENT_COLUMNS)
+    """Events of unified logs, a line each; see sources.unified."""
+    return from_records(read_jsonl(spark, path), bundle=bundle)
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """files, gaps and project_roots of bundle manifests."""
+    """files, gaps, project_roots, users and collections of bundle manifests, each with its bundle_uuid; collections has the hash of the manifest as stored."""
     schema = (
-        "collection struct<bundle_uuid: string>, files array<struct<path: string, sha256: string, size: bigint, collected: boolean, reason: string>>, "
-        "errors array<struct<path: string, reason: string>>, refused_patterns array<string>, project_roots array<string>"
+        "collection struct<uuid: string, started_utc: string, finished_utc: string, hostname: string, os: string, os_version: string, collector_user: string, elevated: boolean>, "
+        "files array<struct<artifact_id: string, agent: string, category: string, user: string, original_path: string, bundle_path: string, size: bigint, sha256: string, mtime_utc: string, "
+        "ctime_utc: string, atime_utc: string, birthtime_utc: string, collected: boolean, reason: string, status: string, symlink: string, changed_while_reading: boolean>>, "
+        "errors array<struct<path: string, error: string, detail: string>>, refused_patterns array<struct<pattern: string, expanded: string, reason: string>>, "
+        "project_roots array<struct<path: string, source: string>>, users array<struct<name: string, home: string, collected: boolean, reason: string>>"
     )
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.col("collection.bundle_uuid").alias("bundle_uuid"), "files", "errors", "refused_patterns", "project_roots")
-    errors = rows.select("bundle_uuid", F.explode("errors").alias("e")).select("bundle_uuid", F.lit("error").alias("kind"), F.col("e.path").alias("detail"), F.col("e.reason").alias("reason"))
-    refused = rows.select("bundle_uuid", F.explode("refused_patterns").alias("detail")).select("bundle_uuid", F.lit("refused").alias("kind"), "detail", F.lit("pattern refused").alias("reason"))
+    stored = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("manifest_sha256"), F.from_json(F.decode("content", "UTF-8"), schema).alias("m"))
+    rows = stored.select(F.col("m.collection.uuid").alias("bundle_uuid"), "manifest_sha256", "m.*")
+    each = lambda c: rows.select("bundle_uuid", F.explode(c).alias("x"))
+    files = each("files").select("bundle_uuid", "x.*")
+    errors = each("errors").select("bundle_uuid", F.lit("error").alias("kind"), F.col("x.path").alias("detail"), F.concat_ws(": ", "x.error", "x.detail").alias("reason"))
+    refused = each("refused_patterns").select("bundle_uuid", F.lit("refused").alias("kind"), F.col("x.pattern").alias("detail"), F.col("x.reason").alias("reason"))
+    skipped = files.where(~F.coalesce("collected", F.lit(True))).select("bundle_uuid", F.lit("skipped_by_policy").alias("kind"), F.col("original_path").alias("detail"), "reason")
     return {
-        "files": rows.select("bundle_uuid", F.explode("files").alias("f")).select("bundle_uuid", "f.*"),
-        "gaps": errors.unionByName(refused),
-        "project_roots": rows.select("bundle_uuid", F.explode("project_roots").alias("root")),
+        "files": files,
+        "gaps": errors.unionByName(refused).unionByName(skipped),
+        "project_roots": each("project_roots").select("bundle_uuid", F.col("x.path").alias("root"), F.col("x.source").alias("source")),
+        "users": each("users").select("bundle_uuid", "x.*"),
+        "collections": rows.select("bundle_uuid", "manifest_sha256", "collection.*").drop("uuid"),
     }
 
 
 def read_custody(spark: SparkSession, path: str) -> DataFrame:
-    """(path, seq, event, sha256, prev_sha256, problem) of custody records, in the order of their lines."""
+    """(path, line_no, seq, event, sha256, prev_sha256, manifest_sha256, problem) of custody records; numbers and hashes are checked, not trusted."""
     lines = read_jsonl(spark, path)
     said = lambda n: F.get_json_object("value", f"$.{n}")
-    rows = lines.select("path", (F.col("line_no") - 1).alias("seq"), said("event").alias("event"), said("sha256").alias("sha256"), said("prev_sha256").alias("prev_sha256"))
-    return chain_problems(rows, ["path"])
+    rows = lines.select(
+        "path", "line_no", said("seq").try_cast("long").alias("seq"), *[said(n).alias(n) for n in ("event", "sha256", "prev_sha256", "manifest_sha256")],
+        custody_hash("value").alias("_own"), F.col("problem").alias("_unread"),
+    )
+    checked = chain_problems(rows, ["path"], order="line_no", recomputed="_own")
+    said_all = F.concat_ws("; ", "_unread", "problem")
+    return checked.withColumn("problem", F.nullif(said_all, F.lit(""))).drop("_own", "_unread")
 
 
 def read_table(rows: DataFrame, store: str, table: str, columns: dict[str, list[str]], row_id: str) -> DataFrame:

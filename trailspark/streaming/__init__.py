@@ -5,23 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.functions.identity import event_id
 from trailspark.rules.scan import Rule, scan_events
-from trailspark.schema import EVENT_COLUMNS, KINDS
 from trailspark.sinks import append_case
 from trailspark.sources import strict_object
+from trailspark.sources.unified import from_records
 
 
 def stream_events(spark: SparkSession, path: str) -> DataFrame:
     """Events of unified log files as they arrive; what isn't one becomes an unparsed record."""
-    lines = spark.readStream.text(path).where(F.trim("value") != "").withColumn("object", strict_object(F.col("value")))
-    rows = lines.select("value", "object", *[F.get_json_object("object", f"$.{c}").alias(c) for c in EVENT_COLUMNS])
-    bad = ~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))
-    kept = rows.withColumns(
-        {"raw_json": F.when(bad, F.col("value")).otherwise(F.col("raw_json")), "parse_problem": F.when(bad, "not a unified event").otherwise(F.col("parse_problem")), "kind": F.when(bad, "unparsed.record").otherwise(F.col("kind"))}
-    )
-    # a line that isn't an event has no provenance but its own text
-    return kept.withColumn("locator", F.coalesce("locator", F.concat(F.lit("text:"), F.sha2("value", 256)))).withColumn("event_id", event_id()).select(*EVENT_COLUMNS)
+    lines = spark.readStream.text(path).where(F.trim("value") != "").select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
+    rows = lines.withColumn("value", strict_object(F.col("text"))).withColumn("problem", F.when(F.col("value").isNull(), F.lit("not an object")))
+    # a stream has no line numbers, so a line that isn't an event is placed by its own text
+    return from_records(rows, locator=F.concat(F.lit("text:"), F.sha2("text", 256)))
 
 
 def append_stream(events: DataFrame, case: str, checkpoint: str):

@@ -24,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from trailspark.llm.common import table
 
 #: Bytes of text whose words are merged together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 #: A space that doesn't start a word of the split below.
 _LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
 
@@ -173,30 +174,27 @@ def _gather(values: np.ndarray, starts: np.ndarray, chosen: np.ndarray) -> tuple
     return values[at], begin
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], text: str, block_bytes: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """The rows in pieces of about block_bytes of text, a row at least."""
-    for batch in batches:
-        texts = [t or "" for t in batch.column(text).to_pylist()]
-        start = size = 0
-        for i, t in enumerate(texts):
-            if i > start and size + len(t) > block_bytes:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, size = i, 0
-            size += len(t)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
-
-
-def _wide_batches(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Joins small batches, so that more documents share their words."""
+def _blocks(batches: Iterator[pa.RecordBatch], text: str, block_bytes: int) -> Iterator[tuple[pa.Table, list[str]]]:
+    """The rows in pieces of about block_bytes of text, a row at least, across batches."""
     held: list[pa.RecordBatch] = []
+    size = 0
+
+    def block() -> tuple[pa.Table, list[str]]:
+        part = pa.Table.from_batches(held).combine_chunks()
+        return part, [t or "" for t in part.column(text).to_pylist()]
+
     for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held = []
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        start = 0
+        for i, n in enumerate(lengths.tolist()):
+            if size and size + n > block_bytes:
+                held.append(batch.slice(start, i - start))
+                yield block()
+                held, size, start = [], 0, i
+            size += n
+        held.append(batch.slice(start))
+    if sum(b.num_rows for b in held):
+        yield block()
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", block_bytes: int = BLOCK_BYTES, finish=None, schema: str = "ids array<int>") -> DataFrame:
@@ -213,12 +211,19 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, keep: tuple[str, ...] =
     kinds = ", ".join(f"{c} {t}" for c, t in chosen.dtypes if c != "body")
 
     def run(batches):
-        gc.disable()  # millions of small strings and no cycles
         vocabulary, split = Vocabulary(sent.value), regex.compile(pattern)
-        for part, texts in _blocks(_wide_batches(batches), "body", block_bytes):
-            ids = encode_block(texts, vocabulary, split)
-            found = finish(ids, sent.value)
-            yield pa.RecordBatch.from_arrays([*[part.column(h) for h in held], *found], names=[*held, *[f"r{i}" for i in range(len(found))]])
+        for part, texts in _blocks(batches, "body", block_bytes):
+            collecting = gc.isenabled()
+            gc.disable()  # millions of small strings and no cycles; the worker may serve other queries after this one
+            try:
+                ids = encode_block(texts, vocabulary, split)
+                found = finish(ids, sent.value)
+            finally:
+                if collecting:
+                    gc.enable()
+            columns = [*[part.column(h).combine_chunks() for h in held], *found]
+            yield pa.RecordBatch.from_arrays(columns, names=[*held, *[f"r{i}" for i in range(len(found))]])
+            pa.default_memory_pool().release_unused()
 
     results = [x.strip().split(" ", 1) for x in schema.split(", ")]
     out = chosen.mapInArrow(run, ", ".join([kinds, *[f"r{i} {kind}" for i, (_, kind) in enumerate(results)]]))

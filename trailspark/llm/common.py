@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +75,17 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def texts_of(column: pa.Array, rows: int = 512) -> Iterator[str | None]:
+    """The values of a column, not all of them as Python objects at once."""
+    for start in range(0, len(column), rows):
+        yield from column.slice(start, rows).to_pylist()
+
+
+def small(held: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A stored table, with a hint to broadcast it if it has no more than the given number of rows."""
+    return F.broadcast(held) if held.count() <= rows else held
+
+
 def sized(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """df, stored, with a hint to broadcast it if it has no more than the given number of rows."""
-    held = stored(df, "sized")
-    return F.broadcast(held) if held.count() <= rows else held
+    return small(stored(df, "sized"), rows)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import Scratch, sized, table
+from trailspark.llm.common import Scratch, sized, small, table, texts_of
 from trailspark.llm.filters import bit_filter, components, count_levels, holds, level_of, unsigned
 
 #: Shingles of all sets in a group, unless one set has more, and sets in it.
@@ -81,7 +81,7 @@ class Shingles:
 
 
 def _sets(batch: pa.RecordBatch, make: Shingles) -> Iterator[np.ndarray]:
-    for text in batch.column("body").to_pylist():
+    for text in texts_of(batch.column("body")):
         yield make(text)
 
 
@@ -151,9 +151,16 @@ def _chosen_sets(sent, n: int):
     """For mapInArrow: (class, least, size, members) for the rows whose key may be asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, bits = Shingles(n), sent.value
+        make, bits, seen = Shingles(n), sent.value, set()
         for batch in batches:
-            some = batch.filter(pa.array(holds(bits, unsigned(batch.column("row_key")))))
+            keys = unsigned(batch.column("row_key"))
+            keep = holds(bits, keys)
+            for i in np.flatnonzero(keep).tolist():
+                keep[i] = keys[i] not in seen  # equal rows have one set
+                seen.add(keys[i])
+            if len(seen) > 1_000_000:
+                seen.clear()
+            some = batch.filter(pa.array(keep))
             found = [x for x in _sets(some, make) if len(x)]
             for start in range(0, len(found), 256):
                 part = found[start : start + 256]
@@ -241,7 +248,7 @@ def _opened(num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, names, sets, union = None, [], [], None
-        ask, asked, mine, size = [], [], False, 0
+        ask, asked, mine, size, last = [], [], False, 0, None
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal union, size
@@ -261,18 +268,23 @@ def _opened(num: int, den: int):
                 key = group.as_py(), part.as_py()
                 if key != unit:
                     yield from flush()
-                    unit, union = key, None
+                    unit, union, last = key, None, None
                     names.clear()
                     sets.clear()
-                found = np.frombuffer(members.as_py(), np.uint64)
+                found, title = np.frombuffer(members.as_py(), np.uint64), name.as_py()
+                # several tasks may have given the set of one class; those stand together
                 if not kind.as_py():
-                    names.append(name.as_py())
-                    sets.append(found)
+                    if not names or names[-1] != title:
+                        names.append(title)
+                        sets.append(found)
                     continue
+                if title == last:
+                    continue
+                last = title
                 if own.as_py() != mine or size > BLOCK_SHINGLES:
                     yield from flush()
                 mine = own.as_py()
-                ask.append(name.as_py())
+                ask.append(title)
                 asked.append(found)
                 size += len(found)
         yield from flush()
@@ -328,27 +340,28 @@ def labelled(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, doc:
     name = F.xxhash64("class")
     several = (F.min(name) < F.max(name)).alias("several")
     matrix = held.table(entries.groupBy("shingle", F.col("group").alias("target")).agg(F.min("size").alias("low"), F.max("size").alias("high"), several), "matrix")
-    asks = held.table(entries, "asks")
     x = F.col("size")
     fits = (F.col("high") >= (t - 1e-9) * x) & ((t - 1e-9) * F.col("low") <= x)
     other = (F.col("group") < F.col("target")) | ((F.col("group") == F.col("target")) & F.col("several"))
-    hits = asks.join(matrix, "shingle").where(fits & other).groupBy("class", "size", "group", "target")
+    hits = entries.join(matrix, "shingle").where(fits & other).groupBy("class", "size", "group", "target")
     bound = hits.agg(F.count("*").alias("hits"), F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("hits") >= needed(x, F.col("low"), F.col("high"), t))
     opened = held.table(bound.select("class", "target", (F.col("group") == F.col("target")).alias("own")), "opened")
-    held.drop("asks", "matrix")
-    # the sets of those classes and groups
-    targets = held.table(opened.groupBy(F.col("target").alias("group")).agg(F.ceil(F.count("*") / UNIT_QUERIES).cast("int").alias("parts")), "targets")
-    inside = grouped(kept).join(targets, "group", "left_semi").select("row_key")
-    asking = kept.join(opened.select("class").distinct(), "class", "left_semi").select("row_key")
-    wanted = bit_filter(inside.union(asking), "row_key")
+    held.drop("matrix")
+    # the sets of those classes and groups; small tables are broadcast, so that sets move once, to their units
+    targets = small(held.table(opened.groupBy(F.col("target").alias("group")).agg(F.ceil(F.count("*") / UNIT_QUERIES).cast("int").alias("parts")), "targets"))
+    asking = held.table(opened.select("class").distinct(), "asking")
+    inside = grouped(kept).join(targets, "group", "left_semi").select("class", "row_key")
+    asked = kept.join(small(asking), "class", "left_semi").select("class", "row_key")
+    needs = held.table(inside.union(asked).distinct(), "needs")
+    wanted = bit_filter(needs, "row_key")
     chosen = rows.select("row_key", "body").mapInArrow(_chosen_sets(send(wanted), n), "class binary, least long, size long, members binary")
-    sets = held.table(grouped(chosen.groupBy("class").agg(*(F.first(c).alias(c) for c in ("least", "size", "members")))), "sets")
+    sets = held.table(grouped(chosen.join(small(needs.select("class")), "class", "left_semi")), "sets")
     units = sets.join(targets, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("ask"), "class", F.lit(False).alias("own"), "members")
     place = F.pmod(F.xxhash64(F.lit("unit"), "class"), F.col("parts")).cast("int").alias("part")
-    queries = sets.drop("group").join(opened, "class").withColumnRenamed("target", "group").join(targets, "group").select("group", place, F.lit(True).alias("ask"), "class", "own", "members")
+    queries = sets.drop("group").join(small(opened), "class").withColumnRenamed("target", "group").join(targets, "group").select("group", place, F.lit(True).alias("ask"), "class", "own", "members")
     dealt = units.union(queries).repartition("group", "part").sortWithinPartitions("group", "part", "ask", "own", "class")
     links = held.table(dealt.mapInArrow(_opened(num, den), "class binary, root binary, links long"), "links")
-    held.drop("sets", "targets", "opened", "kept")
+    held.drop("sets", "targets", "opened", "kept", "asking", "needs")
     # classes of several documents or with links; all others are components of their own
     edges = links.where(F.col("class") != F.col("root")).select(F.col("class").alias("a"), F.col("root").alias("b"))
     found = components(edges, "jaccard-components").select(F.col("node").alias("class"), F.col("component").alias("label"))
@@ -357,7 +370,7 @@ def labelled(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, doc:
     known = full.join(found, "class", "left").join(numbers, "class", "left").where("n_copies > 1 OR label IS NOT NULL").withColumn("label", F.coalesce("label", "class"))
     known = held.table(known, "known")
     least = held.table(known.groupBy("label").agg(F.min("class_id").alias("component")), "least")
-    told = held.table(known.join(least, "label"), "told")
+    told = small(held.table(known.join(least, "label"), "told"))
     held.drop("known", "least", "links")
     lone = F.col("n_copies").isNull()
     none = F.col("class").isNull()

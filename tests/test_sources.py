@@ -33,12 +33,12 @@ def test_claude_transcript(spark, tmp_path):
     rows = normalize.claude(sources.read_jsonl(spark, put(tmp_path / "c", "t.jsonl", "\n".join(lines)))).cache()
     kinds = sorted((r.kind, r.locator) for r in rows.collect())
     assert kinds == [
-        ("assistant.text", "line:2#text1"), ("assistant.thinking", "line:2#thinking0"), ("command.exec", "line:2#effect2"), ("session.start", "line:2#usage"), ("tool.call", "line:2#tool2"),
+        ("assistant.text", "line:2#text1"), ("assistant.thinking", "line:2#thinking0"), ("command.exec", "line:2#effect2"), ("tool.call", "line:2#tool2"),
         ("tool.result", "line:3#result0"), ("unparsed.record", "line:4"), ("unparsed.record", "line:5"), ("user.prompt", "line:1"),
     ]
     assert rows.select("event_id").distinct().count() == rows.count()
     assert tools.ledger(tools.tool_calls(rows), tools.tool_results(rows)).first().is_error is True
-    assert facets.facet(rows, "models").first().input_tokens == 3
+    assert [(r.model, r.input_tokens) for r in facets.facet(rows, "models").collect()] == [("m", 3)] * 3
     assert {r.rule_id for r in streaming.scan_stream(rows, RULES).collect()} == {"TS-DANGER-001"}
 
 

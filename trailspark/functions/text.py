@@ -112,20 +112,29 @@ def _is(value: Column, kind: str) -> Column:
     return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit(kind)), F.lit(False))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_of(value: Column, depth: int = 5) -> Column:
     """The text of a message body as a VARIANT: a string, a list of bodies on lines of their own, or an object's first text key.
 
     Bodies nested deeper than `depth` come out as JSON, and so do objects without a text key.
     """
-    said = F.try_variant_get(value, "$", "string")
-    if depth == 0:
-        return F.coalesce(said, F.lit(""))
-    items = F.filter(F.try_variant_get(value, "$", "array<variant>"), lambda v: ~F.is_variant_null(v))
-    listed = F.array_join(F.transform(items, lambda v: text_of(v, depth - 1)), "\n")
-    inner = [F.try_variant_get(value, f"$.{k}", "variant") for k in TEXT_KEYS]
-    found = F.coalesce(*inner)
-    keyed = F.when(found.isNotNull(), text_of(found, depth - 1)).otherwise(said)
-    return F.when(_is(value, "ARRAY"), listed).when(_is(value, "OBJECT"), keyed).when(F.is_variant_null(value), F.lit("")).otherwise(F.coalesce(said, F.lit("")))
+
+    def inner(v: Column, left: int) -> Column:
+        said = F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))
+        if left == 0:
+            return said
+        found = F.coalesce(*[F.try_variant_get(v, f"$.{k}", "variant") for k in TEXT_KEYS])
+        listed = F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda x: ~F.is_variant_null(x))
+        # one level down for both, so that the expression grows with the depth and not with its power
+        below = F.when(_is(v, "ARRAY"), listed).when(_is(v, "OBJECT") & found.isNotNull(), F.array(found))
+        joined = F.array_join(F.transform(below, lambda x: inner(x, left - 1)), "\n")
+        return F.when(v.isNull() | F.is_variant_null(v), F.lit("")).otherwise(F.coalesce(joined, said))
+
+    return _let(value, lambda v: inner(v, depth))
 
 
 def number_of(value: Column) -> Column:

@@ -6,104 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trailspark.functions.identity import event_id
-from trailspark.functions.text import normalise_ts
-from trailspark.schema import EVENT_COLUMNS, UNINTERPRETED
+from trailspark.functions.text import fish_unescape, text_of as _text_of
+from trailspark.normalize import chats, documents
+from trailspark.normalize.chats import claude
+from trailspark.normalize.records import finish, payload as _payload
+from trailspark.schema import UNINTERPRETED
 from trailspark.sources import line_runs
 
-_BLOCK = "array<struct<type:string,text:string,thinking:string,id:string,name:string,input:string,tool_use_id:string,content:string,is_error:boolean>>"
-
 
 def _said(path: str, column: str = "value") -> Column:
     return F.get_json_object(column, f"$.{path}")
 
 
-def finish(rows: DataFrame, **columns: Column) -> DataFrame:
-    """All event columns of rows that have some of them and `time`, with an id that follows from the provenance."""
-    have = rows.withColumns(columns)
-    if "time" in have.columns:
-        have = have.withColumn("_t", normalise_ts(F.col("time"))).withColumns({"ts_utc": F.col("_t.ts_utc"), "ts_precision": F.col("_t.ts_precision")})
-    have = have.withColumn("ts_precision", F.coalesce("ts_precision", F.lit("absent")) if "ts_precision" in have.columns else F.lit("absent"))
-    full = have.select(*[(F.col(c) if c in have.columns else F.lit(None)).cast("string").alias(c) for c in EVENT_COLUMNS])
-    return full.withColumn("event_id", event_id())
-
-
-def _payload(**fields: Column) -> Column:
-    return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
-
-
-def _event(kind, payload: Column, suffix: Column, actor: str) -> Column:
-    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), payload.alias("payload_json"), suffix.alias("suffix"), F.lit(actor).alias("actor"))
-
-
-def _text_of(v: Column, depth: int = 3) -> Column:
-    """The text of a variant: a string, the parts of a list by lines, the first text-like field of an object; else as JSON."""
-    plain = F.try_variant_get(v, "$", "string")
-    if not depth:
-        return plain
-    shape = F.schema_of_variant(v)
-    inner = F.coalesce(*[F.try_variant_get(v, f"$.{k}", "variant") for k in ("text", "thinking", "content", "display", "message")])
-    parts = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: _text_of(x, depth - 1))
-    return F.when(F.startswith(shape, F.lit("ARRAY")), F.array_join(parts, "\n")).when(F.startswith(shape, F.lit("OBJECT")) & inner.isNotNull(), _text_of(inner, depth - 1)).otherwise(plain)
-
-
-_EVENTS = "array<struct<kind:string,payload_json:string,suffix:string,actor:string>>"
-
-
-def claude(lines: DataFrame) -> DataFrame:
-    """Transcript lines (path, line_no, text, value, problem): prompts, text, thinking, tool calls with their effects, results, model usage."""
-    none = F.array().cast(_EVENTS)
-    kind, content = _said("type"), _said("message.content")
-    blocks = F.from_json(F.when(F.startswith(content, F.lit("[")), content), _BLOCK)
-    each = lambda f: F.coalesce(F.flatten(F.transform(blocks, f)), none)
-    mark = lambda name, i: F.concat(F.lit(f"#{name}"), i.cast("string"))
-
-    def answer(b: Column, i: Column) -> Column:
-        mcp, inside = F.startswith(b["name"], F.lit("mcp__")), lambda k: F.get_json_object(b["input"], f"$.{k}")
-        call = _event(F.when(mcp, "mcp.call").otherwise("tool.call"), _payload(tool=b["name"], tool_use_id=b["id"], input=b["input"]), mark("tool", i), "assistant")
-        effect = (
-            F.when(b["name"] == "Bash", F.array(_event("command.exec", _payload(tool_use_id=b["id"], commands=F.array(F.struct(inside("command").alias("command")))), mark("effect", i), "assistant")))
-            .when(b["name"] == "Read", F.array(_event("file.read", _payload(tool_use_id=b["id"], files=F.array(F.struct(inside("file_path").alias("path"), F.lit("read").alias("operation")))), mark("effect", i), "assistant")))
-            .when(b["name"].isin("Write", "Edit"), F.array(_event("file.write", _payload(tool_use_id=b["id"], files=F.array(F.struct(inside("file_path").alias("path"), F.lit("write").alias("operation")))), mark("effect", i), "assistant")))
-            .when(b["name"] == "WebFetch", F.array(_event("network.request", _payload(tool_use_id=b["id"], network=F.array(F.struct(inside("url").alias("url")))), mark("effect", i), "assistant")))
-            .otherwise(none)
-        )
-        return (
-            F.when(b["type"] == "text", F.array(_event("assistant.text", _payload(text=b["text"]), mark("text", i), "assistant")))
-            .when(b["type"] == "thinking", F.array(_event("assistant.thinking", _payload(text=b["thinking"]), mark("thinking", i), "assistant")))
-            .when(b["type"] == "tool_use", F.concat(F.array(call), effect))
-            .otherwise(none)
-        )
-
-    def said(b: Column, i: Column) -> Column:
-        return F.when(
-            b["type"] == "tool_result", F.array(_event("tool.result", _payload(tool_use_id=b["tool_use_id"], output=b["content"], is_error=F.coalesce(b["is_error"], F.lit(False))), mark("result", i), "tool"))
-        ).when(b["type"] == "text", F.array(_event("user.prompt", _payload(text=b["text"]), mark("text", i), "user"))).otherwise(none)
-
-    usage = F.array(_event("session.start", _payload(models=F.array(F.struct(_said("message.model").alias("model"), _said("message.usage.input_tokens").try_cast("long").alias("input_tokens"), _said("message.usage.output_tokens").try_cast("long").alias("output_tokens")))), F.lit("#usage"), "assistant"))
-    plain = lambda k, actor: F.array(_event(k, _payload(text=content), F.lit(""), actor))
-    whole = F.coalesce(_text_of(F.try_variant_get(F.try_parse_json("value"), "$.message.content", "variant")), content)
-    category = F.coalesce(_said("message.stop_details.type"), _said("message.stop_details.category"), F.lit("refusal"))
-    declined = _payload(refusal=category, text=whole, models=F.when(_said("message.model").isNotNull(), F.array(F.struct(_said("message.model").alias("model")))), message_id=_said("message.id"))
-    refusal = F.when((kind == "assistant") & (_said("message.stop_reason") == "refusal"), F.array(_event("safety.refusal", declined, F.lit("#refusal"), "assistant"))).otherwise(none)
-    made = (
-        F.when((kind == "user") & blocks.isNotNull(), each(said)).when(kind == "user", plain("user.prompt", "user"))
-        .when((kind == "assistant") & blocks.isNotNull(), F.concat(each(answer), F.when(_said("message.usage").isNotNull(), usage).otherwise(none))).when(kind == "assistant", plain("assistant.text", "assistant"))
-        .when(kind == "permission-mode", F.array(_event("permission.change", _payload(permissions=F.array(F.struct(_said("permissionMode").alias("mode")))), F.lit(""), "user")))
-        .when(kind.isin("summary", "compact"), F.array(_event("session.end", _payload(text=_said("summary")), F.lit(""), "system")))
-        .otherwise(none)
-    )
-    unknown = F.array(_event("unparsed.record", F.lit("{}"), F.lit(""), "unknown"))
-    rows = lines.withColumn("_made", F.concat(refusal, made)).select(
-        F.col("path").alias("original_path"), "line_no", "text", "value", "problem", (F.size("_made") == 0).alias("_none"), F.explode(F.when(F.size("_made") > 0, F.col("_made")).otherwise(unknown)).alias("e"),
-    )
-    reason = F.coalesce(F.col("problem"), F.when(F.col("_none"), F.concat(F.lit("a record of type "), F.coalesce(_said("type"), F.lit("(none)")), F.lit(f" {UNINTERPRETED}"))))
-    return finish(
-        rows, kind=F.col("e.kind"), agent=F.lit("claude_code"), actor=F.col("e.actor"), time=_said("timestamp"), ts_source=F.lit("timestamp"), session_id=_said("sessionId"), project_path=_said("cwd"),
-        git_branch=_said("gitBranch"), artifact_id=F.lit("claude_code.transcript"), locator=F.concat(F.lit("line:"), F.col("line_no"), F.col("e.suffix")), payload_json=F.col("e.payload_json"), raw_json=F.col("text"), parse_problem=reason,
-    )
-
-
 def codex(lines: DataFrame) -> DataFrame:
     """Rollout lines: session facts and the model are carried forward in a file; mirrors of turns become config snapshots; shell
     calls are tool calls and commands.
@@ -143,7 +57,7 @@ def codex(lines: DataFrame) -> DataFrame:
     made = F.col("e.kind")
     unknown = F.when(made == "unparsed.record", F.coalesce(F.col("problem"), F.concat(F.lit("a record of type "), F.coalesce(kind, F.lit("(none)")), F.lit(f" {UNINTERPRETED}"))))
     return finish(
-        rows, kind=made, agent=F.lit("codex"), actor=F.when(made == "user.prompt", "user").otherwise("assistant"), time=_said("timestamp"), artifact_id=F.lit("codex.rollout"), original_path=F.col("path"),
+        rows, kind=made, agent=F.lit("codex"), actor=F.when(made == "user.prompt", "user").when(made == "tool.result", "tool").when(made.isin("session.start", "session.end", "config.snapshot"), "system").otherwise("assistant"), time=_said("timestamp"), artifact_id=F.lit("codex.rollout"), original_path=F.col("path"),
         locator=F.concat(F.lit("line:"), F.col("line_no"), F.col("e.suffix")), payload_json=F.col("e.payload_json"), raw_json=F.col("text"), parse_problem=unknown,
     )
 
@@ -179,25 +93,65 @@ def aider(lines: DataFrame) -> DataFrame:
     )
 
 
+def _joined(lines: DataFrame, goes_on: Column, between: str) -> DataFrame:
+    """Lines with those that go on put together (path, line_no, text)."""
+    order = W.partitionBy("path").orderBy("line_no")
+    rows = lines.withColumn("_goes_on", goes_on)
+    rows = rows.withColumn("_new", (~F.coalesce(F.lag("_goes_on").over(order), F.lit(False))).cast("int"))
+    rows = rows.withColumn("run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), between)
+    return rows.groupBy("path", "run").agg(F.min("line_no").alias("line_no"), joined.alias("text"))
+
+
+def _fish(lines: DataFrame) -> DataFrame:
+    """Records of a fish history: a command, its time and the paths it names; what precedes the first one is unread."""
+    order = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
+    opens = F.startswith("text", F.lit("- cmd:"))
+    rows = lines.withColumn("run", F.sum(opens.cast("int")).over(order))
+    field = lambda name: F.nullif(F.regexp_extract("text", rf"^\s+{name}:\s*(\S+)", 1), F.lit(""))
+    named = F.when(F.rlike("text", F.lit(r"^\s+- ")), F.regexp_replace("text", r"^\s+- ", ""))
+    whole = rows.groupBy("path", "run").agg(
+        F.min("line_no").alias("line_no"), F.max(F.when(opens, F.trim(F.substring("text", 7, 1 << 20)))).alias("_cmd"), F.max(field("when")).alias("time"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"),
+        F.transform(F.array_sort(F.collect_list(F.when(named.isNotNull(), F.struct("line_no", named.alias("p"))))), lambda x: fish_unescape(x["p"])).alias("paths"),
+    )
+    return whole.withColumn("command", fish_unescape(F.col("_cmd")))
+
+
 def shell_history(lines: DataFrame, shell: str) -> DataFrame:
-    """Commands of bash (times in lines of their own), zsh (extended, with continued lines) and plain histories."""
+    """Commands of bash (times in lines of their own), zsh (extended, with continued lines), fish, PowerShell (a backtick goes on),
+    an agent's own recall file (an odd number of backslashes goes on) and plain histories.
+    """
     order = W.partitionBy("path").orderBy("line_no")
+    none = F.lit(None).cast("string")
     if shell == "bash":
-        stamp = F.regexp_extract("text", r"^#(\d{9,})$", 1)
-        rows = lines.withColumns({"_stamp": F.when(stamp != "", stamp), "time": F.lag(F.when(stamp != "", stamp)).over(order)}).where(F.col("_stamp").isNull()).withColumn("command", F.col("text"))
+        stamp = F.nullif(F.regexp_extract("text", r"^#(\d{9,})$", 1), F.lit(""))
+        rows = lines.withColumns({"_stamp": stamp, "time": F.lag(stamp).over(order)}).where(F.col("_stamp").isNull()).withColumn("command", F.col("text"))
     elif shell == "zsh":
-        continued = F.coalesce(F.endswith(F.lag("text").over(order), F.lit("\\")), F.lit(False))
-        numbered = lines.withColumn("_new", (~continued).cast("int")).withColumn("run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n")
-        whole = numbered.groupBy("path", "run").agg(F.min("line_no").alias("line_no"), joined.alias("text"))
+        whole = _joined(lines, F.endswith("text", F.lit("\\")), "\n")
         rows = whole.withColumns({"time": F.nullif(F.regexp_extract("text", r"^: (\d+):\d+;", 1), F.lit("")), "command": F.regexp_replace(F.regexp_replace("text", r"^: \d+:\d+;", ""), r"\\\n", "\n")})
+    elif shell == "fish":
+        rows = _fish(lines)
+    elif shell == "powershell":
+        rows = _joined(lines, F.endswith("text", F.lit("`")), "\n").withColumns({"time": none, "command": F.regexp_replace("text", r"`\n", "\n")})
+    elif shell == "recall":
+        odd = F.char_length(F.regexp_extract("text", r"(\\*)$", 1)) % 2 == 1
+        rows = _joined(lines.where(F.trim("text") != ""), odd, "\n").withColumns({"time": none, "command": F.regexp_replace("text", r"\\\n", " ")})
     else:
-        rows = lines.withColumns({"time": F.lit(None).cast("string"), "command": F.col("text")})
+        rows = lines.withColumns({"time": none, "command": F.col("text")})
+    unread = F.col("command").isNull()
     return finish(
-        rows.where(F.trim("command") != ""), kind=F.lit("command.exec"), agent=F.lit("shell"), actor=F.lit("user"), artifact_id=F.lit(f"shell.{shell}"), original_path=F.col("path"), locator=F.concat(F.lit("line:"), F.col("line_no")),
-        payload_json=_payload(commands=F.array(F.struct("command"))), raw_json=F.col("text"),
+        rows.where(F.coalesce(F.trim("command") != "", F.trim("text") != "")), kind=F.when(unread, "unparsed.record").otherwise("command.exec"), agent=F.lit("shell"), actor=F.lit("user"), artifact_id=F.lit(f"shell.{shell}"),
+        original_path=F.col("path"), locator=F.concat(F.lit("line:"), F.col("line_no")), payload_json=F.when(unread, F.lit("{}")).otherwise(_payload(commands=F.array(F.struct("command")))), raw_json=F.col("text"),
+        parse_problem=F.when(unread, "no record begins here"),
     )
 
 
 #: Normalizers of JSON lines, by the artifact that they read.
-REGISTRY = {"claude_code.transcript": claude, "codex.rollout": codex}
+REGISTRY = {
+    "claude_code.transcript": claude, "codex.rollout": codex, "copilot.events": chats.copilot, "gemini_cli.chats": chats.gemini, "qwen_code.transcripts": chats.qwen, "pi.sessions": chats.pi, "cline_cli.hooks": chats.hook_log,
+}
+#: Of arrays and documents of JSON, as sources.documents gives them.
+ENTRIES = {"gemini_cli.prompts": chats.prompt_log, "cline.api_history": chats.cline_history, "cline.ui_messages": chats.cline_ui}
+DOCUMENTS = {"cline.documents": chats.cline_documents, "continue.sessions": chats.continue_sessions}
+__all__ = ["DOCUMENTS", "ENTRIES", "REGISTRY", "aider", "chats", "claude", "codex", "documents", "finish", "generic_jsonl", "prompt_history", "shell_history"]

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from trailspark.plans import activity, evidence
+from trailspark.plans import activity, evidence, views
 
 
 def queries() -> dict:
-    return activity.QUERIES | evidence.QUERIES
+    return activity.QUERIES | evidence.QUERIES | views.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return activity.SQL | evidence.SQL
+    return activity.SQL | evidence.SQL | views.SQL

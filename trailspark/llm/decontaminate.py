@@ -4,8 +4,8 @@ A hash set of the benchmark's normalised word windows is broadcast (behind a cou
 shuffles both sides on the window instead), the windows of the documents are probed against it by the whole
 normalised string, so that a hit is verified by equality, and hit documents or hit words can be removed.
 
-Defined cases: null or wordless documents have no words and no hits; benchmark rows with a null id or
-without words are ignored; each of several equal rows gets its own result; columns other than the id and
+Defined cases: null or wordless documents have no words and no hits; benchmark rows without words
+are ignored, and those with a null id have windows, but are no item that is named or counted; each of several equal rows gets its own result; columns other than the id and
 the text are not read; an empty benchmark or an empty table gives zero hits or no rows.
 """
 
@@ -45,7 +45,7 @@ def _windows(found: Column, length: Column | int) -> Column:
 
 def benchmark_windows(benchmark: DataFrame, *, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(gram, width, items): every window with the ids of the items that hold it; a shorter item is one window."""
-    rows = benchmark.where(F.col(item).isNotNull()).select(
+    rows = benchmark.select(
         F.col(item).alias("item"),
         F.explode(
             let(
@@ -164,7 +164,7 @@ WITH d AS (
   FROM documents),
 b AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+  FROM benchmark WHERE text IS NOT NULL),
 g AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS l, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS gram
   FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS i FROM b WHERE len(w) > 0)),
@@ -174,7 +174,7 @@ p AS (
   FROM (SELECT u, w, l, unnest(generate_series(1, len(w) - l + 1)) AS i FROM d, lens WHERE len(w) >= l)),
 h AS (SELECT u, i, p.l, item_id FROM p JOIN g ON p.gram = g.gram),
 hw AS (SELECT u, count(DISTINCT pos) AS n_hit FROM (SELECT u, unnest(generate_series(i, i + l - 1)) AS pos FROM h) GROUP BY u),
-hi AS (SELECT u, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT u, item_id::VARCHAR AS s FROM h) GROUP BY u)
+hi AS (SELECT u, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT u, item_id::VARCHAR AS s FROM h WHERE item_id IS NOT NULL) GROUP BY u)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw ON d.u = hw.u LEFT JOIN hi ON d.u = hi.u

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailspark.llm.common import table
@@ -65,15 +66,16 @@ def _letters(text: str) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, lang: str, text: str, key: str, sample: int) -> list:
-    """Rows (lang, bits, letters): about sample / number of languages of each, chosen by a hash of the key."""
+    """Rows (lang, place, bits, letters): sample / number of languages of each at most, chosen by a hash of key and text."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}  # a row for each language
     if not counts:
         return []
     each = max(1, sample // len(counts))
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 1.2 * each / n))])
-    place = F.pmod(F.xxhash64(F.lit("language sample"), F.col(key).cast("string")), F.lit(1_000_000))
-    chosen = known.where(place < F.element_at(share, F.col(lang)) * 1_000_000 + 1).select(F.col(lang).alias("lang"), place.alias("place"), F.col(text).alias("body"))
+    # a fine place, so that the sample doesn't grow with the table; equal rows count once, so that no row fills it
+    place = F.shiftrightunsigned(F.xxhash64(F.lit("language sample"), F.col(key).cast("string"), F.col(text)), 11)
+    chosen = known.where(place < F.element_at(share, F.col(lang)) * float(1 << 53)).groupBy(F.col(lang).alias("lang"), place.alias("place")).agg(F.min(text).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,8 +84,10 @@ def _sample(docs: DataFrame, lang: str, text: str, key: str, sample: int) -> lis
             letters = [np.packbits(_letters(t)).tobytes() if _LETTER.search(t) else None for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("place"), pa.array(bits, pa.binary()), pa.array(letters, pa.binary())], names=["lang", "place", "bits", "letters"])
 
-    rows = sorted(chosen.mapInArrow(run, "lang string, place long, bits binary, letters binary").collect(), key=lambda r: (r.place, r.lang, bytes(r.bits)))
-    return [r for k in sorted(counts) for r in [x for x in rows if x.lang == k][:each]]
+    found = chosen.mapInArrow(run, "lang string, place long, bits binary, letters binary")
+    first = F.row_number().over(W.partitionBy("lang").orderBy("place"))  # at most `each` rows of a language come to the driver
+    rows = found.withColumn("first", first).where(F.col("first") <= each).collect()
+    return sorted(rows, key=lambda r: (r.lang, r.place))
 
 
 def _claims(rows: list, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:

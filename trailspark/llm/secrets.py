@@ -68,7 +68,8 @@ def train(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", documents
     The sample: about `documents` rows, chosen by a hash of the id, and `strings` random strings.
     """
     share = min(1.0, documents / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64(F.lit("train"), doc), F.lit(1_000_000)) < int(share * 1_000_000) + 1).where(F.col(text).isNotNull())
+    place = F.shiftrightunsigned(F.xxhash64(F.lit("train"), doc), 11)
+    some = docs.where((place <= share * float(1 << 53)) & F.col(text).isNotNull())
     said = some.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TRAINING_WORD), F.lit(1)))).alias("word"))
     labelled = said.select("word", F.col("word").rlike(f"{ACCESS}|{HEX}").cast("int").alias("random"))
     drawn = docs.sparkSession.range(strings).select(

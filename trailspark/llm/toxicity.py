@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailspark.llm.common import stored, table
@@ -62,20 +63,23 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str = "text", label: str = "toxic", each: int = EACH, features: int = FEATURES) -> Model:
-    """Fit on about `each` documents of either label, chosen by a hash of their id."""
+    """Fit on at most `each` documents of either label, chosen by a hash of their id."""
     spark = docs.sparkSession
     known = labels.where(F.col(doc).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(doc).alias("doc")).agg(F.max(label).cast("int").alias("toxic"))
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)
     constant = math.log(share / (1 - share))
     none = Model(np.full(1 << BITS, -1, np.int32), np.zeros(0), constant)
-    place = F.pmod(F.xxhash64(F.lit("toxicity sample"), "doc"), F.lit(1_000_000))
-    rates = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, min(1.0, each / n))]) if totals else None
     if len(totals) < 2:
         return none
-    few = known.where(place < F.element_at(rates, F.col("toxic")) * 1_000_000 + 1)
-    # a bounded number of ids, so that the documents need no shuffle; they may repeat, so that is counted first
-    texts = docs.select(F.col(doc).alias("doc"), F.col(text).alias("body")).join(F.broadcast(few), "doc").select("toxic", "body")
+    # the first `each` ids of either label by a fine hash; a rate before that keeps the sort small
+    place = F.shiftrightunsigned(F.xxhash64(F.lit("toxicity sample"), "doc"), 11)
+    rates = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, min(1.0, 1.2 * each / n))])
+    first = F.row_number().over(W.partitionBy("toxic").orderBy("place", "doc"))
+    some = known.withColumn("place", place).where(F.col("place") < F.element_at(rates, F.col("toxic")) * float(1 << 53))
+    few = some.withColumn("first", first).where(F.col("first") <= each).select("doc", "toxic")
+    # at most 2 * each ids, so that the documents need no shuffle; of several texts of an id the least counts
+    texts = docs.select(F.col(doc).alias("doc"), F.col(text).alias("body")).join(F.broadcast(few), "doc").groupBy("doc", "toxic").agg(F.min(F.coalesce("body", F.lit(""))).alias("body")).select("toxic", "body")
     sample = stored(texts, "toxicity-sample")
     counted = sample.mapInArrow(_counts, "code long, clean long, toxic long").groupBy("code").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     rows = counted.toPandas()  # at most 2**18

@@ -153,22 +153,21 @@ def untouched(events: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def self_test(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    """(rule_id, sample, expected, found) of every inline sample, by the Columns that scans use."""
+    """(rule_id, sample, expected, found) of every inline sample, by the Columns that scans use, in one pass."""
     import json
 
     from trailspark.schema import EVENT, EVENT_COLUMNS
 
-    out = None
+    rows = []
     for r in rules:
-        rows = []
         for expected, samples in ((True, r.positive), (False, r.negative)):
             for i, s in enumerate(samples):
                 row = {"kind": "unparsed.record", **{k: v for k, v in s.items() if k not in ("payload", "raw")}, "locator": f"{int(expected)}:{i}"}
                 row |= {"payload_json": json.dumps(s.get("payload", {})), "raw_json": json.dumps(s["raw"]) if "raw" in s else None}
-                rows.append(tuple(row.get(c) for c in EVENT_COLUMNS))
-        part = prepare(spark.createDataFrame(rows, EVENT), [r]).select(F.lit(r.id).alias("rule_id"), F.col("locator").alias("sample"), F.startswith("locator", F.lit("1:")).alias("expected"), r.matches().alias("found"))
-        out = part if out is None else out.union(part)
-    return out
+                rows.append((r.id, *(row.get(c) for c in EVENT_COLUMNS)))
+    table = prepare(spark.createDataFrame(rows, f"rule_id string, {EVENT}"), rules)
+    found = reduce(lambda c, r: c.when(F.col("rule_id") == r.id, r.matches()), rules, F.when(F.lit(False), F.lit(False)))
+    return table.select("rule_id", F.col("locator").alias("sample"), F.startswith("locator", F.lit("1:")).alias("expected"), found.alias("found"))
 
 
 def scan_record(events: DataFrame, rules: list[Rule], findings: DataFrame, run: str) -> DataFrame:

@@ -6,6 +6,12 @@ join (five words, 0.8) leaves the document with the least id of each group. Benc
 documents that hold a benchmark window. Secret scans replace secrets in the text by a mark and set n_chars to the
 new length. Byte-level BPE gives, for each document left, the number and digest of its ids, and the digest of the
 bytes that they decode to.
+
+Defined cases: a null or empty text has no letter and goes in the first stage, whatever its other columns hold; nulls in
+id, lang, source or n_chars keep no document from any stage; of equal rows and of rows with equal texts one stays (the
+second stage); of a group's documents with the least id, as ids may repeat, the one with the least hash stays; texts of
+any length are taken whole; an empty table, or one without a labelled language, gives no rows; an empty benchmark drops
+none; further columns pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -22,23 +28,28 @@ LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a language claims; the model is fitted on the stage's own labelled rows. Null texts and those without a letter go."""
     found = langid.identify(docs, langid.fit(docs), keep=tuple(docs.columns), claims=True)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & F.col("claimed") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, one with the least id; documents without words would all stay."""
     return jaccard.keep_one(docs, n=5, num=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window; null texts and an empty benchmark hit nothing."""
     return decontaminate.drop_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with secrets replaced by a mark and n_chars as the text then has; a null text stays null. No row goes."""
     return secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document; null texts count as empty. No row goes."""
     import public_tokenizers
 
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, finish=bpe.digests, schema=bpe.DIGEST_SCHEMA)

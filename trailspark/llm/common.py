@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -77,6 +78,30 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def release() -> None:
+    """Give memory that isn't in use any more back to the system: a Python worker serves other tasks after this one."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def released(run):
+    """run, for mapInArrow, with release() after each batch and at the end."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for batch in run(batches):
+                yield batch
+                if batch.num_rows > 100:
+                    release()
+        finally:
+            release()
+
+    return inner
+
+
 def texts_of(column: pa.Array, rows: int = 512) -> Iterator[str | None]:
     """The values of a column, not all of them as Python objects at once."""
     for start in range(0, len(column), rows):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import Scratch
+from trailspark.llm.common import Scratch, released
 
 #: Parts that a table is put together from, each by a task of its own.
 _PARTS = 64
@@ -41,7 +41,7 @@ def holds(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 #: Parts of a table of counts, and hashes that a task counts before it sends them.
-_COUNT_PARTS, _COUNTED = 256, 1 << 21
+_COUNT_PARTS, _COUNTED = 256, 1 << 20
 
 
 def count_levels(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = 26) -> np.ndarray:
@@ -89,7 +89,7 @@ def count_levels(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np
 
     schema = "part int, data binary"
     out = np.zeros((1 << bits) // 2, np.uint8)
-    for row in docs.mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():  # 2**bits / 2 bytes at most
+    for row in docs.mapInArrow(released(count), schema).repartition("part").mapInArrow(released(add), schema).collect():  # 2**bits / 2 bytes at most
         out[row["part"] * (each // 2) : (row["part"] + 1) * (each // 2)] = np.frombuffer(zlib.decompress(bytes(row["data"])), np.uint8)
     return out
 
@@ -177,7 +177,7 @@ def repeated_codes(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[
         head = np.array([counts.sum(), len(often), *found[often], *counts[often]], np.int64)
         return pd.DataFrame({"part": [group["part"].iloc[0]], "data": [zlib.compress(head.tobytes() + np.packbits(flags).tobytes(), 1)]})
 
-    counted = docs.mapInArrow(count, schema).withColumn("turn", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(_PARTS)))
+    counted = docs.mapInArrow(released(count), schema).withColumn("turn", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(_PARTS)))
     sums = counted.groupBy("part", "turn").applyInPandas(add, schema).groupBy("part").applyInPandas(end, schema)
     bitmap, total, most = np.zeros((1 << TABLE_BITS) // 8, np.uint8), 0, []
     for row in sums.collect():  # 2**TABLE_BITS / 8 bytes at most

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import Scratch, sized, small, table, texts_of
+from trailspark.llm.common import Scratch, released, sized, small, table, texts_of
 from trailspark.llm.filters import bit_filter, components, count_levels, holds, level_of, unsigned
 
 #: Shingles of all sets in a group, unless one set has more, and sets in it.
@@ -318,12 +318,12 @@ def labelled(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, doc:
 
     levels = count_levels(rows.select("body"), shingles)
     schema = f"doc {kind}, row_key long, size long, class binary, least long, firsts array<long>"
-    profile = held.table(rows.mapInArrow(_profile(send(levels), n, num, den), schema), "profile")
+    profile = held.table(rows.mapInArrow(released(_profile(send(levels), n, num, den)), schema), "profile")
     # first shingles that two classes have, as a filter of fixed size
     firsts = profile.where("firsts is not null").select("class", "least", "size", "row_key", "firsts")
     short = firsts.select(F.xxhash64("class").alias("short"), F.explode("firsts").alias("shingle"))
     shared = short.groupBy("shingle").agg(F.min("short").alias("a"), F.max("short").alias("b")).where("a < b").select("shingle")
-    kept = firsts.mapInArrow(_kept_firsts(send(bit_filter(shared, "shingle"))), "class binary, least long, size long, row_key long, firsts array<long>")
+    kept = firsts.mapInArrow(released(_kept_firsts(send(bit_filter(shared, "shingle")))), "class binary, least long, size long, row_key long, firsts array<long>")
     kept = held.table(kept.groupBy("class").agg(*(F.first(c).alias(c) for c in ("least", "size", "row_key", "firsts"))), "kept")
     # groups of classes with one least shingle, split where there are many; the table of splits has a fixed size
     cell = F.col("least").bitwiseAND(_CELLS - 1).alias("cell")
@@ -354,13 +354,13 @@ def labelled(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, doc:
     asked = kept.join(small(asking), "class", "left_semi").select("class", "row_key")
     needs = held.table(inside.union(asked).distinct(), "needs")
     wanted = bit_filter(needs, "row_key")
-    chosen = rows.select("row_key", "body").mapInArrow(_chosen_sets(send(wanted), n), "class binary, least long, size long, members binary")
+    chosen = rows.select("row_key", "body").mapInArrow(released(_chosen_sets(send(wanted), n)), "class binary, least long, size long, members binary")
     sets = held.table(grouped(chosen.join(small(needs.select("class")), "class", "left_semi")), "sets")
     units = sets.join(targets, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("ask"), "class", F.lit(False).alias("own"), "members")
     place = F.pmod(F.xxhash64(F.lit("unit"), "class"), F.col("parts")).cast("int").alias("part")
     queries = sets.drop("group").join(small(opened), "class").withColumnRenamed("target", "group").join(targets, "group").select("group", place, F.lit(True).alias("ask"), "class", "own", "members")
     dealt = units.union(queries).repartition("group", "part").sortWithinPartitions("group", "part", "ask", "own", "class")
-    links = held.table(dealt.mapInArrow(_opened(num, den), "class binary, root binary, links long"), "links")
+    links = held.table(dealt.mapInArrow(released(_opened(num, den)), "class binary, root binary, links long"), "links")
     held.drop("sets", "targets", "opened", "kept", "asking", "needs")
     # classes of several documents or with links; all others are components of their own
     edges = links.where(F.col("class") != F.col("root")).select(F.col("class").alias("a"), F.col("root").alias("b"))

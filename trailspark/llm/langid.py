@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import table
+from trailspark.llm.common import released, table
 from trailspark.llm.ngrams import present
 
 MOST, BITS = 3, 15
@@ -84,7 +84,7 @@ def _sample(docs: DataFrame, lang: str, text: str, key: str, sample: int) -> lis
             letters = [np.packbits(_letters(t)).tobytes() if _LETTER.search(t) else None for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("place"), pa.array(bits, pa.binary()), pa.array(letters, pa.binary())], names=["lang", "place", "bits", "letters"])
 
-    found = chosen.mapInArrow(run, "lang string, place long, bits binary, letters binary")
+    found = chosen.mapInArrow(released(run), "lang string, place long, bits binary, letters binary")
     first = F.row_number().over(W.partitionBy("lang").orderBy("place"))  # at most `each` rows of a language come to the driver
     rows = found.withColumn("first", first).where(F.col("first") <= each).collect()
     return sorted(rows, key=lambda r: (r.lang, r.place))
@@ -168,7 +168,7 @@ def identify(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id"
                         claimed[i] = bool(known.known[_letters(texts[i])].mean() >= known.least[k])
             yield pa.RecordBatch.from_arrays([*[batch.column(h) for h in held], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(claimed, pa.bool_())], names=[*held, "l", "s", "c"])
 
-    found = chosen.mapInArrow(run, f"{kinds}, l string, s double, c boolean").toDF(*keep, "lang_pred", "score", "claimed")
+    found = chosen.mapInArrow(released(run), f"{kinds}, l string, s double, c boolean").toDF(*keep, "lang_pred", "score", "claimed")
     return found if claims else found.drop("claimed")
 
 

@@ -187,3 +187,31 @@ def test_exported_tables(spark):
     table = spark.createDataFrame([(7, "s", "hello")], "id long, conversation string, body string")
     row = sources.read_table(table, "/db", "messages", {"session_id": ["session", "conversation"]}, "id").first()
     assert (row.locator, row.session_id) == ("table:messages rowid:7", "s") and spark.createDataFrame([row], EVENT).count() == 1
+
+
+def test_trees_and_catalogues(spark, tmp_path):
+    from trailspark.operators import artifacts
+    from trailspark.sources import trees
+
+    for name in ("uploads/auto/C%3A/Users/al/.claude/projects/p/t.jsonl", "uploads/auto/home/bo/.claude/x.json"):
+        (tmp_path / "tree" / name).parent.mkdir(parents=True)
+        (tmp_path / "tree" / name).write_text("{}")
+    rows = trees.read_tree(spark, str(tmp_path / "tree"))
+    assert sorted((r.original_path, r.user, r["size"]) for r in rows.collect()) == [("/home/bo/.claude/x.json", "bo", 2), ("C:/Users/al/.claude/projects/p/t.jsonl", "al", 2)]
+    (tmp_path / "cat").mkdir()
+    (tmp_path / "cat" / "a.json").write_text(json.dumps({"agent": "claude_code", "artifacts": [{"id": "c.t", "category": "transcript", "paths": {"linux": ["~/.claude/projects/<project>/*.jsonl"], "windows": "%USERPROFILE%\\.claude\\projects\\*\\*.jsonl"}}, {"id": "c.v", "paths": {"linux": ["<vscode-user>/x/state.vscdb", "$UNKNOWN/*"]}}]}))
+    catalogue = trees.load_catalogue(tmp_path / "cat")
+    tables = trees.catalogue_tables(spark, catalogue)
+    assert [(r.artifact_id, r.systems) for r in tables["artifacts"].orderBy("artifact_id").collect()] == [("c.t", ["linux", "windows"]), ("c.v", ["linux"])]
+    found = artifacts.best_claims(artifacts.claims(rows.select(F.col("original_path").alias("path")), tables["patterns"]))
+    assert [(r.path, r.artifact_id) for r in found.collect()] == [("C:/Users/al/.claude/projects/p/t.jsonl", "c.t")]
+    assert "/home/*/.config/Cursor/User/x/state.vscdb" in trees.expand("<vscode-user>/x/state.vscdb") and trees.expand("$X/*") == []
+
+
+def test_hunts(spark):
+    from trailspark.operators import artifacts
+
+    files = spark.createDataFrame([("C:\\U\\.Claude\\a",), ("/x",)], "path string")
+    assert [r.agent for r in artifacts.hunt_paths(files, spark.createDataFrame([("/.claude/", "c")], "fragment string, agent string")).collect()] == ["c"]
+    runs = spark.createDataFrame([('"C:\\n\\Claude.exe" -p',), ("node /x/claude.js",), ("claudette",)], "command_line string")
+    assert artifacts.hunt_command_lines(runs, spark.createDataFrame([("claude", "c")], "name string, agent string")).count() == 2

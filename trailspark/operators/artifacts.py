@@ -63,6 +63,19 @@ def fleet_presence(found: DataFrame) -> DataFrame:
     return found.groupBy("host", "agent").agg(F.countDistinct("path").alias("paths"), F.max("mtime").alias("last"))
 
 
+def hunt_paths(file_events: DataFrame, fragments: DataFrame) -> DataFrame:
+    """File events whose path holds a fragment anywhere, whatever the case or the separators. fragments: (fragment, agent), a small table."""
+    small = F.broadcast(fragments.select(F.lower(F.translate("fragment", "\\", "/")).alias("_part"), "agent").distinct())
+    return file_events.join(small, F.contains(F.lower(F.translate("path", "\\", "/")), F.col("_part"))).drop("_part")
+
+
+def hunt_command_lines(process_events: DataFrame, words: DataFrame) -> DataFrame:
+    """Process events whose command line has an agent's word as a word of its own. words: (name, agent), a small table."""
+    small = F.broadcast(words.select(F.lower("name").alias("_name"), "agent").distinct())
+    said = F.transform(F.split(F.lower("command_line"), r"[\s\"']+"), lambda w: F.regexp_replace(F.element_at(F.split(w, r"[/\\]"), -1), r"\.(exe|cmd|js)$", ""))
+    return process_events.withColumn("_words", said).join(small, F.array_contains("_words", F.col("_name"))).drop("_name", "_words")
+
+
 def hunt_files(file_events: DataFrame, fragments: DataFrame) -> DataFrame:
     """File events whose name is that of an artifact, whatever the case. fragments: (name, agent), a small table."""
     lowered = F.broadcast(fragments.select(F.lower("name").alias("_name"), "agent").distinct())

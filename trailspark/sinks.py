@@ -37,9 +37,18 @@ def undated(events: DataFrame) -> int:
 
 
 def append_case(events: DataFrame, path: str) -> None:
-    """Append the events that a case doesn't have yet to its Parquet table; doing it twice changes nothing."""
+    """Append the events that a case doesn't have yet to its Parquet table; doing it twice changes nothing.
+
+    A bundle's events lie in a folder of their own, and only folders of the bundles that are appended are read.
+    """
     spark = events.sparkSession
-    rows = append_new(spark.read.parquet(path), events) if _exists(spark, path) else distinct_events(events)
+    if _exists(spark, path):
+        bundles = events.select(F.col("bundle_uuid").alias("_bundle")).distinct()
+        stored = spark.read.parquet(path).select("bundle_uuid", "event_id")
+        stored = stored.join(bundles, F.col("bundle_uuid").eqNullSafe(F.col("_bundle")), "left_semi")
+        rows = append_new(stored, events)
+    else:
+        rows = distinct_events(events)
     rows.write.mode("append").partitionBy("bundle_uuid").parquet(path)
 
 

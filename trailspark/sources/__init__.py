@@ -12,16 +12,16 @@ from trailspark.operators.timeline import chain_problems
 from trailspark.schema import EVENT, EVENT_COLUMNS
 from trailspark.sources.unified import from_records
 
-#: A line ends with CRLF, LF or CR.
-LINE_END = r"\r\n|\n|\r"
-
-
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, text) of every line, the blank ones too. Files are read whole, as line numbers need their order."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    lines = files.select("path", F.posexplode(F.split("value", LINE_END, -1)).alias("i", "text"), F.endswith("value", F.lit("\n")).alias("_ended"), F.size(F.split("value", LINE_END, -1)).alias("_n"))
-    # what follows the last line end isn't a line if it is empty
-    return lines.where((F.col("i") < F.col("_n") - 1) | (F.col("text") != "")).select("path", (F.col("i") + 1).alias("line_no"), "text")
+    """(path, line_no, text) of every line, the blank ones too; lines end with CRLF, LF or CR.
+
+    Files are read in Spark's own splits. A file's lines are numbered by one task, which streams them in order; no file
+    has to fit into memory.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), place.alias("_place"), F.make_valid_utf8("value").alias("text"))
+    numbered = rows.withColumn("line_no", F.row_number().over(W.partitionBy("path").orderBy("_place")))
+    return numbered.select("path", "line_no", F.when(F.col("line_no") == 1, F.regexp_replace("text", "^\ufeff", "")).otherwise(F.col("text")).alias("text"))
 
 
 def strict_object(text: Column) -> Column:

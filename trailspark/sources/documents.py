@@ -21,9 +21,9 @@ _COMMENT = re.compile(rf"({_STRING})|//[^\n]*|/\*.*?\*/", re.S)
 _TRAILING = re.compile(rf"({_STRING})|,(?=\s*[\]}}])", re.S)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_documents(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
     """(path, size, mtime, sha256, text, binary, problem) of every file; text is null for binary ones."""
-    files = spark.read.format("binaryFile").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
     raw = files.withColumn("_text", F.make_valid_utf8(F.col("content").cast("string")))
     bare = F.regexp_replace("_text", "^\ufeff", "")
     replaced = F.char_length("_text") - F.char_length(F.translate("_text", "\ufffd", ""))

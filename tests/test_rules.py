@@ -203,6 +203,8 @@ def test_facets(spark):
     rows = events(spark, {"event_id": "a", "payload_json": '{"commands": {"command": "X=1 ls -l"}, "files": [{"path": "p"}, {"path": "p"}, {"bytes": 3}]}'})
     assert [(r.command, r.executable) for r in facets.facet(rows, "commands").collect()] == [("X=1 ls -l", "ls")]
     assert [(r.path, r.operation) for r in facets.facet(rows, "files").collect()] == [("p", "unknown")]
+    rows = events(spark, {"event_id": "a", "payload_json": '{"files": "q", "mcp": ["s", 3, {"server": "t"}]}'}, {"event_id": "b", "payload_json": "{"}, {"event_id": "c"})
+    assert [r.path for r in facets.facet(rows, "files").collect()] == ["q"] and sorted(r.server for r in facets.facet(rows, "mcp").collect()) == ["s", "t"]
 
 
 def test_problems(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailspark.functions.text import first_word
@@ -19,13 +19,21 @@ FACETS = {
 }
 
 
+def _objects(name: str) -> Column:
+    """array<string> of a facet's objects: one object is a list of one, a text names a path, and a text in a list is every key."""
+    value = F.try_variant_get(F.try_parse_json("payload_json"), f"$.{name}", "variant")
+    shape = lambda v, kind: F.coalesce(F.startswith(F.schema_of_variant(v), F.lit(kind)), F.lit(False))
+    text = lambda v: F.try_variant_get(v, "$", "string")
+    every = lambda v: F.to_json(F.struct(*[text(v).alias(k) for k in ("path", "command", "host", "server")]))
+    listed = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v: F.when(shape(v, "OBJECT"), F.to_json(v)).when(shape(v, "STRING"), every(v)))
+    return F.when(shape(value, "ARRAY"), F.array_compact(listed)).when(shape(value, "OBJECT"), F.array(F.to_json(value))).when(shape(value, "STRING"), F.array(F.to_json(F.struct(text(value).alias("path")))))
+
+
 def facet(events: DataFrame, name: str, keep: tuple[str, ...] = ("event_id",)) -> DataFrame:
-    """The facet rows of events, once for each event and key. A single object counts as a list of one."""
+    """The facet rows of events, once for each event and key; shapes other than a list of objects give coarser rows, not errors."""
     fields, keys, defaults = FACETS[name]
-    kind = "array<struct<" + ", ".join(":".join(f.strip().split(" ")) for f in fields.split(",")) + ">>"
-    held = F.get_json_object("payload_json", f"$.{name}")
-    listed = F.when(F.startswith(F.trim(held), F.lit("{")), F.concat(F.lit("["), held, F.lit("]"))).otherwise(held)
-    rows = events.select(*keep, F.explode(F.from_json(listed, kind)).alias("f")).select(*keep, "f.*").fillna(defaults)
+    kind = "struct<" + ", ".join(":".join(f.strip().split(" ")) for f in fields.split(",")) + ">"
+    rows = events.select(*keep, F.explode(_objects(name)).alias("_o")).select(*keep, F.from_json("_o", kind).alias("f")).select(*keep, "f.*").fillna(defaults)
     if name == "commands":
         rows = rows.withColumn("executable", F.coalesce("executable", first_word(F.col("command"))))
     return rows.where(F.col(keys[0]).isNotNull()).dropDuplicates([*keep, *keys])

@@ -197,7 +197,8 @@ def reachable(nodes: DataFrame) -> DataFrame:
         while left:
             ahead = reached.join(jump, ["file", "island"]).select("file", F.col("to").alias("island"))
             reached = stored(reached.union(ahead).distinct(), "warc-reached")
-            left, size = reached.count() != size, reached.count()
+            now = reached.count()
+            left, size = now != size, now
             twice = jump.join(jump.select("file", F.col("island").alias("to"), F.col("to").alias("then")), ["file", "to"])
             jump = stored(twice.select("file", "island", F.col("then").alias("to")), "warc-jumps")
         entered = goes.join(reached.withColumnRenamed("island", "at"), ["file", "at"], "left_semi").select("file", F.col("to").alias("island"), "entry")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,12 @@ from trailspark.functions.identity import null_safe_key, uninterpreted, unreadab
 SESSION = ["agent", "host", "user", "is_fs", "project", "session"]
 
 
+def beside(*totals: DataFrame) -> DataFrame:
+    """Tables of totals, one row each, as one row."""
+    keyed = [t.withColumn("_total", F.lit("all")) for t in totals]
+    return reduce(lambda a, b: a.join(b, "_total"), keyed).drop("_total")
+
+
 def case_counts(events: DataFrame) -> DataFrame:
     """One row of numbers that qualify what a case can say."""
     return events.agg(

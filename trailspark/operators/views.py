@@ -149,7 +149,7 @@ def artifact_counts(files: DataFrame, gaps: DataFrame) -> DataFrame:
     """One row: files, by state, those whose content another file has too, and gaps."""
     copies = files.where("sha256 IS NOT NULL").groupBy("sha256").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("identical_files"))
     states = files.withColumn("state", file_state()).agg(F.count("*").alias("files"), *[F.count_if(F.col("state") == s).alias(s.replace(" ", "_")) for s in STATES])
-    return states.crossJoin(copies).crossJoin(gaps.agg(F.count("*").alias("gaps")))  # a row each
+    return summaries.beside(states, copies, gaps.agg(F.count("*").alias("gaps")))
 
 
 def artifacts_view(files: DataFrame) -> DataFrame:
@@ -256,7 +256,7 @@ def export_csv(view: DataFrame, path: str) -> None:
 
 def header_notes(events: DataFrame, files: DataFrame, gaps: DataFrame) -> DataFrame:
     """(place, note): what a reader of an export should know first; a note that has nothing to say is left out."""
-    counts = summaries.case_counts(events).crossJoin(files.agg(F.count_if(file_state() != "parsed").alias("unread_files"))).crossJoin(gaps.agg(F.count("*").alias("gaps")))
+    counts = summaries.beside(summaries.case_counts(events), files.agg(F.count_if(file_state() != "parsed").alias("unread_files")), gaps.agg(F.count("*").alias("gaps")))
     notes = [
         F.concat("events", F.lit(" events")), *[F.when(F.col(c) > 0, F.concat(c, F.lit(f" {text}"))) for c, text in (
             ("undated", "events without a time"), ("unreadable", "records that nothing could read"), ("uninterpreted", "records read without a mapping"), ("unread_files", "files that weren't read"), ("gaps", "gaps in the collection"))],
@@ -278,9 +278,9 @@ def session_events(events: DataFrame, agent: str, session: str | None, after: in
     rows = events.where((F.col("agent") == agent) & F.col("session_id").eqNullSafe(F.lit(session)) & (F.col("kind") != "artifact.fs"))
     size = max(1, min(limit, 20_000))
     placed = rows.withColumn("place", F.row_number().over(W.partitionBy("agent").orderBy(*session_order())))  # one session
-    page = placed.where((F.col("place") > after) & (F.col("place") <= after + size))
-    last = placed.agg(F.max("place").alias("_last"))
-    return page.crossJoin(last).withColumn("next", F.when(F.col("_last") > after + size, F.lit(after + size))).drop("_last")  # `last` is one row
+    last = placed.withColumn("_last", F.max("place").over(W.partitionBy("agent")))
+    page = last.where((F.col("place") > after) & (F.col("place") <= after + size))
+    return page.withColumn("next", F.when(F.col("_last") > after + size, F.lit(after + size))).drop("_last")
 
 
 def corroboration_view(events: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trailspark.functions.identity import finding_id, uninterpreted
 from trailspark.operators.bursts import bursts, large_groups, members
+from trailspark.operators.summaries import beside
 from trailspark.rules.compile import NUMBERS, check, condition, fields, leaves, prepared, resolve, test_of
 from trailspark.schema import KINDS
 
@@ -174,7 +175,7 @@ def scan_record(events: DataFrame, rules: list[Rule], findings: DataFrame, run:
     """One row that says what a scan did: run, ids of its rules, events read, findings made. An empty scan is a scan too."""
     ids = F.array(*[F.lit(r.id) for r in sorted(rules, key=lambda r: r.id)]) if rules else F.array().cast("array<string>")
     read, made = events.agg(F.count("*").alias("events_read")), findings.agg(F.count("*").alias("findings"), F.countDistinct("rule_id").alias("rules_found"))
-    return read.crossJoin(made).select(F.lit(run).alias("run_id"), F.lit(len(rules)).alias("rules_run"), ids.alias("rule_ids"), "events_read", "findings", "rules_found")  # a row each
+    return beside(read, made).select(F.lit(run).alias("run_id"), F.lit(len(rules)).alias("rules_run"), ids.alias("rule_ids"), "events_read", "findings", "rules_found")
 
 
 def session_marks(sessions: DataFrame, findings: DataFrame) -> DataFrame:

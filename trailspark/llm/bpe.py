@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trailspark.llm.common import release, table
 
 #: Bytes of text whose words are merged together.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 #: A space that doesn't start a word of the split below.
 _LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
 

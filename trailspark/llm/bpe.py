@@ -223,7 +223,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, keep: tuple[str, ...] =
                     gc.enable()
             columns = [*[part.column(h).combine_chunks() for h in held], *found]
             yield pa.RecordBatch.from_arrays(columns, names=[*held, *[f"r{i}" for i in range(len(found))]])
-            release()
+        release()
 
     results = [x.strip().split(" ", 1) for x in schema.split(", ")]
     out = chosen.mapInArrow(run, ", ".join([kinds, *[f"r{i} {kind}" for i, (_, kind) in enumerate(results)]]))

@@ -9,20 +9,26 @@ PIECE = 1 << 20
 _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+def rolled(codes: np.ndarray, least: int, most: int, bits: int):
+    """Arrays of numbers below 2**bits, one for each n-gram of `least` to `most` codes, a length at a time."""
+    shift = np.uint64(64 - bits)
+    codes = codes.astype(np.uint64) + np.uint64(1)
+    sums = codes
+    for n in range(1, most + 1):
+        if n > 1:
+            if len(sums) < 2:
+                break
+            sums = sums[:-1] * _STEP + codes[n - 1 :]
+        if n >= least:
+            mixed = (sums ^ (sums >> np.uint64(29))) * _SPREAD
+            yield (mixed >> shift).astype(np.int64)
+
+
 def hashed(text: str, least: int, most: int, bits: int):
     """Arrays of numbers below 2**bits, one for each n-gram of `least` to `most` characters, in pieces."""
-    shift = np.uint64(64 - bits)
     for start in range(0, max(1, len(text)), PIECE):
-        codes = np.frombuffer(text[start : start + PIECE + most - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-        rolled = codes
-        for n in range(1, most + 1):
-            if n > 1:
-                if len(rolled) < 2:
-                    break
-                rolled = rolled[:-1] * _STEP + codes[n - 1 :]
-            if n >= least:
-                mixed = (rolled ^ (rolled >> np.uint64(29))) * _SPREAD
-                yield (mixed >> shift).astype(np.int64)
+        piece = text[start : start + PIECE + most - 1].encode("utf-32-le", "surrogatepass")
+        yield from rolled(np.frombuffer(piece, np.uint32), least, most, bits)
 
 
 def present(text: str, least: int, most: int, bits: int) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trailspark.llm import bpe, decontaminate, jaccard, langid, secrets, suffixdedup, tokencount, topk, toxicity, warc
+from trailspark.llm import bpe, decontaminate, jaccard, langid, lexical, prefixtrie, quality, secrets, suffixdedup, tokencount, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_tokencount": tokencount.op9_tokencount,
         "op10_secrets": secrets.op10_secrets,
+        "op11_quality": quality.op11_quality,
+        "op12_prefixtrie": prefixtrie.op12_prefixtrie,
+        "op13_lexical": lexical.op13_lexical,
     }
 
 
@@ -25,4 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc": warc.OP4_SQL,
         "op6_decontaminate": decontaminate.OP6_SQL,
         "op7_topk": topk.OP7_SQL,
+        "op12_prefixtrie": prefixtrie.OP12_SQL,
+        "op13_lexical": lexical.OP13_SQL,
     }

@@ -373,6 +373,33 @@ def test_warc_round_trip(spark, tmp_path, compression, block):
     assert Counter((r.page, r.type, r.refers_to, r.payload_bytes, r.payload_digest, None if r.payload is None else bytes(r.payload)) for r in found) == expected
 
 
+def test_warc_blocks_of_any_size(spark, tmp_path):
+    """A hundred sizes of blocks over a file full of line ends and magic lines: the same pieces, and at some the same records."""
+    rng, end = random.Random(8), "\r\n\r\n"
+    records, data = [], b""
+    for i in range(40):
+        body = rng.choice(["\n" * rng.randint(0, 60), f"\n{warc.MAGIC}" * rng.randint(1, 4), "\n\n" + warc.MAGIC[:9] + "\nWARC/1.0\n\r\n", "z" * rng.randint(0, 90), "é\n" * 20])
+        block = f"HTTP/1.1 200 OK\r\nContent-Length: {len(body.encode())}{end}{body}".encode()
+        data += f"{warc.MAGIC}WARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(block)}{end}".encode() + block + end.encode()
+        records.append((i, len(body.encode()), body.encode()))
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc").write_bytes(data)
+    marks = [m.start() for m in re.finditer(b"(?m)^" + warc.MAGIC.encode(), data)]
+    pieces = [data[a : b - 1] for a, b in zip(marks, [*marks[1:], len(data)])]
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for size in range(700, 800):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            found = warc._pieces(spark, str(tmp_path / "w")).select("block", "nth", "value").collect()
+            assert [bytes(r.value) for r in sorted(found)] == pieces, size
+            if size % 25 == 8:
+                found = warc.read_warc(spark, str(tmp_path / "w"), payload=True).collect()
+                assert sorted((r.page, r.payload_bytes, bytes(r.payload)) for r in found) == records, size
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_every_token_encodes_to_itself():
     tokens = bpe.load_ranks(RANKS)
     ids, starts = bpe.replay(tokens, bpe.Vocabulary(tokens))

@@ -4,11 +4,13 @@ Writing: one payload of a group of equal ones is a response record, the others a
 it. Spark's text writer ends each record with the two line ends that the format asks for.
 
 Reading: the magic line may also stand inside a payload, so each place where it stands is only a candidate. Tasks
-split the files at the magic line and give, for each candidate, its offset and its successor's: the end of the
-record by its Content-Length. Offsets come from a prefix sum over the blocks of a file. Candidates whose
-successor is the next candidate need no jump; from the others, the breaks, the chain jumps, and pointer jumping
-(doubling) over the breaks finds those that are reachable from the start of the file. Everything else is
-payload. Archives may be read in blocks, and in any store that Spark reads.
+read lines, which end in one byte and so come out right wherever a block is cut, and put those from one magic line to
+the next together as a piece. What a block holds before its first magic line and its last piece meet again by file.
+Each candidate gives its offset and its successor's: the end of the record by its Content-Length. Offsets come from a
+prefix sum over the blocks of a file. Candidates whose successor is the next candidate need no jump; from the others,
+the breaks, the chain jumps, and pointer jumping (doubling) over the breaks finds those that are reachable from the
+start of the file. Everything else is payload. Archives may be read in blocks of any size, and in any store that Spark
+reads; a record has to fit into a task's memory.
 
 Defined cases: a null payload counts as empty; rows of equal id and payload that is the group's first are all
 responses; a record with a null id has no record id and reads back as null; columns other than those asked for
@@ -28,12 +30,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import shared_path, sized, stored, table
+from trailspark.llm.common import released, shared_path, sized, stored, table
 
 #: Fixed values of the format.
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
-_SPLIT = "\n" + MAGIC
 _BASE32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
@@ -89,12 +90,47 @@ def write_warc(pages: DataFrame, path: str, *, page: str = "page_id", url: str =
 _FIELD = re.compile(rb"(?im)^(warc-type|warc-record-id|warc-refers-to|warc-payload-digest|content-length):[ \t]*([^\r\n]*)")
 _PAGE = re.compile(rb"<urn:page:(-?\d+)>")
 _NUMBER = re.compile(rb"\d{1,18}")
+_PIECE = "file string, block long, nth long, start long, head boolean, last boolean, value binary"
 _CANDIDATE = (
-    "file string, block long, nth long, start long, skipped int, size long, successor long, broken int, breaks long, "
+    "file string, block long, nth long, start long, size long, successor long, broken int, parts array<struct<block: bigint, end: bigint>>, "
     "page long, type string, refers long, length long, head_bytes long, http_bytes long, payload_bytes long, payload_digest string, stated_digest string"
 )
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines in order to pieces. start counts from the block's first byte; head: before the first magic line; last: may go on in the next block."""
+    magic = MAGIC.encode().removesuffix(b"\n")
+    names = [c.split(" ")[0] for c in _PIECE.split(", ")]
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
+    key, nth, start, lines, size = None, -1, 0, [], 0
+
+    def piece(last: bool) -> tuple:
+        return (*key, nth, start, nth < 0, last, b"\n".join(lines))
+
+    for batch in batches:
+        rows, held = [], 0
+        for file, block, line in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), batch.column("value")):
+            line = line.as_py()
+            if (file, block) != key:
+                if lines:
+                    rows.append(piece(True))
+                key, nth, start, lines, size = (file, block), -1, 0, [], 0
+            if line == magic:
+                if lines:
+                    rows.append(piece(False))
+                    held += size
+                nth, start, lines, size = nth + 1, start + size, [], 0
+            lines.append(line)
+            size += len(line) + 1
+            if held > 1 << 22:
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=names)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=names)
+    if lines:
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(piece(True), kinds)], names=names)
+
+
 def _fields(head: bytes) -> dict[bytes, bytes]:
     """The first line of each header that is read, by its name in lower case."""
     found: dict[bytes, bytes] = {}
@@ -128,44 +164,54 @@ def _record(type_: str | None, block: bytes, stated: bytes | None) -> tuple[int,
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each piece between magic lines. start counts from the block's first byte; breaks counts those before it there."""
+    """A row for each piece, with what its record says of itself; successor counts from the piece's first byte."""
     magic, end = MAGIC.encode(), END.encode()
-    key, nth, start, breaks = None, 0, 0, 0
     for batch in batches:
         rows = []
-        for file, block, value in zip(*(c.to_pylist() for c in batch.columns)):
-            if (file, block) != key:
-                key, nth, start, breaks = (file, block), 0, 0, 0
-            skipped = len(magic)
-            text = value
-            if block == 0 and nth == 0 and value.startswith(magic):
-                skipped, text = 0, value[len(magic) :]
-            cut = text.find(end)
-            fields = _fields(text[:cut] if cut >= 0 else b"")
+        for file, block, nth, start, parts, value in zip(*(batch.column(c) for c in ("file", "block", "nth", "start", "parts", "value"))):
+            value, true = value.as_py(), nth.as_py() >= 0
+            cut = value.find(end, len(magic)) if true else -1
+            fields = _fields(value[len(magic) : cut] if cut >= 0 else b"")
             length = _number(fields.get(b"content-length"))
             type_ = fields.get(b"warc-type", b"").decode("latin-1").lower() or None
             successor = http = size = digest = None
             if length is not None:
-                successor = start + len(value) - len(text) + cut + len(end) + length + len(end)
-                whole = text[cut + 4 : cut + 4 + length]
+                successor = cut + len(end) + length + len(end)
+                whole = value[cut + 4 : cut + 4 + length]
                 if len(whole) == length:
                     http, size, digest = _record(type_, whole, fields.get(b"warc-payload-digest"))
-            broken = int(successor != start + len(value) + 1)
             rows.append((
-                file, block, nth, start, skipped, len(value), successor, broken, breaks,
+                file.as_py(), block.as_py(), nth.as_py(), start.as_py(), len(value), successor, int(true and successor != len(value) + 1), parts.as_py(),
                 _page(fields.get(b"warc-record-id")), type_, _page(fields.get(b"warc-refers-to")), length, cut + 4, http, size, digest,
                 fields.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode("latin-1"),
             ))
-            nth, start, breaks = nth + 1, start + len(value) + len(_SPLIT), breaks + broken
         if rows:
-            names = [c.split(" ")[0] for c in _CANDIDATE.split(", ")]
-            kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
-            yield pa.RecordBatch.from_arrays([pa.array(v, kinds[c.split(" ")[1]]) for v, c in zip(zip(*rows), _CANDIDATE.split(", "))], names=names)
+            names = [c.split(" ")[0] for c in _CANDIDATE.replace("block: bigint, end: bigint", "").split(", ")]
+            kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "array<struct<>>": pa.list_(pa.struct([("block", pa.int64()), ("end", pa.int64())]))}
+            types = [kinds[c.split(" ")[1]] for c in _CANDIDATE.replace("block: bigint, end: bigint", "").split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), types)], names=names)
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.option("lineSep", _SPLIT).text(path)
-    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+    """(file, block, nth, start, parts, value): the pieces of the archives, those across blocks put together; nth is -1 for what no magic line precedes.
+
+    parts: the blocks that a piece lies in, each with where its part ends.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+    cut = lines.mapInArrow(released(_cut), _PIECE)
+    end = (F.col("start") + F.octet_length("value") + 1).cast("long")
+    whole = cut.where("not head and not last").withColumn("parts", F.array(F.struct(F.col("block").alias("block"), end.alias("end"))))
+    # two pieces of a block at most; those of a file meet in its blocks' order
+    order = W.partitionBy("file").orderBy("block", "nth").rowsBetween(W.unboundedPreceding, W.currentRow)
+    edges = cut.where("head or last").withColumn("owner", F.sum((~F.col("head")).cast("long")).over(order))
+    part = F.struct("block", "nth", "start", end.alias("end"), "value")
+    met = edges.groupBy("file", "owner").agg(F.array_sort(F.collect_list(part)).alias("all"))
+    value = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.col("all")[0]["value"], lambda s, x: F.concat(s, F.lit(b"\n"), x["value"]))
+    parts = F.transform("all", lambda x: F.struct(x["block"].alias("block"), x["end"].alias("end")))
+    first = [F.col("all")[0][c].alias(c) for c in ("block", "nth", "start")]
+    columns = ["file", "block", "nth", "start", "parts", "value"]
+    return whole.select(*columns).union(met.select("file", *first, parts.alias("parts"), value.alias("value")))
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
@@ -173,15 +219,18 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
 
     An island is a run of candidates that ends in a break, a candidate whose successor isn't the next one.
     """
-    found = stored(_pieces(spark, path).mapInArrow(_parse, _CANDIDATE), "warc-candidates")
-    blocks = found.groupBy("file", "block").agg(F.max(F.col("start") + F.col("size") + len(_SPLIT)).alias("total"), F.sum("broken").alias("all_breaks"))
+    found = stored(_pieces(spark, path).mapInArrow(released(_parse), _CANDIDATE), "warc-candidates")
+    ends = found.select("file", F.explode("parts").alias("part"), F.lit(0).alias("broken"))
+    sizes = ends.groupBy("file", F.col("part.block").alias("block")).agg(F.max("part.end").alias("total"))
+    breaks = found.where("nth >= 0").groupBy("file", "block").agg(F.sum("broken").alias("all_breaks"))
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    base = blocks.select("file", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("all_breaks").over(before), F.lit(0)).alias("islands"))
-    placed = found.join(sized(base), ["file", "block"])
-    # a piece begins after its magic line, but for the first of a file
-    return placed.withColumns(
-        {"offset": F.col("base") + F.col("start") - F.col("skipped"), "successor": F.col("base") + F.col("successor"), "island": F.col("islands") + F.col("breaks")}
-    ).drop("base", "islands", "start", "breaks")
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    base = sizes.join(breaks, ["file", "block"], "left").select("file", "block", so_far("total").alias("base"), so_far("all_breaks").alias("islands"))
+    placed = found.where("nth >= 0").drop("parts").join(sized(base), ["file", "block"])
+    here = W.partitionBy("file", "block").orderBy("nth").rowsBetween(W.unboundedPreceding, -1)
+    island = (F.col("islands") + F.coalesce(F.sum("broken").over(here), F.lit(0))).alias("island")
+    offset = F.col("base") + F.col("start")
+    return placed.withColumns({"offset": offset, "successor": offset + F.col("successor"), "island": island}).drop("base", "islands", "start")
 
 
 def reachable(nodes: DataFrame) -> DataFrame:
@@ -230,29 +279,15 @@ def read_warc(spark: SparkSession, path: str, *, payload: bool = False) -> DataF
     spread = true.where("http_bytes is null and length is not null")
     whole = rows.select(*[c.split(" ")[-1] for c in _RECORD])
     if payload:
-        bytes_of = F.expr(f"substring(value, cast(if(skipped = 0, {len(MAGIC)}, 0) + head_bytes + http_bytes + 1 as int), cast(length - http_bytes as int))")
-        texts = _pieces(spark, path).mapInArrow(_numbered, "file string, block long, nth long, skipped int, value binary")
-        whole = rows.join(texts, ["file", "block", "nth"]).select(*whole.columns, F.when(F.col("type") != "revisit", bytes_of).alias("payload"))
+        bytes_of = F.expr("substring(value, cast(head_bytes + http_bytes + 1 as int), cast(length - http_bytes as int))")
+        whole = rows.join(_pieces(spark, path).select("file", "block", "nth", "value"), ["file", "block", "nth"])
+        whole = whole.select(*[c.split(" ")[-1] for c in _RECORD], F.when(F.col("type") != "revisit", bytes_of).alias("payload"))
     if not spread.limit(1).count():
         return whole
     joined = _joined(spark, path, spread)
     return whole.unionByName(joined if payload else joined.drop("payload"))
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pieces with their number in the block, as in _parse."""
-    key, nth, magic = None, 0, MAGIC.encode()
-    for batch in batches:
-        numbers, skips = [], []
-        for file, block, value in zip(*(c.to_pylist() for c in batch.columns)):
-            if (file, block) != key:
-                key, nth = (file, block), 0
-            numbers.append(nth)
-            skips.append(0 if block == 0 and nth == 0 and value.startswith(magic) else len(magic))
-            nth += 1
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(numbers, pa.int64()), pa.array(skips, pa.int32()), batch.column(2)], names=["file", "block", "nth", "skipped", "value"])
-
-
 def _joined(spark: SparkSession, path: str, records: DataFrame) -> DataFrame:
     """Records whose payload holds magic lines, put together from the pieces up to their successor."""
     marks = candidates(spark, path).select("file", "block", "nth", "offset")
@@ -260,17 +295,16 @@ def _joined(spark: SparkSession, path: str, records: DataFrame) -> DataFrame:
     run = W.partitionBy("file").orderBy("offset").rowsBetween(W.unboundedPreceding, W.currentRow)
     owned = marks.join(records.select("file").distinct(), "file", "left_semi").join(owners, ["file", "offset"], "left")
     owned = owned.select("file", "block", "nth", "offset", F.last("owner", True).over(run).alias("owner"), F.last("stop", True).over(run).alias("stop")).where(F.col("offset") < F.col("stop"))
-    texts = _pieces(spark, path).mapInArrow(_numbered, "file string, block long, nth long, skipped int, value binary").drop("skipped").join(sized(owned), ["file", "block", "nth"])
+    texts = _pieces(spark, path).select("file", "block", "nth", "value").join(sized(owned), ["file", "block", "nth"])
     pieces = texts.groupBy("file", F.col("owner").alias("offset")).agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("pieces"))
-    rows = records.selectExpr(*_RECORD, "file", "offset", "skipped", "head_bytes", "length").join(pieces, ["file", "offset"])
+    rows = records.selectExpr(*_RECORD, "file", "offset", "head_bytes", "length").join(pieces, ["file", "offset"])
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                text = _SPLIT.encode().join(p["value"] for p in r["pieces"])
-                at = (0 if r["skipped"] else len(MAGIC)) + r["head_bytes"]
-                block = text[at : at + r["length"]]
+                text = b"\n".join(p["value"] for p in r["pieces"])
+                block = text[r["head_bytes"] : r["head_bytes"] + r["length"]]
                 if len(block) < r["length"]:
                     continue  # the file ends within the record
                 http, size, digest = _record(r["type"], block, r["stated_digest"].encode())

@@ -215,3 +215,42 @@ def test_hunts(spark):
     assert [r.agent for r in artifacts.hunt_paths(files, spark.createDataFrame([("/.claude/", "c")], "fragment string, agent string")).collect()] == ["c"]
     runs = spark.createDataFrame([('"C:\\n\\Claude.exe" -p',), ("node /x/claude.js",), ("claudette",)], "command_line string")
     assert artifacts.hunt_command_lines(runs, spark.createDataFrame([("claude", "c")], "name string, agent string")).count() == 2
+
+
+def test_lines_have_the_same_numbers_in_splits_of_any_size(spark, tmp_path):
+    rng = __import__("random").Random(2)
+    data = "﻿" + "".join(rng.choice(["", "a", "é" * 9, "#### go", "> q", "word " * 12]) + rng.choice(["\n", "\r\n", "\r"]) for _ in range(300)) + "last"
+    folder = put(tmp_path / "s", "a.log", data)
+    put(tmp_path / "s", "b.log", "\n".join(f"l{i}" for i in range(50)))
+    plain = lambda t: t.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    expected = sorted([("a.log", i + 1, t) for i, t in enumerate(plain(data))] + [("b.log", i + 1, f"l{i}") for i in range(50)])
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for size in (64, 97, 500, 501, 502, 503, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            lines = sources.read_lines(spark, folder)
+            assert sorted((r.path.rsplit("/", 1)[1], r.line_no, r.text) for r in lines.collect()) == expected, size
+            if size == 500:
+                assert lines.rdd.getNumPartitions() >= 3
+                joined = normalize.aider(lines.where("path like '%a.log'")).count()
+            elif size > 500:
+                assert normalize.aider(lines.where("path like '%a.log'")).count() == joined
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_places_in_chunks(spark, monkeypatch):
+    from trailspark.sources import positions
+
+    rows = [("f", i, f"{i // 3 % 2}", None if i % 7 else f"v{i}") for i in range(1, 60)] + [("g", 1, "x", None), ("g", 2, "x", "w")]
+    table = spark.createDataFrame(rows, "path string, line_no long, text string, fact string")
+    found = {}
+    for size in (1, 4, 1000):
+        out = positions.runs(positions.carry_forward(positions.previous(table, F.col("text"), "before", size=size), {"known": F.col("fact")}, size=size), same=F.col("text"), size=size)
+        found[size] = sorted((r.path, r.line_no, r.before, r.known, r.run) for r in out.collect())
+        joined = sorted((r.path, r.first_line, r.text) for r in positions.texts_of_runs(out, ["path", "run"], "").collect())
+        assert sum(len(t) for *_, t in joined) == len(rows) and len(joined) == len({(r[0], r[4]) for r in found[size]})
+    assert found[1] == found[4] == found[1000]
+    by_line = {r[:2]: r[2:] for r in found[4]}
+    assert by_line["f", 1] == (None, None, 1) and by_line["f", 16] == ("1", "v14", 6) and by_line["g", 2] == ("x", "w", 1)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailspark.functions.text import fish_unescape, text_of as _text_of
@@ -12,6 +11,7 @@ from trailspark.normalize.chats import claude
 from trailspark.normalize.records import finish, payload as _payload
 from trailspark.schema import UNINTERPRETED
 from trailspark.sources import line_runs
+from trailspark.sources.positions import carry_forward, previous, runs, texts_of_runs
 
 
 def _said(path: str, column: str = "value") -> Column:
@@ -23,11 +23,12 @@ def codex(lines: DataFrame) -> DataFrame:
     calls are tool calls and commands.
     """
     kind, item = _said("type"), _said("payload.type")
-    order = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    carried = lambda c: F.last(c, ignorenulls=True).over(order)
     header = kind.isin("session_meta", "turn_context")
-    rows = lines.withColumns({"session_id": carried(F.when(kind == "session_meta", _said("payload.id"))), "project_path": carried(F.when(header, _said("payload.cwd"))), "git_branch": carried(F.when(header, _said("payload.git.branch"))),
-        "_model": carried(F.when(header, F.coalesce(_said("payload.model"), F.when(kind == "session_meta", _said("payload.model_provider"))))), "_v": F.try_parse_json("value")})
+    facts = {
+        "session_id": F.when(kind == "session_meta", _said("payload.id")), "project_path": F.when(header, _said("payload.cwd")), "git_branch": F.when(header, _said("payload.git.branch")),
+        "_model": F.when(header, F.coalesce(_said("payload.model"), F.when(kind == "session_meta", _said("payload.model_provider")))),
+    }
+    rows = carry_forward(lines, facts).withColumn("_v", F.try_parse_json("value"))
     role, call = _said("payload.role"), item.isin("function_call", "custom_tool_call", "local_shell_call")
     made = (
         F.when(kind == "session_meta", "session.start").when(kind == "turn_context", "config.snapshot").when(kind == "event_msg", "config.snapshot").when(kind == "compacted", "session.end")
@@ -95,19 +96,15 @@ def aider(lines: DataFrame) -> DataFrame:
 
 def _joined(lines: DataFrame, goes_on: Column, between: str) -> DataFrame:
     """Lines with those that go on put together (path, line_no, text)."""
-    order = W.partitionBy("path").orderBy("line_no")
-    rows = lines.withColumn("_goes_on", goes_on)
-    rows = rows.withColumn("_new", (~F.coalesce(F.lag("_goes_on").over(order), F.lit(False))).cast("int"))
-    rows = rows.withColumn("run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), between)
-    return rows.groupBy("path", "run").agg(F.min("line_no").alias("line_no"), joined.alias("text"))
+    rows = previous(lines, goes_on, "_goes_on")
+    rows = runs(rows.withColumn("_new", ~F.coalesce("_goes_on", F.lit(False))), opens=F.col("_new"))
+    return texts_of_runs(rows, ["path", "run"], between).withColumnRenamed("first_line", "line_no")
 
 
 def _fish(lines: DataFrame) -> DataFrame:
     """Records of a fish history: a command, its time and the paths it names; what precedes the first one is unread."""
-    order = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
     opens = F.startswith("text", F.lit("- cmd:"))
-    rows = lines.withColumn("run", F.sum(opens.cast("int")).over(order))
+    rows = runs(lines, opens=opens)
     field = lambda name: F.nullif(F.regexp_extract("text", rf"^\s+{name}:\s*(\S+)", 1), F.lit(""))
     named = F.when(F.rlike("text", F.lit(r"^\s+- ")), F.regexp_replace("text", r"^\s+- ", ""))
     whole = rows.groupBy("path", "run").agg(
@@ -122,11 +119,10 @@ def shell_history(lines: DataFrame, shell: str) -> DataFrame:
     """Commands of bash (times in lines of their own), zsh (extended, with continued lines), fish, PowerShell (a backtick goes on),
     an agent's own recall file (an odd number of backslashes goes on) and plain histories.
     """
-    order = W.partitionBy("path").orderBy("line_no")
     none = F.lit(None).cast("string")
     if shell == "bash":
         stamp = F.nullif(F.regexp_extract("text", r"^#(\d{9,})$", 1), F.lit(""))
-        rows = lines.withColumns({"_stamp": stamp, "time": F.lag(stamp).over(order)}).where(F.col("_stamp").isNull()).withColumn("command", F.col("text"))
+        rows = previous(lines.withColumn("_stamp", stamp), F.col("_stamp"), "time").where(F.col("_stamp").isNull()).withColumn("command", F.col("text"))
     elif shell == "zsh":
         whole = _joined(lines, F.endswith("text", F.lit("\\")), "\n")
         rows = whole.withColumns({"time": F.nullif(F.regexp_extract("text", r"^: (\d+):\d+;", 1), F.lit("")), "command": F.regexp_replace(F.regexp_replace("text", r"^: \d+:\d+;", ""), r"\\\n", "\n")})

@@ -9,12 +9,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailspark.functions.identity import event_id
 from trailspark.functions.text import first_word, host_of, normalise_ts, text_of
 from trailspark.schema import EVENT_COLUMNS, UNINTERPRETED
+from trailspark.sources.positions import carry_forward
 
 _EVENTS = "array<struct<kind:string,payload_json:string,suffix:string,actor:string,time:string>>"
 
@@ -137,8 +137,7 @@ class Tools:
 
 def carried(rows: DataFrame, order: str = "line_no", **facts: Column) -> DataFrame:
     """Facts that a file states once, carried forward to the records after it."""
-    so_far = W.partitionBy("path").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return rows.withColumns({k: F.last(v, ignorenulls=True).over(so_far) for k, v in facts.items()})
+    return carry_forward(rows, facts, order=order)
 
 
 def lines_of(lines: DataFrame) -> DataFrame:

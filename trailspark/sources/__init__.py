@@ -3,24 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailspark.functions.flatten import custody_hash
 from trailspark.functions.identity import event_id
 from trailspark.operators.timeline import chain_problems
 from trailspark.schema import EVENT, EVENT_COLUMNS
+from trailspark.sources.positions import number_rows, runs, texts_of_runs
 from trailspark.sources.unified import from_records
 
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, text) of every line, the blank ones too; lines end with CRLF, LF or CR.
 
-    Files are read in Spark's own splits. A file's lines are numbered by one task, which streams them in order; no file
-    has to fit into memory.
+    Files are read in Spark's own splits, and each split's lines are numbered by its own task: a first pass counts the lines of
+    each split, a second adds the number of those before it. Whatever the splits, the numbers are the same.
     """
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), place.alias("_place"), F.make_valid_utf8("value").alias("text"))
-    numbered = rows.withColumn("line_no", F.row_number().over(W.partitionBy("path").orderBy("_place")))
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.make_valid_utf8("value").alias("text")
+    )
+    numbered = number_rows(rows, "path", "_block", "_at", "line_no")
     return numbered.select("path", "line_no", F.when(F.col("line_no") == 1, F.regexp_replace("text", "^\ufeff", "")).otherwise(F.col("text")).alias("text"))
 
 
@@ -101,11 +103,8 @@ def read_table(rows: DataFrame, store: str, table: str, columns: dict[str, list[
 
 def line_runs(lines: DataFrame, kind: Column, by: str = "path") -> DataFrame:
     """(path, run, first_line, kind, text): consecutive lines of one kind, joined."""
-    order = W.partitionBy(by).orderBy("line_no")
-    marked = lines.withColumn("kind", kind).withColumn("_new", (~F.coalesce(F.lag("kind").over(order) == F.col("kind"), F.lit(False))).cast("int"))
-    numbered = marked.withColumn("run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n")
-    return numbered.groupBy(by, "run", "kind").agg(F.min("line_no").alias("first_line"), joined.alias("text"))
+    rows = runs(lines.withColumn("kind", kind), same=F.col("kind"), by=by)
+    return texts_of_runs(rows, [by, "run", "kind"])
 
 
 __all__ = ["EVENT", "line_runs", "read_custody", "read_jsonl", "read_lines", "read_manifest", "read_table", "read_unified_log", "strict_object"]

@@ -13,7 +13,7 @@ from trailspark.sources.positions import number_rows, runs, texts_of_runs
 from trailspark.sources.unified import from_records
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, line_no, text) of every line, the blank ones too; lines end with CRLF, LF or CR.
 
     Files are read in Spark's own splits, and each split's lines are numbered by its own task: a first pass counts the lines of

@@ -32,26 +32,35 @@ def endpoint_path(path: Column, root: str) -> Column:
     return F.when(F.rlike(device, F.lit("^[A-Za-z]:?/")), drive).otherwise(F.concat(F.lit("/"), F.regexp_replace(device, "^/+", "")))
 
 
-def tree_roots(spark: SparkSession, root: str) -> list[str]:
-    """root, and all folders and files below it whose names begin with a dot or an underscore.
+def tree_roots(spark: SparkSession, root: str) -> tuple[list[str], list[tuple[str, int, int]]]:
+    """root and all folders below it whose names begin with a dot or an underscore; and (path, size, milliseconds) of such files.
 
-    Spark's file sources leave those out when they meet them in a folder, but not when they are asked for by name.
+    Spark's file sources leave both out when they meet them in a folder. Folders they read when they are asked for by name,
+    files they don't. Names only go through the driver.
     """
-    out, todo = [root], [spark._jvm.org.apache.hadoop.fs.Path(root)]
+    out, unread, todo = [root], [], [spark._jvm.org.apache.hadoop.fs.Path(root)]
     files = todo[0].getFileSystem(spark._jsc.hadoopConfiguration())
     while todo:
         for status in files.listStatus(todo.pop()):
             path = status.getPath()
-            if path.getName()[:1] in "._":
-                out.append(path.toString())
+            hidden = path.getName()[:1] in "._"
             if status.isDirectory():
                 todo.append(path)
-    return out
+                if hidden:
+                    out.append(path.toString())
+            elif hidden:
+                unread.append((path.toString(), status.getLen(), status.getModificationTime()))
+    return out, unread
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, original_path, user, size, sha256, mtime, text, binary, problem) of every file below root."""
-    found = read_documents(spark, tree_roots(spark, root), recursive=True)
+    """(path, original_path, user, size, sha256, mtime, text, binary, problem) of every file below root; one that Spark can't read says so."""
+    roots, unread = tree_roots(spark, root)
+    found = read_documents(spark, roots, recursive=True)
+    if unread:
+        rows = spark.createDataFrame(unread, "path string, size long, at long")
+        known = {"mtime": F.timestamp_millis("at"), "problem": F.lit("a file whose name hides it from Spark's sources")}
+        found = found.unionByName(rows.withColumns(known).drop("at"), allowMissingColumns=True)
     original = endpoint_path(F.col("path"), root.removeprefix("file:"))
     return found.withColumn("original_path", original).withColumn("user", user_from_path(F.col("original_path")))
 

@@ -186,7 +186,10 @@ def test_bodies_and_paths(spark):
     r = spark.createDataFrame([("a\\\\nb\\nc", "x%20y/z%zz/+", "/home/al/p", "a.pem\n")], "f string, p string, u string, g string").select(
         T.fish_unescape(F.col("f")), T.decode_segments(F.col("p")), T.user_from_path(F.col("u")), F.rlike("g", F.lit(T.glob_regex("*.pem"))), T.project_of(F.col("u"), F.array(F.lit("/home"), F.lit("/home/al"), F.lit("/home/a")))
     )
-    assert tuple(r.first()) == ("a\\nb\nc", "x y/z%zz/+", "al", False, "/home/al")
+    assert tuple(r.first()) == ("a\\nb\nc", "x y/z%zz/+", "al", False, "/home")
+    roots = F.array(*map(F.lit, ("", "c:/W/", "/home/al/p", "/home/al")))
+    inside = {p: spark.createDataFrame([(p,)], "p string").select(T.project_of(F.col("p"), roots)).first()[0] for p in ("C:\\w\\x", "/home/al/p", "/HOME/al/p/q", "/home/alf", "/x")}
+    assert list(inside.values()) == ["c:/W/", "/home/al", "/home/al/p", None, None]
 
 
 def test_hidden_characters_include_the_tag_block(spark):

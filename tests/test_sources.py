@@ -1,6 +1,7 @@
 """Golden cases for readers, normalizers, sinks and streams."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -103,6 +104,30 @@ def test_log_round_trip_streams_and_appends_twice(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "t")).count() == 1 and sinks.undated(rows) == 2
 
 
+def test_an_append_reads_its_own_bundles_only(spark, tmp_path, monkeypatch):
+    lines = sources.read_jsonl(spark, put(tmp_path / "h", "p.jsonl", '{"display": "a"}\n{"display": "b"}\n'))
+    bundle = lambda b: normalize.finish(normalize.prompt_history(lines, "x").withColumn("bundle_uuid", F.lit(b).cast("string")).drop("event_id"))
+    case = str(tmp_path / "case")
+    for b in ("b1", "b2", None, "b3", "b2", None):
+        sinks.append_case(bundle(b), case)
+    assert sorted((r.bundle_uuid or "", r["count"]) for r in spark.read.parquet(case).groupBy("bundle_uuid").count().collect()) == [("", 2), ("b1", 2), ("b2", 2), ("b3", 2)]
+    for names in (["b2"], ["b1", None]):
+        some = bundle(names[0]).union(bundle(names[-1]))
+        known = sinks.stored_ids(some, case)
+        plan = known._jdf.queryExecution().executedPlan().toString()
+        assert known.count() == 2 * len(names) and re.search(r"PartitionFilters: \[[^\]]*bundle_uuid", plan), plan
+    monkeypatch.setattr(sinks, "NAMED", 0)
+    assert sinks.stored_ids(bundle("b2"), case).count() == 4  # its own, and those without a bundle
+
+
+def test_timeline_columns(spark, tmp_path):
+    rows = normalize.prompt_history(sources.read_jsonl(spark, put(tmp_path / "h", "p.jsonl", '{"display": "a"}\nbad\n')), "x")
+    sinks.write_timeline(rows, str(tmp_path / "t"))
+    found = spark.read.option("header", True).csv(str(tmp_path / "t"))
+    assert tuple(found.columns) == sinks.TIMELINE and found.columns[-1] == "parse_problem"
+    assert sorted((r.kind, r.parse_problem) for r in found.collect()) == [("prompt.history", None), ("unparsed.record", "not JSON")]
+
+
 def spaced(rows):
     """Events with the white space of their JSON made alike."""
     return rows.select(*EVENT_COLUMNS).withColumns({c: F.coalesce(F.get_json_object(c, "$"), F.col(c)) for c in ("payload_json", "raw_json")})

@@ -38,7 +38,7 @@ def test_instructions(spark):
         {"event_id": "d", "kind": "instruction.source", "payload_json": say("", scope="user")}, {"event_id": "e", "kind": "user.prompt"},
     )
     shown = {r.event_id: r for r in views.instructions_view(rows).collect()}
-    assert set(shown) == {"a", "c", "d"} and shown["a"].recorded_elsewhere and not shown["d"].recorded_elsewhere and (shown["a"].scope_order, shown["c"].scope_order) == (3, 2)
+    assert set(shown) == {"a", "c", "d"} and [shown[k].equal_texts for k in "acd"] == [2, 2, 1] and not any(r.recorded_elsewhere for r in shown.values()) and (shown["a"].scope_order, shown["c"].scope_order) == (3, 2)
     counts = {r.scope: r for r in views.instruction_counts(rows).collect()}
     assert set(counts) == set(views.SCOPES) and (counts["project"].instructions, counts["project"].grants_tools, counts["project"].executable, counts["user"].empty, counts["local"].instructions) == (1, 1, 1, 1, 0)
     files = spark.createDataFrame([("b", "/p", "2024", 3, "parsed")], "bundle_uuid string, path string, mtime string, size long, status string")
@@ -46,6 +46,27 @@ def test_instructions(spark):
     assert views.by_id(rows, "c").count() == 1
 
 
+def test_instructions_recorded_elsewhere(spark):
+    """The flag is about the paths that an instruction names, not about equal texts."""
+    say = lambda *paths, text="x" * 400: json.dumps({"text": text, "instructions": [{"path": p} for p in paths]})
+    cases = {"own": say("/s#thread"), "other": say("/rules.md"), "both": say("/rules.md", "/s"), "none": say(), "null": say(None), "longer": say("/r#x", text="x" * 400 + "y")}
+    rows = events(spark, *[{"event_id": k, "kind": "instruction.source", "original_path": "/s", "payload_json": v} for k, v in cases.items()])
+    shown = {r.event_id: (r.recorded_elsewhere, r.equal_texts) for r in views.instructions_view(rows).collect()}
+    assert shown == {"own": (False, 5), "other": (True, 5), "both": (False, 5), "none": (False, 5), "null": (False, 5), "longer": (True, 1)}
+
+
+def test_equal_files_name_each_other(spark):
+    rows = [(f"/f{i}", "h", "parsed", True) for i in range(9)] + [("/x", "k", "parsed", True), ("/y", None, "parsed", True), ("/z", None, "parsed", True)]
+    found = {r.path: r for r in views.artifacts_view(spark.createDataFrame(rows, "path string, sha256 string, status string, collected boolean")).collect()}
+    assert found["/f0"].other_paths == ["/f1", "/f2", "/f3", "/f4", "/f5"] and found["/f3"].other_paths == ["/f0", "/f1", "/f2", "/f4", "/f5"] and found["/f8"].other_paths == ["/f0", "/f1", "/f2", "/f3", "/f4"]
+    assert (found["/f8"].copies, found["/f0"].same_as, found["/f8"].same_as) == (9, None, "/f0") and all(found[p].copies == 1 and found[p].other_paths is None for p in ("/x", "/y", "/z"))
+
+
+def test_case_summary_names_models(spark):
+    rows = events(spark, *[{"event_id": str(i), "agent": "a", "kind": "assistant.text", "payload_json": json.dumps({"models": [{"model": f"m{i % 2}"}, {"model": "m0"}]})} for i in range(3)])
+    assert {(r.name, r.n) for r in views.case_summary(rows).where("section = 'model'").collect()} == {("m0", 3), ("m1", 1)}
+
+
 def test_catalogue_views(spark):
     catalogue = spark.createDataFrame([("a.t", "a", "transcript", ["linux"], "durable"), ("a.c", "a", "config", ["linux", "mac"], "live_only"), ("a.g", "a", "log", ["mac"], "first")], "artifact_id string, agent string, category string, systems array<string>, priority string")
     r = views.reader_coverage(catalogue, ("a.t", "a.g"), ("a.g",)).first()

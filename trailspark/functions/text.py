@@ -29,8 +29,14 @@ def host_of(url: Column) -> Column:
 
 def hidden_characters(text: Column) -> Column:
     """array<struct<code, n>> of the hidden characters that a text holds, by code point; tag characters count as their first one."""
-    codes = F.transform(F.regexp_extract_all(text, F.lit(f"([{HIDDEN_CLASS}])"), F.lit(1)), lambda c: F.least(F.ascii(c), F.lit(TAGS[0])))
-    counted = F.transform(F.array_sort(F.array_distinct(codes)), lambda c: F.struct(c.alias("code"), F.size(F.filter(codes, lambda x: x == c)).alias("n")))
+    tag = "-".join(map(chr, TAGS))
+    # the few characters that are left are counted, not the text's own
+    only = F.regexp_replace(text, F.lit(f"[^{HIDDEN_CLASS}]+"), F.lit(""))
+    less = lambda t, c: F.char_length(t) - F.char_length(F.translate(t, chr(c), ""))
+    tags = lambda t: F.char_length(t) - F.char_length(F.regexp_replace(t, F.lit(f"[{tag}]"), F.lit("")))
+    number = lambda code, n: F.struct(F.lit(code).alias("code"), n.cast("int").alias("n"))
+    every = lambda t: F.array(*[number(c, less(t, c)) for c in sorted(HIDDEN)], number(TAGS[0], tags(t)))
+    counted = F.filter(_let(only, every), lambda x: x["n"] > 0)
     none = F.array().cast("array<struct<code: int, n: int>>")
     # most texts hold none, and one search says so
     return F.when(text.isNull(), F.lit(None)).when(F.rlike(text, F.lit(f"[{HIDDEN_CLASS}]")), counted).otherwise(none)
@@ -156,9 +162,10 @@ def fish_unescape(text: Column) -> Column:
 
 
 def project_of(path: Column, roots: Column) -> Column:
-    """The longest of the roots (array) that a path lies in; null if none."""
-    inside = F.filter(roots, lambda r: (path == r) | F.startswith(path, F.concat(F.rtrim(r, F.lit("/")), F.lit("/"))))
-    return F.get(F.array_sort(inside, lambda a, b: F.char_length(b) - F.char_length(a)), F.lit(0))
+    """The first of the roots (array) that a path lies below, as it is written; null if none. Either separator and case count alike."""
+    folded = lambda p: F.lower(F.translate(p, "\\", "/"))
+    below = lambda r: (F.rtrim(folded(r), F.lit("/")) != "") & F.startswith(folded(path), F.concat(F.rtrim(folded(r), F.lit("/")), F.lit("/")))
+    return F.get(F.filter(roots, below), F.lit(0))
 
 
 def user_from_path(path: Column) -> Column:

@@ -19,21 +19,36 @@ FACETS = {
 }
 
 
-def _objects(name: str) -> Column:
-    """array<string> of a facet's objects: one object is a list of one, a text names a path, and a text in a list is every key."""
+def _objects(name: str, fields: list[tuple[str, str]]) -> Column:
+    """array<struct> of a facet's objects: one object is a list of one, a text names a path, and a text in a list is every key."""
     value = F.try_variant_get(F.try_parse_json("payload_json"), f"$.{name}", "variant")
     shape = lambda v, kind: F.coalesce(F.startswith(F.schema_of_variant(v), F.lit(kind)), F.lit(False))
     text = lambda v: F.try_variant_get(v, "$", "string")
-    every = lambda v: F.to_json(F.struct(*[text(v).alias(k) for k in ("path", "command", "host", "server")]))
-    listed = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v: F.when(shape(v, "OBJECT"), F.to_json(v)).when(shape(v, "STRING"), every(v)))
-    return F.when(shape(value, "ARRAY"), F.array_compact(listed)).when(shape(value, "OBJECT"), F.array(F.to_json(value))).when(shape(value, "STRING"), F.array(F.to_json(F.struct(text(value).alias("path")))))
+    made = lambda field: F.struct(*[field(k, kind).cast(kind).alias(k) for k, kind in fields])
+    typed = lambda v: made(lambda k, kind: F.try_variant_get(v, f"$.{k}", kind))
+    named = lambda v, keys: made(lambda k, kind: text(v) if k in keys else F.lit(None))
+    each = lambda v: F.when(shape(v, "OBJECT"), typed(v)).when(shape(v, "STRING"), named(v, ("path", "command", "host", "server")))
+
+    def rows(v: Column) -> Column:
+        listed = F.array_compact(F.transform(F.try_variant_get(v, "$", "array<variant>"), each))
+        return F.when(shape(v, "ARRAY"), listed).when(shape(v, "OBJECT"), F.array(typed(v))).when(shape(v, "STRING"), F.array(named(v, ("path",))))
+
+    # parsed once a row, and only where the payload has the word
+    return F.when(F.contains("payload_json", F.lit(f'"{name}"')), F.get(F.transform(F.array(value), rows), F.lit(0)))
 
 
 def facet(events: DataFrame, name: str, keep: tuple[str, ...] = ("event_id",)) -> DataFrame:
-    """The facet rows of events, once for each event and key; shapes other than a list of objects give coarser rows, not errors."""
-    fields, keys, defaults = FACETS[name]
-    kind = "struct<" + ", ".join(":".join(f.strip().split(" ")) for f in fields.split(",")) + ">"
-    rows = events.select(*keep, F.explode(_objects(name)).alias("_o")).select(*keep, F.from_json("_o", kind).alias("f")).select(*keep, "f.*").fillna(defaults)
+    """The facet rows of events, once for each event and key; shapes other than a list of objects give coarser rows, not errors.
+
+    Events are taken to be distinct, as appends leave them; of an event's objects with equal keys the first counts.
+    """
+    declared, keys, defaults = FACETS[name]
+    fields = [tuple(f.strip().split(" ")) for f in declared.split(",")]
+    filled = F.transform(_objects(name, fields), lambda o: F.struct(*[(F.coalesce(o[k], F.lit(defaults[k])) if k in defaults else o[k]).alias(k) for k, _ in fields]))
+    key = lambda o: F.struct(*[o[k] for k in keys])
+    first = lambda listed: F.filter(listed, lambda o, i: o[keys[0]].isNotNull() & (F.array_position(F.transform(listed, key), key(o)) == i + 1))
+    one = F.when(F.size(filled) == 1, F.filter(filled, lambda o: o[keys[0]].isNotNull())).otherwise(F.get(F.transform(F.array(filled), first), F.lit(0)))
+    rows = events.select(*keep, F.explode(one).alias("f")).select(*keep, "f.*")
     if name == "commands":
         rows = rows.withColumn("executable", F.coalesce("executable", first_word(F.col("command"))))
-    return rows.where(F.col(keys[0]).isNotNull()).dropDuplicates([*keep, *keys])
+    return rows

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailspark.functions.identity import uninterpreted, unreadable
-from trailspark.operators import stores, summaries, tools
+from trailspark.operators import facets, stores, summaries, tools
 from trailspark.operators.timeline import session_order
 
 #: The states of a collected file, the order of scopes, and priorities in the order of collection.
@@ -108,11 +108,21 @@ def instruction_files(instructions: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def instructions_view(events: DataFrame) -> DataFrame:
-    """Instructions with their preview, and whether the same text was recorded elsewhere; order by `scope_order`."""
-    rows = instructions_of(events).withColumn("_text", F.xxhash64("preview", "characters"))
-    elsewhere = rows.groupBy("_text").agg(F.count("*").alias("_n"))
+    """Instructions with their preview, whether they stand in other files than the one that records them, and the number of equal texts.
+
+    An instruction is recorded elsewhere if it names paths, and none, without what follows a #, is its own file. Order by `scope_order`.
+    """
+    paths = F.transform(F.from_json(F.get_json_object("payload_json", "$.instructions"), "array<struct<path: string>>"), lambda x: x["path"])
+    named = F.filter(paths, lambda p: F.coalesce(p, F.lit("")) != "")
+    own = F.coalesce("original_path", F.lit(""))
+    elsewhere = (F.size(named) > 0) & F.forall(named, lambda p: F.substring_index(p, "#", 1) != own)
+    text = F.get_json_object("payload_json", "$.text")
+    # empty texts aren't copies of each other, and would be one key
+    extra = events.where("kind = 'instruction.source'").select("event_id", F.coalesce(elsewhere, F.lit(False)).alias("recorded_elsewhere"), F.when(text != "", F.sha2(text, 256)).alias("text_sha256"))
+    rows = instructions_of(events).join(extra, "event_id")
+    equal = extra.where("text_sha256 IS NOT NULL").groupBy("text_sha256").agg(F.count("*").alias("equal_texts"))
     rank = F.array_position(F.array(*map(F.lit, SCOPES)), F.col("scope"))
-    return rows.join(elsewhere, "_text").withColumns({"recorded_elsewhere": F.col("_n") > 1, "scope_order": rank.cast("int")}).drop("_text", "_n")
+    return rows.join(equal, "text_sha256", "left").withColumns({"equal_texts": F.coalesce("equal_texts", F.lit(1)).cast("long"), "scope_order": rank.cast("int")})
 
 
 def instruction_counts(events: DataFrame) -> DataFrame:
@@ -152,11 +162,22 @@ def artifact_counts(files: DataFrame, gaps: DataFrame) -> DataFrame:
     return summaries.beside(states, copies, gaps.agg(F.count("*").alias("gaps")))
 
 
+#: Other paths of equal files that are named; all are counted.
+OTHERS = 5
+
+
 def artifacts_view(files: DataFrame) -> DataFrame:
-    """Files with their state, and the other paths (five at most) and number of files with the same content."""
-    named = files.where("sha256 IS NOT NULL").groupBy("sha256").agg(F.count("*").alias("copies"), F.min("path").alias("first_path"))
+    """Files with their state, and the number and other paths (the first OTHERS of them) of collected files with the same content.
+
+    Of a group of equal files only its first OTHERS + 1 paths are ever gathered, so that a large one is a small row.
+    """
+    known = files.where("sha256 IS NOT NULL")
+    place = F.row_number().over(W.partitionBy("sha256").orderBy("path"))
+    first = known.select("sha256", "path").withColumn("_place", place).where(F.col("_place") <= OTHERS + 1).groupBy("sha256").agg(F.sort_array(F.collect_list("path")).alias("_first"))
+    named = known.groupBy("sha256").agg(F.count("*").alias("copies")).where("copies > 1").join(first, "sha256")
     joined = files.join(named, "sha256", "left").withColumns({"state": file_state(), "copies": F.coalesce("copies", F.lit(1)).cast("long")})
-    return joined.withColumn("same_as", F.when((F.col("copies") > 1) & (F.col("first_path") != F.col("path")), F.col("first_path"))).drop("first_path")
+    others = F.slice(F.filter("_first", lambda p: p != F.col("path")), 1, OTHERS)
+    return joined.withColumns({"same_as": F.when(F.get("_first", F.lit(0)) != F.col("path"), F.get("_first", F.lit(0))), "other_paths": F.when(F.col("copies") > 1, others)}).drop("_first")
 
 
 def artifacts_export(files: DataFrame, gaps: DataFrame) -> DataFrame:
@@ -265,12 +286,13 @@ def header_notes(events: DataFrame, files: DataFrame, gaps: DataFrame) -> DataFr
 
 
 def case_summary(events: DataFrame) -> DataFrame:
-    """(section, name, n): agents, kinds and models with their numbers, as one table."""
+    """(section, name, n): agents, kinds and models with their numbers of events, and artifacts with those unread, as one table."""
     part = lambda rows, section, name: rows.select(F.lit(section).alias("section"), F.col(name).cast("string").alias("name"), F.col("n").cast("long").alias("n"))
     agents = part(events.groupBy("agent").agg(F.count("*").alias("n")), "agent", "agent")
     kinds = part(summaries.kind_histogram(events), "kind", "kind")
+    models = part(facets.facet(events, "models").groupBy("model").agg(F.count("*").alias("n")), "model", "model")
     unread = part(summaries.unread_by_artifact(events).withColumn("n", F.col("unreadable") + F.col("uninterpreted")), "unread", "artifact_id")
-    return agents.unionByName(kinds).unionByName(unread)
+    return agents.unionByName(kinds).unionByName(models).unionByName(unread)
 
 
 def session_events(events: DataFrame, agent: str, session: str | None, after: int = 0, limit: int = 2000) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -87,29 +88,29 @@ def title_of(text: Column) -> Column:
     return F.get(F.filter(lines, lambda t: t != ""), F.lit(0))
 
 
+#: A block that a text opens with, up to its closing line; without one the whole rest is left over.
+_BLOCK = re.compile(r"---[^\n]*\n(?P<yaml>.*?)(?:^(?:---|\.\.\.)[ \t]*$|(?P<open>\Z))", re.S | re.M)
+#: The names of tools in a value, by the value's kind; others name themselves.
+_NAMED = {str: lambda v: v.split(","), list: lambda v: v, tuple: lambda v: v, set: lambda v: v, dict: lambda v: v, type(None): lambda v: ()}
+
+
 def _front(text: str) -> str | None:
-    """The mapping that a text opens with, its tools and what is wrong with it, as JSON; null if it opens with none."""
-    lines = text.splitlines()
-    if not lines or not text.startswith("---"):
-        return None
-    end = next((i for i, line in enumerate(lines[1:], 1) if line.strip() in ("---", "...")), None)
-    if end is None:
-        return json.dumps({"problem": "front matter that is never closed"})
+    """The mapping that a text opens with and the tools that it names, or what is wrong with it, as JSON; null if it opens with none."""
+    import yaml
+
+    block = _BLOCK.match(text.replace("\r\n", "\n").replace("\r", "\n") + "\n") if text.startswith("---") else None
+    if not block or block["open"] is not None:
+        return json.dumps({"problem": "front matter that is never closed"}) if block else None
     try:
-        import yaml
-
-        found = yaml.safe_load("\n".join(lines[1:end]))
-    except Exception as e:  # noqa: BLE001  of any parser; the text is kept
-        return json.dumps({"problem": f"unreadable front matter: {type(e).__name__}"})
-    if found is None:
-        return None
-    if not isinstance(found, dict):
-        return json.dumps({"problem": "front matter that is no mapping"})
-    tools: set[str] = set()
-    for key in TOOL_KEYS:
-        value = found.get(key)
-        tools |= {x.strip() for x in (value.split(",") if isinstance(value, str) else map(str, value or ())) if x.strip()}
-    return json.dumps({"front_matter": found, "tools": sorted(tools)}, default=str, ensure_ascii=False)
+        mapping = yaml.safe_load(block["yaml"])
+        problem = "front matter that is no mapping" if not isinstance(mapping, dict | None) else None
+    except Exception as error:  # noqa: BLE001  of any parser; the text is kept
+        mapping, problem = None, f"unreadable front matter: {type(error).__name__}"
+    if problem or mapping is None:
+        return problem and json.dumps({"problem": problem})
+    values = [mapping.get(key) for key in TOOL_KEYS]
+    names = {str(name).strip() for v in values for name in _NAMED.get(type(v), lambda x: (x,))(v)} - {""}
+    return json.dumps({"front_matter": mapping, "tools": sorted(names)}, default=str, ensure_ascii=False)
 
 
 @pandas_udf(StringType())

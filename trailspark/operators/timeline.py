@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,6 +41,25 @@ def page(events: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return events.orderBy(*session_order()).offset(max(0, offset)).limit(min(max(1, limit), 20_000) + 1)
 
 
+def place_of() -> Column:
+    """The sort key of an event within a session, as one value that orders as session_order() does, with the id for ties."""
+    return F.struct("ts_utc", "original_path", F.length("locator").alias("n"), "locator", "kind", "event_id")
+
+
+def page_after(events: DataFrame, after: Row | None = None, limit: int = 2000) -> DataFrame:
+    """The page of ordered events that follows the event `after`, with its `place`: give a page's last one for the next.
+
+    Each page is a top-k of what lies beyond a key, so that a late page costs what the first one does; nulls come first.
+    """
+    rows = events.withColumn("place", place_of())
+    if after is not None:
+        at = F.struct(*[F.lit(v).cast("int" if k == "n" else "string").alias(k) for k, v in after["place"].asDict().items()])
+        rows = rows.where(F.col("place") > at)
+        if after["place"]["ts_utc"] is not None:  # what a scan can be asked for
+            rows = rows.where(F.col("ts_utc") >= after["place"]["ts_utc"])
+    return rows.orderBy("place").limit(min(max(1, limit), 20_000))
+
+
 def distinct_events(events: DataFrame) -> DataFrame:
     """The first row, in timeline order, of each event id."""
     place = F.row_number().over(W.partitionBy("event_id").orderBy(*timeline_order(), F.xxhash64(*events.columns)))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from trailspark.functions.flatten import flatten
 from trailspark.functions.text import glob_regex
+from trailspark.rules import literals
 from trailspark.schema import EVENT_COLUMNS
 
 #: DOTALL, Unicode classes, and $ and ^ that see line feeds only.
@@ -32,7 +33,30 @@ def java_regex(pattern: str, ignore_case: bool = False) -> str:
     return ("(?iu)" if ignore_case else "") + JAVA_FLAGS + re.sub(r"\\Z", r"\\z", pattern)
 
 
-def prepared(events: DataFrame, fields: set[str]) -> DataFrame:
+def every_leaf(tree: dict) -> list[tuple[str, str, object]]:
+    """(field, operator, value) of all leaves, whatever group they stand in."""
+    found = [x for k in GROUPS for t in tree.get(k, []) for x in every_leaf(t)]
+    return found + [(tree["field"], k, v) for k, v in tree.items() if "field" in tree and k not in ("field", *GROUPS, *MODIFIERS)]
+
+
+def words_of(trees: list[dict]) -> frozenset[str] | None:
+    """Words of which a record's text holds one if any test of a text view holds; None if a test may hold without."""
+    found = [literals.of_leaf(k, v) for t in trees for f, k, v in every_leaf(t) if f in TEXT_VIEWS]
+    return None if any(f is None for f in found) else frozenset().union(*found)
+
+
+def may_hold(words: frozenset[str]) -> Column:
+    """Whether the JSON of a record may hold one of the words; one that writes plain letters as numbers may hold any."""
+    out = F.lit(False)
+    for c in ("payload_json", "raw_json"):
+        text = F.lower(F.coalesce(c, F.lit("")))
+        for w in sorted(words):
+            out = out | F.contains(text, F.lit(w))
+        out = out | F.contains(text, F.lit("\\u00"))
+    return out
+
+
+def prepared(events: DataFrame, fields: set[str], trees: list[dict] | None = None) -> DataFrame:
     """events with the columns that these selectors read, each made once a row."""
     out = events
     for c in ("payload_json", "raw_json"):
@@ -42,7 +66,12 @@ def prepared(events: DataFrame, fields: set[str]) -> DataFrame:
     if "text" in fields:
         parsed["_payload"] = F.try_parse_json("payload_json")
     if fields & set(TEXT_VIEWS):
-        parsed |= {"_payload_text": flatten("payload_json"), "_raw_text": flatten("raw_json")}
+        # a text without the words that all its tests need is as good as none: it isn't flattened
+        words = words_of(trees) if trees else None
+        given = (lambda c: F.when(F.col("_may_hold"), F.col(c))) if words is not None else F.col
+        if words is not None:
+            out = out.withColumn("_may_hold", may_hold(words))
+        parsed |= {"_payload_text": flatten(given("payload_json")), "_raw_text": flatten(given("raw_json"))}
     return out.withColumns(parsed) if parsed else out
 
 

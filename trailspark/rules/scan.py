@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from trailspark.functions.identity import finding_id, uninterpreted
 from trailspark.operators.bursts import bursts, large_groups, members
 from trailspark.operators.summaries import beside
-from trailspark.rules.compile import NUMBERS, check, condition, fields, leaves, prepared, resolve, test_of
+from trailspark.rules.compile import NUMBERS, TEXT_VIEWS, check, condition, fields, leaves, prepared, resolve, test_of
 from trailspark.schema import KINDS
 
 #: Severities, the gravest first.
@@ -94,7 +94,8 @@ def _holds(operator: str, wanted, ignore_case):
 
 def prepare(events: DataFrame, rules: list[Rule]) -> DataFrame:
     """events with what the rules' Columns read, made once a row whatever the number of rules."""
-    return prepared(events, {f for r in rules for f in r.fields()})
+    distinct = {(r.aggregate or {}).get("distinct") for r in rules}
+    return prepared(events, {f for r in rules for f in r.fields()}, None if distinct & set(TEXT_VIEWS) else [r.match for r in rules])
 
 
 FINDING = ["finding_id", "rule_id", "severity", "title", "ts_utc", "agent", "session_id", "event_count", "matched", "summary"]

@@ -166,3 +166,40 @@ def test_codex_items_and_turns(spark):
     assert said["table:thread_turns rowid:1"]["text"] == "turn u is done, after 5 ms, and it recorded an error" and turns["table:thread_turns rowid:1"].ts_utc is None
     listed, said = shown(tables.inventory({"b": rows, "a": rows.limit(2)}, "/db", "codex"))
     assert said["store"]["tables"] == [{"table": "a", "rows": 2}, {"table": "b", "rows": 14}]
+
+
+def test_cline_messages_and_manifests(spark, tmp_path):
+    from trailspark.normalize import cline
+    from trailspark.sources.documents import json_documents
+
+    patch = "*** Begin Patch\n*** Add File: a b.txt\n+one\n+two\n*** Update File: /w/c.py\n*** Move to: /w/d.py\n@@\n-old\n+new\n keep\n*** Delete File: e\n*** End Patch"
+    use = lambda name, given: {"type": "tool_use", "id": name, "name": name, "input": given}
+    messages = [
+        {"role": "user", "ts": 1700000000000, "content": [{"type": "text", "text": "go"}, {"type": "tool_result", "tool_use_id": "x", "content": [{"text": "out"}], "is_error": True}]},
+        {"role": "assistant", "ts": 1700000001000, "modelInfo": {"id": "m"}, "metrics": {"inputTokens": 3}, "content": [
+            {"type": "thinking", "thinking": "hm"}, use("run_commands", {"commands": ["FOO=1 ls -l", {"command": "git", "args": ["push", "-f"]}]}), use("read_files", {"files": [{"file_path": "/a"}, "/b"]}), use("editor", {"path": "/e"}),
+            use("apply_patch", {"input": patch}), use("fetch_web_content", {"requests": [{"url": "https://x.test/y"}]}), use("run_commands", {"other": 1}), use("skills", {"skill": "s", "args": "q"}), {"type": "new"},
+        ]},
+        {"role": "user", "content": "text"},
+    ]
+    folder = put(tmp_path / "c", **{"s1.messages.json": json.dumps({"version": 1, "agent": "lead", "updated_at": "2024-01-01T00:00:00Z", "system_prompt": "be good", "messages": messages, "origin": {"subagent": "sub"}}), "bad.messages.json": "[1]"})
+    found = {(r.original_path.rsplit("/", 1)[1], r.locator): r for r in cline.messages(json_documents(read_documents(spark, folder))).collect()}
+    one = {k[1].removeprefix("document#"): (r.kind, json.loads(r.payload_json)) for k, r in found.items() if k[0] == "s1.messages.json"}
+    assert found["bad.messages.json", "document"].kind == "unparsed.record" and {r.session_id for k, r in found.items() if k[0][0] == "s"} == {"s1"}
+    c = "messages[1].content"
+    assert {k: v[0] for k, v in one.items()} == {
+        "header": "config.snapshot", "system_prompt": "instruction.source", "messages[0].content[0]": "user.prompt", "messages[0].content[1]": "tool.result", f"{c}[0]": "assistant.thinking", f"{c}[1]": "tool.call", f"{c}[1]#command": "command.exec",
+        f"{c}[2]": "tool.call", f"{c}[2]#file0": "file.read", f"{c}[2]#file1": "file.read", f"{c}[3]": "tool.call", f"{c}[3]#file0": "file.write", f"{c}[4]": "tool.call", f"{c}[4]#file0": "file.write", f"{c}[4]#file1": "file.write", f"{c}[4]#file2": "file.write",
+        f"{c}[5]": "tool.call", f"{c}[5]#network": "network.request", f"{c}[6]": "tool.call", f"{c}[7]": "tool.call", f"{c}[8]": "unparsed.record", "messages[2]": "unparsed.record",
+    }
+    assert one[f"{c}[1]#command"][1]["commands"] == [{"command": "FOO=1 ls -l", "executable": "ls"}, {"command": "git push -f", "executable": "git"}]
+    assert [one[f"{c}[4]#file{i}"][1]["files"][0] for i in range(3)] == [
+        {"path": "a b.txt", "operation": "write", "patch_verb": "add", "added": 2, "removed": 0}, {"path": "/w/c.py", "operation": "write", "patch_verb": "update", "moved_to": "/w/d.py", "added": 1, "removed": 1},
+        {"path": "e", "operation": "delete", "patch_verb": "delete", "added": 0, "removed": 0},
+    ]
+    assert "no command" in one[f"{c}[6]"][1]["unread"] and one[f"{c}[7]"][1]["skill"] == "s" and one[f"{c}[0]"][1]["models"] == [{"model": "m", "input_tokens": 3}]
+    assert found["s1.messages.json", f"document#{c}[0]"].ts_utc == "2023-11-14T22:13:21.000000Z" and one["header"][1]["subagent"] == "sub" and one["messages[0].content[1]"][1]["is_error"] is True
+    folder = put(tmp_path / "m", **{"s2.json": json.dumps({"session_id": "s2", "cwd": "/w", "source": "cli", "started_at": "2024-01-01T00:00:00Z", "status": "failed", "prompt": "p", "model": "m", "exit_code": 1}), "s3.json": "{"})
+    rows = {(r.original_path.rsplit("/", 1)[1], r.locator): r for r in cline.manifests(json_documents(read_documents(spark, folder))).collect()}
+    assert {k: r.kind for k, r in rows.items()} == {("s2.json", "document#started_at"): "session.start", ("s2.json", "document#prompt"): "user.prompt", ("s2.json", "document#ended_at"): "session.end", ("s3.json", "document"): "unparsed.record"}
+    assert rows["s2.json", "document#started_at"].client == "cli" and rows["s2.json", "document#ended_at"].project_path == "/w" and "no time" in json.loads(rows["s2.json", "document#ended_at"].payload_json)["note"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from trailspark.functions import text as T
 from trailspark.functions.identity import null_safe_key
 from trailspark.operators import artifacts, facets, summaries
 from trailspark.plans.adapter import EVENTS, conversation_events, events, table, table_events
-from trailspark.rules import scan
+from trailspark.rules import scan, settings
 from trailspark.rules.packs import RULES
 from trailspark.rules.scan import Rule
 
@@ -253,3 +255,25 @@ count(*) FILTER (role NOT IN ('user', 'assistant')) AS hidden FROM conversations
 def turn_kinds(spark, sf_dir: str) -> DataFrame:
     count = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
     return conversation_events(spark, sf_dir).groupBy("session_id").agg(count("user.prompt").alias("prompts"), count("assistant.text").alias("answers"), F.count_if(~F.col("kind").isin("user.prompt", "assistant.text")).alias("hidden"))
+
+
+#: The first matching sample of each rule on single events beside the first pack, in the rules' order.
+_SAMPLES = [(r.id, r.positive[0]) for r in settings.MORE if not r.aggregate]
+_OWN = ", ".join(f"({i}, '{rule}')" for i, (rule, _) in enumerate(_SAMPLES))
+
+
+@query(f"""WITH r(n, rule_id) AS (VALUES {_OWN}) SELECT doc_id::VARCHAR AS event_id, rule_id FROM documents JOIN r ON doc_id % {len(_SAMPLES)} = n""")
+def settings_rules(spark, sf_dir: str) -> DataFrame:
+    """All 53 rules over the documents, each a record that one rule's sample describes, with the document's text in it: which of the 34 further rules find it."""
+    rows = [(i, s.get("kind"), s.get("agent"), s.get("artifact_id"), s.get("project_path"), json.dumps(s.get("payload", {})), json.dumps(s.get("raw", {}))) for i, (_, s) in enumerate(_SAMPLES)]
+    samples = spark.createDataFrame(rows, "n int, kind string, agent string, artifact_id string, project_path string, payload string, raw string")
+    docs = table(spark, sf_dir, "documents").withColumn("n", (F.col("doc_id") % len(_SAMPLES)).cast("int")).join(F.broadcast(samples), "n")  # a row for each rule
+    none = F.lit(None).cast("string")
+    # the text is one more key of the sample's payload
+    with_text = F.concat(F.lit('{"note": '), F.to_json(F.array("text")), F.when(F.col("payload") == "{}", F.lit("}")).otherwise(F.concat(F.lit(", "), F.substring("payload", 2, 1 << 20))))
+    events = docs.select(
+        F.col("doc_id").cast("string").alias("event_id"), "kind", "agent", "artifact_id", "project_path", none.alias("ts_utc"), F.col("source").alias("session_id"), none.alias("original_path"), none.alias("bundle_uuid"),
+        none.alias("file_sha256"), none.alias("locator"), with_text.alias("payload_json"), F.when(F.col("raw") != "{}", F.col("raw")).alias("raw_json"), none.alias("parse_problem"),
+    )
+    found = scan.scan_events(events, [r for r in settings.ALL if not r.aggregate])
+    return found.where(F.col("rule_id").isin([r for r, _ in _SAMPLES])).select("event_id", "rule_id")

@@ -27,14 +27,25 @@ from trailspark.llm.common import shared_path, table
 LEAST_SCORE = 0.3
 
 
+#: Rows that a Python worker gets at once. A batch lies in the JVM's buffers and in the worker's memory, both of which keep
+#: what they once needed, so that the widest batch of any stage counts for all that follow.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a language claims; the model is fitted on the stage's own labelled rows. Null texts and those without a letter go."""
+    _small_batches(spark)
     found = langid.identify(docs, langid.fit(docs), keep=tuple(docs.columns), claims=True)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & F.col("claimed") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, one with the least id; documents without words would all stay."""
+    _small_batches(spark)
     return jaccard.keep_one(docs, n=5, num=80)
 
 
@@ -52,6 +63,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document; null texts count as empty. No row goes."""
     import public_tokenizers
 
+    _small_batches(spark)
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, finish=bpe.digests, schema=bpe.DIGEST_SCHEMA)
 
 

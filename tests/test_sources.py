@@ -120,6 +120,18 @@ def test_an_append_reads_its_own_bundles_only(spark, tmp_path, monkeypatch):
     assert sinks.stored_ids(bundle("b2"), case).count() == 4  # its own, and those without a bundle
 
 
+def test_patterns_that_claim_too_much_claim_nothing():
+    from trailspark.functions.text import glob_regex
+    from trailspark.sources import trees
+
+    claims = lambda pattern, path: any(re.search(glob_regex(g).replace(r"\z", r"\Z"), path) for g in trees.expand(pattern))
+    assert claims("<project>/.claude/settings.json", "/home/u/w/.claude/settings.json") and claims("<repo-root>/.github/<name>.md", "C:/w/.github/x.md")
+    assert trees.expand("<project>/*.json") == trees.expand("<project>/**") == trees.expand("<project>") == trees.expand("<project>/<name>") == []
+    assert claims("<project>/notes/*.json", "/w/notes/a.json") and not claims("<project>/notes/*.json", "/w/notes/a/b.json")
+    assert trees.expand("$X/*") == trees.expand("$X/history.jsonl") == trees.expand("$X/a/b.c") == [] and claims("$TOOL_HOME/sessions/*.jsonl", "/opt/t/sessions/a.jsonl")
+    assert claims("$HOME/.codex/history.jsonl", "/home/u/.codex/history.jsonl") and not claims("$HOME/.codex/history.jsonl", "/srv/.codex/history.jsonl")
+
+
 def test_timeline_columns(spark, tmp_path):
     rows = normalize.prompt_history(sources.read_jsonl(spark, put(tmp_path / "h", "p.jsonl", '{"display": "a"}\nbad\n')), "x")
     sinks.write_timeline(rows, str(tmp_path / "t"))

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.functions.text import decode_segments, user_from_path
+from trailspark.functions.text import decode_segments, literal_length, user_from_path
 from trailspark.sources.documents import read_documents
 
 #: Folders that collectors put a tree in.
@@ -75,9 +75,30 @@ def expand(pattern: str, products: tuple[str, ...] = ("Code", "Code - Insiders",
         folders = ["~/.config/{}/User", "~/Library/Application Support/{}/User", "~/AppData/Roaming/{}/User"]
         out = [text.replace("<vscode-user>", f.format(p)) for p in products for f in folders]
     out = [h + t[1:] if t.startswith("~") else t for t in out for h in (HOMES if t.startswith("~") else ("",))]
-    globs = [re.sub(r"<[^>/]+>", "*", t) for t in out]
-    # what is left to a variable that can't be known, or to a single placeholder, would claim anything
-    return sorted({g for g in globs if not g.startswith("$") and len(re.sub(r"[*?/]", "", g)) >= 4})
+    globs = {re.sub(r"<[^>/]+>", "*", g) for t in out for g in _anchored(t)}
+    return sorted(g for g in globs if literal_length(g) >= LEAST)
+
+
+#: Letters that a glob has at least; named segments and letters of one whose root is a variable that nothing here knows.
+LEAST, NAMED_SEGMENTS, NAMED_LETTERS = 4, 2, 8
+
+
+def _anchored(pattern: str) -> list[str]:
+    """A pattern with its root: itself, or what stands below a working copy or an unknown variable, anywhere, if it names enough.
+
+    Below a placeholder a single segment has to begin with a letter of its own, or `<project>/*.json` would claim every file
+    of its kind; below a variable two segments are asked for.
+    """
+    root, _, tail = pattern.partition("/")
+    if root[:1] not in ("<", "$"):
+        return [pattern]
+    named = [x for x in tail.split("/") if x not in ("", "**")]
+    letters = sum(len(re.sub(r"<[^>]*>|[*?]", "", x)) for x in named)
+    if root[0] == "$":
+        enough = len(named) >= NAMED_SEGMENTS and letters >= NAMED_LETTERS
+    else:
+        enough = letters > 0 and (len(named) > 1 or not named[0].startswith("*"))
+    return [f"**/{tail}"] if enough else []
 
 
 def load_catalogue(folder: str | Path) -> list[dict]:

@@ -203,3 +203,36 @@ def test_cline_messages_and_manifests(spark, tmp_path):
     rows = {(r.original_path.rsplit("/", 1)[1], r.locator): r for r in cline.manifests(json_documents(read_documents(spark, folder))).collect()}
     assert {k: r.kind for k, r in rows.items()} == {("s2.json", "document#started_at"): "session.start", ("s2.json", "document#prompt"): "user.prompt", ("s2.json", "document#ended_at"): "session.end", ("s3.json", "document"): "unparsed.record"}
     assert rows["s2.json", "document#started_at"].client == "cli" and rows["s2.json", "document#ended_at"].project_path == "/w" and "no time" in json.loads(rows["s2.json", "document#ended_at"].payload_json)["note"]
+
+
+def test_hermes(spark):
+    sessions = table(spark, {"rowid": 1, "id": "s", "title": "T", "model": "m", "cwd": "/w", "git_branch": "b", "system_prompt": "be good", "started_at": 1700000000.5, "ended_at": 1700000002.0, "end_reason": "done"})
+    calls = json.dumps([{"id": "c", "function": {"name": "terminal", "arguments": '{"command": "ls"}'}}, {"id": "d", "name": "other", "arguments": {"x": 1}}])
+    messages = table(
+        spark, {"rowid": 1, "session_id": "s", "role": "user", "content": "hi", "timestamp": 1700000001.0}, {"rowid": 2, "session_id": "s", "role": "assistant", "content": "a", "reasoning": "r", "tool_calls": calls},
+        {"rowid": 3, "session_id": "s", "role": "tool", "content": "out", "tool_name": "terminal", "tool_call_id": "c"}, {"rowid": 4, "session_id": "s", "role": "assistant", "codex_message_items": '[{"text": "late"}]'},
+        {"rowid": 5, "session_id": "s", "role": "assistant", "reasoning_content": "only"}, {"rowid": 6, "session_id": "x", "role": "system", "content": "sys"}, {"rowid": 7, "session_id": "s", "role": "assistant", "tool_calls": "{"}, {"rowid": 8, "role": "odd"},
+    )
+    found, said = shown(tables.hermes(sessions, messages, "/db"))
+    m = "table:messages rowid:"
+    assert {k: r.kind for k, r in found.items()} == {
+        "table:sessions rowid:1": "session.start", "table:sessions rowid:1#system_prompt": "instruction.source", "table:sessions rowid:1#end": "session.end", m + "1": "user.prompt", m + "2": "assistant.text", m + "2#reasoning": "assistant.thinking",
+        m + "2#tool0": "tool.call", m + "2#tool0effect": "command.exec", m + "2#tool1": "tool.call", m + "3": "tool.result", m + "4#items": "assistant.text", m + "5#reasoning": "assistant.thinking", m + "6": "instruction.source", m + "7": "unparsed.record", m + "8": "unparsed.record",
+    }
+    assert found[m + "1"].project_path == "/w" and found[m + "1"].git_branch == "b" and found[m + "1"].ts_utc == "2023-11-14T22:13:21.000000Z" and found["table:sessions rowid:1#system_prompt"].ts_utc is None
+    assert said[m + "2#tool0effect"]["commands"] == [{"command": "ls", "executable": "ls", "cwd": "/w"}] and said[m + "2#tool1"]["input"] == {"x": 1} and said[m + "4#items"]["text"] == "late" and said[m + "5#reasoning"]["reasoning_only_reply"] is True
+    assert "no JSON" in found[m + "7"].parse_problem and "odd" in found[m + "8"].parse_problem and "no row" in found[m + "6"].parse_problem
+
+
+def test_editor_state(spark, tmp_path):
+    from trailspark.sources.documents import json_documents
+
+    base = "/u/workspaceStorage"
+    rows = [(f"{base}/1/state.vscdb", 1, "k", '{"a": 1}'), (f"{base}/2/state.vscdb", 1, "k", "x"), (f"{base}/3/state.vscdb", 1, "k", None), ("/u/globalStorage/state.vscdb", 1, "k", "y")]
+    items = spark.createDataFrame(rows, "path string, rowid long, key string, value string")
+    docs = [(f"{base}/1/workspace.json", '{"folder": "file:///w/a%20b"}'), (f"{base}/2/workspace.json", '{"folder": "vscode-remote://ssh/w"}'), ("/u/globalStorage/workspace.json", '{"folder": "file:///no"}'), (f"{base}/4/workspace.json", "{")]
+    documents = json_documents(spark.createDataFrame([(*d, None) for d in docs], "path string, text string, problem string"))
+    found = {r.original_path: r for r in tables.editor_state(items, documents).collect()}
+    assert len(found) == 8 and found[f"{base}/1/state.vscdb"].project_path == "/w/a b" and json.loads(found[f"{base}/1/state.vscdb"].payload_json)["value"] == {"a": 1}
+    assert "another machine" in found[f"{base}/2/state.vscdb"].parse_problem and "no document" in found[f"{base}/3/state.vscdb"].parse_problem
+    assert found["/u/globalStorage/state.vscdb"].project_path is None and found["/u/globalStorage/state.vscdb"].parse_problem is None and "not JSON" in found[f"{base}/4/workspace.json"].parse_problem

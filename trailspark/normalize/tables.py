@@ -9,16 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailspark.functions.text import first_word, host_of, text_of
+from trailspark.functions.text import first_word, host_of, remote_uri, text_of, uri_as_path
 from trailspark.normalize.records import Tools, at, emit, event, first_said, is_a, items, models, nothing, payload, said
 from trailspark.schema import UNINTERPRETED
 
 
 def rows_of(rows: DataFrame, store: str, table: str, row_id: str, columns: tuple[str, ...]) -> DataFrame:
     """(path, place, text, problem) and the columns, as text, of a table's rows; text is the whole row as JSON."""
-    known = [(F.col(f"`{c}`").cast("string") if c in rows.columns else F.lit(None).cast("string")).alias(c) for c in columns]
+    kinds = dict(rows.dtypes)
+    # doubles are written without an exponent, as times are read
+    plain = lambda c: F.col(f"`{c}`").cast("decimal(38,9)") if kinds[c] in ("double", "float") else F.col(f"`{c}`")
+    known = [(plain(c).cast("string") if c in kinds else F.lit(None).cast("string")).alias(c) for c in columns]
     place = F.format_string(f"table:{table} rowid:%s", F.col(f"`{row_id}`").cast("string"))
-    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns if not c.startswith("_")]))
     return rows.select(*known, F.lit(store).alias("path"), place.alias("place"), whole.alias("text"), F.lit(None).cast("string").alias("problem"))
 
 
@@ -64,6 +67,9 @@ OPENCODE = Tools(
     paths=("filePath", "file_path", "path", "absolute_path"), contents=("content", "newString"),
 )
 GOOSE = Tools(command=("shell",), read=("tree", "read_image"), write=("write", "edit"), paths=("path", "source"), contents=("content", "file_text", "after"))
+HERMES = Tools(
+    command=("terminal", "execute_command", "bash"), read=("read_file", "search_files"), write=("write_file", "patch", "edit_file"), network=("web_search", "web_extract", "browser_navigate"), commands=("command", "cmd"),
+)
 _OPENCODE_SESSION = ("id", "directory", "agent", "model", "title", "version", "parent_id", "share_url", "time_created", "time_archived", "cost", "tokens_input", "tokens_output", "tokens_reasoning", "tokens_cache_read", "tokens_cache_write")
 
 
@@ -312,6 +318,88 @@ def codex_turns(rows: DataFrame, store: str, table: str = "thread_turns", *, row
     return emit(known, F.array(event("unparsed.record", payload(table=F.lit(table), text=text))), agent=agent, artifact=f"{agent}.{table}", time=F.lit(None).cast("string"), kind=F.lit("turn"), session_id=_given("thread_id"))
 
 
+def hermes(sessions: DataFrame | None, messages: DataFrame | None, store: str, *, row_id: str = "rowid", agent: str = "hermes") -> DataFrame:
+    """Events of the tables sessions and messages; one that an export lacks is None.
+
+    A session begins, has its system prompt as an instruction, and ends. An answer's row may hold a reply, its reasoning and
+    calls of tools, each an event; a row of another role, or an answer that holds none of them, stays unread.
+    """
+    out, headers = [], None
+    kind = "cwd: string, branch: string, model: string"
+    if sessions is not None:
+        rows = rows_of(sessions, store, "sessions", row_id, ("id", "title", "model", "source", "user_id", "cwd", "git_branch", "system_prompt", "parent_session_id", "started_at", "ended_at", "end_reason", "input_tokens", "output_tokens", "estimated_cost_usd"))
+        headers = _headers(rows, "id", cwd=_given("cwd"), branch=_given("git_branch"), model=_given("model"))
+        used = models(_given("model"), F.col("input_tokens"), F.col("output_tokens"), F.col("estimated_cost_usd"))
+        start = payload(text=F.coalesce(_given("title"), F.concat(F.lit("session "), F.coalesce("id", F.lit("")))), title=_given("title"), models=used, parent_session_id=_given("parent_session_id"), source=_given("source"), user_id=_given("user_id"))
+        prompt = _given("system_prompt")
+        told = payload(text=prompt, scope=F.lit("session"), in_database=F.lit(True), instructions=F.array(F.struct(F.lit(f"{store}#sessions.system_prompt").alias("path"), F.lit("session").alias("scope"))), session_title=_given("title"))
+        # a prompt of a session claims no time of its own
+        asked = F.when(prompt.isNotNull(), F.array(event("instruction.source", told, "#system_prompt", "system"))).otherwise(nothing())
+        over = F.when(_given("ended_at").isNotNull(), F.array(event("session.end", payload(text=F.coalesce(_given("end_reason"), F.lit("the session ended")), reason=_given("end_reason")), "#end", "system", F.col("ended_at")))).otherwise(nothing())
+        made = F.concat(F.array(event("session.start", start, "", "system", F.col("started_at"))), asked, over)
+        out.append(emit(rows, made, agent=agent, artifact=f"{agent}.sessions", time=F.lit(None).cast("string"), kind=F.lit("session"), session_id=_given("id"), project_path=_given("cwd"), git_branch=_given("git_branch")))
+    if messages is not None:
+        rows = rows_of(messages, store, "messages", row_id, ("session_id", "role", "content", "reasoning", "reasoning_content", "codex_message_items", "tool_calls", "tool_name", "tool_call_id", "timestamp", "finish_reason"))
+        rows = _with_header(rows, _given("session_id"), headers, kind)
+        role, header = F.lower(F.coalesce("role", F.lit(""))), F.col("_header")
+        used = models(header["model"])
+        bad = [F.when(_given(c).isNotNull() & F.try_parse_json(c).isNull(), f"the {c} column is no JSON") for c in ("codex_message_items", "tool_calls")]
+        note = F.when(~role.isin("user", "system", "tool", "assistant"), F.concat(F.lit("a role that isn't known: "), role))
+        rows = rows.withColumn("problem", _notes(*bad, note, F.col("_lacks")))
+        text = payload(text=F.coalesce("content", F.lit("")), models=used, finish_reason=_given("finish_reason"))
+        told = payload(text=F.coalesce("content", F.lit("")), scope=F.lit("session"), in_database=F.lit(True), instructions=F.array(F.struct(F.lit(f"{store}#messages.content").alias("path"), F.lit("session").alias("scope"))))
+        result = payload(tool=_given("tool_name"), tool_use_id=_given("tool_call_id"), text=F.coalesce("content", F.lit("")), output=F.col("content"))
+        listed = F.nullif(text_of(F.try_parse_json("codex_message_items")), F.lit(""))
+        thought = F.coalesce(_given("reasoning"), _given("reasoning_content"))
+        reply = F.when(_given("content").isNotNull(), F.array(event("assistant.text", text, "", "assistant"))).when(listed.isNotNull(), F.array(event("assistant.text", payload(text=listed, models=used, text_source=F.lit("codex_message_items")), "#items", "assistant"))).otherwise(nothing())
+        silent = _given("content").isNull() & listed.isNull()
+        mind = F.when(thought.isNotNull(), F.array(event("assistant.thinking", payload(text=thought, models=used, reasoning_only_reply=F.when(silent, F.lit(True))), "#reasoning", "assistant"))).otherwise(nothing())
+
+        def call(x: Column, i: Column) -> Column:
+            name = F.coalesce(first_said(x, "function.name", "name"), _given("tool_name"))
+            given = F.coalesce(F.try_parse_json(said(x, "function.arguments")), at(x, "function.arguments"), at(x, "arguments"))
+            of = F.coalesce(said(x, "id"), _given("tool_call_id"))
+            where = F.concat(F.lit("#tool"), i.cast("string"))
+            return F.concat(F.array(event("tool.call", payload(tool=name, tool_use_id=of, input=given, models=used), where, "assistant")), HERMES.effect(F.coalesce(name, F.lit("")), given, of, F.concat(where, F.lit("effect")), header["cwd"]))
+
+        calls = F.coalesce(F.flatten(F.transform(items(F.try_parse_json("tool_calls")), call)), nothing())
+        made = (
+            F.when(role == "user", F.array(event("user.prompt", text, "", "user"))).when(role == "system", F.array(event("instruction.source", told, "", "system")))
+            .when(role == "tool", F.array(event("tool.result", result, "", "tool"))).when(role == "assistant", F.concat(reply, mind, calls)).otherwise(nothing())
+        )
+        out.append(emit(rows, made, agent=agent, artifact=f"{agent}.messages", time=F.col("timestamp"), kind=role, session_id=F.col("_session"), project_path=header["cwd"], git_branch=header["branch"]))
+    return _together(out)
+
+
+#: A workspace's document beside an editor's state, and its keys that say which folder was open.
+WORKSPACE, WORKSPACE_KEYS = "workspace.json", ("folder", "workspace", "configuration")
+
+
+def editor_state(items_: DataFrame, workspaces: DataFrame, *, path: str = "path", row_id: str = "rowid", agent: str = "vscode") -> DataFrame:
+    """Keys and values of editors' state (path, rowid, key, value), with the folder that the document beside the store names; no time is claimed.
+
+    workspaces: documents (path, place, v, text, problem) named workspace.json, each an event too. Only stores of a workspace
+    are looked up; one without a document that names a folder says so.
+    """
+    v = F.col("v")
+    folder_of = lambda c: F.regexp_replace(c, r"[/\\][^/\\]*$", "")
+    uri = first_said(v, *WORKSPACE_KEYS)
+    known = workspaces.withColumns({"_folder": folder_of(F.col("path")), "_project": uri_as_path(uri), "_remote": F.coalesce(remote_uri(uri), F.lit(False))})
+    beside = known.where("_project is not null").groupBy("_folder").agg(F.min(F.struct("_project", "_remote")).alias("_beside"))
+    rows = rows_of(items_.withColumn("_store", F.col(f"`{path}`")), "", "ItemTable", row_id, ("key", "value", "_store")).drop("path").withColumnRenamed("_store", "path")
+    met = rows.withColumn("_folder", folder_of(F.col("path"))).join(beside, "_folder", "left")
+    own = F.contains(F.translate("path", "\\", "/"), F.lit("/workspaceStorage/"))
+    remote = "the folder is on another machine"
+    note = F.when(own & F.col("_beside").isNull(), "no document beside the store names its folder").when(own & F.col("_beside._remote"), remote)
+    value = F.try_parse_json("value")
+    made = F.array(event("config.snapshot", payload(key=F.col("key"), text=F.col("value"), value=F.when(is_a(value, "OBJECT") | is_a(value, "ARRAY"), value)), "", "system"))
+    none = F.lit(None).cast("string")
+    told = emit(met.withColumn("problem", note), made, agent=agent, artifact=f"{agent}.state", time=none, kind=F.lit("item"), project_path=F.when(own, F.col("_beside._project")))
+    named = F.array(event("config.snapshot", payload(key=F.lit(WORKSPACE), text=F.col("text"), uri=uri, value=v), "", "system"))
+    said_all = _notes(F.col("problem"), F.when(F.col("_remote"), remote))
+    return told.unionByName(emit(known.withColumn("problem", said_all), named, agent=agent, artifact=f"{agent}.workspace", time=none, kind=F.lit("workspace"), project_path=F.col("_project")))
+
+
 def inventory(tables: dict[str, DataFrame], store: str, agent: str) -> DataFrame:
     """One event that says which tables a store has and how many rows each, beside the events of the rows themselves."""
     counts = None

@@ -228,7 +228,7 @@ def lexical_tables(seed=1, count=400):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(200)] + ["É", "ß1", "Foo", "BAR_baz", "x-y"]
     docs = [(i, " ".join(rng.choice(words[: rng.choice([5, 50, 205])]) for _ in range(rng.randint(1, 60)))) for i in range(count)]
-    docs += [(i + 500, docs[i][1]) for i in range(60)]  # ties
+    docs += [(i + 500, docs[i][1]) for i in range(min(60, count))]  # ties
     docs += [(990, None), (991, ""), (992, " .,;"), (None, docs[0][1]), (3, docs[3][1]), (993, "w1 " * 50000), (994, "É É ß1 FOO bar baz")]
     queries = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 30)))) for i in range(30)]
     queries += [(50, None), (51, ""), (52, "unknown words"), (None, "w1 w2"), (5, queries[5][1]), (53, "é"), (54, "É foo FOO x"), (55, docs[7][1])]

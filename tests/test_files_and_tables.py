@@ -236,3 +236,25 @@ def test_editor_state(spark, tmp_path):
     assert len(found) == 8 and found[f"{base}/1/state.vscdb"].project_path == "/w/a b" and json.loads(found[f"{base}/1/state.vscdb"].payload_json)["value"] == {"a": 1}
     assert "another machine" in found[f"{base}/2/state.vscdb"].parse_problem and "no document" in found[f"{base}/3/state.vscdb"].parse_problem
     assert found["/u/globalStorage/state.vscdb"].project_path is None and found["/u/globalStorage/state.vscdb"].parse_problem is None and "not JSON" in found[f"{base}/4/workspace.json"].parse_problem
+
+
+def test_zed(spark):
+    data = {
+        "title": "t", "model": {"provider": "p", "model": "m"},
+        "messages": [
+            {"User": {"id": "u", "content": [{"Text": "a"}, {"Mention": {"uri": "f", "content": "c"}}, {"Image": {}}, {"Text": "b"}, {"New": 1}]}}, "Resume",
+            {"Agent": {"content": [{"Text": "x"}, {"Thinking": {"text": "h"}}, {"RedactedThinking": "z"}, {"ToolUse": {"id": "c", "name": "n", "input": {"k": 1}}}, {"A": 1, "B": 2}], "tool_results": {"d": "plain", "c": {"text": "out"}}}},
+            {"Compaction": {"Summary": "short"}}, {"Other": 1},
+        ],
+    }
+    rows = table(spark, {"rowid": 1, "id": "s", "summary": "S", "data": json.dumps(data), "folder_paths": "/a,1\n/b", "folder_paths_order": "1,0", "created_at": "2024-01-01T00:00:00Z"}, {"rowid": 2, "id": "r", "data": "{", "folder_paths": "/x\n/y", "folder_paths_order": "0", "updated_at": "2024-01-02T00:00:00Z"})
+    found, said = shown(tables.zed(rows, "/db"))
+    m = "table:threads rowid:1 message:"
+    assert {k.removeprefix(m): r.kind for k, r in found.items() if k.startswith(m)} == {
+        "0": "user.prompt", "1": "config.snapshot", "2 content:0": "assistant.text", "2 content:1": "assistant.thinking", "2 content:2": "assistant.thinking", "2 content:3": "tool.call", "2 content:4": "unparsed.record",
+        "2 result:c": "tool.result", "2 result:d": "tool.result", "3": "session.end", "4": "unparsed.record",
+    }
+    assert said[m + "0"] == {"text": "a\nb", "mentions": [{"uri": "f", "content": "c"}], "images": 1, "message_id": "u", "unknown_parts": 1} and said[m + "2 result:c"]["text"] == "out" and said[m + "2 result:d"]["text"] == "plain"
+    one, two = found["table:threads rowid:1"], found["table:threads rowid:2"]
+    assert said["table:threads rowid:1"]["models"] == [{"model": "p/m"}] and said["table:threads rowid:1"]["folder_paths"] == ["/b", "/a,1"] and one.project_path == "/b" and one.parse_problem is None and found[m + "0"].ts_utc is None
+    assert two.project_path == "/x" and "no JSON object" in two.parse_problem and "last change" in two.parse_problem and two.ts_utc == "2024-01-02T00:00:00.000000Z" and said[m + "3"]["text"] == "short"

@@ -371,6 +371,74 @@ def hermes(sessions: DataFrame | None, messages: DataFrame | None, store: str, *
     return _together(out)
 
 
+def folders(paths: Column, order: Column) -> Column:
+    """array<string> of paths on lines of their own, in the order that a list of their places gives; as they stand if it gives none."""
+    listed = F.filter(F.split(F.coalesce(paths, F.lit("")), "\n"), lambda p: F.trim(p) != "")
+    places = F.transform(F.filter(F.split(F.coalesce(order, F.lit("")), ","), lambda x: F.rlike(F.trim(x), F.lit(r"^\d{1,9}$"))), lambda x: F.trim(x).try_cast("int"))
+    fits = (F.size(listed) > 0) & (F.array_sort(places) == F.sequence(F.lit(0), F.greatest(F.size(listed) - 1, F.lit(0))))
+    sorted_ = F.transform(F.array_sort(F.zip_with(places, listed, lambda i, p: F.struct(i.alias("i"), p.alias("p")))), lambda x: x["p"])
+    return F.when(fits, sorted_).otherwise(listed)
+
+
+def zed(threads: DataFrame, store: str, *, row_id: str = "rowid", agent: str = "zed") -> DataFrame:
+    """Events of the table threads: each begins a session, and its document gives an event for each message and part of an answer.
+
+    Messages and parts are objects with one key that says what they are. Only a thread has times, so its messages have none;
+    a thread without a time of its beginning has that of its last change, and says so.
+    """
+    rows = rows_of(threads, store, "threads", row_id, ("id", "summary", "data", "folder_paths", "folder_paths_order", "created_at", "updated_at", "parent_id"))
+    document, why = _document("data")
+    late = F.when(_given("created_at").isNull() & _given("updated_at").isNotNull(), "the time is that of the last change; none of the beginning is there")
+    rows = rows.withColumns({"v": document, "_folders": folders(F.col("folder_paths"), F.col("folder_paths_order"))}).withColumn("problem", _notes(why, late))
+    v, project = F.col("v"), F.get("_folders", F.lit(0))
+    talk = F.coalesce(F.try_variant_get(v, "$.messages", "array<variant>"), F.array().cast("array<variant>"))
+    model = at(v, "model")
+    name = F.when(is_a(model, "STRING"), F.try_variant_get(model, "$", "string")).otherwise(F.nullif(F.concat_ws("/", first_said(model, "provider", "provider_id"), first_said(model, "model", "model_id", "id")), F.lit("")))
+    start = payload(
+        text=F.coalesce(_given("summary"), said(v, "title")), folder_paths=F.when(F.size("_folders") > 0, F.col("_folders")), parent_session=_given("parent_id"), models=models(F.nullif(name, F.lit(""))), profile=said(v, "profile"),
+        updated_at=_given("updated_at"), tokens=at(v, "cumulative_token_usage"), detailed_summary=said(v, "detailed_summary"), messages=F.size(talk),
+    )
+    tag_of = lambda x: F.when(is_a(x, "OBJECT") & (F.size(F.map_keys(F.try_variant_get(x, "$", "map<string, variant>"))) == 1), F.get(F.map_keys(F.try_variant_get(x, "$", "map<string, variant>")), F.lit(0)))
+    join = lambda xs: F.nullif(F.array_join(F.filter(xs, lambda x: F.coalesce(x, F.lit("")) != ""), "\n"), F.lit(""))
+
+    def part(b: Column, where: Column) -> Column:
+        tag = tag_of(b)
+        called = payload(tool=said(b, "ToolUse.name"), tool_use_id=said(b, "ToolUse.id"), input=at(b, "ToolUse.input"), text=said(b, "ToolUse.name"))
+        return (
+            F.when(tag == "Text", F.array(event("assistant.text", payload(text=F.coalesce(said(b, "Text"), F.lit(""))), where, "assistant")))
+            .when(tag == "Thinking", F.array(event("assistant.thinking", payload(text=F.coalesce(said(b, "Thinking.text"), F.lit("")), signature=said(b, "Thinking.signature")), where, "assistant")))
+            .when(tag == "RedactedThinking", F.array(event("assistant.thinking", payload(text=F.lit(""), redacted=F.lit(True)), where, "assistant")))
+            .when(tag == "ToolUse", F.array(event("tool.call", called, where, "assistant")))
+            .otherwise(F.array(event("unparsed.record", payload(content=b), where)))
+        )
+
+    def message(m: Column, i: Column) -> Column:
+        where, tag = F.concat(F.lit(" message:"), i.cast("string")), tag_of(m)
+        content = items(at(m, "User.content"))
+        mentions = F.transform(F.filter(content, lambda x: tag_of(x) == "Mention"), lambda x: F.struct(said(x, "Mention.uri").alias("uri"), said(x, "Mention.content").alias("content")))
+        images = F.size(F.filter(content, lambda x: tag_of(x) == "Image"))
+        odd = F.size(F.filter(content, lambda x: ~F.coalesce(tag_of(x).isin("Text", "Mention", "Image"), F.lit(False))))
+        prompt = payload(text=join(F.transform(content, lambda x: said(x, "Text"))), mentions=F.when(F.size(mentions) > 0, mentions), images=F.when(images > 0, images), message_id=said(m, "User.id"), unknown_parts=F.when(odd > 0, odd))
+        parts = F.flatten(F.transform(items(at(m, "Agent.content")), lambda b, j: part(b, F.concat(where, F.lit(" content:"), j.cast("string")))))
+        results = F.array_sort(F.map_entries(F.try_variant_get(m, "$.Agent.tool_results", "map<string, string>")), lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0))
+        gave = lambda x: text_of(F.try_variant_get(F.try_parse_json(x["value"]), "$", "variant"))
+        told = lambda x: F.coalesce(F.nullif(gave(x), F.lit("")), x["value"])
+        answers = F.transform(results, lambda x: event("tool.result", payload(tool_use_id=x["key"], output=told(x), text=told(x)), F.concat(where, F.lit(" result:"), x["key"]), "tool"))
+        ended = payload(text=F.coalesce(said(m, "Compaction.Summary"), text_of(at(m, "Compaction"))), compaction=F.lit(True), compaction_kind=tag_of(at(m, "Compaction")))
+        resumed = is_a(m, "STRING") & (F.try_variant_get(m, "$", "string") == "Resume")
+        return (
+            F.when(resumed, F.array(event("config.snapshot", payload(text=F.lit("the thread was resumed")), where, "system")))
+            .when(tag == "User", F.array(event("user.prompt", prompt, where, "user")))
+            .when(tag == "Agent", F.concat(parts, F.coalesce(answers, nothing())))
+            .when(tag == "Compaction", F.array(event("session.end", ended, where, "system")))
+            .otherwise(F.array(event("unparsed.record", payload(message=m), where)))
+        )
+
+    began = F.array(event("session.start", start, "", "system", F.coalesce(_given("created_at"), _given("updated_at"))))
+    made = F.concat(began, F.coalesce(F.flatten(F.transform(talk, message)), nothing()))
+    return emit(rows, made, agent=agent, artifact=f"{agent}.threads", time=F.lit(None).cast("string"), kind=F.lit("thread"), session_id=_given("id"), project_path=project)
+
+
 #: A workspace's document beside an editor's state, and its keys that say which folder was open.
 WORKSPACE, WORKSPACE_KEYS = "workspace.json", ("folder", "workspace", "configuration")
 

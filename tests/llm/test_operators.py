@@ -306,6 +306,38 @@ def test_count_levels(spark, monkeypatch):
     assert filters.level_of(levels, np.arange(1 << 16, dtype=np.uint64)).tolist() == expected
 
 
+def test_count_levels_holds_one_part_at_a_time(spark, monkeypatch, tmp_path):
+    from trailspark.llm import filters
+
+    folder = str(tmp_path)
+
+    def traced(run):
+        def inner(batches):
+            import tracemalloc
+            import uuid
+
+            tracemalloc.start()
+            try:
+                yield from run(batches)
+            finally:
+                most = tracemalloc.get_traced_memory()[1]
+                tracemalloc.stop()
+                with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+                    out.write(str(most))
+
+        return inner
+
+    monkeypatch.setattr(filters, "released", traced)
+    docs = spark.range(20_000).selectExpr("xxhash64(id) AS h").coalesce(1)
+    levels = filters.count_levels(docs, lambda b: iter([filters.unsigned(b.column(0))]))
+    cells = Counter(r.h & ((1 << 26) - 1) for r in docs.collect())
+    found = filters.level_of(levels, np.array(list(cells), np.uint64))
+    assert found.tolist() == [n.bit_length() for n in cells.values()]
+    assert np.count_nonzero(levels) <= len(cells)
+    # all parts come to one task here; the whole table's counts would take 512 MB
+    assert max(int(p.read_text()) for p in tmp_path.iterdir()) < 64 << 20
+
+
 def test_repeated_codes(spark):
     from trailspark.llm import filters
 

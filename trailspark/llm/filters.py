@@ -48,7 +48,7 @@ def count_levels(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np
     """2**bits levels of four bits, two in a byte: the number of bits of the count of each cell, 15 at most.
 
     Counts all hashes h by h & (2**bits - 1). Tasks send sorted cells as differences, a byte or two for each hash; a
-    part of the table is summed by one task, row by row, in memory that depends on the table's size only.
+    part of the table is summed by one task, row by row. A task holds one part at a time, however many are dealt to it.
     """
     each = (1 << bits) // _COUNT_PARTS
 
@@ -76,20 +76,27 @@ def count_levels(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np
             yield from flush()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
+        now, total = None, np.zeros(each, np.uint64)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if now is not None:
+                levels = np.minimum(15, np.ceil(np.log2(total.astype(np.float64) + 1))).astype(np.uint8)
+                packed = zlib.compress((levels[::2] | (levels[1::2] << 4)).tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([packed], pa.binary())], names=["part", "data"])
+
         for batch in batches:
-            for part, data in zip(*(c.to_pylist() for c in batch.columns)):
-                both = np.frombuffer(zlib.decompress(data), np.uint32)
-                total = totals.setdefault(part, np.zeros(each, np.uint64))
+            for part, data in zip(*batch.columns):
+                if part.as_py() != now:
+                    yield from flush()
+                    now = part.as_py()
+                    total[:] = 0
+                both = np.frombuffer(zlib.decompress(data.as_buffer()), np.uint32)
                 total[np.cumsum(both[: len(both) // 2], dtype=np.int64)] += both[len(both) // 2 :]
-        for part, total in totals.items():
-            levels = np.minimum(15, np.ceil(np.log2(total.astype(np.float64) + 1))).astype(np.uint8)
-            data = zlib.compress((levels[::2] | (levels[1::2] << 4)).tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["part", "data"])
+        yield from flush()
 
     schema = "part int, data binary"
     out = np.zeros((1 << bits) // 2, np.uint8)
-    for row in docs.mapInArrow(released(count), schema).repartition("part").mapInArrow(released(add), schema).collect():  # 2**bits / 2 bytes at most
+    for row in docs.mapInArrow(released(count), schema).repartition("part").sortWithinPartitions("part").mapInArrow(released(add), schema).collect():  # 2**bits / 2 bytes at most
         out[row["part"] * (each // 2) : (row["part"] + 1) * (each // 2)] = np.frombuffer(zlib.decompress(bytes(row["data"])), np.uint8)
     return out
 

@@ -291,3 +291,17 @@ def test_places_in_chunks(spark, monkeypatch):
     assert found[1] == found[4] == found[1000]
     by_line = {r[:2]: r[2:] for r in found[4]}
     assert by_line["f", 1] == (None, None, 1) and by_line["f", 16] == ("1", "v14", 6) and by_line["g", 2] == ("x", "w", 1)
+
+
+def test_records_of_the_log_are_looked_at_once_a_field(spark):
+    from trailspark.sources.unified import from_records
+
+    lines = spark.createDataFrame([("/log", 1, "{}", "{}", None)], "path string, line_no int, text string, value string, problem string")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = from_records(lines)._jdf.queryExecution().optimizedPlan().toString().lower()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    # 23 fields, each shape is written with two names; 400 and 483 when every use took them anew
+    assert 0 < plan.count("schemaofvariant") <= 50
+    assert 0 < plan.count("variant_get") <= 70

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from collections.abc import Collection
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
@@ -36,10 +38,51 @@ def _one(text: str | None) -> str | None:
         return text
 
 
-@pandas_udf(StringType())
-def flatten(values: pd.Series) -> pd.Series:
-    """The leaves of JSON texts; a text that isn't JSON stays as it is. Recursion of any shape has no built-in function."""
-    return values.map(_one, na_action="ignore")
+#: Letters that a search without case takes for a plain one, in UTF-8, and the plain ones.
+_FOLDED = {"\u0130": b"i", "\u0131": b"i", "\u017f": b"s", "\u212a": b"k"}
+#: The same and plain ones, written as numbers.
+_NUMBERED = re.compile(rb"\\u(00[2-7]|013[01]|017f|212a)")
+
+
+def grouped(words: Collection[str]) -> dict[str, list[str]]:
+    """Words by a part that they share: a sign or the shortest word in them. Texts without the part hold none of its words."""
+    out: dict[str, list[str]] = {}
+    for w in sorted(words):
+        out.setdefault(min((k for k in ("_", "@", "-", *words) if k in w), key=len), []).append(w)
+    return out
+
+
+def held(text: str, groups: dict[str, list[str]]) -> list[str]:
+    """The words that the JSON of a record may hold; one that writes plain letters as numbers may hold any."""
+    data = text.encode("utf-8", "replace").lower()
+    if not text.isascii():
+        for letter, plain in _FOLDED.items():
+            data = data.replace(letter.encode(), plain)
+    if b"\\u" in data and _NUMBERED.search(data):
+        return [w for ws in groups.values() for w in ws]
+    # a character a byte is searched fastest
+    data = data.decode("latin-1")
+    return [w for part, ws in groups.items() if part in data for w in ws if w in data]
+
+
+def text_views(words: Collection[str] | None):
+    """Of the JSON of a payload and of a raw record: their leaves, and which words in lower case the two may hold. A record that
+    holds none isn't taken apart. Without words all are, and their list is null. Recursion of any shape has no built-in function."""
+    searched = None if words is None else grouped(words)
+
+    def one(payload: str | None, raw: str | None) -> tuple:
+        if searched is None:
+            return _one(payload), _one(raw), None
+        found = held(f"{payload or ''}\n{raw or ''}", searched)
+        return (_one(payload), _one(raw), found) if found else (None, None, found)
+
+    @pandas_udf("payload string, raw string, words array<string>")
+    def views(payloads: pd.Series, raws: pd.Series) -> pd.DataFrame:
+        # None and not NaN for what is absent
+        rows = [one(p if isinstance(p, str) else None, r if isinstance(r, str) else None) for p, r in zip(payloads, raws)]
+        return pd.DataFrame(rows, columns=["payload", "raw", "words"], dtype=object)
+
+    return views
 
 
 def _sorted(text: str | None, **options) -> str | None:

@@ -16,7 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailspark.functions.flatten import flatten
+from trailspark.functions.flatten import text_views
 from trailspark.functions.text import glob_regex
 from trailspark.rules import literals
 from trailspark.schema import EVENT_COLUMNS
@@ -46,14 +46,8 @@ def words_of(trees: list[dict]) -> frozenset[str] | None:
 
 
 def may_hold(words: frozenset[str]) -> Column:
-    """Whether the JSON of a record may hold one of the words; one that writes plain letters as numbers may hold any."""
-    out = F.lit(False)
-    for c in ("payload_json", "raw_json"):
-        text = F.lower(F.coalesce(c, F.lit("")))
-        for w in sorted(words):
-            out = out | F.contains(text, F.lit(w))
-        out = out | F.contains(text, F.lit("\\u00"))
-    return out
+    """Whether a record may hold one of the words, as found once a row; true where nobody looked."""
+    return F.coalesce(F.arrays_overlap("_words", F.array(*[F.lit(w) for w in sorted(words)])), F.lit(True))
 
 
 def prepared(events: DataFrame, fields: set[str], trees: list[dict] | None = None) -> DataFrame:
@@ -68,10 +62,12 @@ def prepared(events: DataFrame, fields: set[str], trees: list[dict] | None = Non
     if fields & set(TEXT_VIEWS):
         # a text without the words that all its tests need is as good as none: it isn't flattened
         words = words_of(trees) if trees else None
-        given = (lambda c: F.when(F.col("_may_hold"), F.col(c))) if words is not None else F.col
-        if words is not None:
-            out = out.withColumn("_may_hold", may_hold(words))
-        parsed |= {"_payload_text": flatten(given("payload_json")), "_raw_text": flatten(given("raw_json"))}
+        out = out.withColumn("_views", text_views(words)("payload_json", "raw_json"))
+        parsed |= {"_payload_text": F.col("_views.payload"), "_raw_text": F.col("_views.raw"), "_words": F.col("_views.words")}
+        whole = F.concat(F.coalesce("_views.payload", F.lit("")), F.lit("\n"), F.coalesce("_views.raw", F.lit("")))
+        parsed |= {"_event_text": whole} if "event_text" in fields else {}
+        parsed |= {"_may_hold": F.size("_views.words") > 0} if words is not None else {}
+        return out.withColumns(parsed).drop("_views")
     return out.withColumns(parsed) if parsed else out
 
 
@@ -83,37 +79,38 @@ def _items(value: Column) -> Column:
     return F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
 
 
-def _present(values: Column) -> Column:
-    return F.filter(values, lambda v: v.isNotNull() & ~F.coalesce(F.is_variant_null(v), F.lit(True)))
+def _present(values: str) -> str:
+    return f"filter({values}, p -> p IS NOT NULL AND NOT coalesce(is_variant_null(p), true))"
 
 
-def _walk(values: Column, step: str) -> Column:
+def _walk(values: str, step: str) -> str:
     """The values at one step from an array of VARIANTs; a list on the way is read through."""
     name, fan = step.removesuffix("[]"), step.endswith("[]")
-    get = lambda v: F.try_variant_get(v, f"$['{name}']", "variant")
-    through = lambda v: _present(F.transform(_items(v), get))
+    get = lambda v: f"try_variant_get({v}, '$[\\'{name}\\']', 'variant')"
+    listed = lambda v: f"coalesce(startswith(schema_of_variant({v}), 'ARRAY'), false)"
+    items = lambda v: f"coalesce(try_variant_get({v}, '$', 'array<variant>'), CAST(array() AS array<variant>))"
+    through = _present(f"transform({items('v')}, i -> {get('i')})")
     # what is read through a list stays together, as a list, unless the step fans out
     if fan:
-        spread = lambda v: F.flatten(F.transform(_present(F.array(get(v))), lambda g: F.when(is_list(g), _present(_items(g))).otherwise(F.array(g))))
-        return F.flatten(F.transform(values, lambda v: F.when(is_list(v), through(v)).otherwise(spread(v))))
-    kept = lambda v: F.when(is_list(v), F.when(F.size(through(v)) > 0, F.to_variant_object(through(v)))).otherwise(get(v))
-    return _present(F.transform(values, kept))
+        spread = f"flatten(transform({_present(f'array({get("v")})')}, g -> CASE WHEN {listed('g')} THEN {_present(items('g'))} ELSE array(g) END))"
+        return f"flatten(transform({values}, v -> CASE WHEN {listed('v')} THEN {through} ELSE {spread} END))"
+    return _present(f"transform({values}, v -> CASE WHEN {listed('v')} THEN CASE WHEN size({through}) > 0 THEN to_variant_object({through}) END ELSE {get('v')} END)")
 
 
 def values_at(selector: str) -> Column:
-    """array<variant> of the values at a path in the payload or the raw record."""
+    """array<variant> of the values at a path in the payload or the raw record, written as SQL: one text, not a call for each part."""
     root, *steps = selector.split(".")
-    found = _present(F.array(F.col(f"_{root}")))
+    found = _present(f"array(_{root})")
     for step in steps:
         found = _walk(found, step)
-    return found
+    return F.expr(found)
 
 
 def resolve(selector: str) -> Column:
     """array<string> of the values at a selector: strings as they are, other values as JSON."""
     selector = "payload.text" if selector == "text" else selector
     if selector == "event_text":
-        return F.array(F.concat(F.coalesce("_payload_text", F.lit("")), F.lit("\n"), F.coalesce("_raw_text", F.lit(""))))
+        return F.array("_event_text")
     if selector in TEXT_VIEWS:
         return F.array(F.coalesce(f"_{selector}", F.lit("")))
     if selector.startswith("provenance.") and selector[11:] in PROVENANCE:
@@ -160,6 +157,8 @@ TEXT = {
     "endswith": _folded(F.endswith),
     "glob": lambda v, x, i: F.rlike(v, F.lit(glob_regex(x))),
 }
+#: Tests that compare lower-cased texts if case is ignored.
+FOLDING = ("contains", "equals", "startswith", "endswith")
 NUMBERS = {
     "gt": lambda v, x: _number(v) > x,
     "gte": lambda v, x: _number(v) >= x,
@@ -179,13 +178,22 @@ def test_of(operator: str, value, ignore_case: bool | None = None):
     folded = ignore_case if ignore_case is not None else name not in ("regex", "glob")
     wanted = value if operator.endswith("_any") else [value]
 
-    def one(v: Column) -> Column:
+    def one_of(v: Column, folded: bool, texts: list[str]) -> Column:
         out = F.lit(False)
-        for x in wanted:
+        for x in texts:
             out = out | F.coalesce(TEXT[name](v, x, folded), F.lit(False))
         return out
 
-    return one
+    if folded and name in FOLDING:
+        # the value is folded once, however many texts it is compared with
+        return lambda v: F.exists(F.array(F.lower(v)), lambda low: one_of(low, False, [x.lower() for x in wanted]))
+    return lambda v: one_of(v, folded, wanted)
+
+
+def within_words(field: str, operator: str, value, found: Column, otherwise: Column) -> Column:
+    """What a leaf finds in a text view; otherwise where the text holds none of the words that it needs: they are looked up once a row."""
+    words = literals.of_leaf(operator, value) if field in TEXT_VIEWS else None
+    return found if words is None else F.when(may_hold(words), found).otherwise(otherwise)
 
 
 def leaf(field: str, operator: str, value, ignore_case: bool | None = None) -> Column:
@@ -198,7 +206,7 @@ def leaf(field: str, operator: str, value, ignore_case: bool | None = None) -> C
         return F.size(values) >= value
     if operator in NUMBERS:
         return _any(values, lambda v: NUMBERS[operator](v, value))
-    return _any(values, test_of(operator, value, ignore_case))
+    return within_words(field, operator, value, _any(values, test_of(operator, value, ignore_case)), F.lit(False))
 
 
 def check(tree, at: str = "match") -> None:
